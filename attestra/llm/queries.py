@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, jaccard, lines, packing, winnowing
+from . import ann, crf, jaccard, lines, packing, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op5_decontaminate, op6_language_id, op7_jaccard_join, op8_packing)}
+    return {f.__name__: f for f in (op2_line_dedup, op5_decontaminate, op6_language_id, op7_jaccard_join, op8_packing, op10_multiprobe)}
 
 
 OP5_SQL = r"""
