@@ -112,17 +112,26 @@ def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
 
 
+def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of each text, ascending, and how many each has; made from about a megabyte of texts at a time."""
+    data, offsets = common.strings(column)
+    parts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in common.slices(offsets):
+        s, many = words.shingles(*words.word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), k)
+        owner = np.repeat(np.arange(b - a), many)
+        order = np.lexsort((s, owner))
+        s, owner = s[order], owner[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
+        parts.append(s[new])
+        sizes.append(np.bincount(owner[new], minlength=b - a))
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
 def _verified(rows: pa.Table, starts: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, threshold: float) -> np.ndarray:
     """Which pairs of rows have the similarity, by their full shingle sets."""
-    data, offsets = common.strings(rows["text"])
-    s, many = words.shingles(*words.word_hashes(data, offsets), k)
-    owner = np.repeat(np.arange(len(many)), many)
-    order = np.lexsort((s, owner))
-    s, owner = s[order], owner[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
-    s, owner = s[new], owner[new]
-    size = np.bincount(owner, minlength=len(many))
+    s, size = _sets(rows["text"], k)
+    owner = np.repeat(np.arange(len(size)), size)
     first = np.concatenate(([0], np.cumsum(size)))
     group = np.searchsorted(starts, x, "right") - 1
     by_group = np.argsort(group, kind="stable")
