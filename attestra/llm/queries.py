@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, crf, jaccard, lines, packing, winnowing
+from . import ann, crf, jaccard, lines, lm, packing, shards, warc, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,16 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the file that holds the document once all arrivals are merged, and its text's SHA-256."""
+    store = shards.arrive(table(spark, sf_dir, "documents"))
+    return store.read().select("doc_id", "shard", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tid")
 
@@ -35,12 +46,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op5_decontaminate, op6_language_id, op7_jaccard_join, op8_packing, op10_multiprobe)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_size_tiers, op4_pseudo_likelihood, op5_decontaminate, op6_language_id, op7_jaccard_join, op8_packing, op9_warc, op10_multiprobe)}
 
 
 OP5_SQL = r"""
@@ -66,5 +81,20 @@ FROM doc LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 """
 
 
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+), b AS (
+  SELECT page_id, h, octet_length(encode(body)) AS n, max(page_id) OVER (PARTITION BY h) AS top,
+    array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((CAST(concat('0x', substr(h, 1 + (i // 4) * 5, 5)) AS INTEGER) >> CAST(5 * (3 - i % 4) AS INTEGER)) & 31), 1)), '') AS d
+  FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM top THEN NULL ELSE top END AS refers_to
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op9_warc": OP9_SQL}
