@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, crf, jaccard, lines, lm, packing, shards, warc, winnowing
+from . import ann, crf, jaccard, lines, lm, packing, shards, suffix, warc, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("tid")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text (what is kept), n_removed_chunks, n_removed_lines."""
     return lines.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -55,7 +59,7 @@ def op10_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_size_tiers, op4_pseudo_likelihood, op5_decontaminate, op6_language_id, op7_jaccard_join, op8_packing, op9_warc, op10_multiprobe)}
+    return {f.__name__: f for f in (op1_run_index, op2_line_dedup, op3_size_tiers, op4_pseudo_likelihood, op5_decontaminate, op6_language_id, op7_jaccard_join, op8_packing, op9_warc, op10_multiprobe)}
 
 
 OP5_SQL = r"""
