@@ -1 +1,148 @@
-"""Placeholder until filled."""
+"""Spatial joins, clusters and the heat map."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.geo import EARTH, EARTH_DEDUP, haversine, quad_key
+from ..operators.spatial import dbscan, nearest, radius_join
+from ..sources.bindings import AS_OF, DAY, cte, frame
+from .registry import query
+
+
+def km_sql(a: str, b: str, radius: float = EARTH) -> str:
+    return f"(2 * {radius} * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2)))))"
+
+
+@query(cte("verified", "stations") + f"SELECT v.id, s.station, round({km_sql('v', 's')}, 5) AS km FROM verified v JOIN stations s ON {km_sql('v', 's')} <= 50 WHERE v.severity = 'CRITICAL'")
+def jon07_radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Critical events with every station within 50 km."""
+    v = frame(spark, sf_dir, "verified").where("severity = 'CRITICAL'").select("id", "lat", "lng")
+    return radius_join(v, frame(spark, sf_dir, "stations").select("station", "lat", "lng"), 50, 40).select("id", F.col("r_station").alias("station"), F.round("km", 5).alias("km"))
+
+
+@query(
+    cte("reports", "verified")
+    + f""", p AS (SELECT r.id, v.id AS event, {km_sql('r', 'v')} AS km, v.radius_km + 5 AS reach FROM reports r JOIN verified v ON abs(r.lat - v.lat) < 0.2 AND v.severity IN ('CRITICAL', 'HIGH') WHERE r.id % 10 = 0)
+SELECT id, arg_min(event, (km, event)) AS event, round(min(km), 5) AS km FROM p WHERE km <= reach GROUP BY 1"""
+)
+def jon08_nearest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every tenth report the nearest serious event that reaches it: within the event's own radius and 5 km more (13.4 at most)."""
+    r = frame(spark, sf_dir, "reports").where("id % 10 = 0").select("id", "lat", "lng")
+    v = frame(spark, sf_dir, "verified").where("severity in ('CRITICAL', 'HIGH')").select(F.col("id").alias("event"), "lat", "lng", "radius_km")
+    return nearest(r, v, "id", 13.4, F.col("km") <= F.col("r_radius_km") + 5, 40).select("id", F.col("r_event").alias("event"), F.round("km", 5).alias("km"))
+
+
+@query(
+    cte("verified", "stations", "readings")
+    + f""", n AS (SELECT v.id, v.verified_s, s.station FROM verified v JOIN stations s ON {km_sql('v', 's')} <= 50 WHERE v.severity = 'CRITICAL' AND v.verified_s >= 880000000)
+SELECT n.id, arg_max(r.station, (r.recorded_s, r.order_id, r.line)) AS station, max(r.recorded_s) AS recorded_s FROM n JOIN readings r ON r.station = n.station AND r.recorded_s <= n.verified_s AND r.recorded_s >= n.verified_s - 172800 GROUP BY 1"""
+)
+def jon11_as_of_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest reading of the two days before each recent critical event, of the stations within 50 km.
+
+    Readings are met by (station, day), each event looking into three days, so no event meets a station's whole history.
+    """
+    v = frame(spark, sf_dir, "verified").where("severity = 'CRITICAL' and verified_s >= 880000000").select("id", "lat", "lng", "verified_s")
+    near = radius_join(v, frame(spark, sf_dir, "stations").select("station", "lat", "lng"), 50, 40)
+    day = F.floor(F.col("verified_s") / DAY)
+    look = near.select("id", "verified_s", F.col("r_station").alias("station"), F.explode(F.sequence(day - 2, day)).alias("day"))
+    readings = frame(spark, sf_dir, "readings").select("station", "recorded_s", "order_id", "line").withColumn("day", F.floor(F.col("recorded_s") / DAY))
+    seen = look.join(readings, ["station", "day"]).where("recorded_s <= verified_s and recorded_s >= verified_s - 172800")
+    return seen.groupBy("id").agg(F.max_by("station", F.struct("recorded_s", "order_id", "line")).alias("station"), F.max("recorded_s").alias("recorded_s"))
+
+
+@query(
+    cte("reports")
+    + f""", c AS (SELECT DISTINCT 'x' AS k, lat, lng, id FROM reports WHERE id % 40 = 0), p AS (SELECT a.id, b.id AS other, {km_sql('a', 'b')} AS km FROM c a JOIN c b ON abs(a.lat - b.lat) < 0.1 AND a.id < b.id)
+SELECT id, other, round(km, 5) AS km FROM p WHERE km <= 5"""
+)
+def jon12_pairs_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = frame(spark, sf_dir, "reports").where("id % 40 = 0").select("id", "lat", "lng")
+    return radius_join(r, r, 5, 40).where("id < r_id").select("id", F.col("r_id").alias("other"), F.round("km", 5).alias("km"))
+
+
+@query(
+    cte("reports", "verified")
+    + """, d AS (SELECT district, min(lat) AS lo_lat, max(lat) AS hi_lat, min(lng) AS lo_lng, max(lng) AS hi_lng FROM reports WHERE district IS NOT NULL GROUP BY 1)
+SELECT v.id, min(d.district) AS district, count(*) AS boxes FROM verified v JOIN d ON v.lat BETWEEN lo_lat AND hi_lat AND v.lng BETWEEN lo_lng AND hi_lng WHERE v.id % 20 = 0 GROUP BY 1"""
+)
+def jon18_district_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Districts whose box holds each event. There are 40 districts, a bounded dimension, met by grid cells of a degree."""
+    d = frame(spark, sf_dir, "reports").where("district is not null").groupBy("district").agg(F.min("lat").alias("lo_lat"), F.max("lat").alias("hi_lat"), F.min("lng").alias("lo_lng"), F.max("lng").alias("hi_lng"))
+    cells = d.withColumn("y", F.explode(F.sequence(F.floor("lo_lat"), F.floor("hi_lat")))).withColumn("x", F.explode(F.sequence(F.floor("lo_lng"), F.floor("hi_lng"))))
+    v = frame(spark, sf_dir, "verified").where("id % 20 = 0").select("id", "lat", "lng", F.floor("lat").alias("y"), F.floor("lng").alias("x"))
+    inside = v.join(cells, ["y", "x"]).where("lat between lo_lat and hi_lat and lng between lo_lng and hi_lng")
+    return inside.groupBy("id").agg(F.min("district").alias("district"), F.count(F.lit(1)).alias("boxes"))
+
+
+@query(cte("reports") + ", c AS (SELECT floor((lat + 90) / 180 * 256) AS y, floor((lng + 180) / 360 * 256) AS x, verified_id FROM reports) SELECT count(*) AS cells, CAST(max(n) AS BIGINT) AS most, CAST(sum(n) AS BIGINT) AS total, CAST(sum(linked) AS BIGINT) AS linked FROM (SELECT y, x, count(*) AS n, count(verified_id) AS linked FROM c GROUP BY 1, 2)")
+def agg08_heatmap_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of level 12 rolled up to level 8 by prefix: totals are kept at each level."""
+    fine = frame(spark, sf_dir, "reports").groupBy(quad_key(F.col("lat"), F.col("lng"), 12).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.count("verified_id").alias("linked"))
+    coarse = fine.groupBy(F.substring("cell", 1, 8).alias("cell")).agg(F.sum("n").alias("n"), F.sum("linked").alias("linked"))
+    return coarse.agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("most"), F.sum("n").alias("total"), F.sum("linked").alias("linked"))
+
+
+@query()
+def agg08_heatmap_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count and linked count of each level-10 cell, the fullest first."""
+    cell = quad_key(F.col("lat"), F.col("lng"), 10).alias("cell")
+    return frame(spark, sf_dir, "reports").groupBy(cell).agg(F.count(F.lit(1)).alias("n"), F.count("verified_id").alias("linked")).orderBy(F.desc("n"), "cell")
+
+
+_GRAPH = f""", p AS (SELECT id, lat, lng FROM reports WHERE at_s >= {AS_OF - 3 * DAY}), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON abs(a.lat - b.lat) < 0.06 AND {km_sql("a", "b")} <= 5),
+t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a), c AS (SELECT a AS id, min(b) AS cluster FROM t GROUP BY 1 HAVING count(*) > 1) """
+
+
+@query(cte("reports").replace("WITH", "WITH RECURSIVE", 1) + _GRAPH + "SELECT id, cluster FROM c")
+def dom06_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of the reports of three days, eps 5 km, two points: with two, the components of the eps graph."""
+    p = frame(spark, sf_dir, "reports").where(F.col("at_s") >= AS_OF - 3 * DAY).select("id", "lat", "lng")
+    return dbscan(p, 5, 2, 40)
+
+
+@query(
+    cte("reports").replace("WITH", "WITH RECURSIVE", 1)
+    + _GRAPH
+    + f""", m AS (SELECT c.id, cluster, lat, lng FROM c JOIN p USING (id)), w AS (SELECT a.cluster, max({km_sql("a", "b")}) AS widest FROM m a JOIN m b USING (cluster) GROUP BY 1)
+SELECT cluster, count(*) AS n, round(avg(lat), 9) AS lat, round(avg(lng), 9) AS lng, round(any_value(widest), 5) AS widest_km FROM m JOIN w USING (cluster) GROUP BY 1"""
+)
+def agg14_cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, planar centroid and greatest distance within each cluster, over its different spots."""
+    p = frame(spark, sf_dir, "reports").where(F.col("at_s") >= AS_OF - 3 * DAY).select("id", "lat", "lng")
+    m = p.join(dbscan(p, 5, 2, 40), "id")
+    spots = m.select("cluster", "lat", "lng").distinct()
+    other = spots.select("cluster", F.col("lat").alias("la"), F.col("lng").alias("ln"))
+    wide = spots.join(other, "cluster").groupBy("cluster").agg(F.max(haversine(F.col("lat"), F.col("lng"), F.col("la"), F.col("ln"))).alias("widest"))
+    mean = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("lat"), 9).alias("lat"), F.round(F.avg("lng"), 9).alias("lng"))
+    return mean.join(wide, "cluster").select("cluster", "n", "lat", "lng", F.round("widest", 5).alias("widest_km"))
+
+
+@query(
+    cte("reports")
+    + f""", c AS (SELECT id, at_s, lat, lng, reporter, value FROM reports WHERE source_type = 'CITIZEN_APP' AND coalesce(place_precision, 'gps') = 'gps')
+SELECT b.id, arg_min(a.id, (a.at_s, a.id)) AS original FROM c b JOIN c a ON a.at_s >= b.at_s - 10800 AND (a.at_s < b.at_s OR (a.at_s = b.at_s AND a.id < b.id)) AND abs(a.lat - b.lat) < 0.1 AND {km_sql('a', 'b', 6371.0)} <= 10 GROUP BY 1"""
+)
+def dom01_citizen_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earliest earlier precise citizen report within 10 km and three hours (the driver's reports are sparse; the gates are parameters)."""
+    return citizen_originals(frame(spark, sf_dir, "reports"), 10, 10_800)
+
+
+def citizen_originals(reports: DataFrame, km: float = 1.0, seconds: int = 900) -> DataFrame:
+    """id, original of citizen reports that repeat an earlier one within km and seconds. Neighbours meet by grid cell and time slot."""
+    c = reports.where((F.col("source_type") == "CITIZEN_APP") & (F.coalesce("place_precision", F.lit("gps")) == "gps")).select("id", "at_s", "lat", "lng")
+    pairs = radius_join(c.withColumn("slot", F.explode(F.array(F.floor(F.col("at_s") / seconds), F.floor(F.col("at_s") / seconds) - 1))), c.withColumn("slot", F.floor(F.col("at_s") / seconds)), km, 40, radius=EARTH_DEDUP)
+    earlier = (F.col("r_at_s") < F.col("at_s")) | ((F.col("r_at_s") == F.col("at_s")) & (F.col("r_id") < F.col("id")))
+    found = pairs.where((F.col("slot") == F.col("r_slot")) & (F.col("r_at_s") >= F.col("at_s") - seconds) & earlier)
+    return found.groupBy("id").agg(F.min_by("r_id", F.struct("r_at_s", "r_id")).alias("original"))
+
+
+@query(
+    cte("stations", "readings")
+    + """SELECT station, recorded_s, order_id, line, n FROM (SELECT r.*, row_number() OVER (PARTITION BY station ORDER BY recorded_s DESC, order_id, line) AS n FROM readings r) WHERE n <= 24"""
+)
+def ml09_last_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("station").orderBy(F.desc("recorded_s"), "order_id", "line")
+    return frame(spark, sf_dir, "readings").select("station", "recorded_s", "order_id", "line").withColumn("n", F.row_number().over(w)).where("n <= 24")
