@@ -1 +1,114 @@
-"""Placeholder until filled."""
+"""The alert engine: rules, fingerprints, decisions and the latest alert of each event."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators.fusion import SEVERITIES
+from ..sources.bindings import cte, frame
+from .registry import query
+
+# The default rules (id, priority, event types, least severity, confidence and number of sources), gates and times.
+RULES = [
+    ("RULE_CRITICAL_EVENT", 10, None, 3, 0.90, 2),
+    ("RULE_HIGH_CONFIDENCE_FLOOD", 20, ["URBAN_FLOOD", "RIVER_BREACH"], 2, 0.70, 2),
+    ("RULE_GENERAL_THREAT", 50, None, 1, 0.80, 3),
+]
+RULE_SCHEMA = "rule_id string, priority int, types array<string>, least_severity int, least_confidence double, least_sources int"
+COOLDOWN_S, TTL_S, CONFIDENCE_STEP = 300, 3600, 0.10
+
+
+def severity_rank(c: str):
+    return F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), F.col(c)) - 1
+
+
+def matched(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """The events with rule_id, the applicable rule of least priority (null if none). Rules are a table of a few rows.
+
+    Only published and approved events are matched.
+    """
+    eligible = F.col("review_status").isin("AUTO_PUBLISHED", "HUMAN_APPROVED")
+    fits = (
+        eligible
+        & (F.col("types").isNull() | F.array_contains("types", F.col("event_type")))
+        & (severity_rank("severity") >= F.col("least_severity"))
+        & (F.col("confidence") >= F.col("least_confidence"))
+        & (F.col("sources") >= F.col("least_sources"))
+    )
+    best = rules.agg(F.sort_array(F.collect_list(F.struct("priority", "rule_id", "types", "least_severity", "least_confidence", "least_sources"))).alias("rules"))
+    each = events.join(best).withColumn("r", F.explode_outer("rules")).select(*events.columns, "r.*")
+    return each.groupBy(*events.columns).agg(F.min(F.when(fits, F.struct("priority", "rule_id"))).alias("m")).select(*events.columns, F.col("m.rule_id").alias("rule_id"))
+
+
+def eligible_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "verified").select("id", "event_type", "severity", "confidence", "review_status", (F.col("id") % 5).alias("sources"))
+
+
+_RULE = """CASE WHEN review_status NOT IN ('AUTO_PUBLISHED', 'HUMAN_APPROVED') THEN NULL WHEN severity = 'CRITICAL' AND confidence >= 0.9 AND id % 5 >= 2 THEN 'RULE_CRITICAL_EVENT'
+ WHEN event_type IN ('URBAN_FLOOD', 'RIVER_BREACH') AND severity IN ('HIGH', 'CRITICAL') AND confidence >= 0.7 AND id % 5 >= 2 THEN 'RULE_HIGH_CONFIDENCE_FLOOD' WHEN severity <> 'LOW' AND confidence >= 0.8 AND id % 5 >= 3 THEN 'RULE_GENERAL_THREAT' END"""
+
+
+@query(cte("verified") + f"SELECT id, {_RULE} AS rule_id FROM verified")
+def alr01_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched(eligible_events(spark, sf_dir), spark.createDataFrame(RULES, RULE_SCHEMA)).select("id", "rule_id")
+
+
+@query(cte("verified") + f"SELECT id, sha256(concat('EV-', id, '|', {_RULE})) AS fingerprint FROM verified WHERE {_RULE} IS NOT NULL")
+def alr02_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matched(eligible_events(spark, sf_dir), spark.createDataFrame(RULES, RULE_SCHEMA)).where("rule_id is not null")
+    return m.select("id", F.sha2(F.concat_ws("|", F.concat(F.lit("EV-"), "id"), "rule_id"), 256).alias("fingerprint"))
+
+
+_STATE = "CASE id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'ACTIVE' WHEN 2 THEN 'ESCALATED' WHEN 3 THEN 'RESOLVED' WHEN 4 THEN 'EXPIRED' ELSE 'ACKNOWLEDGED' END"
+
+
+def decision(now_s):
+    """What to do with the latest alert of an event (state, old_severity, old_confidence, old_sources, updated_s) once its rule is known.
+
+    A severity or confidence rise escalates an open alert; LEVEL_2, by confidence, wins over LEVEL_1.
+    """
+    live = F.col("state").isin("ACTIVE", "ESCALATED", "ACKNOWLEDGED")
+    worse = severity_rank("severity") > F.col("old_severity")
+    surer = F.round(F.col("confidence") - F.col("old_confidence"), 6) >= CONFIDENCE_STEP
+    changed = (F.col("sources") > F.col("old_sources")) | (F.col("confidence") != F.col("old_confidence"))
+    return (
+        F.when(F.col("rule_id").isNull(), F.when(live, "RESOLVE").otherwise("NO_ACTION"))
+        .when(F.col("state").isNull(), "CREATE")
+        .when(~live, F.when(now_s - F.col("updated_s") > COOLDOWN_S, "CREATE").otherwise("NO_ACTION"))
+        .when(surer, "ESCALATE_LEVEL_2")
+        .when(worse, "ESCALATE_LEVEL_1")
+        .when(changed, "UPDATE")
+        .otherwise("NO_ACTION")
+    )
+
+
+@query(
+    cte("verified")
+    + f""", m AS (SELECT id, {_RULE} AS rule_id, {_STATE} AS state, CASE severity WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'MODERATE' THEN 1 ELSE 0 END AS rank, id % 3 AS old_rank, confidence, ((id * 41) % 1001) / 1000.0 AS old_confidence, id % 5 AS sources, id % 4 AS old_sources, id % 601 AS age FROM verified)
+SELECT id, CASE WHEN rule_id IS NULL THEN CASE WHEN state IN ('ACTIVE', 'ESCALATED', 'ACKNOWLEDGED') THEN 'RESOLVE' ELSE 'NO_ACTION' END WHEN state IS NULL THEN 'CREATE' WHEN state IN ('RESOLVED', 'EXPIRED') THEN CASE WHEN age > 300 THEN 'CREATE' ELSE 'NO_ACTION' END
+ WHEN round(confidence - old_confidence, 6) >= 0.1 THEN 'ESCALATE_LEVEL_2' WHEN rank > old_rank THEN 'ESCALATE_LEVEL_1' WHEN sources > old_sources OR confidence <> old_confidence THEN 'UPDATE' ELSE 'NO_ACTION' END AS decision FROM m"""
+)
+def alr03_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    m = matched(eligible_events(spark, sf_dir), spark.createDataFrame(RULES, RULE_SCHEMA))
+    rows = m.withColumn("state", F.expr(_STATE)).withColumn("old_severity", i % 3).withColumn("old_confidence", (i * 41 % 1001) / 1000).withColumn("old_sources", i % 4).withColumn("updated_s", -(i % 601))
+    return rows.select("id", decision(F.lit(0)).alias("decision"))
+
+
+@query(
+    cte("readings")
+    + ", a AS (SELECT order_id, line, recorded_s, line % 3 <> 0 AS active FROM readings) SELECT order_id, line FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY active DESC, recorded_s DESC, line) AS n FROM a) WHERE n = 1"
+)
+def alr06_latest_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest active alert of each event, else the newest of any state."""
+    a = frame(spark, sf_dir, "readings").select("order_id", "line", "recorded_s", (F.col("line") % 3 != 0).alias("active"))
+    w = Window.partitionBy("order_id").orderBy(F.desc("active"), F.desc("recorded_s"), "line")
+    return a.withColumn("n", F.row_number().over(w)).where("n = 1").select("order_id", "line")
+
+
+@query(cte("readings") + "SELECT order_id, line, CASE WHEN n = 1 THEN 'new' WHEN rainfall_mm IS DISTINCT FROM before THEN 'updated' ELSE 'seen' END AS kind FROM (SELECT order_id, line, rainfall_mm, lag(rainfall_mm) OVER w AS before, row_number() OVER w AS n FROM readings WINDOW w AS (PARTITION BY order_id ORDER BY line, station, recorded_s, rainfall_mm NULLS FIRST))")
+def alr07_version_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("order_id").orderBy("line", "station", "recorded_s", "rainfall_mm")
+    rows = frame(spark, sf_dir, "readings").select("order_id", "line", "rainfall_mm", F.lag("rainfall_mm").over(w).alias("before"), F.row_number().over(w).alias("n"))
+    return rows.select("order_id", "line", F.when(F.col("n") == 1, "new").when(~F.col("rainfall_mm").eqNullSafe(F.col("before")), "updated").otherwise("seen").alias("kind"))

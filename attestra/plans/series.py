@@ -1 +1,97 @@
-"""Placeholder until filled."""
+"""Station series: rolling features, robust baselines and anomalies."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..sources.bindings import HOUR, cte, frame
+from .registry import query
+
+# Rolling length, least history, z and rate gates, floor of the scale.
+ROLLING, LEAST, Z_GATE, FLOOR = 12, 5, 3.5, 0.1
+_ORDER = "ORDER BY recorded_s, order_id, line"
+_KEYS = ("recorded_s", "order_id", "line")
+
+
+def present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings with a value: a missing one enters no history."""
+    return frame(spark, sf_dir, "readings").where("rainfall_mm is not null").select("station", *_KEYS, F.col("rainfall_mm").alias("x"))
+
+
+def median_of(values: Column) -> Column:
+    """The median of an array, its middle two averaged; null for none."""
+    n, s = F.size(values), F.sort_array(values)
+    low, high = F.element_at(s, F.ceil(n / 2).cast("int")), F.element_at(s, (F.floor(n / 2) + 1).cast("int"))
+    return F.when(n > 0, (low + high) / 2)
+
+
+@query(
+    cte("readings")
+    + f"SELECT order_id, line, count(x) OVER w AS n, round(avg(x) OVER w, 5) AS mean, round(median(x) OVER w, 5) AS median, round(stddev_pop(x) OVER w, 4) AS std, x - lag(x) OVER o AS delta FROM (SELECT station, recorded_s, order_id, line, rainfall_mm AS x FROM readings WHERE rainfall_mm IS NOT NULL) WINDOW w AS (PARTITION BY station {_ORDER} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), o AS (PARTITION BY station {_ORDER})"
+)
+def win04_rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, mean, median and deviation of the 12 readings before each one, and the step from the last."""
+    o = Window.partitionBy("station").orderBy(*_KEYS)
+    w = o.rowsBetween(-ROLLING, -1)
+    return present(spark, sf_dir).select("order_id", "line", F.count("x").over(w).alias("n"), F.round(F.avg("x").over(w), 5).alias("mean"), F.round(median_of(F.collect_list("x").over(w)), 5).alias("median"), F.round(F.stddev_pop("x").over(w), 4).alias("std"), (F.col("x") - F.lag("x").over(o)).alias("delta"))
+
+
+@query(cte("readings") + f"SELECT order_id, line, sum(rainfall_mm) OVER (PARTITION BY station ORDER BY recorded_s RANGE BETWEEN {24 * HOUR - 1} PRECEDING AND CURRENT ROW) AS day_mm FROM readings")
+def win05_trailing_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("station").orderBy("recorded_s").rangeBetween(-(24 * HOUR - 1), 0)
+    return frame(spark, sf_dir, "readings").select("order_id", "line", F.sum("rainfall_mm").over(w).alias("day_mm"))
+
+
+@query(
+    cte("readings")
+    + f", s AS (SELECT station, rainfall_mm AS x FROM readings WHERE rainfall_mm IS NOT NULL), m AS (SELECT station, count(*) AS n, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM s GROUP BY 1), d AS (SELECT station, quantile_cont(abs(x - med), 0.5) AS mad FROM s JOIN m USING (station) GROUP BY 1) SELECT station, n, round(med, 5) AS median, round(mad, 5) AS mad, round(greatest(1.4826 * mad, (q3 - q1) / 1.349, {FLOOR}), 5) AS scale FROM m JOIN d USING (station)"
+)
+def agg25_robust_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseline(present(spark, sf_dir)).select("station", "n", F.round("median", 5).alias("median"), F.round("mad", 5).alias("mad"), F.round("scale", 5).alias("scale"))
+
+
+def baseline(rows: DataFrame) -> DataFrame:
+    """station, n, median, mad, scale: exact quantiles; the scale is the widest of MAD, quartile span and floor."""
+    m = rows.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile(x, array(0.25, 0.5, 0.75))").alias("q"))
+    d = rows.join(m.select("station", F.col("q")[1].alias("med")), "station").groupBy("station").agg(F.expr("percentile(abs(x - med), 0.5)").alias("mad"))
+    both = m.join(d, "station")
+    return both.select("station", "n", F.col("q")[1].alias("median"), "mad", F.greatest(1.4826 * F.col("mad"), (F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(FLOOR)).alias("scale"))
+
+
+@query(
+    cte("readings")
+    + f""", s AS (SELECT station, order_id, line, rainfall_mm * (1 + (order_id % 211 = 0)::INT * 9) AS x FROM readings WHERE rainfall_mm IS NOT NULL), m AS (SELECT station, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM s GROUP BY 1),
+d AS (SELECT station, quantile_cont(abs(x - med), 0.5) AS mad FROM s JOIN m USING (station) GROUP BY 1) SELECT order_id, line, round(abs(x - med) / greatest(1.4826 * mad, (q3 - q1) / 1.349, {FLOOR}), 4) AS z FROM s JOIN m USING (station) JOIN d USING (station) WHERE abs(x - med) / greatest(1.4826 * mad, (q3 - q1) / 1.349, {FLOOR}) >= {Z_GATE}"""
+)
+def ml04_level_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings far from their station's median (some are made ten times as large)."""
+    x = F.col("x") * F.when(F.col("order_id") % 211 == 0, 10).otherwise(1)
+    rows = present(spark, sf_dir).withColumn("x", x)
+    z = F.abs(F.col("x") - F.col("median")) / F.col("scale")
+    return rows.join(baseline(rows), "station").where(z >= Z_GATE).select("order_id", "line", F.round(z, 4).alias("z"))
+
+
+@query(cte("readings") + "SELECT station, arg_max(recorded_s, (rainfall_mm, -recorded_s)) AS peak_s, max(rainfall_mm) AS peak FROM readings WHERE rainfall_mm IS NOT NULL GROUP BY 1")
+def win10_argmax_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(spark, sf_dir).groupBy("station").agg(F.max_by("recorded_s", F.struct("x", (-F.col("recorded_s")).alias("e"))).alias("peak_s"), F.max("x").alias("peak"))
+
+
+@query(cte("reports") + "SELECT reporter, min(at_s) AS first_s, arg_min(id, (at_s, id)) AS first_id FROM reports GROUP BY 1")
+def win09_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "reports").groupBy("reporter").agg(F.min("at_s").alias("first_s"), F.min_by("id", F.struct("at_s", "id")).alias("first_id"))
+
+
+@query()
+def stm06_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reports a reporter and day are accepted; rejected ones do not count. The rule depends on what it decided before, so each reporter's reports are one fold."""
+    day, most = 86_400, 2
+    start = F.struct(F.array().cast("array<bigint>").alias("live"), F.lit(0).alias("accepted"), F.lit(0).alias("rejected"))
+
+    def step(acc: Column, x: Column) -> Column:
+        live = F.filter(acc["live"], lambda t: t > x["at_s"] - day)
+        ok = F.size(live) < most
+        return F.struct(F.when(ok, F.concat(live, F.array(x["at_s"]))).otherwise(live).alias("live"), (acc["accepted"] + ok.cast("int")).alias("accepted"), (acc["rejected"] + (~ok).cast("int")).alias("rejected"))
+
+    rows = frame(spark, sf_dir, "reports").groupBy("reporter").agg(F.sort_array(F.collect_list(F.struct("at_s", "id"))).alias("e"))
+    return rows.select("reporter", F.aggregate("e", start, step).alias("r")).select("reporter", "r.accepted", "r.rejected")
