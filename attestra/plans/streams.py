@@ -1 +1,139 @@
-"""Placeholder until filled."""
+"""Streaming operators and the parsers of incoming feeds."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..sources.parsers import cap_alert, hourly, latest_revision, metar, rss_items
+from ..sources.tables import shared_path
+from ..streaming.runner import collected, drain, read_stream
+from .registry import query
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stm02_broadcast_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key is sent once while its state lives (the driver's month of events lies within the watermark)."""
+    rows = read_stream(spark, sf_dir, "events", "ts").withWatermark("ts", "40 days")
+    return collected(rows.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"))
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE value >= 5) AS good, count(*) FILTER (WHERE NOT coalesce(value >= 5, false)) AS dead FROM events GROUP BY 1")
+def stm01_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that fail the check go to the dead-letter table, the others on; a batch that runs again replaces its own files."""
+    good, dead = shared_path(spark, "good"), shared_path(spark, "dead")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value").schema
+
+    def split(batch: DataFrame, n: int) -> None:
+        ok = F.coalesce(F.col("value") >= 5, F.lit(False))
+        batch.where(ok).write.mode("overwrite").parquet(f"{good}/batch={n}")
+        batch.where(~ok).write.mode("overwrite").parquet(f"{dead}/batch={n}")
+
+    drain(read_stream(spark, sf_dir, "events").select("event_id", "event_type", "value"), split)
+    back = lambda path, name: spark.read.schema(schema).parquet(f"{path}/batch=*").select("event_type", F.lit(name).alias("to"))
+    both = back(good, "good").unionByName(back(dead, "dead"))
+    return both.groupBy("event_type").agg(F.count_if(F.col("to") == "good").alias("good"), F.count_if(F.col("to") == "dead").alias("dead"))
+
+
+@query("SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_s, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
+def stm04_event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that last until two hours pass without a report; each report extends its own."""
+    rows = read_stream(spark, sf_dir, "events", "ts").withWatermark("ts", "1 day")
+    s = rows.groupBy(F.session_window("ts", "2 hours"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return collected(s.select("user_id", F.unix_timestamp("session_window.start").alias("first_s"), "n"), "complete")
+
+
+@query("SELECT event_type, CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS from_s, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stm03_family_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_stream(spark, sf_dir, "events", "ts").withWatermark("ts", "1 day")
+    w = rows.groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return collected(w.select("event_type", F.unix_timestamp("window.start").alias("from_s"), "n", "total"), "complete")
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def snk03_bronze_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream archived by source and day, then compacted: one row an event id, whatever was written twice."""
+    folder = shared_path(spark, "bronze")
+    rows = read_stream(spark, sf_dir, "events", "ts").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    out = rows.writeStream.format("json").partitionBy("event_type", "day").option("checkpointLocation", shared_path(spark, "stream")).option("path", folder).trigger(availableNow=True).start()
+    out.awaitTermination()
+    lines = spark.read.schema("event_id bigint, event_type string, day string").json(folder)
+    return lines.dropDuplicates(["event_id"]).groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT e.event_id, count(*) AS late FROM events e JOIN events p ON p.user_id = e.user_id AND p.event_type = 'error' AND e.event_type = 'purchase' AND p.ts > e.ts AND p.ts <= e.ts + INTERVAL 24 HOURS GROUP BY 1")
+def stm05_late_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with the errors of the same user in the 24 hours after: a stream-stream interval join whose state the watermarks bound."""
+    rows = read_stream(spark, sf_dir, "events", "ts").withWatermark("ts", "1 day")
+    e = rows.where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("e_ts"))
+    p = rows.where("event_type = 'error'").select(F.col("user_id").alias("p_user"), F.col("ts").alias("p_ts"))
+    pairs = e.join(p, (F.col("user_id") == F.col("p_user")) & (F.col("p_ts") > F.col("e_ts")) & (F.col("p_ts") <= F.col("e_ts") + F.expr("interval 24 hours")))
+    return collected(pairs.select("event_id")).groupBy("event_id").agg(F.count(F.lit(1)).alias("late"))
+
+
+def _lifecycle(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """ACTIVE from the first report, ESCALATED once a value beats the last by half, RESOLVED by a signup; counts of transitions."""
+    status, level, moves = state.get if state.exists else ("NONE", 0.0, 0)
+    for rows in batches:
+        for kind, value in rows.sort_values(["ts", "event_id"])[["event_type", "value"]].itertuples(index=False):
+            after = "RESOLVED" if kind == "signup" else "ESCALATED" if status != "NONE" and value > 1.5 * level else "ACTIVE" if status in ("NONE", "RESOLVED") else status
+            moves += after != status
+            status, level = after, float(value)
+    state.update((status, level, int(moves)))
+    yield pd.DataFrame({"user_id": [key[0]], "status": [status], "moves": [moves]})
+
+
+@query()
+def alr04_alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each user's alert after all events, by a keyed state machine."""
+    rows = read_stream(spark, sf_dir, "events", "ts").select("user_id", "ts", "event_id", "event_type", "value")
+    out = rows.groupBy("user_id").applyInPandasWithState(_lifecycle, "user_id bigint, status string, moves bigint", "status string, level double, moves bigint", "update", GroupStateTimeout.NoTimeout)
+    return collected(out, "update")
+
+
+_XML = """concat('<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><identifier>W-', c_custkey, '</identifier><sent>2024-01-01T00:00:00+05:30</sent><status>Actual</status><msgType>Alert</msgType><info><event>Flood</event><severity>', CASE c_custkey % 4 WHEN 0 THEN 'Severe' WHEN 1 THEN 'Extreme' WHEN 2 THEN 'Bad' ELSE 'Minor' END, '</severity><expires>2024-01-02T00:00:00+05:30</expires><area><areaDesc>District ', c_custkey % 40, '</areaDesc><polygon>10,70 10,', 71 + c_custkey % 5, ' x,y 12,72</polygon></area></info><info><severity>Minor</severity></info></alert>')"""
+
+
+@query("SELECT c_custkey, concat('W-', c_custkey) AS identifier, CASE c_custkey % 4 WHEN 0 THEN 'Severe' WHEN 1 THEN 'Extreme' WHEN 2 THEN 'Unknown' ELSE 'Minor' END AS severity, 1704047400 AS sent_s, 1704133800 AS expires_s, concat('District ', c_custkey % 40) AS area, 4 AS vertices, 71 + c_custkey % 5 AS east FROM customer")
+def src04_cap_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CAP documents made from customers, parsed: the first info block counts, unknown severities and bad vertices are handled."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.expr(_XML).alias("xml")).select("c_custkey", cap_alert(F.col("xml")).alias("a"))
+    return rows.select("c_custkey", "a.identifier", "a.severity", "a.sent_s", "a.expires_s", "a.area", F.size("a.ring").alias("vertices"), F.col("a.ring")[1]["lng"].cast("bigint").alias("east"))
+
+
+@query("SELECT c_custkey, concat('g', c_custkey) AS guid, 'Rain' AS title, 1704067200 AS at_s FROM customer UNION ALL SELECT c_custkey, concat('h', c_custkey), 'Fog', NULL FROM customer")
+def src05_rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xml = F.expr("concat('<rss><channel><item><guid>g', c_custkey, '</guid><title>Rain</title><pubDate>Mon, 01 Jan 2024 05:30:00 +0530</pubDate></item><item><guid>h', c_custkey, '</guid><title>Fog</title><pubDate>soon</pubDate></item></channel></rss>')")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.inline(rss_items(xml)))
+
+
+@query("SELECT s_suppkey, round((s_suppkey % 40) * 1.852, 1) AS wind_kmh, CASE WHEN s_suppkey % 3 = 0 THEN round(55 * 1.852, 1) END AS gust_kmh, CASE WHEN s_suppkey % 5 = 0 THEN 10000 ELSE 100 * (1 + s_suppkey % 50) END AS visibility_m, -(s_suppkey % 9) AS temperature_c, 'TS,RA+,VCTS' AS codes, s_suppkey % 2 = 0 AS convective FROM supplier")
+def src09_metar_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """METAR texts made from suppliers, parsed; what follows the trend group does not count."""
+    raw = F.expr("concat('METAR VIDP 221530Z 350', lpad(s_suppkey % 40, 2, '0'), CASE WHEN s_suppkey % 3 = 0 THEN 'G55' ELSE '' END, 'KT ', CASE WHEN s_suppkey % 5 = 0 THEN '9999' ELSE lpad(100 * (1 + s_suppkey % 50), 4, '0') END, ' +TSRA VCTS ', CASE WHEN s_suppkey % 2 = 0 THEN 'FEW030CB' ELSE 'SCT100' END, ' M0', s_suppkey % 9, '/M10 Q1008 TEMPO 0500 FG=')")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", metar(raw).alias("m"))
+    return rows.select("s_suppkey", "m.wind_kmh", "m.gust_kmh", "m.visibility_m", "m.temperature_c", F.array_join("m.weather_codes", ",").alias("codes"), "m.convective")
+
+
+@query("SELECT p_partkey, h AS hour, CASE h WHEN 1 THEN p_size * 1.0 WHEN 2 THEN NULL ELSE p_size + 1.0 END AS rain FROM part, (SELECT unnest([1, 2, 3]) AS h)")
+def src12_series_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.array(F.lit(1), F.lit(2), F.lit(3)).alias("hour"), F.array(F.col("p_size").cast("double"), F.lit(None).cast("double"), F.col("p_size") + 1.0).alias("rain"))
+    return hourly(p, "hour", ["rain"])
+
+
+@query("SELECT l_orderkey AS identifier, max(l_linenumber) AS revision FROM lineitem GROUP BY 1")
+def src07_latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest revision of each warning; the polygon rules are covered by tests."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("identifier"), F.col("l_linenumber").alias("fetched_s"), F.lit("p").alias("polygon"), F.lit("ok").alias("polygon_status"))
+    return latest_revision(rows).select("identifier", F.col("fetched_s").alias("revision"))
+
+
+@query("SELECT l_suppkey, l_orderkey FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def src10_insert_new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_orderkey").distinct().join(known, "l_orderkey", "left_anti").select("l_suppkey", "l_orderkey")
