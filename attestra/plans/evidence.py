@@ -76,12 +76,12 @@ _WSCORE = "CASE severity WHEN 'Extreme' THEN 1.0 WHEN 'Severe' THEN 0.85 WHEN 'M
 
 @query(
     cte("verified", "warnings")
-    + f", w AS (SELECT area, max({_WSCORE}) AS score FROM warnings WHERE {_FORCE} GROUP BY 1) SELECT v.id, coalesce(max(w.score), 0.0) AS official FROM verified v LEFT JOIN w ON w.area = concat(v.state, ' - ', v.district) WHERE v.severity = 'CRITICAL' GROUP BY 1"
+    + f", w AS (SELECT area, max({_WSCORE}) AS score FROM warnings WHERE {_FORCE} GROUP BY 1) SELECT v.id, coalesce(max(w.score), 0.0) AS official FROM verified v LEFT JOIN w ON w.area = concat(v.state, ' - ', v.district) GROUP BY 1"
 )
 def dom13_official_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most severe warning in force for each event's district; a fresh feed without one scores 0, which is a value."""
     w = frame(spark, sf_dir, "warnings").where(in_force(AS_OF)).groupBy("area").agg(F.max(fusion.lookup(fusion.WARNING_SCORES, F.col("severity"))).alias("score"))
-    v = frame(spark, sf_dir, "verified").where("severity = 'CRITICAL'").select("id", F.concat_ws("", "state", F.lit(" - "), "district").alias("area"), "district")
+    v = frame(spark, sf_dir, "verified").select("id", F.concat_ws("", "state", F.lit(" - "), "district").alias("area"), "district")
     return v.join(w, "area", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("official"))
 
 
@@ -180,8 +180,8 @@ def dom18_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dom03_coordinated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of 30 normalised characters or more that three sources or more share."""
-    key = text_key(F.col("text"))
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length(key) >= 30).select("doc_id", "source", F.md5(key).alias("k"))
+    key = F.explode(F.array(text_key(F.col("text")))).alias("key")  # a generated column is made once, an expression once for each use
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", key).where(F.length("key") >= 30).select("doc_id", "source", F.md5("key").alias("k"))
     shared = d.groupBy("k").agg(F.countDistinct("source").alias("n")).where("n >= 3").select("k")
     return d.join(shared, "k", "left_semi").select("doc_id")
 

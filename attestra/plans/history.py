@@ -34,12 +34,12 @@ def win06_chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     cte("verified", "reports")
-    + "SELECT id, kind, at_s FROM (SELECT verified_id AS id, 'snapshot' AS kind, 0 AS rank, max(at_s) AS at_s FROM reports WHERE verified_id IS NOT NULL GROUP BY 1 UNION ALL SELECT id, 'ledger', 1, verified_s FROM verified WHERE id <= 400)"
+    + "SELECT id, kind, at_s FROM (SELECT verified_id AS id, 'snapshot' AS kind, 0 AS rank, max(at_s) AS at_s FROM reports WHERE verified_id IS NOT NULL GROUP BY 1 UNION ALL SELECT id, 'ledger', 1, verified_s FROM verified)"
 )
 def win08_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots and ledger rows of events in one order, snapshots first at equal times."""
     s = frame(spark, sf_dir, "reports").where("verified_id is not null").groupBy(F.col("verified_id").alias("id")).agg(F.max("at_s").alias("at_s")).select("id", F.lit("snapshot").alias("kind"), "at_s", F.lit(0).alias("rank"))
-    v = frame(spark, sf_dir, "verified").where("id <= 400").select("id", F.lit("ledger").alias("kind"), F.col("verified_s").alias("at_s"), F.lit(1).alias("rank"))
+    v = frame(spark, sf_dir, "verified").select("id", F.lit("ledger").alias("kind"), F.col("verified_s").alias("at_s"), F.lit(1).alias("rank"))
     return s.unionByName(v).orderBy("id", "at_s", "rank").drop("rank")
 
 

@@ -453,21 +453,21 @@ def win02_one_per_station_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "readings").withColumn("n", F.row_number().over(w)).where("n = 1").select("station", "recorded_s", "rainfall_mm")
 
 
-@query(cte("readings") + "SELECT station, count(*) AS n, array_to_string(list(concat(recorded_s, ':', CAST(rainfall_mm AS INTEGER)) ORDER BY recorded_s, order_id, line), ' ') AS series FROM readings WHERE rainfall_mm IS NOT NULL AND order_id % 50 = 0 GROUP BY 1")
+@query(cte("readings") + "SELECT station, count(*) AS n, array_to_string(list(concat(recorded_s, ':', CAST(rainfall_mm AS INTEGER)) ORDER BY recorded_s, order_id, line), ' ') AS series FROM readings WHERE rainfall_mm IS NOT NULL GROUP BY 1")
 def win03_station_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, sf_dir, "readings").where("rainfall_mm is not null and order_id % 50 = 0")
+    rows = frame(spark, sf_dir, "readings").where("rainfall_mm is not null")
     points = F.sort_array(F.collect_list(F.struct("recorded_s", "order_id", "line", F.col("rainfall_mm").cast("int").alias("mm"))))
     return rows.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(points, lambda x: F.concat_ws(":", x["recorded_s"].cast("string"), x["mm"].cast("string"))), " ").alias("series"))
 
 
 @query(
     cte("verified", "reports")
-    + "SELECT 'event' AS kind, id, verified_s AS at_s FROM verified WHERE severity = 'CRITICAL' UNION ALL SELECT 'report', id, at_s FROM reports WHERE stale UNION ALL SELECT 'warning', c_custkey, NULL FROM customer WHERE c_custkey < 10"
+    + "SELECT 'event' AS kind, id, verified_s AS at_s FROM verified WHERE severity = 'CRITICAL' UNION ALL SELECT 'report', id, at_s FROM reports WHERE stale UNION ALL SELECT 'warning', c_custkey, NULL FROM customer"
 )
 def set01_union_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = verified(spark, sf_dir).where("severity = 'CRITICAL'").select(F.lit("event").alias("kind"), "id", F.col("verified_s").alias("at_s"))
     r = frame(spark, sf_dir, "reports").where("stale").select(F.lit("report").alias("kind"), "id", "at_s")
-    w = frame(spark, sf_dir, "warnings").where("identifier < 10").select(F.lit("warning").alias("kind"), F.col("identifier").alias("id"))
+    w = frame(spark, sf_dir, "warnings").select(F.lit("warning").alias("kind"), F.col("identifier").alias("id"))
     return e.unionByName(r).unionByName(w, allowMissingColumns=True)
 
 
@@ -525,3 +525,104 @@ def srt06_boolean_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jon03_left_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, c = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer"))
     return n.join(c, n.n_nationkey == c.c_nationkey, "left").groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"), F.countDistinct("c_mktsegment").alias("segments"))
+
+
+@query(cte("readings") + f"SELECT station, recorded_s FROM readings WHERE recorded_s >= {EVENTS_AS_OF - 240 * HOUR} AND recorded_s <= {EVENTS_AS_OF}")
+def flt12_fresh_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "readings").where(F.col("recorded_s").between(EVENTS_AS_OF - 240 * HOUR, EVENTS_AS_OF)).select("station", "recorded_s")
+
+
+def warnings_matching(rows: DataFrame, severity: str | None = None, area: str | None = None, expired: bool = False, as_of: int = AS_OF) -> DataFrame:
+    """Warnings by optional conditions: one that is not given is no condition at all."""
+    if severity is not None:
+        rows = rows.where(F.col("severity") == severity)
+    if area is not None:
+        rows = rows.where(contains(F.col("area"), area))
+    return rows if expired else rows.where(F.col("expires_s").isNull() | (F.col("expires_s") > as_of))
+
+
+@query(cte("warnings") + f"SELECT identifier, 'a' AS q FROM warnings WHERE severity = 'Severe' AND (expires_s IS NULL OR expires_s > {AS_OF}) UNION ALL SELECT identifier, 'b' FROM warnings WHERE contains(lower(area), 'district 1')")
+def flt13_optional_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = frame(spark, sf_dir, "warnings")
+    return warnings_matching(w, severity="Severe").select("identifier", F.lit("a").alias("q")).union(warnings_matching(w, area="District 1", expired=True).select("identifier", F.lit("b").alias("q")))
+
+
+# Label, family and colour rank of each hazard.
+TAXONOMY = [
+    ("CLOUDBURST", "water", 1), ("CYCLONE_INUNDATION", "water", 1), ("URBAN_FLOOD", "water", 1), ("RIVER_BREACH", "water", 2), ("LANDSLIDE", "water", 3), ("RAINFALL", "water", 9),
+    ("CYCLONE", "convective", 3), ("DUST_STORM", "convective", 4), ("LIGHTNING", "convective", 5), ("HAILSTORM", "convective", 5), ("THUNDERSTORM", "convective", 5), ("STRONG_WIND", "convective", 6),
+    ("HEATWAVE", "thermal", 7), ("COLD_WAVE", "thermal", 7), ("FOG", "visibility", 8), ("UNCLASSIFIED", None, 99),
+]
+
+
+def taxonomy(spark: SparkSession) -> DataFrame:
+    """The 16 hazards: a dimension of fixed size."""
+    rows = spark.createDataFrame(TAXONOMY, "event_type string, family string, precedence int")
+    return rows.withColumn("label", F.initcap(F.lower(F.regexp_replace("event_type", "_", " "))))
+
+
+_FAMILY = "CASE WHEN event_type IN ('CLOUDBURST', 'CYCLONE_INUNDATION', 'URBAN_FLOOD', 'RIVER_BREACH', 'LANDSLIDE', 'RAINFALL') THEN 'water' WHEN event_type IN ('HEATWAVE', 'COLD_WAVE') THEN 'thermal' WHEN event_type = 'FOG' THEN 'visibility' WHEN event_type <> 'UNCLASSIFIED' THEN 'convective' END"
+
+
+@query(cte("verified") + f"SELECT id, {_FAMILY} AS family, lower(replace(event_type, '_', ' ')) AS label FROM verified")
+def prj01_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified(spark, sf_dir).join(F.broadcast(taxonomy(spark)), "event_type", "left").select("id", "family", F.lower("label").alias("label"))
+
+
+@query("SELECT doc_id, substr(text, 1, 500) AS excerpt FROM documents")
+def prj03_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 characters, which is what the list shows."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 500).alias("excerpt"))
+
+
+_DOCKET = "CASE WHEN stale THEN 'withdrawn' WHEN duplicate_of IS NOT NULL THEN 'duplicate' WHEN verified_id IS NULL THEN CASE WHEN credibility < 0.2 THEN 'held' ELSE 'received' END WHEN review_status = 'REJECTED' THEN 'rejected' WHEN review_status IN ('AUTO_PUBLISHED', 'HUMAN_APPROVED') THEN 'verified' ELSE 'under_review' END"
+
+
+@query(cte("reports", "verified") + f"SELECT r.id, {_DOCKET} AS docket FROM reports r LEFT JOIN verified v ON v.id = verified_id")
+def prj04_docket_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven states of a report as its sender sees them: the first that holds."""
+    v = verified(spark, sf_dir).select(F.col("id").alias("verified_id"), "review_status")
+    s = F.col("review_status")
+    state = (
+        F.when(F.col("stale"), "withdrawn")
+        .when(F.col("duplicate_of").isNotNull(), "duplicate")
+        .when(F.col("verified_id").isNull(), F.when(F.col("credibility") < 0.2, "held").otherwise("received"))
+        .when(s == "REJECTED", "rejected")
+        .when(s.isin(*OPEN), "verified")
+        .otherwise("under_review")
+    )
+    return frame(spark, sf_dir, "reports").join(v, "verified_id", "left").select("id", state.alias("docket"))
+
+
+@query(cte("reports") + "SELECT b.id, min(a.id) AS earlier FROM reports a JOIN reports b ON a.district = b.district AND a.hazard = b.hazard AND a.at_s >= b.at_s - 86400 AND (a.at_s < b.at_s OR (a.at_s = b.at_s AND a.id < b.id)) GROUP BY 1")
+def jon10_time_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least id of the earlier reports of one district and hazard within a day: equal keys and two day slots, not a whole group."""
+    r = frame(spark, sf_dir, "reports").where("district is not null and hazard is not null").select("id", "at_s", "district", "hazard")
+    slot = F.floor(F.col("at_s") / DAY)
+    b = r.withColumn("slot", F.explode(F.array(slot, slot - 1)))
+    a = r.select("district", "hazard", F.col("id").alias("a_id"), F.col("at_s").alias("a_s"), slot.alias("slot"))
+    earlier = (F.col("a_s") < F.col("at_s")) | ((F.col("a_s") == F.col("at_s")) & (F.col("a_id") < F.col("id")))
+    return b.join(a, ["district", "hazard", "slot"]).where((F.col("a_s") >= F.col("at_s") - DAY) & earlier).groupBy("id").agg(F.min("a_id").alias("earlier"))
+
+
+@query(cte("reports") + "SELECT verified_id AS id, array_to_string(list(hazard ORDER BY at_s, id) FILTER (WHERE hazard IS NOT NULL), ',') AS hazards FROM reports WHERE verified_id IS NOT NULL GROUP BY 1")
+def srt07_ordered_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame(spark, sf_dir, "reports").where("verified_id is not null")
+    items = F.sort_array(F.collect_list(F.when(F.col("hazard").isNotNull(), F.struct("at_s", "id", "hazard"))))
+    text = F.array_join(F.transform(items, lambda x: x["hazard"]), ",")
+    return rows.groupBy(F.col("verified_id").alias("id")).agg(F.when(F.count("hazard") > 0, text).alias("hazards"))
+
+
+@query(cte("verified", "reports") + "SELECT v.id, count(r.id) AS n, coalesce(max(r.at_s), v.verified_s) AS last_s FROM verified v LEFT JOIN reports r ON r.verified_id = v.id WHERE v.review_status IN ('AUTO_PUBLISHED', 'PENDING_HUMAN_REVIEW', 'QUARANTINED') GROUP BY v.id, v.verified_s")
+def dom22_processed_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open events with how many reports they hold and when they last changed."""
+    r = frame(spark, sf_dir, "reports").where("verified_id is not null").groupBy(F.col("verified_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("at_s").alias("at_s"))
+    v = verified(spark, sf_dir).where(F.col("review_status").isin("AUTO_PUBLISHED", "PENDING_HUMAN_REVIEW", "QUARANTINED")).select("id", "verified_s")
+    return v.join(r, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("at_s", "verified_s").alias("last_s"))
+
+
+@query("SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def ext_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension: all subtotals of two dimensions."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b"))
+    return o.cube("a", "b").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..sources.bindings import AS_OF, DAY, cte, frame
+from ..sources.bindings import AS_OF, DAY, cte, flags, frame
 from .registry import query
 
 
@@ -92,14 +92,14 @@ def str17_docket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[!-/:-@\[-`{-~\s]+', ' ', 'g')), ' ')) AS t FROM documents WHERE doc_id % 10 = 0), f AS (SELECT doc_id, t, count(*) AS tf FROM w WHERE t <> '' GROUP BY 1, 2),
+    r"""WITH w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[!-/:-@\[-`{-~\s]+', ' ', 'g')), ' ')) AS t FROM documents), f AS (SELECT doc_id, t, count(*) AS tf FROM w WHERE t <> '' GROUP BY 1, 2),
 df AS (SELECT t, count(*) AS df FROM f GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS n FROM f), x AS (SELECT doc_id, f.t, (1 + ln(tf)) * (ln((1 + n) * 1.0 / (1 + df)) + 1) AS v FROM f JOIN df USING (t), n)
 SELECT doc_id, count(*) AS terms, round(sqrt(sum(v * v)), 6) AS norm FROM x GROUP BY 1"""
 )
 def str18_tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms and length of each TF-IDF vector: (1 + ln tf) x (ln((1 + N) / (1 + df)) + 1), over every tenth document as the report set."""
+    """Terms and length of each TF-IDF vector: (1 + ln tf) x (ln((1 + N) / (1 + df)) + 1)."""
     t = F.explode(F.split(text.text_key(F.col("text")), " ")).alias("t")
-    f = documents(spark, sf_dir).where("doc_id % 10 = 0").select("doc_id", t).where("t <> ''").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("tf"))
+    f = documents(spark, sf_dir).select("doc_id", t).where("t <> ''").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("tf"))
     df = f.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     n = f.agg(F.countDistinct("doc_id").alias("n"))
     v = (1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
@@ -182,8 +182,6 @@ def arr04_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(cte("reports") + "SELECT id, round(greatest(0.05, credibility * CASE WHEN contains(coalesce(flags_csv, ''), 'promotional') THEN 0.3 ELSE 1 END * CASE WHEN contains(coalesce(flags_csv, ''), 'shouting') THEN 0.9 ELSE 1 END * CASE WHEN contains(coalesce(flags_csv, ''), 'bot_account') THEN 0.8 ELSE 1 END), 6) AS score FROM reports")
 def geo08_flagged_credibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.bindings import flags
-
     score = text.credibility(F.col("credibility"), F.lit(""), flags(), F.lit(False))
     return frame(spark, sf_dir, "reports").select("id", F.round(score, 6).alias("score"))
 
