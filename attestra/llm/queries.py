@@ -85,6 +85,34 @@ FROM doc LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 """
 
 
+OP1_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (SELECT rid, unnest(generate_series(0, length(h) // 2 - 400)) AS i, h FROM d WHERE length(h) >= 800
+), k AS (SELECT rid, i, md5_number(substr(h, 2 * i + 1, 800)) AS v FROM w
+), r AS (SELECT rid, i FROM k JOIN (SELECT v FROM k GROUP BY 1 HAVING count(*) > 1) USING (v)
+), g AS (SELECT rid, i, sum(CASE WHEN i <= p + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS n FROM (SELECT rid, i, coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -1000) AS p FROM r)
+), s AS (SELECT rid, n, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY 1, 2
+), e AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS kept_from FROM s
+), t AS (SELECT rid, sum(b - a) AS removed, count(*) AS spans, max(b) AS tail, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) AS head FROM e JOIN d USING (rid) GROUP BY 1)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(concat(coalesce(head, ''), substr(h, 2 * coalesce(tail, 0) + 1)))) AS kept_sha256
+FROM d LEFT JOIN t USING (rid)
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, md5(text) AS t FROM documents
+), c AS (SELECT t, min(doc_id) AS rep, count(*) AS n_copies, any_value(text) AS text FROM d WHERE text IS NOT NULL GROUP BY 1
+), w AS (SELECT t, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM c
+), s AS MATERIALIZED (SELECT DISTINCT t, hash(array_to_string(w[i : i + 4], ' ')) AS g FROM (SELECT t, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)
+), z AS (SELECT t, count(*) AS n FROM s GROUP BY 1
+), p AS MATERIALIZED (
+  SELECT x.a, x.b FROM (SELECT a.t AS a, b.t AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.t <> b.t GROUP BY 1, 2) x JOIN z y ON y.t = x.a JOIN z v ON v.t = x.b WHERE x.m >= 0.8 * (y.n + v.n - x.m) - 1e-9
+), r(a, b) AS (SELECT t, t FROM c UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), k AS (SELECT r.a AS t, min(c.rep) AS class_id FROM r JOIN c ON c.t = r.b GROUP BY 1
+), l AS (SELECT a AS t, count(*) AS n FROM p GROUP BY 1)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(l.n, 0) AS n_links, coalesce(n_copies, 1) AS n_copies FROM d LEFT JOIN k USING (t) LEFT JOIN c USING (t) LEFT JOIN l USING (t)
+"""
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
 ), b AS (
@@ -101,4 +129,4 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op9_warc": OP9_SQL}
+    return {"op1_run_index": OP1_SQL, "op5_decontaminate": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op9_warc": OP9_SQL}
