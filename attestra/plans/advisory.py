@@ -20,7 +20,7 @@ from .registry import query
 RECYCLED_S, OLD_S, FUTURE_S, MISMATCH_KM, HAMMING = 48 * HOUR, 48 * HOUR, HOUR, 25.0, 8
 
 
-def media_flags(taken_s, observed_s, received_s, km, same_file, has_metadata):
+def file_flags(taken_s, observed_s, received_s, km, same_file, has_metadata):
     """Flags of one file in their fixed order; unknown values set none."""
     observed = F.coalesce(observed_s, received_s)
     old = taken_s < observed - OLD_S
@@ -44,7 +44,7 @@ def arr06_media_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
     r = frame(spark, sf_dir, "reports").withColumn("taken", F.when(i % 5 != 0, F.col("at_s") + (i % 200 - 100) * HOUR)).withColumn("e_lat", F.when(i % 3 == 0, F.col("lat") + (i % 7) / F.lit(10.0)))
     km = haversine(F.col("lat"), F.col("lng"), F.col("e_lat"), F.col("lng"))
-    return r.select("id", F.array_join(media_flags(F.col("taken"), F.col("observed_s"), F.col("at_s"), km, i % 50 == 0, i % 5 != 0), ",").alias("flags"))
+    return r.select("id", F.array_join(file_flags(F.col("taken"), F.col("observed_s"), F.col("at_s"), km, i % 50 == 0, i % 5 != 0), ",").alias("flags"))
 
 
 @query("SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 20 < 7 THEN 'new_account' END, CASE WHEN c_custkey % 11 < 5 THEN 'few_followers' END, CASE WHEN c_custkey % 6 = 0 THEN 'bot_account' END) AS flags FROM customer")

@@ -16,7 +16,7 @@ RULES = [
     ("RULE_GENERAL_THREAT", 50, None, 1, 0.80, 3),
 ]
 RULE_SCHEMA = "rule_id string, priority int, types array<string>, least_severity int, least_confidence double, least_sources int"
-COOLDOWN_S, TTL_S, CONFIDENCE_STEP = 300, 3600, 0.10
+COOLDOWN_S, CONFIDENCE_STEP = 300, 0.10
 
 
 def severity_rank(c: str):

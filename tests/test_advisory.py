@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attestra.functions.tagging import depth_cm, tag, tense
 from attestra.operators.matching import complete_link, matched_pairs
 from attestra.operators.shapes import hull, inside, intersecting, outline, rings_meet
-from attestra.plans.advisory import media_flags
+from attestra.plans.advisory import file_flags
 
 
 @pytest.mark.parametrize(
@@ -81,7 +81,7 @@ def test_matcher(spark):
 def test_media_flags(spark):
     rows = [(0, 300_000, 300_000, 1.0, False, True), (400_000, None, 300_000, 26.0, True, False), (None, None, 300_000, None, None, True)]
     df = spark.createDataFrame(rows, "taken long, observed long, received long, km double, same boolean, meta boolean")
-    got = [r.f for r in df.select(media_flags(F.col("taken"), F.col("observed"), F.col("received"), F.col("km"), F.col("same"), F.col("meta")).alias("f")).collect()]
+    got = [r.f for r in df.select(file_flags(F.col("taken"), F.col("observed"), F.col("received"), F.col("km"), F.col("same"), F.col("meta")).alias("f")).collect()]
     assert got == [["old_capture"], ["duplicate_media", "future_capture", "location_mismatch", "no_metadata"], []]
 
 
