@@ -67,7 +67,7 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges whose bytes stay near size, each of one row at least."""
     first, n = 0, len(offsets) - 1
     while first < n:

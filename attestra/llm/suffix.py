@@ -263,14 +263,16 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"tid": batch.column("tid").take(pa.array(owner)), "at": pa.array(first), "key": pa.array(key), "digest": pa.array(prints, pa.binary()), "twice": pa.array(twice), "body": pa.array(bodies, pa.binary())})
 
     segments = common.saved(texts.mapInArrow(likely, "tid binary, at bigint, key bigint, digest binary, twice boolean, body binary"), "suffix-segments")
-    contents = common.saved(segments.groupBy("key", "digest", "twice").agg(F.count(F.lit(1)).alias("n"), F.first("body").alias("body")), "suffix-contents")
-    per_key = contents.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") + F.col("twice").cast("int")).alias("total")).where("total > 1")
-    sized = contents.join(per_key.select("key", "m"), "key")
-    small = common.map_groups(sized.where(F.col("m") <= MOST).select("key", "digest", "n", "twice", "body"), ["key"], lambda rows, starts: _indexed(rows, starts, window), "key bigint, digest binary, first bigint, last bigint")
-    fine = sized.where(F.col("m") > MOST).select("key", "digest", "n", "body").mapInArrow(lambda batches: _windows(batches, window), "print binary, key bigint, digest binary, n bigint, first bigint")
-    twice = fine.groupBy("print").agg(F.sum("n").alias("times")).where("times > 1").select("print")
-    large = fine.join(twice, "print").select("key", "digest", "first", (F.col("first") + window).alias("last"))
-    ranges = small.unionByName(large)
+    contents = segments.groupBy("key", "digest", "twice").agg(F.count(F.lit(1)).alias("n"), F.first("body").alias("body"))
+    large = common.saved(segments.select("key", "digest").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MOST).select("key"), "suffix-large")
+    columns = ["key", "digest", "n", "twice", "body"]
+    some_large = not large.isEmpty()
+    small = contents.join(large, "key", "left_anti") if some_large else contents
+    ranges = common.map_groups(small.select(*columns), ["key"], lambda rows, starts: _indexed(rows, starts, window), "key bigint, digest binary, first bigint, last bigint")
+    if some_large:
+        fine = contents.join(large, "key", "left_semi").select("key", "digest", "n", "body").mapInArrow(lambda batches: _windows(batches, window), "print binary, key bigint, digest binary, n bigint, first bigint")
+        twice = fine.groupBy("print").agg(F.sum("n").alias("times")).where("times > 1").select("print")
+        ranges = ranges.unionByName(fine.join(twice, "print").select("key", "digest", "first", (F.col("first") + window).alias("last")))
     return segments.select("tid", "at", "key", "digest").join(ranges, ["key", "digest"]).select("tid", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"))
 
 
