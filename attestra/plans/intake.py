@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -13,8 +16,9 @@ from ..functions.geo import distance_factor, gust_score, rain_score
 from ..functions.text import headline_key, text_key
 from ..operators.alerting import expired
 from ..operators.filters import report_status
-from ..operators.spatial import nearest, radius_join
+from ..operators.spatial import dbscan, nearest, radius_join
 from ..sources.bindings import AS_OF, DAY, HOUR, cte, flags, frame
+from ..sources.tables import shared_path
 from .geography import km_sql
 from .registry import query
 from .relational import EVENTS_AS_OF, STATUS_SQL, taxonomy
@@ -185,3 +189,48 @@ def stm06_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = frame(spark, sf_dir, "reports").where(F.col("at_s") < AS_OF).groupBy("reporter", hour.alias("h")).agg(F.count(F.lit(1)).alias("m"))
     w = Window.partitionBy("reporter").orderBy("h").rangeBetween(-23, 0)
     return h.select("reporter", (F.col("h") * HOUR).alias("hour_s"), F.sum("m").over(w).alias("n"))
+
+
+@query("SELECT concat('VI', chr(CAST(65 + s_suppkey % 26 AS INTEGER)), chr(CAST(65 + s_suppkey % 7 AS INTEGER))) AS icao, count(*) AS n FROM supplier WHERE s_suppkey % 4 < 2 GROUP BY 1")
+def src08_bulk_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gzipped CSV of reports from many countries, written and read back: only Indian stations, by the first two letters, count."""
+    folder = shared_path(spark, "bulk")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    land = F.element_at(F.array(F.lit("VI"), F.lit("VI"), F.lit("OP"), F.lit("VG")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    code = F.concat(land, F.char(65 + F.col("s_suppkey") % 26), F.char(65 + F.col("s_suppkey") % 7))
+    s.select(code.alias("station_id"), F.col("s_name").alias("raw_text")).write.option("header", True).option("compression", "gzip").csv(folder)
+    rows = spark.read.option("header", True).schema("station_id string, raw_text string").csv(folder)
+    return rows.where(F.substring("station_id", 1, 2).isin("VI", "VO", "VA", "VE")).groupBy(F.col("station_id").alias("icao")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Eps in km and look-back in hours of each hazard family.
+FAMILY_GATES = {"water": (5.0, 6), "convective": (10.0, 3), "thermal": (25.0, 24), "visibility": (15.0, 12)}
+_EPS = " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in FAMILY_GATES.items())
+_BACK = " ".join(f"WHEN '{k}' THEN {v[1] * HOUR}" for k, v in FAMILY_GATES.items())
+
+
+@query(
+    cte("reports").replace("WITH", "WITH RECURSIVE", 1)
+    + f""", f AS (SELECT *, {_FAMILY.format(c="coalesce(hazard, 'UNCLASSIFIED')")} AS own FROM reports), p AS (SELECT k AS family, id, lat, lng FROM f, (SELECT unnest(['water', 'convective', 'thermal', 'visibility']) AS k) WHERE (own IS NULL OR own = k) AND at_s >= {AS_OF - 12 * HOUR} - CASE k {_BACK} END),
+e AS (SELECT a.family, a.id AS a, b.id AS b FROM p a JOIN p b ON a.family = b.family AND abs(a.lat - b.lat) < 0.3 AND {km_sql("a", "b")} <= CASE a.family {_EPS} END),
+t(family, a, b) AS (SELECT family, a, b FROM e UNION SELECT t.family, t.a, e.b FROM t JOIN e ON t.family = e.family AND t.b = e.a) SELECT family, a AS id, min(b) AS cluster FROM t GROUP BY 1, 2 HAVING count(*) > 1"""
+)
+def dom05_family_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters within each of the four families, by its own radius and look-back; untagged reports may join any family."""
+    families = taxonomy(spark).select(F.col("event_type").alias("hazard"), "family")
+    r = frame(spark, sf_dir, "reports").select("id", "lat", "lng", "at_s", "hazard").join(F.broadcast(families), "hazard", "left")
+    out = None
+    for family, (eps, hours) in FAMILY_GATES.items():
+        p = r.where((F.col("family").isNull() | (F.col("family") == family)) & (F.col("at_s") >= AS_OF - (12 + hours) * HOUR)).select("id", "lat", "lng")
+        one = dbscan(p, eps, 2, 40).select(F.lit(family).alias("family"), "id", "cluster")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def ml06_text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality predicted from texts by logistic regression over hashed TF-IDF terms, fitted on the labelled documents."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_remove(F.split(text_key(F.col("text")), " "), "").alias("words"))
+    known = d.join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    steps = [HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 12), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=20, regParam=0.01)]
+    return Pipeline(stages=steps).fit(known).transform(d).select("doc_id", F.col("prediction").cast("int").alias("quality"))
