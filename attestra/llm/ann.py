@@ -19,7 +19,9 @@ K, TABLES, TARGET, BUCKET = 20, 12, 0.96, 256
 #: Width of a hash cell, in units of the largest norm.
 WIDTH = 2.0
 #: Most rows of a block of a large bucket; sampled vectors that bound scores from below; queries that tune the probes.
-BLOCK, SAMPLE, TUNERS = 2048, 2048, 96
+BLOCK, SAMPLE, TUNERS = 2048, 4096, 96
+#: The share of the probes that come first, to bound what the rest sends on.
+FIRST = 1 / 8
 #: At most so many coordinates are perturbed at once, and so many buckets visited in a table.
 PERTURBED, MOST_PROBES = 4, 4096
 SEED = 5
@@ -149,8 +151,8 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, ta
     Queries are the rows for which is_query holds (vec_id divisible by 20 by default); ties go to the smaller vec_id; a query
     has fewer rows if there are fewer candidates. Null, zero and non-finite vectors and null ids take no part; rows of one
     vec_id are one point. All rows are indexed in every table. The number of buckets probed is set so that the share `target`
-    of the true neighbours of a bounded sample of queries is met. Scores below a query's k-th best of a bounded sample of rows
-    are not sent on. Large buckets are cut into blocks of rows and of queries.
+    of the true neighbours of a bounded sample of queries is met. Scores below a query's k-th best of a bounded sample of rows,
+    and later below its k-th best of the first probes, are not sent on. Large buckets are cut into blocks of rows and of queries.
     """
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     is_query = F.col("vec_id") % 20 == 0 if is_query is None else is_query
@@ -174,7 +176,7 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, ta
             for t in range(keys.shape[1]):
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(keys[:, t]), "id": batch.column("vec_id"), "e": batch.column("e"), "bound": pa.nulls(len(keys), pa.float64())})
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -184,8 +186,10 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, ta
                 score[part.column("vec_id").to_numpy()[:, None] == s_ids[None, :]] = -np.inf
                 if len(s_ids) > k:
                     bound = np.partition(score, len(s_ids) - k, axis=1)[:, len(s_ids) - k]
-                    bound = np.where(np.isfinite(bound), bound - 1e-9 * (1 + np.abs(bound)), -np.inf)
-                keys = hashes.keys(np.moveaxis(probe_order(hashes.places(q, True), steps, hashes.probes), -2, -3)).reshape(len(q), -1)
+                bound = np.maximum(bound, part.column("floor").to_numpy(zero_copy_only=False))
+                bound = np.where(np.isfinite(bound), bound - 1e-9 * (1 + np.abs(bound)), -np.inf)
+                order = probe_order(hashes.places(q, True), steps, hi)[:, :, lo:hi]
+                keys = hashes.keys(np.moveaxis(order, -2, -3)).reshape(len(q), -1)
                 row = np.repeat(np.arange(len(q)), keys.shape[1])
                 take = pa.array(row)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(keys.ravel()), "id": part.column("vec_id").take(take), "e": part.column("e").take(take), "bound": pa.array(bound[row])})
@@ -193,11 +197,6 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, ta
     columns = "bucket bigint, id bigint, e array<float>, bound double"
     indexed = rows.mapInArrow(index, columns)
     large = common.saved(indexed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "ann-large")
-    dealt = indexed.unionByName(queries.mapInArrow(probe, columns)).join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int")
-    both = F.sequence(F.lit(0), F.col("parts") - 1)
-    cells = dealt.withColumn("own", own).withColumn("other", F.explode(both))
-    cells = cells.withColumn("left", F.when(F.col("bound").isNull(), F.col("own")).otherwise(F.col("other"))).withColumn("right", F.when(F.col("bound").isNull(), F.col("other")).otherwise(F.col("own")))
 
     def scored(part: pa.Table, starts: np.ndarray) -> pa.Table:
         is_row = part["bound"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
@@ -216,7 +215,23 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, ta
         cat = [np.concatenate(v) for v in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(cat[0], pa.int64()), "vec_id": pa.array(cat[1], pa.int64()), "score": pa.array(cat[2], pa.float64())})
 
-    found = common.map_groups(cells.select("bucket", "left", "right", "id", "e", "bound"), ["bucket", "left", "right"], scored, "query_id bigint, vec_id bigint, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def visited(asked: DataFrame, lo: int, hi: int) -> DataFrame:
+        """query_id, vec_id, score of what the probes lo..hi of each query (with its floor) find above its bound."""
+        dealt = indexed.unionByName(asked.mapInArrow(lambda batches: probe(batches, lo, hi), columns)).join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int")
+        cells = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        is_row = F.col("bound").isNull()
+        cells = cells.withColumn("left", F.when(is_row, F.col("own")).otherwise(F.col("other"))).withColumn("right", F.when(is_row, F.col("other")).otherwise(F.col("own")))
+        found = common.map_groups(cells.select("bucket", "left", "right", "id", "e", "bound"), ["bucket", "left", "right"], scored, "query_id bigint, vec_id bigint, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    low = F.lit(float("-inf"))
+    few = max(1, math.ceil(hashes.probes * FIRST))
+    once = visited(queries.withColumn("floor", low), 0, few)
+    if few < hashes.probes:
+        once = common.saved(once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "ann-first")
+        floors = once.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        rest = visited(queries.join(floors, "vec_id", "left").select("vec_id", "e", F.coalesce("floor", low).alias("floor")), few, hashes.probes)
+        once = once.drop("rank").unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -116,12 +116,12 @@ def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), rows.num_rows)
 
 
-def bit_filter(df: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
-    """A bitmap of fixed size over the xxhash64 of a column. A clear bit proves absence; a set bit only suggests presence.
+def bit_filter(df: DataFrame, column: str, bits: int = 1 << 24, hashed: bool = False) -> np.ndarray:
+    """A bitmap of fixed size over the xxhash64 of a column, or over a column of hashes. A clear bit proves absence; a set bit only suggests presence.
 
     It holds bits/8 bytes (2 MB by default) whatever the table's size, so it may be sent to every task; callers check hits exactly.
     """
-    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    place = F.pmod(F.col(column) if hashed else F.xxhash64(column), F.lit(bits))
     words = (
         df.select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
         .select("word", F.expr("shiftleft(one, bit)").alias("value"))
@@ -136,7 +136,7 @@ def bit_filter(df: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
 
 
 def may_hold(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which xxhash64 values the bitmap may hold."""
+    """Which hashes the bitmap may hold."""
     place = np.mod(hashes.astype(np.int64), np.int64(len(filter_) << 6))
     return (filter_[place >> 6] >> (place & 63)) & 1 == 1
 

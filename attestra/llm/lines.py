@@ -83,9 +83,8 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     """
     texts = common.texts_of(documents).where("tid is not null")
     narrow = texts.mapInArrow(lambda batches: (_chunks(b, None) for b in batches), "doc_id bigint, tid binary, number bigint, chunk bigint")
-    # chunks are told apart by Spark's hash of theirs, as the bitmap is
-    hashes = common.saved(narrow.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk", F.col("chunk").alias("place")), "line-hashes")
-    wanted = _chunk_filter(hashes)
+    hashes = common.saved(narrow.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk"), "line-hashes")
+    wanted = common.bit_filter(hashes, "chunk", hashed=True)
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,16 +101,6 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     return rows.drop("body").join(known, ["chunk", "digest"]).where(~F.col("rank").eqNullSafe(F.col("origin"))).select("doc_id", "tid", "first", "last", "lines")
 
 
-def _chunk_filter(hashes: DataFrame, bits: int = 1 << 24) -> np.ndarray:
-    """A bitmap of fixed size over chunk hashes themselves, which are spread evenly already."""
-    place = F.pmod("place", F.lit(bits))
-    rows = hashes.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(place, {bits}), 64) as int))").alias("value")).groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
-    out = np.zeros(bits >> 6, np.int64)
-    if rows.num_rows:
-        out[rows["word"].to_numpy()] = rows["value"].to_numpy()
-    return out
-
-
 def drop_repeated_chunks(documents: DataFrame) -> DataFrame:
     """The documents, their text without chunks that stand earlier in the corpus, and n_removed_chunks, n_removed_lines.
 

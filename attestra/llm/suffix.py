@@ -20,8 +20,8 @@ from . import common, words
 
 #: Bytes of a window, and of the hashed k-grams within it.
 WINDOW, GRAM = 400, 16
-#: Bytes of segments that are indexed together, and most different segments of a bucket that one index may hold.
-BATCH, MOST = 1 << 20, 4096
+#: Bytes of segments that are indexed together, and most different segments and bytes of a bucket that one index may hold.
+BATCH, MOST, MOST_BYTES = 1 << 19, 4096, 4 << 20
 
 
 def window_keys(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,45 +88,46 @@ class RunIndex:
     """
 
     def __init__(self, texts: list[bytes]) -> None:
-        sizes = np.array([len(t) for t in texts], np.int64)
-        self.ends = np.cumsum(sizes + 1) - 1
-        n = int(self.ends[-1]) + 1 if len(texts) else 0
-        symbols = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int64) + 1
-        symbols[self.ends] = 0
+        sizes = np.array([len(t) + 1 for t in texts], np.int32)
+        self.ends = np.cumsum(sizes, dtype=np.int32) - np.int32(1)
+        n = int(sizes.sum())
         self.length = n
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        symbols = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.uint16) + np.uint16(1)
+        symbols[self.ends] = 0
         order = self._suffixes(symbols)
         heads = symbols[order - 1]
-        change = np.flatnonzero((heads[1:] != heads[:-1]) | (heads[1:] == 0)) + 1  # terminators all differ
-        self.run_starts = np.concatenate(([0], change))
+        edge = np.flatnonzero((heads[1:] != heads[:-1]) | (heads[1:] == 0)) + 1  # terminators all differ
+        self.run_starts = np.concatenate(([0], edge))
         self.heads = heads[self.run_starts]
-        edge = change
-        match = self._common(symbols, order[edge - 1], order[edge])
-        self.first_at, self.first_match = order[edge], match  # first rows of runs: match with the row above
-        self.last_at, self.last_match = order[edge - 1], match  # last rows of runs: match with the row below
+        self.first_at, self.last_at = order[edge], order[edge - 1]
+        self.match = self._common(symbols, self.last_at, self.first_at)  # of a run's last row with the next run's first
+
+    def _left(self) -> np.ndarray:
+        """Bytes from each position to its text's end."""
+        return self.ends[self.text] - np.arange(self.length, dtype=np.int32)
 
     def _suffixes(self, symbols: np.ndarray) -> np.ndarray:
         """The suffix array, by prefix doubling; settled suffixes are not sorted again."""
-        n = len(symbols)
-        text = np.searchsorted(self.ends, np.arange(n))
-        left = self.ends[text] - np.arange(n)
+        n, left = self.length, self._left()
         packed = np.zeros(n, np.int64)
         for j in range(7):
             packed <<= 9
-            ok = left >= j
-            packed[ok] |= symbols[np.flatnonzero(ok) + j]
-        tie = np.where(left < 7, text + 1, 0)
-        order = np.lexsort((tie, packed))
+            packed[: n - j] |= np.where(left[: n - j] >= j, symbols[j:], np.uint16(0))
+        tie = np.where(left < 7, self.text + np.int32(1), np.int32(0))
+        order = np.lexsort((tie, packed)).astype(np.int32)
         new = np.ones(n, bool)
         new[1:] = (packed[order[1:]] != packed[order[:-1]]) | (tie[order[1:]] != tie[order[:-1]])
-        start = np.flatnonzero(new)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.repeat(start, np.diff(np.append(start, n)))
+        del packed, tie, left
+        start = np.flatnonzero(new).astype(np.int32)
+        sizes = np.diff(np.append(start, np.int32(n)))
+        rank = np.empty(n, np.int32)
+        rank[order] = np.repeat(start, sizes)
+        open_ = np.flatnonzero(np.repeat(sizes > 1, sizes)).astype(np.int32)
         h = 7
-        sizes = np.diff(np.append(start, n))
-        open_ = np.flatnonzero(np.repeat(sizes > 1, sizes))
         while len(open_):
             at = order[open_]
-            key = rank[at] * np.int64(n + 1) + rank[np.minimum(at + h, n - 1)] + 1
+            key = rank[at] * np.int64(n + 1) + rank[np.minimum(at + np.int32(h), np.int32(n - 1))] + 1
             by = np.argsort(key, kind="stable")
             at, key = at[by], key[by]
             order[open_] = at
@@ -140,16 +141,17 @@ class RunIndex:
         return order
 
     def _common(self, symbols: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Bytes that the suffixes at x and y have in common, by bisection over prefix hashes."""
-        n = len(symbols)
-        up, down = words.powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbols.astype(np.uint64) * up[:n], out=total[1:])
-        end = lambda p: self.ends[np.searchsorted(self.ends, p)] - p
-        low, high = np.zeros(len(x), np.int64), np.minimum(end(x), end(y))
+        """Bytes that the suffixes at x and y have in common, by bisection over prefix hashes; powers count from each text's start."""
+        first = np.concatenate(([0], self.ends[:-1] + 1)).astype(np.int32)
+        up, down = words.powers(int((self.ends - first).max(initial=0)) + 2)
+        total = np.zeros(self.length + 1, np.uint64)
+        place = np.arange(self.length, dtype=np.int32) - first[self.text]
+        np.cumsum(symbols * up[place], out=total[1:])
+        end = lambda p: self.ends[self.text[p]] - p
+        low, high = np.zeros(len(x), np.int32), np.minimum(end(x), end(y))
         while (low < high).any():
             middle = (low + high + 1) // 2
-            same = (total[x + middle] - total[x]) * down[x] == (total[y + middle] - total[y]) * down[y]
+            same = (total[x + middle] - total[x]) * down[place[x]] == (total[y + middle] - total[y]) * down[place[y]]
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
@@ -159,14 +161,14 @@ class RunIndex:
         A position that is no sampled row has, with its neighbour in suffix order, one byte less in common than the position
         before it; so lengths are carried on from the samples, once for each neighbour.
         """
-        out = np.zeros(self.length, np.int64)
-        for at, match in ((self.first_at, self.first_match), (self.last_at, self.last_match)):
-            known = np.zeros(self.length, np.int64)
-            value = np.zeros(self.length, np.int64)
-            value[at] = match + at
-            known[at] = at
-            source = np.maximum.accumulate(known)
-            out = np.maximum(out, value[source] - np.arange(self.length))
+        out = np.zeros(self.length, np.int32)
+        for at in (self.first_at, self.last_at):
+            source = np.zeros(self.length, np.int32)
+            value = np.zeros(self.length, np.int32)
+            value[at] = self.match + at
+            source[at] = at
+            source = np.maximum.accumulate(source)
+            np.maximum(out, value[source] - np.arange(self.length, dtype=np.int32), out=out)
         return out
 
 
@@ -176,7 +178,7 @@ def marked(texts: list[bytes], window: int = WINDOW) -> list[list[tuple[int, int
         return []
     index = RunIndex(texts)
     hit = np.flatnonzero(index.matching_statistics() >= window)
-    owner = np.searchsorted(index.ends, hit)
+    owner = index.text[hit]
     at = hit - np.concatenate(([0], index.ends[:-1] + 1))[owner]
     return [spans(at[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")], window) for i in range(len(texts))]
 
@@ -250,21 +252,21 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         .select("key"),
         "suffix-keys",
     )
-    filter_ = common.bit_filter(keys, "key", 1 << 26)
+    filter_ = common.bit_filter(keys, "key", 1 << 26, hashed=True)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for owner, first, length, key, twice, data, offsets in _segments(batch.column("text"), window):
-                keep = common.may_hold(filter_, _xxhash64(key))
+                keep = common.may_hold(filter_, key)
                 owner, first, length, key, twice = owner[keep], first[keep], length[keep], key[keep], twice[keep]
                 at = offsets[owner] + first
                 bodies = [data[x : x + n].tobytes() for x, n in zip(at.tolist(), length.tolist(), strict=True)]
                 prints = [hashlib.blake2b(x, digest_size=16).digest() for x in bodies]
-                yield pa.RecordBatch.from_pydict({"tid": batch.column("tid").take(pa.array(owner)), "at": pa.array(first), "key": pa.array(key), "digest": pa.array(prints, pa.binary()), "twice": pa.array(twice), "body": pa.array(bodies, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"tid": batch.column("tid").take(pa.array(owner)), "at": pa.array(first), "key": pa.array(key), "digest": pa.array(prints, pa.binary()), "twice": pa.array(twice), "size": pa.array(length), "body": pa.array(bodies, pa.binary())})
 
-    segments = common.saved(texts.mapInArrow(likely, "tid binary, at bigint, key bigint, digest binary, twice boolean, body binary"), "suffix-segments")
+    segments = common.saved(texts.mapInArrow(likely, "tid binary, at bigint, key bigint, digest binary, twice boolean, size bigint, body binary"), "suffix-segments")
     contents = segments.groupBy("key", "digest", "twice").agg(F.count(F.lit(1)).alias("n"), F.first("body").alias("body"))
-    large = common.saved(segments.select("key", "digest").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MOST).select("key"), "suffix-large")
+    large = common.saved(segments.select("key", "digest", "size").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes")).where((F.col("m") > MOST) | (F.col("bytes") > MOST_BYTES)).select("key"), "suffix-large")
     columns = ["key", "digest", "n", "twice", "body"]
     some_large = not large.isEmpty()
     small = contents.join(large, "key", "left_anti") if some_large else contents
@@ -276,22 +278,6 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     return segments.select("tid", "at", "key", "digest").join(ranges, ["key", "digest"]).select("tid", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"))
 
 
-def _xxhash64(key: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 (seed 42) of 64-bit numbers, so that a bitmap made by Spark can be asked here."""
-    k = key.view(np.uint64)
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    h = np.full(len(k), 42, np.uint64) + p5 + np.uint64(8)
-    h ^= turn(k * p2, 31) * p1
-    h = turn(h, 27) * p1 + p4
-    h ^= h >> np.uint64(33)
-    h *= p2
-    h ^= h >> np.uint64(29)
-    h *= p3
-    h ^= h >> np.uint64(32)
-    return h.view(np.int64)
-
-
 def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and tid, the text's digest).
 

@@ -137,7 +137,8 @@ def read(index: DataFrame, folder: str, where: Column | None = None) -> DataFram
         if group:
             yield fetched(group)
 
-    return chosen.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+    files = chosen.agg(F.countDistinct("file")).first()[0]  # index rows are few, what they name is not: so many tasks as files
+    return chosen.repartition(max(1, files), "file").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:

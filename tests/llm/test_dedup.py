@@ -75,12 +75,6 @@ def test_run_index_marks_what_brute_force_marks():
         assert suffix.marked(texts, w) == want
 
 
-def test_spark_hash_of_longs(spark):
-    x = np.random.default_rng(0).integers(-(2**62), 2**62, 200)
-    rows = spark.createDataFrame([(int(v),) for v in x], "k long").select("k", F.xxhash64("k").alias("h")).collect()
-    assert suffix._xxhash64(np.array([r.k for r in rows])).tolist() == [r.h for r in rows]
-
-
 def test_line_chunks_resist_shifts_and_cover():
     rng = random.Random(5)
     for _ in range(50):
