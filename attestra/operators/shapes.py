@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,24 +10,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from ..functions.geo import EARTH
+
 #: Metres by which an outline is widened, and corners of the circle that stands for it.
 BUFFER_M, CORNERS = 250.0, 16
+#: Parts into which a key's corners are dealt before they meet.
+PARTS = 64
+#: Points whose cosine to their middle falls below this are not projected; all of them are kept then.
+LEAST_COS = 0.8
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """The convex hull of points, counter-clockwise from the leftmost, without repeats."""
-    p = np.unique(points, axis=0)
+def corners(points: np.ndarray) -> np.ndarray:
+    """The rows of the convex hull's corners, counter-clockwise from the leftmost, without repeats."""
+    p, at = np.unique(points, axis=0, return_index=True)
     if len(p) < 3:
-        return p
-    halves = []
-    for order in (p, p[::-1]):
-        out: list[np.ndarray] = []
-        for q in order:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+        return at
+    halves: list[int] = []
+    for order in (range(len(p)), range(len(p) - 1, -1, -1)):
+        out: list[int] = []
+        for i in order:
+            q = p[i]
+            while len(out) > 1 and (p[out[-1]][0] - p[out[-2]][0]) * (q[1] - p[out[-2]][1]) - (p[out[-1]][1] - p[out[-2]][1]) * (q[0] - p[out[-2]][0]) <= 0:
                 out.pop()
-            out.append(q)
+            out.append(i)
         halves += out[:-1]
-    return np.array(halves)
+    return at[halves]
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """The convex hull of points, counter-clockwise from the leftmost, without repeats."""
+    return points[corners(points)]
+
+
+def vectors(points: np.ndarray) -> np.ndarray:
+    """Unit vectors of (lng, lat) in degrees."""
+    lng, lat = np.radians(points[:, 0]), np.radians(points[:, 1])
+    return np.stack([np.cos(lat) * np.cos(lng), np.cos(lat) * np.sin(lng), np.sin(lat)], axis=1)
+
+
+def corners_on_sphere(points: np.ndarray) -> np.ndarray:
+    """The rows of the corners of the hull by great circles, which the central projection about the points' middle makes straight.
+
+    A farthest pair of a region smaller than a quarter of the sphere consists of such corners. Points spread wider are all kept.
+    """
+    v = vectors(points)
+    middle = v.sum(axis=0)
+    middle /= max(np.linalg.norm(middle), 1e-300)
+    up = v @ middle
+    if len(points) < 3 or up.min() < LEAST_COS:
+        return np.unique(points, axis=0, return_index=True)[1]
+    east = np.cross(middle, np.eye(3)[np.abs(middle).argmin()])
+    east /= np.linalg.norm(east)
+    return corners(np.stack([v @ east, v @ np.cross(middle, east)], axis=1) / up[:, None])
+
+
+def hull_points(members: DataFrame, key: str, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """key, lng, lat of points among which are all that `of` keeps of each key's points; a few for each key, however many it has.
+
+    Each batch keeps the corners of its own points before the shuffle, each part of a key after it, so no task holds a whole group.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            keep = [at[of(rows[["lng", "lat"]].to_numpy(float)[at])] if len(at) > 2 else at for at in rows.groupby(key, sort=False).indices.values()]
+            yield rows.iloc[np.concatenate(keep)] if keep else rows
+
+    points = members.select(key, "lng", "lat").where(F.col(key).isNotNull() & F.col("lng").isNotNull() & F.col("lat").isNotNull())
+    part = F.pmod(F.xxhash64("lng", "lat"), F.lit(PARTS))
+    first = points.mapInPandas(run, points.schema)
+    return first.repartition(F.col(key), part).mapInPandas(run, points.schema)
+
+
+def widest(members: DataFrame, key: str) -> DataFrame:
+    """key and widest, the greatest great-circle distance in km between two of its points (lng, lat)."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        points = rows[["lng", "lat"]].to_numpy(float)
+        points = points[corners_on_sphere(points)]
+        lng, lat = np.radians(points[:, 0]), np.radians(points[:, 1])
+        most = 0.0
+        for i in range(len(points)):  # a row at a time, so that memory stays in proportion to the corners
+            a = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat) * np.cos(lat[i]) * np.sin((lng - lng[i]) / 2) ** 2
+            most = max(most, float(a.max()))
+        return pd.DataFrame({key: [rows[key].iloc[0]], "widest": [2 * EARTH * np.arcsin(np.sqrt(min(1.0, most)))]})
+
+    kind = members.schema[key].dataType.simpleString()
+    return hull_points(members, key, corners_on_sphere).groupBy(key).applyInPandas(one, f"{key} {kind}, widest double")
 
 
 def outline(points: np.ndarray, metres: float = BUFFER_M) -> np.ndarray:
@@ -41,14 +109,14 @@ def outline(points: np.ndarray, metres: float = BUFFER_M) -> np.ndarray:
 
 
 def outlines(members: DataFrame, key: str) -> DataFrame:
-    """key and ring of the outline of each key's points (lng, lat). Spots are made distinct first, so that a crowd is one point."""
+    """key and ring of the outline of each key's points (lng, lat), made from the corners of its parts."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         ring = outline(rows[["lng", "lat"]].to_numpy(float))
         return pd.DataFrame({key: [rows[key].iloc[0]], "ring": [[{"lng": float(x), "lat": float(y)} for x, y in ring]]})
 
     kind = members.schema[key].dataType.simpleString()
-    return members.select(key, "lng", "lat").distinct().groupBy(key).applyInPandas(one, f"{key} {kind}, ring array<struct<lng: double, lat: double>>")
+    return hull_points(members, key, corners).groupBy(key).applyInPandas(one, f"{key} {kind}, ring array<struct<lng: double, lat: double>>")
 
 
 def inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH, EARTH_DEDUP, haversine, quad_key
+from ..functions.geo import EARTH, EARTH_DEDUP, quad_key
+from ..operators.shapes import widest
 from ..operators.spatial import dbscan, nearest, radius_join
 from ..sources.bindings import AS_OF, DAY, cte, frame
 from .registry import query
@@ -110,12 +111,10 @@ def dom06_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT cluster, count(*) AS n, round(avg(lat), 9) AS lat, round(avg(lng), 9) AS lng, round(any_value(widest), 5) AS widest_km FROM m JOIN w USING (cluster) GROUP BY 1"""
 )
 def agg14_cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size, planar centroid and greatest distance within each cluster, over its different spots."""
+    """Size, planar centroid and greatest distance within each cluster; only corners of its hull are compared in pairs."""
     p = frame(spark, sf_dir, "reports").where(F.col("at_s") >= AS_OF - 3 * DAY).select("id", "lat", "lng")
     m = p.join(dbscan(p, 5, 2, 40), "id")
-    spots = m.select("cluster", "lat", "lng").distinct()
-    other = spots.select("cluster", F.col("lat").alias("la"), F.col("lng").alias("ln"))
-    wide = spots.join(other, "cluster").groupBy("cluster").agg(F.max(haversine(F.col("lat"), F.col("lng"), F.col("la"), F.col("ln"))).alias("widest"))
+    wide = widest(m, "cluster")
     mean = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("lat"), 9).alias("lat"), F.round(F.avg("lng"), 9).alias("lng"))
     return mean.join(wide, "cluster").select("cluster", "n", "lat", "lng", F.round("widest", 5).alias("widest_km"))
 
