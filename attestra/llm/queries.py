@@ -20,7 +20,7 @@ def op1_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text (what is kept), n_removed_chunks, n_removed_lines."""
-    return lines.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.drop_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:

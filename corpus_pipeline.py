@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the multi-line chunks that stand in an earlier document; those of which nothing is left go."""
-    found = lines.drop_repeated_chunks(docs).where((F.col("n_removed_chunks") == 0) | (F.length("text") > 0))
+    """Documents without the multi-line passages that stand in an earlier document; those of which nothing is left go."""
+    found = lines.drop_repeated_passages(docs).where((F.col("n_removed_chunks") == 0) | (F.length("text") > 0))
     return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
