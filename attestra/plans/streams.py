@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.parsers import cap_alert, hourly, latest_revision, metar, rss_items
 from ..sources.tables import shared_path
@@ -76,24 +76,69 @@ def stm05_late_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collected(pairs.select("event_id")).groupBy("event_id").agg(F.count(F.lit(1)).alias("late"))
 
 
-def _lifecycle(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """ACTIVE from the first report, ESCALATED once a value beats the last by half, RESOLVED by a signup; counts of transitions."""
-    status, level, moves = state.get if state.exists else ("NONE", 0.0, 0)
-    for rows in batches:
-        for kind, value in rows.sort_values(["ts", "event_id"])[["event_type", "value"]].itertuples(index=False):
-            after = "RESOLVED" if kind == "signup" else "ESCALATED" if status != "NONE" and value > 1.5 * level else "ACTIVE" if status in ("NONE", "RESOLVED") else status
-            moves += after != status
-            status, level = after, float(value)
-    state.update((status, level, int(moves)))
-    yield pd.DataFrame({"user_id": [key[0]], "status": [status], "moves": [moves]})
+def _after(status: str, kind: str, value: float, level: float) -> str:
+    """ACTIVE from the first report, ESCALATED once a value beats the last by half, RESOLVED by a signup."""
+    return "RESOLVED" if kind == "signup" else "ESCALATED" if status != "NONE" and value > 1.5 * level else "ACTIVE" if status in ("NONE", "RESOLVED") else status
+
+
+_REACHED = ("ACTIVE", "ESCALATED", "RESOLVED")
+_STRETCH = "user_id bigint, part int, kind string, value double, level double, ends array<string>, moves array<bigint>"
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each user's sorted rows in this part: the first row, the last value, and for each status after the first row the one at the end and the moves between."""
+    part = TaskContext.get().partitionId()
+    schema = pa.schema({"user_id": pa.int64(), "part": pa.int32(), "kind": pa.string(), "value": pa.float64(), "level": pa.float64(), "ends": pa.list_(pa.string()), "moves": pa.list_(pa.int64())})
+    now: dict[str, Any] | None = None
+    for batch in batches:
+        done = []
+        for user, kind, value in zip(*(batch.column(x).to_pylist() for x in ("user_id", "event_type", "value")), strict=True):
+            value = float("nan") if value is None else value
+            if now is None or now["user_id"] != user:
+                if now is not None:
+                    done.append(now)
+                now = {"user_id": user, "part": part, "kind": kind, "value": value, "level": value, "ends": list(_REACHED), "moves": [0, 0, 0]}
+                continue
+            for i, status in enumerate(now["ends"]):
+                now["ends"][i] = _after(status, kind, value, now["level"])
+                now["moves"][i] += now["ends"][i] != status
+            now["level"] = value
+        yield pa.RecordBatch.from_pylist(done, schema)
+    if now is not None:
+        yield pa.RecordBatch.from_pylist([now], schema)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each user's stretches in order, from status NONE."""
+    for batch in batches:
+        ends, counts = [], []
+        for stretches in batch.column("stretches").to_pylist():
+            status, level, moves = "NONE", 0.0, 0
+            for s in stretches:
+                first = _after(status, s["kind"], s["value"], level)
+                i = _REACHED.index(first)
+                moves += (first != status) + s["moves"][i]
+                status, level = s["ends"][i], s["level"]
+            ends.append(status)
+            counts.append(moves)
+        yield pa.RecordBatch.from_pydict({"user_id": batch.column("user_id"), "status": pa.array(ends, pa.string()), "moves": pa.array(counts, pa.int64())})
+
+
+def lifecycle(rows: DataFrame) -> DataFrame:
+    """user_id, status, moves (transitions) after all rows of each user in order of ts, event_id.
+
+    Rows are sorted over all parts, so one user may fill many; a part gives one stretch a user, and those are joined in order.
+    """
+    keys = ["user_id", "ts", "event_id", "event_type", "value"]
+    stretches = rows.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_stretches, _STRETCH)
+    whole = stretches.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("part", "kind", "value", "level", "ends", "moves"))).alias("stretches"))
+    return whole.mapInArrow(_joined, "user_id bigint, status string, moves bigint")
 
 
 @query()
 def alr04_alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of each user's alert after all events, by a keyed state machine."""
-    rows = read_stream(spark, sf_dir, "events", "ts").select("user_id", "ts", "event_id", "event_type", "value")
-    out = rows.groupBy("user_id").applyInPandasWithState(_lifecycle, "user_id bigint, status string, moves bigint", "status string, level double, moves bigint", "update", GroupStateTimeout.NoTimeout)
-    return collected(out, "update")
+    """The state of each user's alert after all events of the stream, by a keyed state machine over each user's events in order."""
+    return lifecycle(collected(read_stream(spark, sf_dir, "events", "ts").select("user_id", "ts", "event_id", "event_type", "value")))
 
 
 _XML = """concat('<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><identifier>W-', c_custkey, '</identifier><sent>2024-01-01T00:00:00+05:30</sent><status>Actual</status><msgType>Alert</msgType><info><event>Flood</event><severity>', CASE c_custkey % 4 WHEN 0 THEN 'Severe' WHEN 1 THEN 'Extreme' WHEN 2 THEN 'Bad' ELSE 'Minor' END, '</severity><expires>2024-01-02T00:00:00+05:30</expires><area><areaDesc>District ', c_custkey % 40, '</areaDesc><polygon>10,70 10,', 71 + c_custkey % 5, ' x,y 12,72</polygon></area></info><info><severity>Minor</severity></info></alert>')"""

@@ -29,7 +29,12 @@ def drain(rows: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "
 
 
 def collected(rows: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream puts out: all batches in append mode, the last one in complete mode. A batch that runs again replaces its own files."""
+    """What a stream puts out: all batches in append mode, the last one in complete mode. A batch that runs again replaces its own files.
+
+    Update mode is refused: keys that only an earlier batch has updated would be lost.
+    """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"output mode {mode}")
     spark, folder = rows.sparkSession, shared_path(rows.sparkSession, "stream-out")
     drain(rows, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch={n if mode == 'append' else 0}"), mode)
     return spark.read.schema(rows.schema).parquet(f"{folder}/batch=*")
