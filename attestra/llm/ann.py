@@ -24,6 +24,8 @@ BLOCK, SAMPLE, TUNERS = 2048, 4096, 96
 FIRST = 1 / 8
 #: At most so many coordinates are perturbed at once, and so many buckets visited in a table.
 PERTURBED, MOST_PROBES = 4, 4096
+#: Queries that are compared with all rows at a time, where the buckets do not do.
+EXACT = 4096
 SEED = 5
 
 
@@ -114,15 +116,12 @@ def best_of(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, bo
     return i[keep], ids[j[keep]], score[keep]
 
 
-def _tuned(rows: DataFrame, queries: DataFrame, d: int, hashes: Hashes, steps: np.ndarray, k: int, target: float) -> int:
-    """How many buckets a table must be probed for, so that the share `target` of the true neighbours of some queries is met.
-
-    A bounded set of queries is compared with all rows, block by block.
-    """
+def _true(rows: DataFrame, queries: DataFrame, d: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors of a bounded set of queries, which are compared with all rows, block by block; then query number and vector of each true neighbour."""
     n = queries.count()
     few = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(min(1.0, TUNERS / max(n, 1)) * (1 << 20)) + 1).toArrow()
     if not few.num_rows:
-        return min(MOST_PROBES, len(steps))
+        return np.zeros((0, d)), np.zeros(0, np.int64), np.zeros((0, d))
     q_ids, q = few["vec_id"].to_numpy()[: 4 * TUNERS], matrix(few["e"].combine_chunks(), d)[: 4 * TUNERS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,13 +135,52 @@ def _tuned(rows: DataFrame, queries: DataFrame, d: int, hashes: Hashes, steps: n
     top = Window.partitionBy("i").orderBy(F.desc("score"))
     true = rows.mapInArrow(run, "i bigint, score double, e array<float>").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("i", "e").toArrow()
     if not true.num_rows:
+        return q, np.zeros(0, np.int64), np.zeros((0, d))
+    return q, true["i"].to_numpy(), matrix(true["e"].combine_chunks(), d)
+
+
+def _tuned(q: np.ndarray, owner: np.ndarray, near: np.ndarray, hashes: Hashes, steps: np.ndarray, target: float) -> int | None:
+    """How many buckets a table must be probed for, so that the share `target` of the true neighbours is met; None if more than MOST_PROBES."""
+    if not len(owner):
         return 1
-    want = hashes.keys(np.floor(hashes.places(matrix(true["e"].combine_chunks(), d), False)))
+    want = hashes.keys(np.floor(hashes.places(near, False)))
     visited = hashes.keys(np.moveaxis(probe_order(hashes.places(q, True), steps, MOST_PROBES), -2, -3))  # query x probe x table
-    hit = visited[true["i"].to_numpy()] == want[:, None, :]
+    hit = visited[owner] == want[:, None, :]
     first = np.where(hit.any(axis=1), hit.argmax(axis=1), 1 << 30).min(axis=1)
     need = np.sort(first)[min(len(first) - 1, math.ceil(target * len(first)) - 1)]
-    return int(min(need + 1, MOST_PROBES, len(steps)))
+    return int(need) + 1 if need < 1 << 30 else None
+
+
+def _exact(rows: DataFrame, queries: DataFrame, n: int, d: int, k: int) -> DataFrame:
+    """query_id, vec_id, score of the k best rows of each of n queries, compared with all rows, EXACT queries at a time."""
+    spark = rows.sparkSession
+    out = spark.createDataFrame([], "query_id bigint, vec_id bigint, score double")
+    blocks = -(-n // EXACT)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    for block in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(blocks)) == block).select("vec_id", "e").toArrow()
+        if not some.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((some["vec_id"].to_numpy(), matrix(some["e"].combine_chunks(), d)))  # about EXACT vectors
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            q_ids, q = shared.value
+            for batch in batches:
+                ids, x = batch.column("vec_id").to_numpy(), matrix(batch.column("e"), d)
+                most = k if len(np.unique(ids)) == len(ids) else len(ids)
+                for at in range(0, len(q), 64):
+                    i, near, score = best_of(ids, x, q_ids[at : at + 64], q[at : at + 64], np.full(len(q[at : at + 64]), -np.inf), most)
+                    if most > k:  # the best of each id, then the best ids
+                        best = np.lexsort((-score, near, i))
+                        best = best[np.append(True, (i[best][1:] != i[best][:-1]) | (near[best][1:] != near[best][:-1]))] if len(best) else best
+                        best = best[np.lexsort((near[best], -score[best], i[best]))]
+                        best = best[np.arange(len(best)) - np.searchsorted(i[best], i[best], "left") < k]
+                        i, near, score = i[best], near[best], score[best]
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[at + i], pa.int64()), "vec_id": pa.array(near, pa.int64()), "score": pa.array(score, pa.float64())})
+
+        found = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        out = out.unionByName(common.saved(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "ann-exact"))
+    return out
 
 
 def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, tables: int = TABLES, target: float = TARGET) -> DataFrame:
@@ -151,7 +189,8 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, ta
     Queries are the rows for which is_query holds (vec_id divisible by 20 by default); ties go to the smaller vec_id; a query
     has fewer rows if there are fewer candidates. Null, zero and non-finite vectors and null ids take no part; rows of one
     vec_id are one point. All rows are indexed in every table. The number of buckets probed is set so that the share `target`
-    of the true neighbours of a bounded sample of queries is met. Scores below a query's k-th best of a bounded sample of rows,
+    of the true neighbours of a bounded sample of queries is met; where MOST_PROBES are too few for that, vectors are hashed to
+    fewer cells. A query left with fewer than k rows, or than there are candidates, is compared with all rows. Scores below a query's k-th best of a bounded sample of rows,
     and later below its k-th best of the first probes, are not sent on. Large buckets are cut into blocks of rows and of queries.
     """
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -162,11 +201,21 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, ta
         return spark.createDataFrame([], schema)
     n = rows.count()
     size = max(2, min(20, round(math.log2(max(n, 2) / BUCKET) / 1.3)))
-    rng = np.random.default_rng(SEED)
-    hashes = Hashes(rng.normal(size=(tables, size, d + 1)), rng.uniform(0, WIDTH, (tables, size)), norm, 1)
-    steps = perturbations(size)
     queries = rows.where(is_query)
-    hashes.probes = _tuned(rows, queries, d, hashes, steps, k, target)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    true = _true(rows, queries, d, k)
+    while True:
+        rng = np.random.default_rng(SEED)
+        hashes = Hashes(rng.normal(size=(tables, size, d + 1)), rng.uniform(0, WIDTH, (tables, size)), norm, 1)
+        steps = perturbations(size)
+        probes = _tuned(*true, hashes, steps, target)
+        if probes:
+            break
+        if size == 1:
+            return ranked(_exact(rows, queries, queries.count(), d, k))
+        size -= 1
+    hashes.probes = probes
     sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < int(min(1.0, SAMPLE / n) * (1 << 20)) + 1).toArrow()
     s_ids, s_rows = sample["vec_id"].to_numpy()[: 2 * SAMPLE], matrix(sample["e"].combine_chunks(), d)[: 2 * SAMPLE] if sample.num_rows else np.zeros((0, d))
 
@@ -225,7 +274,6 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, ta
         found = common.map_groups(cells.select("bucket", "left", "right", "id", "e", "bound"), ["bucket", "left", "right"], scored, "query_id bigint, vec_id bigint, score double")
         return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     low = F.lit(float("-inf"))
     few = max(1, math.ceil(hashes.probes * FIRST))
     once = visited(queries.withColumn("floor", low), 0, few)
@@ -234,4 +282,11 @@ def search(embeddings: DataFrame, is_query: Column | None = None, k: int = K, ta
         floors = once.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
         rest = visited(queries.join(floors, "vec_id", "left").select("vec_id", "e", F.coalesce("floor", low).alias("floor")), few, hashes.probes)
         once = once.drop("rank").unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = common.saved(ranked(once), "ann-found")
+    least = min(k, rows.select("vec_id").distinct().count() - 1)
+    full = once.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("query_id").alias("vec_id"))
+    short = common.saved(queries.join(full, "vec_id", "left_anti").select("vec_id", "e"), "ann-short") if least else queries.limit(0)
+    n_short = short.count()
+    if not n_short:
+        return once
+    return ranked(once.drop("rank").unionByName(_exact(rows, short, n_short, d, k)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))

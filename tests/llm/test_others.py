@@ -250,6 +250,22 @@ def test_search_edges(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_search_gives_all_candidates_and_meets_its_target(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    vectors = [(i, [float(v) for v in rng.normal(size=16)]) for i in range(3000)]
+    schema, all_ids = "vec_id long, embedding array<float>", F.col("vec_id") < 20
+    few = ann.search(spark.createDataFrame([*vectors[:20], (3, vectors[40][1])], schema), all_ids).collect()
+    assert sorted((r.query_id, r.vec_id) for r in few) == [(a, b) for a in range(20) for b in range(20) if a != b]
+    monkeypatch.setattr(ann, "MOST_PROBES", 2)
+    got = ann.search(spark.createDataFrame(vectors, schema)).collect()
+    x, hit = np.array([v for _, v in vectors], np.float32).astype(float), 0
+    for q in range(0, 3000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score)[:20].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 150 * 20 and hit / len(got) >= 0.9
+
+
 def test_search_splits_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 16)
     rng = np.random.default_rng(4)
