@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,13 +12,27 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-DEFAULT_DIR = "/tmp/checkpoints"
+#: Used only in local mode, as in tests, where the session names no shared folder.
+LOCAL_DIR = "/tmp/checkpoints"
+#: Fewest and most bits of a bitmap of keys, and bits for each key between them.
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 1 << 20, 1 << 28, 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or DEFAULT_DIR where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or else the context's checkpoint directory.
+
+    Where neither is set, a cluster has no such folder and this raises; in local mode it is LOCAL_DIR.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = set_.get() if set_.isDefined() else None
+    if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
+        named = LOCAL_DIR
+    return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -25,9 +40,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors and gives the planner true sizes."""
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors and gives the planner true sizes.
+
+    The files go when the application ends, if discard() has not deleted them before.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -116,11 +136,14 @@ def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), rows.num_rows)
 
 
-def bit_filter(df: DataFrame, column: str, bits: int = 1 << 24, hashed: bool = False) -> np.ndarray:
-    """A bitmap of fixed size over the xxhash64 of a column, or over a column of hashes. A clear bit proves absence; a set bit only suggests presence.
+def bit_filter(df: DataFrame, column: str, hashed: bool = False, keys: int | None = None) -> np.ndarray:
+    """A bitmap over the xxhash64 of a column, or over a column of hashes. A clear bit proves absence; a set bit only suggests presence.
 
-    It holds bits/8 bytes (2 MB by default) whatever the table's size, so it may be sent to every task; callers check hits exactly.
+    It has BITS_A_KEY bits for each of the table's rows (or of `keys`), in powers of two from LEAST_BITS to MOST_BITS (32 MB), so
+    it may be sent to every task whatever the table's size; beyond, more rows than need be pass. Callers check hits exactly.
     """
+    n = df.count() if keys is None else keys
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * max(n, 1) - 1).bit_length()))
     place = F.pmod(F.col(column) if hashed else F.xxhash64(column), F.lit(bits))
     words = (
         df.select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
@@ -135,6 +158,15 @@ def bit_filter(df: DataFrame, column: str, bits: int = 1 << 24, hashed: bool = F
     return out
 
 
+def repeated_filter(df: DataFrame, key: str, times: str | None, name: str) -> np.ndarray:
+    """The bitmap of the hashes in column `key` that occur more than once, each row counting as often as `times` says (once if None)."""
+    n = F.count(F.lit(1)) if times is None else F.sum(times)
+    repeated = saved(df.groupBy(key).agg(n.alias("__n")).where("__n > 1").select(key), name)
+    out = bit_filter(repeated, key, hashed=True)
+    discard(repeated)
+    return out
+
+
 def may_hold(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes the bitmap may hold."""
     place = np.mod(hashes.astype(np.int64), np.int64(len(filter_) << 6))

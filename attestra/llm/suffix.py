@@ -1,9 +1,10 @@
 """Removal of long repeated byte strings by a run-length index of their candidates.
 
-Every window of bytes goes to the bucket of its least k-gram hash, so equal windows share a bucket. The runs of windows of one
-bucket ("segments") whose bucket recurs are indexed: the Burrows-Wheeler transform of a batch of buckets, kept as runs with the
-text positions of their first and last rows. Streaming over the text, the length of the longest match elsewhere follows from
-the sampled rows alone, and matches as long as a window are marked.
+Every window of bytes is anchored at the least k-gram hash of its middle, and goes to the bucket of the bytes around its anchor,
+so equal windows share a bucket. The runs of windows of one bucket ("segments") whose bucket recurs are indexed: the
+Burrows-Wheeler transform of a batch of buckets, kept as runs, with text positions and match lengths sampled at both ends of
+each run. Each segment is then streamed through the runs by LF steps from its end to its start; the samples that it meets give the
+length of its longest match elsewhere at every byte, and matches as long as a window are marked.
 """
 
 from __future__ import annotations
@@ -18,49 +19,57 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-#: Bytes of a window, and of the hashed k-grams within it.
-WINDOW, GRAM = 400, 16
-#: Bytes of segments that are indexed together, and most different segments and bytes of a bucket that one index may hold.
-BATCH, MOST, MOST_BYTES = 1 << 19, 4096, 4 << 20
+#: Bytes of a window, of the hashed k-grams within it, and of what is compared on each side of an anchor.
+WINDOW, GRAM, AROUND = 400, 16, 32
+#: Bytes of segments that are indexed together, and of different segments in a bucket beyond which it is split into single windows.
+BATCH, MOST_BYTES = 1 << 19, 2 << 20
+
+
+def _rolled(data: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of every `width` consecutive bytes."""
+    n = len(data)
+    up, down = words.powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    return words.mix((total[width:] - total[:-width]) * down[: n - width + 1])
 
 
 def window_keys(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, first byte within the text, byte length and key of each segment of each text, and whether it may repeat itself.
 
-    A window's key is the least hash of its k-grams; a segment is a maximal run of windows of one key. Two equal windows of one
-    segment have their leftmost least k-grams at different places, so the window that starts at the former lies between them.
+    A window's anchor is the leftmost least hash of the k-grams that stand AROUND bytes or more from its ends; its key is the hash
+    of the anchor with AROUND bytes on each side. Equal windows have their anchors at equal places, so their keys are equal. A
+    segment is a maximal run of windows of one key; only one of several anchors may hold two equal windows.
     """
     n = len(data)
-    width = window - GRAM + 1
+    around = AROUND if window >= 2 * AROUND + GRAM else 0
+    gram = min(GRAM, window)
+    width = window - gram - 2 * around + 1
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
     if n < window:
         return none
-    up, down = words.powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    grams = words.mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
+    places = np.arange(n - gram + 1, dtype=np.uint64)
+    ranks = (_rolled(data, gram) & np.uint64(0xFFFFFFFF00000000)) | places
     starts = n - window + 1
-    least = _slid(grams, width, np.minimum, np.iinfo(np.uint64).max)
+    anchor = (_slid(ranks[around:], width, np.minimum, np.iinfo(np.uint64).max)[:starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    del ranks, places
     left = np.repeat(offsets[1:], np.diff(offsets))[:starts] - np.arange(starts)
     whole = left >= window
-    new = np.ones(starts, bool)
-    new[1:] = (least[1:] != least[:-1]) | ~whole[:-1]
+    moved = np.ones(starts, bool)
+    moved[1:] = (anchor[1:] != anchor[:-1]) | ~whole[:-1]
     inner = offsets[1:-1]
-    new[inner[inner < starts]] = True
-    new &= whole
-    first = np.flatnonzero(new)
-    if not len(first):
+    moved[inner[inner < starts]] = True
+    at = np.flatnonzero(moved & whole)
+    if not len(at):
         return none
-    run = np.add.reduceat(whole.astype(np.int64), first)
-    owner = np.searchsorted(offsets, first, "right") - 1
-    wide = np.concatenate((np.zeros(width - 1, np.uint64), np.where(whole, least, np.uint64(0)), np.zeros(width - 1, np.uint64)))
-    anchors = np.flatnonzero(grams == _slid(wide, width, np.maximum, 0))
-    again = anchors[:-1][grams[anchors[:-1]] == grams[anchors[1:]]]
-    at = np.searchsorted(first, again, "right") - 1
-    ok = (at >= 0) & (again + 1 < first[at] + run[at]) & (grams[again] == least[first[at]])
-    twice = np.zeros(len(first), bool)
-    twice[at[ok]] = True
-    return owner, first - offsets[owner], run + window - 1, least[first], twice
+    key = _rolled(data, gram + 2 * around)[anchor[at] - around]
+    run = np.add.reduceat(whole.astype(np.int64), at)
+    owner = np.searchsorted(offsets, at, "right") - 1
+    new = np.ones(len(at), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    parts = np.diff(np.append(first, len(at)))
+    return owner[first], at[first] - offsets[owner[first]], np.add.reduceat(run, first) + window - 1, key[first], parts > 1
 
 
 def _slid(values: np.ndarray, width: int, of: np.ufunc, end: int) -> np.ndarray:
@@ -82,12 +91,14 @@ def _segments(column: pa.Array, window: int) -> Iterator[tuple[np.ndarray, ...]]
 
 
 class RunIndex:
-    """The run-compressed transform of some texts: run heads, and the text positions and match lengths at both ends of each run.
+    """The run-compressed transform of some texts.
 
-    Each text ends in a terminator of its own, so that no match reaches beyond a text.
+    Kept are, of each run, its head, its first row and the row that its first row comes from by an LF step; and at the edges
+    between runs the text positions on both sides and the bytes that their suffixes have in common. Each text ends in a
+    terminator of its own, so that no match reaches beyond a text.
     """
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], least: int = WINDOW) -> None:
         sizes = np.array([len(t) + 1 for t in texts], np.int32)
         self.ends = np.cumsum(sizes, dtype=np.int32) - np.int32(1)
         n = int(sizes.sum())
@@ -98,10 +109,19 @@ class RunIndex:
         order = self._suffixes(symbols)
         heads = symbols[order - 1]
         edge = np.flatnonzero((heads[1:] != heads[:-1]) | (heads[1:] == 0)) + 1  # terminators all differ
-        self.run_starts = np.concatenate(([0], edge))
-        self.heads = heads[self.run_starts]
-        self.first_at, self.last_at = order[edge], order[edge - 1]
-        self.match = self._common(symbols, self.last_at, self.first_at)  # of a run's last row with the next run's first
+        self.starts = np.concatenate(([0], edge))
+        self.heads = heads[self.starts]
+        sizes = np.diff(np.append(self.starts, n))
+        by = np.lexsort((self.starts, self.heads))
+        self.from_ = np.empty(len(by), np.int64)  # an LF step takes rows of one symbol, in their order, to consecutive rows
+        self.from_[by] = np.cumsum(sizes[by]) - sizes[by]
+        self.entry = np.empty(len(texts), np.int64)  # the row of each text's terminator
+        top = order[: len(texts)]
+        self.entry[self.text[top]] = np.arange(len(texts))
+        first_at, last_at = order[edge], order[edge - 1]
+        del order
+        self.match = self._common(symbols, last_at, first_at)  # of a run's last row with the next run's first
+        self._compare(symbols, last_at, first_at, least)
 
     def _left(self) -> np.ndarray:
         """Bytes from each position to its text's end."""
@@ -155,20 +175,45 @@ class RunIndex:
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
+    def _compare(self, symbols: np.ndarray, x: np.ndarray, y: np.ndarray, least: int) -> None:
+        """Compare the bytes of matches of `least` and more; prefix hashes only said that they are equal."""
+        long = np.flatnonzero(self.match >= least)
+        for at in range(0, len(long), 2048):
+            some = long[at : at + 2048]
+            step = np.arange(least)
+            differ = symbols[x[some][:, None] + step] != symbols[y[some][:, None] + step]
+            wrong = differ.any(axis=1)
+            self.match[some[wrong]] = differ[wrong].argmax(axis=1)
+
     def matching_statistics(self) -> np.ndarray:
         """For each position, terminators too, the length of its longest match that starts elsewhere.
 
-        A position that is no sampled row has, with its neighbour in suffix order, one byte less in common than the position
-        before it; so lengths are carried on from the samples, once for each neighbour.
+        All texts are streamed side by side, from their ends to their starts: the row of a position is that of the next one taken
+        back by an LF step. Where a row is the first or last of its run, the common length with its neighbour there is a sample;
+        any other position has with its neighbours one byte less in common than the position before it, so samples are
+        carried on over the text, once for each neighbour.
         """
-        out = np.zeros(self.length, np.int32)
-        for at in (self.first_at, self.last_at):
-            source = np.zeros(self.length, np.int32)
-            value = np.zeros(self.length, np.int32)
-            value[at] = self.match + at
-            source[at] = at
-            source = np.maximum.accumulate(source)
-            np.maximum(out, value[source] - np.arange(self.length, dtype=np.int32), out=out)
+        first = np.concatenate(([0], self.ends[:-1] + 1)).astype(np.int64)
+        upper, lower = np.full(self.length, -1, np.int64), np.full(self.length, -1, np.int64)
+        after = np.append(self.starts[1:], self.length)
+        samples = np.concatenate(([0], self.match, [0])).astype(np.int64)
+        at, row = self.ends.astype(np.int64), self.entry.copy()
+        while len(at):
+            run = np.searchsorted(self.starts, row, "right") - 1
+            is_first, is_last = row == self.starts[run], row + 1 == after[run]
+            upper[at[is_first]] = samples[run[is_first]]
+            lower[at[is_last]] = samples[run[is_last] + 1]
+            row = self.from_[run] + row - self.starts[run]
+            at = at - 1
+            more = at >= first
+            if not more.all():
+                at, row, first = at[more], row[more], first[more]
+        place = np.arange(self.length, dtype=np.int64)
+        out = np.zeros(self.length, np.int64)
+        for sampled in (upper, lower):
+            known = sampled >= 0
+            source = np.maximum.accumulate(np.where(known, place, 0))
+            np.maximum(out, sampled[source] + source - place, out=out)
         return out
 
 
@@ -176,7 +221,7 @@ def marked(texts: list[bytes], window: int = WINDOW) -> list[list[tuple[int, int
     """Of each text the byte ranges covered by windows that also start elsewhere in these texts."""
     if not texts:
         return []
-    index = RunIndex(texts)
+    index = RunIndex(texts, window)
     hit = np.flatnonzero(index.matching_statistics() >= window)
     owner = index.text[hit]
     at = hit - np.concatenate(([0], index.ends[:-1] + 1))[owner]
@@ -206,53 +251,57 @@ def distinct_texts(texts: DataFrame, copies: DataFrame) -> DataFrame:
 
 def _indexed(rows: pa.Table, starts: np.ndarray, window: int) -> pa.Table:
     """key, digest, first, last of the marked ranges of each segment of some whole buckets."""
-    bodies = rows["body"].to_pylist()
-    many, twice = rows["n"].to_numpy(), rows["twice"].to_numpy()
-    found: list[tuple[int, int, int]] = [(i, 0, len(bodies[i])) for i in np.flatnonzero(many > 1)]
+    many, twice, size = rows["n"].to_numpy(), rows["twice"].to_numpy(), rows["size"].to_numpy()
+    bare = rows["body"].is_null().to_numpy()
+    found: list[tuple[int, int, int]] = [(i, 0, int(size[i])) for i in np.flatnonzero(many > 1)]
     batch: list[int] = []
 
     def flush() -> None:
-        for i, ranges in zip(batch, marked([bodies[i] for i in batch], window), strict=True):
+        bodies = rows["body"].take(pa.array(batch, pa.int64())).to_pylist()
+        for i, ranges in zip(batch, marked(bodies, window), strict=True):
             if many[i] == 1:
                 found.extend((i, a, b) for a, b in ranges)
         batch.clear()
 
-    size = 0
+    held = 0
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        if (b - a > 1 or twice[a]) and (many[a:b] == 1).any():
+        if (b - a > 1 or twice[a]) and (many[a:b] == 1).any() and not bare[a:b].any():
             batch += range(a, b)
-            size += sum(len(bodies[i]) for i in range(a, b))
-            if size >= BATCH:
+            held += int(size[a:b].sum())
+            if held >= BATCH:
                 flush()
-                size = 0
+                held = 0
     flush()
     take = pa.array([i for i, _, _ in found], pa.int64())
     return pa.table({"key": rows["key"].take(take), "digest": rows["digest"].take(take), "first": pa.array([a for _, a, _ in found], pa.int64()), "last": pa.array([b for _, _, b in found], pa.int64())})
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """print (16 bytes), key, digest, first of every window of each segment."""
+#: A segment: its text, first byte, key of its bucket, digest, whether it may repeat itself, length, and bytes.
+SEGMENT = "tid binary, at bigint, key bigint, digest binary, twice boolean, size bigint, body binary"
+
+
+def _single_windows(batches: Iterator[pa.RecordBatch], window: int, filter_: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The windows of segments as segments of their own, without bytes: digest and key are of the whole window. Without a filter, their keys only."""
     for batch in batches:
         for i in range(batch.num_rows):
             body = batch.column("body")[i].as_py()
-            data = np.frombuffer(body, np.uint8)
-            at = np.arange(len(data) - window + 1)
+            key = _rolled(np.frombuffer(body, np.uint8), window).view(np.int64)
+            if filter_ is None:
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key), "n": pa.array(np.full(len(key), batch.column("n")[i].as_py()))})
+                continue
+            at = np.flatnonzero(common.may_hold(filter_, key))
             prints = [hashlib.blake2b(body[a : a + window], digest_size=16).digest() for a in at.tolist()]
-            take = pa.array(np.full(len(at), i))
-            yield pa.RecordBatch.from_pydict({"print": pa.array(prints, pa.binary()), "key": batch.column("key").take(take), "digest": batch.column("digest").take(take), "n": batch.column("n").take(take), "first": pa.array(at)})
+            many = len(at)
+            yield pa.RecordBatch.from_pydict({"tid": batch.column("tid").take(pa.array(np.full(many, i))), "at": pa.array(at + batch.column("at")[i].as_py()), "key": pa.array(key[at]), "digest": pa.array(prints, pa.binary()), "twice": pa.array(np.zeros(many, bool)), "size": pa.array(np.full(many, window)), "body": pa.nulls(many, pa.binary())})
 
 
 def repeated_ranges(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """tid, first, last: byte ranges of different texts (tid, text) covered by windows that start elsewhere in them too; ranges may overlap."""
-    keys = common.saved(
-        texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"key": pa.array(s[3]), "n": pa.array(1 + s[4].astype(np.int64))}) for b in batches for s in _segments(b.column("text"), window)), "key bigint, n bigint")
-        .groupBy("key")
-        .agg(F.sum("n").alias("n"))
-        .where("n > 1")
-        .select("key"),
-        "suffix-keys",
-    )
-    filter_ = common.bit_filter(keys, "key", 1 << 26, hashed=True)
+    """tid, first, last: byte ranges of different texts (tid, text) covered by windows that start elsewhere in them too; ranges may overlap.
+
+    A bucket with more than MOST_BYTES of different segments is dealt out by single windows, which are buckets of equal strings.
+    """
+    counted = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"key": pa.array(s[3]), "n": pa.array(1 + s[4].astype(np.int64))}) for b in batches for s in _segments(b.column("text"), window)), "key bigint, n bigint")
+    filter_ = common.repeated_filter(counted, "key", "n", "suffix-keys")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,17 +313,16 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW) -> DataFrame:
                 prints = [hashlib.blake2b(x, digest_size=16).digest() for x in bodies]
                 yield pa.RecordBatch.from_pydict({"tid": batch.column("tid").take(pa.array(owner)), "at": pa.array(first), "key": pa.array(key), "digest": pa.array(prints, pa.binary()), "twice": pa.array(twice), "size": pa.array(length), "body": pa.array(bodies, pa.binary())})
 
-    segments = common.saved(texts.mapInArrow(likely, "tid binary, at bigint, key bigint, digest binary, twice boolean, size bigint, body binary"), "suffix-segments")
-    contents = segments.groupBy("key", "digest", "twice").agg(F.count(F.lit(1)).alias("n"), F.first("body").alias("body"))
-    large = common.saved(segments.select("key", "digest", "size").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes")).where((F.col("m") > MOST) | (F.col("bytes") > MOST_BYTES)).select("key"), "suffix-large")
-    columns = ["key", "digest", "n", "twice", "body"]
-    some_large = not large.isEmpty()
-    small = contents.join(large, "key", "left_anti") if some_large else contents
-    ranges = common.map_groups(small.select(*columns), ["key"], lambda rows, starts: _indexed(rows, starts, window), "key bigint, digest binary, first bigint, last bigint")
-    if some_large:
-        fine = contents.join(large, "key", "left_semi").select("key", "digest", "n", "body").mapInArrow(lambda batches: _windows(batches, window), "print binary, key bigint, digest binary, n bigint, first bigint")
-        twice = fine.groupBy("print").agg(F.sum("n").alias("times")).where("times > 1").select("print")
-        ranges = ranges.unionByName(fine.join(twice, "print").select("key", "digest", "first", (F.col("first") + window).alias("last")))
+    segments = common.saved(texts.mapInArrow(likely, SEGMENT), "suffix-segments")
+    large = common.saved(segments.select("key", "digest", "size").distinct().groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > MOST_BYTES).select("key"), "suffix-large")
+    if not large.isEmpty():
+        wide = segments.join(large, "key", "left_semi")
+        singles = wide.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("body").alias("body")).mapInArrow(lambda batches: _single_windows(batches, window, None), "key bigint, n bigint")
+        fine = common.repeated_filter(singles, "key", "n", "suffix-windows")
+        split = wide.mapInArrow(lambda batches: _single_windows(batches, window, fine), SEGMENT)
+        segments = common.saved(segments.join(large, "key", "left_anti").select(*split.columns).unionByName(split), "suffix-split")
+    contents = segments.groupBy("key", "digest", "twice", "size").agg(F.count(F.lit(1)).alias("n"), F.first("body").alias("body"))
+    ranges = common.map_groups(contents.select("key", "digest", "n", "twice", "size", "body"), ["key"], lambda rows, starts: _indexed(rows, starts, window), "key bigint, digest binary, first bigint, last bigint")
     return segments.select("tid", "at", "key", "digest").join(ranges, ["key", "digest"]).select("tid", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"))
 
 

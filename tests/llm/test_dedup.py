@@ -47,9 +47,9 @@ def test_words_match_the_pattern():
     assert got == [(i, w) for i, t in enumerate(texts) for w in WORD.findall((t or "").translate(FOLD))]
 
 
-@pytest.mark.parametrize("most", [4096, 1])
+@pytest.mark.parametrize("most", [suffix.MOST_BYTES, 1500])
 def test_suffix_matches_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(suffix, "MOST", most)
+    monkeypatch.setattr(suffix, "MOST_BYTES", most)
     docs = [(d, t) for d, t, *_ in edge_documents(1)]
     got = suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").withColumn("tid", F.lit(1))).collect()
     bodies = [(d, (t or "").encode()) for d, t in docs]
@@ -200,3 +200,38 @@ def test_empty_tables(spark):
     assert lines.drop_repeated_chunks(empty).count() == 0
     assert jaccard.jaccard_groups(empty).count() == 0
     assert jaccard.drop_near_copies(empty).count() == 0
+
+
+def test_a_passage_in_ten_thousand_documents(spark):
+    """Its edge buckets hold thousands of different segments; flanks that happen to be equal beside it go too."""
+    rng = random.Random(17)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = letters(900)
+    flanks = [(letters(rng.randint(150, 250)), letters(rng.randint(150, 250))) for _ in range(10_000)]
+    rows = [(i, a + passage + b) for i, (a, b) in enumerate(flanks)]
+
+    def longest(words_):
+        order = sorted(range(len(words_)), key=lambda i: words_[i])
+        out = [0] * len(words_)
+        for x, y in zip(order, order[1:]):
+            n = next((k for k, (p, q) in enumerate(zip(words_[x], words_[y])) if p != q), 0)
+            out[x], out[y] = max(out[x], n), max(out[y], n)
+        return out
+
+    left, right = longest([a[::-1] for a, _ in flanks]), longest([b for _, b in flanks])
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == {i: (900 + left[i] + right[i], 1) for i in range(len(rows))}
+
+
+def test_passages_of_fifty_words_go_by_their_bytes(spark):
+    """Passages of just over 50 words that many documents share: they go if and only if they have 400 bytes."""
+    rng = random.Random(23)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    own = lambda: " ".join(word(rng.randint(3, 9)) for _ in range(60)) + "\n"
+    planted = {k: "#" + " ".join(word(k) for _ in range(56)) + "#\n" for k in (4, 5, 6, 7, 8)}
+    rows = [(i, own() + (planted[4 + i % 6] if i % 6 < 5 else "") + own()) for i in range(120)]
+    got = {r.doc_id: r.n_removed for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        body = planted.get(4 + i % 6, "")
+        assert (got[i] > 0) == (len(body) >= 400)
+        assert got[i] == 0 or len(body) - 1 <= got[i] <= len(body) + 6  # equal bytes beside it belong to the match
