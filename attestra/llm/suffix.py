@@ -22,7 +22,7 @@ from . import common, words
 #: Bytes of a window, of the hashed k-grams within it, and of what is compared on each side of an anchor.
 WINDOW, GRAM, AROUND = 400, 16, 32
 #: Bytes of segments that are indexed together, and of different segments in a bucket beyond which it is split into single windows.
-BATCH, MOST_BYTES = 1 << 19, 2 << 20
+BATCH, MOST_BYTES = 1 << 17, 2 << 20
 
 
 def _rolled(data: np.ndarray, width: int) -> np.ndarray:
@@ -94,8 +94,8 @@ class RunIndex:
     """The run-compressed transform of some texts.
 
     Kept are, of each run, its head, its first row and the row that its first row comes from by an LF step; and at the edges
-    between runs the text positions on both sides and the bytes that their suffixes have in common. Each text ends in a
-    terminator of its own, so that no match reaches beyond a text.
+    between runs the bytes that the suffixes on both sides have in common, if those are `least` bytes or more (else 0). Each text
+    ends in a terminator of its own, so that no match reaches beyond a text.
     """
 
     def __init__(self, texts: list[bytes], least: int = WINDOW) -> None:
@@ -120,7 +120,7 @@ class RunIndex:
         self.entry[self.text[top]] = np.arange(len(texts))
         first_at, last_at = order[edge], order[edge - 1]
         del order
-        self.match = self._common(symbols, last_at, first_at)  # of a run's last row with the next run's first
+        self.match = self._common(symbols, last_at, first_at, least)  # of a run's last row with the next run's first
         self._compare(symbols, last_at, first_at, least)
 
     def _left(self) -> np.ndarray:
@@ -134,11 +134,14 @@ class RunIndex:
         for j in range(7):
             packed <<= 9
             packed[: n - j] |= np.where(left[: n - j] >= j, symbols[j:], np.uint16(0))
-        tie = np.where(left < 7, self.text + np.int32(1), np.int32(0))
-        order = np.lexsort((tie, packed)).astype(np.int32)
+        order = np.argsort(packed)
+        short = np.flatnonzero(left[order] < 7)  # equal ones differ by their terminators
+        some = order[short]
+        order[short] = some[np.lexsort((self.text[some], packed[some]))]
+        order = order.astype(np.int32)
         new = np.ones(n, bool)
-        new[1:] = (packed[order[1:]] != packed[order[:-1]]) | (tie[order[1:]] != tie[order[:-1]])
-        del packed, tie, left
+        new[1:] = (packed[order[1:]] != packed[order[:-1]]) | (left[order[1:]] < 7)
+        del packed, left
         start = np.flatnonzero(new).astype(np.int32)
         sizes = np.diff(np.append(start, np.int32(n)))
         rank = np.empty(n, np.int32)
@@ -148,7 +151,7 @@ class RunIndex:
         while len(open_):
             at = order[open_]
             key = rank[at] * np.int64(n + 1) + rank[np.minimum(at + np.int32(h), np.int32(n - 1))] + 1
-            by = np.argsort(key, kind="stable")
+            by = np.argsort(key)
             at, key = at[by], key[by]
             order[open_] = at
             fresh = np.ones(len(at), bool)
@@ -160,20 +163,26 @@ class RunIndex:
             h *= 2
         return order
 
-    def _common(self, symbols: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Bytes that the suffixes at x and y have in common, by bisection over prefix hashes; powers count from each text's start."""
+    def _common(self, symbols: np.ndarray, x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
+        """Bytes that the suffixes at x and y have in common, 0 if fewer than `least`, by bisection over prefix hashes; powers count from each text's start."""
         first = np.concatenate(([0], self.ends[:-1] + 1)).astype(np.int32)
         up, down = words.powers(int((self.ends - first).max(initial=0)) + 2)
         total = np.zeros(self.length + 1, np.uint64)
         place = np.arange(self.length, dtype=np.int32) - first[self.text]
         np.cumsum(symbols * up[place], out=total[1:])
         end = lambda p: self.ends[self.text[p]] - p
-        low, high = np.zeros(len(x), np.int32), np.minimum(end(x), end(y))
+        same = lambda p, q, n: (total[p + n] - total[p]) * down[place[p]] == (total[q + n] - total[q]) * down[place[q]]
+        most = np.minimum(end(x), end(y))
+        out = np.zeros(len(x), np.int32)
+        some = np.flatnonzero(most >= least)
+        some = some[same(x[some], y[some], np.int32(least))]
+        x, y, low, high = x[some], y[some], np.full(len(some), least, np.int32), most[some]
         while (low < high).any():
             middle = (low + high + 1) // 2
-            same = (total[x + middle] - total[x]) * down[place[x]] == (total[y + middle] - total[y]) * down[place[y]]
-            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
-        return low
+            ok = same(x, y, middle)
+            low, high = np.where(ok, middle, low), np.where(ok, high, middle - 1)
+        out[some] = low
+        return out
 
     def _compare(self, symbols: np.ndarray, x: np.ndarray, y: np.ndarray, least: int) -> None:
         """Compare the bytes of matches of `least` and more; prefix hashes only said that they are equal."""
@@ -186,33 +195,33 @@ class RunIndex:
             self.match[some[wrong]] = differ[wrong].argmax(axis=1)
 
     def matching_statistics(self) -> np.ndarray:
-        """For each position, terminators too, the length of its longest match that starts elsewhere.
+        """For each position, terminators too, the length of its longest match that starts elsewhere, if it is `least` bytes or more.
 
         All texts are streamed side by side, from their ends to their starts: the row of a position is that of the next one taken
         back by an LF step. Where a row is the first or last of its run, the common length with its neighbour there is a sample;
         any other position has with its neighbours one byte less in common than the position before it, so samples are
         carried on over the text, once for each neighbour.
         """
-        first = np.concatenate(([0], self.ends[:-1] + 1)).astype(np.int64)
-        upper, lower = np.full(self.length, -1, np.int64), np.full(self.length, -1, np.int64)
-        after = np.append(self.starts[1:], self.length)
-        samples = np.concatenate(([0], self.match, [0])).astype(np.int64)
-        at, row = self.ends.astype(np.int64), self.entry.copy()
-        while len(at):
-            run = np.searchsorted(self.starts, row, "right") - 1
-            is_first, is_last = row == self.starts[run], row + 1 == after[run]
-            upper[at[is_first]] = samples[run[is_first]]
-            lower[at[is_last]] = samples[run[is_last] + 1]
-            row = self.from_[run] + row - self.starts[run]
-            at = at - 1
-            more = at >= first
-            if not more.all():
-                at, row, first = at[more], row[more], first[more]
-        place = np.arange(self.length, dtype=np.int64)
-        out = np.zeros(self.length, np.int64)
+        sizes = np.diff(np.append(-1, self.ends))
+        by = np.argsort(-sizes, kind="stable")
+        active = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(1, int(sizes.max()) + 1), "left")  # texts with as many positions
+        row, ends, starts = self.entry[by], self.ends[by].astype(np.int64), self.starts
+        upper, lower = np.full(self.length, -1, np.int32), np.full(self.length, -1, np.int32)
+        long = np.diff(np.append(starts, self.length))
+        samples = np.concatenate(([0], self.match, [0])).astype(np.int32)
+        runs, within = np.empty(self.length, np.int32), np.empty(self.length, np.int32)
+        for step, many in enumerate(active.tolist()):
+            row, at = row[:many], ends[:many] - step
+            run = starts.searchsorted(row, "right") - 1
+            inner = row - starts[run]
+            runs[at], within[at] = run, inner
+            row = self.from_[run] + inner
+        is_first, is_last = np.flatnonzero(within == 0), np.flatnonzero(within + 1 == long[runs])
+        upper[is_first], lower[is_last] = samples[runs[is_first]], samples[runs[is_last] + 1]
+        place = np.arange(self.length, dtype=np.int32)
+        out = np.zeros(self.length, np.int32)
         for sampled in (upper, lower):
-            known = sampled >= 0
-            source = np.maximum.accumulate(np.where(known, place, 0))
+            source = np.maximum.accumulate(np.where(sampled >= 0, place, 0))
             np.maximum(out, sampled[source] + source - place, out=out)
         return out
 
