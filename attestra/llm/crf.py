@@ -7,15 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, words
 
 #: Buckets of hashed features.
 FEATURES = 1 << 16
-#: Training takes about this many labelled documents, chosen by hash, and from each up to WINDOWS runs of LENGTH words.
-SAMPLE, WINDOWS, LENGTH = 3000, 3, 24
+#: Training takes at most this many different labelled texts, shared by the languages but LEAST_SAMPLE for each, chosen by hash, and
+#: from each up to WINDOWS runs of LENGTH words.
+SAMPLE, LEAST_SAMPLE, WINDOWS, LENGTH = 3000, 300, 3, 24
 EPOCHS, BATCH, RATE, SEED = 6, 256, 0.3, 11
 #: Words of a block of the forward-backward pass.
 BLOCK = 32
@@ -117,14 +118,15 @@ def marginals(e: np.ndarray, transitions: np.ndarray, counts: np.ndarray) -> np.
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of LENGTH words from random places of each text, as bytes of words joined by spaces."""
+    """Runs of LENGTH words from places of each text that its hash (seed) chooses, as bytes of words joined by spaces."""
     for batch in batches:
         data, offsets = common.strings(batch.column("text"))
         folded, starts, ends, owner = words.word_spans(data, offsets)
         label, body = [], []
+        seeds = batch.column("seed").to_numpy().view(np.uint64).tolist()
         for i, lang in enumerate(batch.column("lang").to_pylist()):
             lo, hi = np.searchsorted(owner, (i, i + 1))
-            rng = np.random.default_rng([SEED, int(hi - lo), int(starts[lo]) % 9973 if hi > lo else 0])
+            rng = np.random.default_rng([SEED, seeds[i]])
             for at in sorted(set(rng.integers(lo, max(lo, hi - LENGTH) + 1, WINDOWS).tolist())) if hi > lo else []:
                 label.append(lang)
                 body.append(b" ".join(folded[starts[w] : ends[w]].tobytes() for w in range(at, min(hi, at + LENGTH))))
@@ -132,18 +134,23 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit the field on a bounded sample of labelled documents (about `sample`, chosen by a hash of doc_id and text).
+    """Fit the field on a bounded sample of labelled documents: different texts of each language, the least by hash.
 
-    documents: text and lang; rows without either teach nothing. Half of the chains are a run of one language; half are two
-    runs of different languages set together, so that the transitions learn how languages switch. None without labels.
+    documents: text and lang; rows without either teach nothing, and copies of a text teach once. The bound is `sample` texts,
+    shared evenly by the languages, but LEAST_SAMPLE of each, so that rare languages are learned too. Which texts and which runs
+    of theirs are taken depends on the texts alone. Half of the chains are a run of one language; half are two runs of different
+    languages set together, so that the transitions learn how languages switch. None without labels.
     """
-    labelled = documents.where("text is not null and lang is not null").select("text", "lang")
-    n = labelled.count()
-    if not n:
+    labelled = documents.where("text is not null and lang is not null").select("text", "lang").withColumn("seed", F.xxhash64("text"))
+    known = labelled.groupBy("lang").agg(F.approx_count_distinct("seed").alias("n")).collect()  # one row a language
+    if not known:
         return None
-    share = min(1.0, sample / n)
-    chosen = labelled.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = chosen.mapInArrow(_windows, "lang string, body binary").toArrow()
+    most = max(LEAST_SAMPLE, sample // len(known))
+    share = F.create_map(*(x for r in known for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * most / max(1, r["n"]))))))
+    place = F.pmod(F.xxhash64("seed", F.lit(SEED)), F.lit(1 << 30))
+    likely = labelled.where(place < F.try_element_at(share, F.col("lang")) * (1 << 30)).groupBy("lang", "seed").agg(F.min("text").alias("text"))
+    chosen = likely.withColumn("__n", F.row_number().over(Window.partitionBy("lang").orderBy(place, "seed"))).where(F.col("__n") <= most).drop("__n")
+    rows = chosen.select("text", "lang", "seed").mapInArrow(_windows, "lang string, body binary").toArrow()
     runs = sorted(zip(rows["lang"].to_pylist(), rows["body"].to_pylist(), strict=True))
     if not runs:
         return None
@@ -260,6 +267,32 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     return keyed.mapInArrow(run, schema)
 
 
+def label_words(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id and words: of each word of the text its place in UTF-8 bytes (first, last), the most likely label and its marginal.
+
+    So code-switched texts show where their language changes. Null and wordless texts have no words; other columns play no part.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    kind = "struct<first:int,last:int,lang:string,score:float>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        labels = np.array(m.labels, object)
+        for batch in batches:
+            data, offsets = common.strings(batch.column("text"))
+            for a, b in common.slices(offsets):
+                folded, starts, ends, owner = words.word_spans(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                counts = np.bincount(owner, minlength=b - a)
+                p = marginals(emissions(m.weights, *features(folded, starts, ends)), m.transitions, counts[counts > 0])
+                base = offsets[owner + a] - offsets[a]
+                best = p.argmax(axis=1)
+                fields = [pa.array((starts - base).astype(np.int32)), pa.array((ends - base).astype(np.int32)), pa.array(labels[best], pa.string()), pa.array(p.max(axis=1).astype(np.float32))]
+                column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.StructArray.from_arrays(fields, names=["first", "last", "lang", "score"]))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), column], names=["doc_id", "words"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, words array<{kind}>")
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept from training: crc32 of its id as text is 1 modulo 3. False for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -268,7 +301,9 @@ def held_out(doc_id: str = "doc_id"):
 def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents with held_out, lang_pred and score, learned from the documents that are not held out.
 
-    Rows with a null doc_id are predicted but teach nothing.
+    Rows with a null doc_id are predicted but teach nothing. An empty table gives no rows; if nothing teaches, all are `und`.
+    Of labels with equal mean marginals the first in order wins. Texts of any length are read whole; columns named like the three
+    added ones are replaced.
     """
     teach = documents.where(F.col("doc_id").isNotNull() & ~held_out())
     return predict(documents.withColumn("held_out", held_out()), train(teach, sample))

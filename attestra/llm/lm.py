@@ -1,4 +1,10 @@
-"""Document scores by masked pseudo-likelihood: a window network predicts every word from the words on both sides."""
+"""Document scores by masked pseudo-likelihood: a window network predicts every word from the words on both sides.
+
+Words are counted exactly over the whole corpus. A word's code is a path of 32-way choices (the commonest words take one choice,
+the others as many as the size of the vocabulary calls for, so that a leaf holds few words), and the network says
+how far the context of two words on each side raises or lowers the share that each choice has in the corpus. Every word of every
+document is a training target once.
+"""
 
 from __future__ import annotations
 
@@ -12,31 +18,37 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-#: Words are told apart by this many hash buckets, whose corpus counts are kept; each of the FREQUENT commonest is a class of
-#: its own and the others share RARE classes.
-BUCKETS, FREQUENT, RARE = 1 << 18, 96, 32
-CLASSES = FREQUENT + RARE
-#: Words on each side, input rows (classes, hashed words, one for "no word"), width of an input row and of the hidden layer.
-SIDE, HASHED, WIDTH, HIDDEN = 2, 1024, 16, 32
-#: One word in STRIDE is a training target, of every document; ROUNDS passes, each from the mean of the last one's weights.
-STRIDE, ROUNDS, RATE, BATCH, SEED = 16, 2, 0.15, 256, 3
-NOTHING = CLASSES + HASHED
+#: Choices of a level; of the first level's, how many are single words (the commonest) and how many are groups of the others.
+FAN, FREQUENT = 32, 24
+GROUPS = FAN - FREQUENT
+#: Words aimed at in a leaf, and most levels.
+LEAF, MOST_LEVELS = 64, 5
+#: Most words that are told apart exactly; the rest share buckets, with the mean count of a bucket's words.
+MOST_WORDS, MOST_BUCKETS = 1 << 18, 1 << 16
+#: Words on each side, input rows of their own and by hash, and width of the hidden layer.
+SIDE, OWN_ROWS, HASHED_ROWS, HIDDEN = 2, 1024, 1024, 16
+ROWS = OWN_ROWS + HASHED_ROWS + 1
+OFFSETS = [d for d in range(-SIDE, SIDE + 1) if d]
+#: Bytes of text of a training group, most groups of a round, words of a step (products of so few rows are left to one thread),
+#: rounds, and step sizes of input rows and of the rest.
+GROUP_BYTES, MOST_GROUPS, STEP, ROUNDS, RATE_ROWS, RATE, SEED = 8 << 20, 1 << 14, 512, 2, 0.1, 0.5, 3
 
 
 @dataclass
 class Network:
-    """All weights in one vector, and views of it."""
+    """All weights in one vector, and views of it: input rows by offset, their bias, steps taken, and outputs by level."""
 
     flat: np.ndarray
 
     @staticmethod
     def shapes() -> list[tuple[int, ...]]:
-        return [(CLASSES + HASHED + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+        return [(len(OFFSETS), ROWS, HIDDEN), (HIDDEN,), (MOST_LEVELS, FAN, HIDDEN), (MOST_LEVELS, HIDDEN, FAN)]
 
     @classmethod
     def new(cls) -> Network:
         rng = np.random.default_rng(SEED)
-        return cls(np.concatenate([(rng.normal(size=s) / np.sqrt(s[0] if len(s) > 1 and i else 4) * (len(s) > 1)).ravel() for i, s in enumerate(cls.shapes())]).astype(np.float32))
+        scale = [0.3, 0.0, 0.3, 0.0]  # outputs of 0: at the start every choice has its share in the corpus
+        return cls(np.concatenate([(rng.normal(size=s) * k).ravel() for s, k in zip(cls.shapes(), scale, strict=True)]).astype(np.float32))
 
     def views(self) -> list[np.ndarray]:
         out, at = [], 0
@@ -49,155 +61,312 @@ class Network:
 
 @dataclass
 class Vocabulary:
-    """Of each bucket: its class, and the log-probability of the bucket within the class."""
+    """The exactly known words by hash, ascending; for those and the buckets of the rest the input row, code and log-share of the leaf.
+
+    A code is the choices of all levels, -1 behind the last. shares has for each level the log-share of each choice, given the
+    number of what was chosen before.
+    """
 
-    classes: np.ndarray
+    known: np.ndarray
+    row: np.ndarray
+    code: np.ndarray
     log_share: np.ndarray
+    shares: list[np.ndarray]
+
+    @property
+    def levels(self) -> int:
+        return len(self.shares)
+
+    def __post_init__(self) -> None:
+        self.bits = max(1, int(len(self.known)).bit_length())
+        head = (self.known >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.start = np.searchsorted(head, np.arange(1 << self.bits))
+        self.longest = int(np.bincount(head, minlength=1).max()) if len(head) else 0
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word: its own, or behind those its bucket's."""
+        n = len(self.known)
+        buckets = len(self.row) - n
+        out = n + (hashes & np.uint64(buckets - 1)).astype(np.int64)
+        if not n:
+            return out
+        at = self.start[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)]
+        open_ = np.arange(len(hashes))
+        for _ in range(self.longest):
+            here = np.minimum(at, n - 1)
+            same = self.known[here] == hashes[open_]
+            out[open_[same]] = here[same]
+            more = ~same
+            open_, at = open_[more], at[more] + 1
+            if not len(open_):
+                break
+        return out
 
 
-def _buckets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, words' buckets and words of each text, about a megabyte of texts at a time."""
+def _hashes(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, words' hashes and words of each text, about `size` bytes of texts at a time."""
     data, offsets = common.strings(column)
-    for a, b in common.slices(offsets):
+    for a, b in common.slices(offsets, size):
         h, counts = words.word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        yield a, (h >> np.uint64(64 - 18)).astype(np.int64), counts
+        yield a, h, counts
 
 
-def vocabulary(texts: DataFrame) -> Vocabulary:
-    """Count every word of every text by bucket; the driver gets BUCKETS counts at most, whatever the corpus."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word (hash), n of every different word of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for _, bucket, _ in _buckets(batch.column("text")):
-                total += np.bincount(bucket, minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        for first in range(0, len(at), 1 << 16):
-            some = at[first : first + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(some), "n": pa.array(total[some])})
-
-    rows = texts.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.float64)
-    counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    classes = FREQUENT + np.arange(BUCKETS) % RARE
-    top = np.lexsort((np.arange(BUCKETS), -counts))[:FREQUENT]
-    classes[top] = np.arange(FREQUENT)
-    share = counts + 0.5
-    return Vocabulary(classes.astype(np.int64), np.log(share / np.bincount(classes, share)[classes]))
-
-
-def _contexts(bucket: np.ndarray, counts: np.ndarray, v: Vocabulary, at: np.ndarray) -> np.ndarray:
-    """Input rows of the words around each place; words of other texts are none."""
+            for _, h, _ in _hashes(batch.column("text"), 4 << 20):
+                word, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"word": pa.array(word.view(np.int64)), "n": pa.array(n)})
+
+    return texts.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def codes(hashes: np.ndarray, rank: np.ndarray, levels: int) -> np.ndarray:
+    """The choices of each word: its rank for the FREQUENT commonest, else a group and then choices by hash."""
+    out = np.full((len(hashes), levels), -1, np.int16)
+    mixed = words.mix(hashes)
+    out[:, 0] = FREQUENT + (mixed % np.uint64(GROUPS)).astype(np.int64)
+    for level in range(1, levels):
+        out[:, level] = ((mixed >> np.uint64(8 + 5 * level)) % np.uint64(FAN)).astype(np.int64)
+    common_ = rank < FREQUENT
+    out[common_, 0] = rank[common_]
+    out[common_, 1:] = -1
+    return out
+
+
+def vocabulary(texts: DataFrame) -> Vocabulary:
+    """Count every word of every text; the driver gets MOST_WORDS and MOST_BUCKETS counts at most.
+
+    The number of levels follows from the number of different words. A bucket stands for the words beyond MOST_WORDS with
+    that hash, each with their mean count; a word that the corpus has not counts as half an occurrence.
+    """
+    counts = common.saved(word_counts(texts), "lm-counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(MOST_WORDS).toArrow()
+    known = top["word"].to_numpy().view(np.uint64)
+    n = top["n"].to_numpy().astype(np.float64)
+    rank = np.arange(len(known))
+    different = len(known)
+    buckets = 1
+    rest_n, rest_many = np.zeros(1), np.zeros(1)
+    if len(known) == MOST_WORDS:
+        least = (int(n[-1]), int(top["word"][-1].as_py()))
+        rest = counts.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > least[1])))
+        buckets = MOST_BUCKETS
+        held = rest.groupBy((F.col("word").bitwiseAND(F.lit(buckets - 1))).alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("many")).toArrow()
+        rest_n, rest_many = np.zeros(buckets), np.zeros(buckets)
+        rest_n[held["bucket"].to_numpy()], rest_many[held["bucket"].to_numpy()] = held["n"].to_numpy(), held["many"].to_numpy()
+        different += int(rest_many.sum())
+    common.discard(counts)
+    levels = 2
+    while levels < MOST_LEVELS and GROUPS * FAN ** (levels - 1) * LEAF < different:
+        levels += 1
+    by = np.argsort(known)
+    names = np.concatenate((known[by], np.arange(buckets, dtype=np.uint64)))  # a bucket's own number stands for its words
+    code = codes(names, np.concatenate((rank[by], np.full(buckets, 1 << 40))), levels)
+    row = np.concatenate((np.where(rank[by] < OWN_ROWS, rank[by], OWN_ROWS + (words.mix(known[by]) % np.uint64(HASHED_ROWS)).astype(np.int64)), OWN_ROWS + np.arange(buckets) % HASHED_ROWS))
+    one = np.concatenate((n[by], np.where(rest_many > 0, rest_n / np.maximum(rest_many, 1), 0.5)))
+    many = np.concatenate((np.ones(len(known)), np.maximum(rest_many, 1)))
+    weight, parent, shares = one * many, np.zeros(len(names), np.int64), []
+    for level in range(levels):
+        here = np.flatnonzero(code[:, level] >= 0)
+        chosen = parent[here] * FAN + code[here, level]
+        total = np.bincount(chosen, weight[here], (GROUPS * FAN ** (level - 1) if level else 1) * FAN).reshape(-1, FAN) + 1e-3
+        shares.append(np.log(total / total.sum(axis=1, keepdims=True)).astype(np.float32))
+        parent[here] = _child(parent[here], code[here, level], level)
+    parent[code[:, -1] < 0] = parent.max(initial=0) + 1 + code[code[:, -1] < 0, 0]  # words that are leaves of the first level
+    _, leaf = np.unique(parent, return_inverse=True)
+    return Vocabulary(known[by], row.astype(np.int32), code, np.log(one / np.bincount(leaf, weight)[leaf]), shares)
+
+
+def _child(parent: np.ndarray, choice: np.ndarray, level: int) -> np.ndarray:
+    """The number of what has been chosen with this level's choice; of the first level only groups have numbers."""
+    return parent * FAN + choice if level else np.maximum(choice.astype(np.int64) - FREQUENT, 0)
+
+
+def _context_rows(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Input rows of the words around each word, offset by offset; words of other texts are none (the last row)."""
     owner = np.repeat(np.arange(len(counts)), counts)
-    row = v.classes[bucket]
-    rare = row >= FREQUENT
-    row[rare] = CLASSES + bucket[rare] % HASHED
-    out = np.full((len(at), 2 * SIDE), NOTHING)
-    for j, d in enumerate([d for d in range(-SIDE, SIDE + 1) if d]):
-        near = np.clip(at + d, 0, len(row) - 1)
-        ok = (at + d >= 0) & (at + d < len(row)) & (owner[near] == owner[at])
-        out[ok, j] = row[near[ok]]
+    out = np.full((len(OFFSETS), len(rows)), ROWS - 1, np.int32)
+    for j, d in enumerate(OFFSETS):
+        if abs(d) >= len(rows):
+            continue
+        to, of = (slice(0, -d), slice(d, None)) if d > 0 else (slice(-d, None), slice(0, d))
+        out[j, to] = np.where(owner[to] == owner[of], rows[of], ROWS - 1)
     return out
 
 
-def _train(texts: DataFrame, v: Vocabulary, start: Network) -> Network:
-    """Each task runs over one word in STRIDE of all its texts from the same start; the weights are averaged by words seen."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((v, start.flat))  # a fixed size
+def _levels(net: list[np.ndarray], rows: np.ndarray, code: np.ndarray, shares: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Level, the words that have it, their hidden layers and the logits of its choices, for words in their contexts (rows: offset x word)."""
+    tables, bias, steps, outs = net
+    before = bias + tables[0][rows[0]]
+    for j in range(1, len(OFFSETS)):
+        before += tables[j][rows[j]]
+    some, parent = np.arange(rows.shape[1]), np.zeros(rows.shape[1], np.int64)
+    for level, share in enumerate(shares):
+        hidden = before
+        if level:
+            if level == 1:  # a code has one choice or all
+                some = np.flatnonzero(code[:, 1] >= 0)
+                before, parent = before[some], parent[some]
+            if not len(some):
+                return
+            hidden = before + steps[level][code[some, level - 1]]
+        hidden = np.maximum(hidden, 0)
+        logits = hidden @ outs[level]
+        logits += share[parent] if level else share
+        yield level, some, hidden, np.minimum(logits, 60, out=logits)  # so that no exponential overflows
+        parent = _child(parent, code[some, level], level)
+
+
+def log_probabilities(net: list[np.ndarray], rows: np.ndarray, code: np.ndarray, shares: list[np.ndarray]) -> np.ndarray:
+    """The log-probability of each word's code in its context."""
+    score = np.zeros(rows.shape[1])
+    for level, some, _, logits in _levels(net, rows, code, shares):
+        chosen = logits[np.arange(len(some)), code[some, level]]
+        score[some] += chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
+    return score
+
+
+def _learn(net: list[np.ndarray], rows: np.ndarray, code: np.ndarray, shares: list[np.ndarray]) -> None:
+    """One step of gradient ascent on the log-probability of the words' codes.
+
+    Outputs move by the mean gradient, rows of tables by their summed gradient over the root of how often they occur.
+    """
+    tables, bias, steps, outs = net
+    n = rows.shape[1]
+    back = np.zeros((n, HIDDEN), np.float32)
+    moves = []
+    for level, some, hidden, p in _levels(net, rows, code, shares):
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(some)), code[some, level]] -= 1
+        inner = (p @ outs[level].T) * (hidden > 0)
+        moves.append((level, hidden.T @ p))
+        back[some] += inner
+        if level:
+            hot = (np.arange(FAN)[:, None] == code[some, level - 1]).astype(np.float32)
+            steps[level] -= RATE_ROWS * (hot @ inner) / np.sqrt(np.maximum(hot.sum(axis=1), 1))[:, None]
+    for level, out in moves:
+        outs[level] -= RATE / n * out
+    bias -= RATE / n * back.sum(axis=0)
+    for j in range(len(OFFSETS)):
+        by = np.argsort(rows[j], kind="stable")
+        at = rows[j][by]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        grad = np.add.reduceat(back[by], first, axis=0)
+        tables[j][at[first]] -= RATE_ROWS * grad / np.sqrt(np.diff(np.append(first, n)).astype(np.float32))[:, None]
+
+
+def _train(dealt: DataFrame, v: Vocabulary, start: Network) -> Network:
+    """The mean, weighted by words, of what each group's documents, in the order of their hashes, make of the same start.
+
+    dealt: group, text, sorted by group within partitions; a group is in one partition and is streamed.
+    """
+    shared = dealt.sparkSession.sparkContext.broadcast((v, start.flat))  # bounded by MOST_WORDS, MOST_BUCKETS and the network's size
+    block = 1 << 13
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat = shared.value
-        net = Network(flat.copy())
-        table, w1, b1, w2, b2 = net.views()
-        seen = 0
+        total, seen = np.zeros(len(flat)), 0
+        group, net, views, n = None, None, None, 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def step(least: int) -> None:
+            nonlocal held
+            if not held:
+                return
+            rows, place = np.concatenate([r for r, _ in held], axis=1), np.concatenate([p for _, p in held])
+            whole = len(place) // STEP * STEP if least else len(place)
+            for a in range(0, whole, STEP):
+                _learn(views, rows[:, a : a + STEP], v.code[place[a : a + STEP]], v.shares)
+            held = [(rows[:, whole:], place[whole:])] if whole < len(place) else []
+
+        def close() -> None:
+            nonlocal total, seen
+            if group is not None:
+                step(0)
+                total, seen = total + net.flat.astype(np.float64) * n, seen + n
+
         for batch in batches:
-            for _, bucket, counts in _buckets(batch.column("text")):
-                if not len(bucket):
-                    continue
-                at = np.flatnonzero((bucket * 7 + np.arange(len(bucket))) % STRIDE == 0)
-                rows, goal = _contexts(bucket, counts, v, at), v.classes[bucket[at]]
-                for first in range(0, len(at), BATCH):
-                    r, y = rows[first : first + BATCH], goal[first : first + BATCH]
-                    x = table[r].reshape(len(r), -1)
-                    hidden = np.maximum(x @ w1 + b1, 0)
-                    logits = hidden @ w2 + b2
-                    logits -= logits.max(axis=1, keepdims=True)
-                    p = np.exp(logits)
-                    p /= p.sum(axis=1, keepdims=True)
-                    p[np.arange(len(y)), y] -= 1
-                    p /= len(y)
-                    back = (p @ w2.T) * (hidden > 0)
-                    inputs = (back @ w1.T).reshape(-1, WIDTH)
-                    w2 -= RATE * (hidden.T @ p)
-                    b2 -= RATE * p.sum(axis=0)
-                    w1 -= RATE * (x.T @ back)
-                    b1 -= RATE * back.sum(axis=0)
-                    np.subtract.at(table, r.ravel(), 4 * RATE * inputs)
-                    table[NOTHING] = 0
-                seen += len(at)
+            ids = batch.column("group").to_numpy()
+            edges = np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if ids[a] != group:
+                    close()
+                    group, net, n = ids[a], Network(flat.copy()), 0
+                    views = net.views()
+                for _, h, counts in _hashes(batch.column("text").slice(a, b - a)):
+                    place = v.places(h)
+                    held.append((_context_rows(v.row[place], counts), place))
+                    n += len(h)
+                    if sum(len(p) for _, p in held) >= 16 * STEP:
+                        step(STEP)
+        close()
         if seen:
-            for first in range(0, len(net.flat), 1 << 15):
-                part = net.flat[first : first + (1 << 15)].astype(np.float64)
-                yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(first, first + len(part))), "w": pa.array(part * seen), "n": pa.array(np.full(len(part), seen))})
+            for first in range(0, len(total), block):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([first // block], pa.int32()), "w": pa.array([total[first : first + block].tolist()], pa.list_(pa.float64())), "n": pa.array([seen], pa.int64())})
 
-    rows = texts.mapInArrow(run, "i bigint, w double, n bigint").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toArrow()
+    def added(rows: pa.Table) -> pa.Table:
+        parts = np.stack(sorted((np.asarray(w) for w in rows["w"].to_pylist()), key=lambda w: w.tobytes()))
+        return pa.table({"block": rows["block"].slice(0, 1), "w": pa.array([(parts.sum(axis=0) / sum(rows["n"].to_pylist())).tolist()], pa.list_(pa.float64()))})
+
+    # one vector a partition, in blocks
+    rows = dealt.mapInArrow(run, "block int, w array<double>, n bigint").groupBy("block").applyInArrow(added, "block int, w array<double>").toArrow()
     flat = start.flat.copy()
-    if rows.num_rows:
-        flat[rows["i"].to_numpy()] = rows["w"].to_numpy() / rows["n"].to_numpy()
+    for number, w in zip(rows["block"].to_pylist(), rows["w"].to_pylist(), strict=True):
+        flat[number * block : number * block + len(w)] = w
     return Network(flat)
 
 
 def fit(documents: DataFrame) -> tuple[Vocabulary, Network]:
-    """Word counts and network weights of all documents' texts."""
-    texts = documents.select("text").where("text is not null")
+    """Word counts and network weights of all documents' texts.
+
+    Documents are dealt by a hash of doc_id and text to rounds, and within a round to groups of about GROUP_BYTES, each read in
+    the order of that hash. So the result does not depend on how the table is laid out, but for the rounding of sums.
+    """
+    texts = documents.select("doc_id", "text").where("text is not null")
     v, net = vocabulary(texts), Network.new()
-    for _ in range(ROUNDS):
-        net = _train(texts, v, net)
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    groups = int(min(MOST_GROUPS, max(1, size // ROUNDS // GROUP_BYTES)))
+    keyed = texts.withColumn("__h", F.xxhash64("doc_id", "text"))
+    for k in range(ROUNDS):
+        own = keyed.where(F.pmod("__h", F.lit(ROUNDS)) == k).select(F.pmod(F.floor(F.col("__h") / ROUNDS), F.lit(groups)).cast("int").alias("group"), "__h", "text")
+        net = _train(own.repartition("group").sortWithinPartitions("group", "__h", "text").select("group", "text"), v, net)
     return v, net
 
 
 def pseudo_likelihood(documents: DataFrame, model: tuple[Vocabulary, Network] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, log_likelihood (the sum of every word's conditional log-probability), mean_log_likelihood.
 
-    The probability of a word is that of its class given two words on each side, times its count's share of the class; counts
-    and weights come from all documents. Null, empty and wordless texts have 0 words, a sum of 0 and a null mean. Repeated
-    rows each get a row; missing neighbours at the ends count as no word.
+    The probability of a word is that of its code given two words on each side, times its count's share of its leaf; counts
+    and weights come from all documents. Null, empty and wordless texts have 0 words, a sum of 0 and a null mean. Texts of any
+    length are scored whole; repeated rows each get a row, and teach as often as they occur. Missing neighbours at the ends
+    count as no word; other columns play no part. An empty table gives no rows.
     """
     model = model or fit(documents)
-    shared = documents.sparkSession.sparkContext.broadcast((model[0], model[1].flat))  # a fixed size
+    shared = documents.sparkSession.sparkContext.broadcast((model[0], model[1].flat))  # bounded as in _train
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat = shared.value
-        table, w1, b1, w2, b2 = Network(flat).views()
-        first_layer = [table @ w1[j * WIDTH : (j + 1) * WIDTH] for j in range(2 * SIDE)]  # each input row's part of the hidden layer
+        net = Network(flat).views()
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for a, bucket, counts in _buckets(batch.column("text")):
-                score = np.empty(len(bucket))
-                for first in range(0, len(bucket), 4096):
-                    at = np.arange(first, min(first + 4096, len(bucket)))
-                    lo, hi = max(0, first - SIDE), min(len(bucket), first + 4096 + SIDE)
-                    rows = _contexts_at(bucket, counts, v, at, lo, hi)
-                    hidden = b1 + sum(layer[rows[:, j]] for j, layer in enumerate(first_layer))
-                    logits = np.maximum(hidden, 0, out=hidden) @ w2 + b2
-                    goal = v.classes[bucket[at]]
-                    top = logits.max(axis=1)
-                    logits -= top[:, None]
-                    chosen = logits[np.arange(len(at)), goal].astype(np.float64)
-                    np.exp(logits, out=logits)
-                    score[at] = chosen - np.log(logits.sum(axis=1, dtype=np.float32)) + v.log_share[bucket[at]]
-                full = np.flatnonzero(counts)
+            for a, h, counts in _hashes(batch.column("text")):
                 n[a : a + len(counts)] = counts
-                if len(full):
-                    total[a + full] = np.add.reduceat(score, (np.cumsum(counts) - counts)[full])
+                if not len(h):
+                    continue
+                place = v.places(h)
+                rows = _context_rows(v.row[place], counts)
+                score = np.empty(len(h))
+                for first in range(0, len(h), STEP):
+                    part = slice(first, first + STEP)
+                    score[part] = log_probabilities(net, rows[:, part], v.code[place[part]], v.shares)
+                score += v.log_share[place]
+                full = np.flatnonzero(counts)
+                total[a + full] = np.add.reduceat(score, (np.cumsum(counts) - counts)[full])
             mean = pa.array(np.divide(total, n, out=np.zeros_like(total), where=n > 0), mask=n == 0)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": pa.array(n), "log_likelihood": pa.array(total), "mean_log_likelihood": mean})
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, log_likelihood double, mean_log_likelihood double")
-
-
-def _contexts_at(bucket: np.ndarray, counts: np.ndarray, v: Vocabulary, at: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """_contexts for places within lo..hi, made from that part only."""
-    ends = np.cumsum(counts)
-    part = np.diff(np.clip(np.concatenate(([0], ends)), lo, hi))
-    return _contexts(bucket[lo:hi], part, v, at - lo)

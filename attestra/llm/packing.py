@@ -21,8 +21,8 @@ WINDOW, UNIT = 1024, 8
 DEPTH = 3
 #: Id set after each document, and the vocabulary's one special token.
 END, SPECIAL = 0, {"<|endoftext|>": 50256}
-#: Salts that deal the rows of a bin to many tasks.
-SALTS = 256
+#: Rows of a bin that one task numbers; each bin is dealt to so many salts that a salt has about this many.
+SALT_ROWS = 1 << 17
 
 
 @functools.lru_cache(maxsize=2)
@@ -155,16 +155,13 @@ def pack(documents: DataFrame, window: int = WINDOW, unit: int = UNIT, vocabular
     window/unit bins and plans combinations of bins, which is all that is sent to tasks.
     """
     units = window // unit
-    rows = common.saved(
-        pieces(documents, window, vocabulary)
-        .withColumn("bin", F.ceil(F.col("length") / unit).cast("int"))
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int")),
-        "packing-pieces",
-    )
-    counts = common.saved(rows.groupBy("bin", "salt").agg(F.count(F.lit(1)).alias("n")), "packing-counts")  # bins x salts at most
+    binned = common.saved(pieces(documents, window, vocabulary).withColumn("bin", F.ceil(F.col("length") / unit).cast("int")), "packing-pieces")
     histogram = np.zeros(units + 1, np.int64)
-    for r in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect():
+    for r in binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect():
         histogram[r["bin"]] = r["n"]
+    salts = F.element_at(F.array(*(F.lit(1 + int(n) // SALT_ROWS) for n in histogram)), F.col("bin") + 1)
+    rows = binned.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), salts))
+    counts = common.saved(rows.groupBy("bin", "salt").agg(F.count(F.lit(1)).alias("n")), "packing-counts")
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     base, used = 0, np.zeros(units + 1, np.int64)
     for combination, repeats in plan(histogram):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -15,10 +17,27 @@ from . import common
 TARGET, LOWEST, RATIO, FANOUT = 64 << 20, 256 << 10, 4, 4
 
 
+#: Times that a commit is tried again after other writers' commits, and seconds after which a file that no version names is an orphan.
+RETRIES, ORPHAN_AGE = 20, 7 * 86400
+
+
 class Conflict(RuntimeError):
     """Another writer committed this version first; read the new manifest and try again."""
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores behind it as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def same_form(uri: str) -> str:
+    """A file URI as it is compared: local ones have one slash after the scheme."""
+    return re.sub("^file:/+", "file:/", uri)
+
+
 @dataclass(frozen=True)
 class Shard:
     path: str
@@ -54,10 +73,16 @@ def merges(shards: list[Shard], target: int = TARGET, fanout: int = FANOUT) -> l
 
 
 class ShardStore:
-    """A table of immutable Parquet shards in a folder. A version is one manifest file, committed by a rename that never overwrites."""
+    """A table of immutable Parquet shards in a folder. A version is one manifest file, committed by a rename that never overwrites.
+
+    The folder's name may hold any characters but those of Hadoop's globs. Writers may run side by side: a commit that comes
+    second is tried again on the newer version.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, schema, target: int = TARGET, fanout: int = FANOUT) -> None:
         self.spark, self.folder, self.schema, self.target, self.fanout = spark, folder.rstrip("/"), schema, target, fanout
+        if set(self.folder) & set("*?[]{}\\"):
+            raise ValueError("the folder's name must not hold glob characters")
         self._jvm = spark._jvm
         self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -105,31 +130,68 @@ class ShardStore:
                 out.append(Shard(name, status.getLen()))
         return sorted(out, key=lambda s: s.path)
 
+    def _swap(self, gone: set[str], new: list[Shard]) -> int | None:
+        """Commit the newest version without the shards `gone` and with the new ones; None if another writer took one of those away."""
+        for _ in range(RETRIES):
+            version = (self.versions() or [0])[-1]
+            live = self.shards(version) if version else []
+            if gone - {s.path for s in live}:
+                return None
+            try:
+                self.commit([s for s in live if s.path not in gone] + new, version + 1)
+                return version + 1
+            except Conflict:
+                continue
+        raise Conflict(f"no commit within {RETRIES} tries")
+
     def append(self, rows: DataFrame) -> int:
         """Add rows as new small shards, one for each of their partitions; return the version."""
         folder = f"{self.folder}/data/{uuid.uuid4().hex}"
         rows.write.parquet(folder)
-        version = (self.versions() or [0])[-1] + 1
-        self.commit(self.shards() + self._written(folder), version)
-        return version
+        return self._swap(set(), self._written(folder))
+
+    def _rows(self, paths: list[str]) -> int:
+        return self.spark.read.schema(self.schema).parquet(*paths).count() if paths else 0
 
     def compact(self) -> int:
         """Merge until no tier calls for it; each round is one Spark job and one version. Return the newest version.
 
-        A merged run becomes one file, written by one task that reads at most about `target` bytes.
+        A merged run becomes one file, written by one task that reads at most about `target` bytes. Nothing is committed unless
+        the merged files have as many rows as the files that they replace.
         """
-        while groups := merges(before := self.shards(), self.target, self.fanout):
-            version = self.versions()[-1] + 1
+        run, file = free_name("__run", self.schema.names), free_name("__file", self.schema.names)
+        while groups := merges(self.shards(), self.target, self.fanout):
             folder = f"{self.folder}/data/{uuid.uuid4().hex}"
-            named = [(s.path, i) for i, run in enumerate(groups) for s in run]
-            runs = self.spark.createDataFrame(named, "__file string, __run int")
-            rows = self.spark.read.schema(self.schema).parquet(*(p for p, _ in named)).withColumn("__file", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/"))
-            merged = rows.join(F.broadcast(runs) if len(named) < 10_000 else runs, "__file").drop("__file")
-            merged.repartition(len(groups), "__run").write.partitionBy("__run").parquet(folder)
-            gone = {p for p, _ in named}
-            self.commit([s for s in before if s.path not in gone] + self._written(folder), version)
+            gone = [s.path for group in groups for s in group]
+            named = [(same_form(self._path(s.path).toUri().toString()), i) for i, group in enumerate(groups) for s in group]
+            runs = self.spark.createDataFrame(named, f"{file} string, {run} int")
+            found = self.spark.read.schema(self.schema).parquet(*gone)
+            rows = found.withColumn(file, F.regexp_replace(found.metadataColumn("_metadata")["file_path"], "^file:/+", "file:/"))
+            rows.join(runs, file).drop(file).repartition(len(groups), run).write.partitionBy(run).parquet(folder)
+            new = self._written(folder)
+            before, after = self._rows(gone), self._rows([s.path for s in new])
+            if before != after:
+                self._fs.delete(self._path(folder), True)
+                raise RuntimeError(f"merging would keep {after} of {before} rows")
+            if self._swap(set(gone), new) is None:
+                self._fs.delete(self._path(folder), True)
         return (self.versions() or [0])[-1]
 
+    def sweep(self, older_than: float = ORPHAN_AGE) -> int:
+        """Delete data files that no version names and that were written over `older_than` seconds ago, as failed writers leave; return how many."""
+        live = {same_form(s.path) for v in self.versions() for s in self.shards(v)}
+        data = self._path(f"{self.folder}/data")
+        if not self._fs.exists(data):
+            return 0
+        gone, files, edge = [], self._fs.listFiles(data, True), (time.time() - older_than) * 1000
+        while files.hasNext():
+            status = files.next()
+            if same_form(status.getPath().toString()) not in live and status.getModificationTime() < edge:
+                gone.append(status.getPath())
+        for path in gone:
+            self._fs.delete(path, False)
+        return len(gone)
+
     def vacuum(self, keep: int = 1) -> int:
         """Delete the shards that none of the newest `keep` versions names, and older manifests; return how many shards went."""
         known = self.versions()
@@ -141,18 +203,24 @@ class ShardStore:
             self._fs.delete(self._path(self._manifest(v)), False)
         return len({s.path for s in gone})
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, the newest by default, with `shard`: the name of the file that holds each."""
+    def read(self, version: int | None = None, shard: str = "shard") -> DataFrame:
+        """The rows of a version, the newest by default, and the name of the file that holds each.
+
+        That column is named `shard`; if the rows have such a column, theirs stays and this one gets underscores behind its name.
+        """
+        shard = free_name(shard, self.schema.names)
         paths = [s.path for s in self.shards(version)]
         if not paths:
-            return self.spark.createDataFrame([], self.schema).withColumn("shard", F.lit(""))
-        return self.spark.read.schema(self.schema).parquet(*paths).withColumn("shard", F.element_at(F.split("_metadata.file_path", "/"), -1))
+            return self.spark.createDataFrame([], self.schema).withColumn(shard, F.lit(""))
+        rows = self.spark.read.schema(self.schema).parquet(*paths)
+        return rows.withColumn(shard, F.element_at(F.split(rows.metadataColumn("_metadata")["file_path"], "/"), -1))
 
 
 def arrive(documents: DataFrame, folder: str | None = None, arrivals: int = 6, target: int = TARGET) -> ShardStore:
     """A store filled by `arrivals` appends (documents dealt by a hash of all their columns), compacted after every third and at the end.
 
-    Rows of any content are kept as they are, nulls and repeats too; superseded files are deleted once a compaction is committed.
+    Rows of any content are kept as they are, nulls and repeats too, and columns of any name; superseded files are deleted once a
+    compaction is committed. An empty table gives a store without rows.
     """
     store = ShardStore(documents.sparkSession, folder or common.new_path(documents.sparkSession, "shards"), documents.schema, target)
     for k in range(arrivals):

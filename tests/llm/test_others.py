@@ -1,13 +1,15 @@
 """The other corpus operators: brute force, exact round trips and held-out accuracy, and edge cases."""
 
 import hashlib
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.llm import ann, crf, lm, packing, queries, shards, warc, winnowing
+from attestra.llm import ann, crf, lm, packing, queries, shards, warc, winnowing, words
 from tests.compare import of_duckdb, of_spark
 from tests.llm.test_dedup import FOLD, SCHEMA, WORD, edge_documents
 
@@ -194,6 +196,38 @@ def test_shards_keep_every_row(spark, tmp_path):
     assert empty.read().count() == 0
 
 
+@pytest.mark.parametrize("name", ["with space", "per%20cent 100%", "ü-ß", "plus+and&"])
+def test_store_in_odd_folders_keeps_every_row(spark, tmp_path, name):
+    rows = [(i, f"text {i}", "x", i % 3, None) for i in range(1000)] + [(1, "text 1", "x", 1, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, __run int, __file string").repartition(3)
+    store = shards.arrive(docs, str(tmp_path / name), arrivals=6)
+    got = store.read()
+    assert len(store.shards()) < 18 and got.columns == [*docs.columns, "shard_"]
+    got = got.drop("shard_")
+    assert got.exceptAll(docs).count() == 0 and docs.exceptAll(got).count() == 0
+
+
+def test_writers_side_by_side_and_orphans(spark, tmp_path, monkeypatch):
+    one = spark.range(50).select(F.col("id").alias("doc_id"))
+    store = shards.ShardStore(spark, str(tmp_path / "s"), one.schema)
+    other = shards.ShardStore(spark, str(tmp_path / "s"), one.schema)
+    commit, once = store.commit, []
+
+    def late(files, version):
+        if not once:  # another writer commits first
+            once.append(other.append(one))
+        commit(files, version)
+
+    monkeypatch.setattr(store, "commit", late)
+    store.append(one)
+    assert store.read().count() == 100 and store.versions() == [1, 2]
+    one.write.parquet(str(tmp_path / "s" / "data" / "left-behind"))
+    assert store.sweep() == 0 and store.sweep(-60) > 0 and store.sweep(-60) == 0
+    assert store.read().count() == 100
+    with pytest.raises(ValueError):
+        shards.ShardStore(spark, str(tmp_path / "a[b]"), one.schema)
+
+
 def test_merges_are_size_tiered():
     mb = 1 << 20
     some = [shards.Shard(f"s{i}", mb) for i in range(10)] + [shards.Shard("big", 40 * mb), shards.Shard("mid", 9 * mb)]
@@ -203,24 +237,81 @@ def test_merges_are_size_tiered():
     assert shards.merges(some[:3]) == []
 
 
-def test_pseudo_likelihood_prefers_the_corpus(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = lm.fit(docs)
-    text = docs.where("lang = 'en'").first()["text"]
-    w = text.split()
-    np.random.default_rng(0).shuffle(w)
-    probe = spark.createDataFrame([(1, text), (2, "zqx " * len(w)), (3, None), (4, ""), (5, "!!"), (6, "one")], "doc_id long, text string")
-    got = {r.doc_id: r for r in lm.pseudo_likelihood(probe, model).collect()}
-    assert got[1].mean_log_likelihood > got[2].mean_log_likelihood or got[1].n_words == 0
-    assert [(got[i].n_words, got[i].log_likelihood, got[i].mean_log_likelihood) for i in (3, 4, 5)] == [(0, 0.0, None)] * 3
-    assert got[6].n_words == 1 and got[6].log_likelihood < 0
+def chain_texts(seed, n, words_=400):
+    """Texts in which each word allows only few next words, though all words are about as common."""
+    rng = random.Random(seed)
+    names = [f"w{i:03d}x" for i in range(words_)]
+    out = []
+    for _ in range(n):
+        i, text = rng.randrange(words_), []
+        for _ in range(120):
+            text.append(names[i])
+            i = (i * 7 + rng.choice((1, 5))) % words_
+        out.append(" ".join(text))
+    return out
+
+
+def test_pseudo_likelihood_uses_the_order_of_rare_words(spark):
+    """On held-out text the context must beat the words' own shares, and real order the same words shuffled."""
+    train = spark.createDataFrame(list(enumerate(chain_texts(1, 1500))), "doc_id long, text string")
+    model = lm.fit(train)
+    held = chain_texts(2, 60)
+    rng = random.Random(3)
+    mixed = [" ".join(rng.sample(t.split(), 120)) for t in held]
+    probe = spark.createDataFrame([(i, t) for i, t in enumerate(held + mixed)], "doc_id long, text string")
+    got = {r.doc_id: r.mean_log_likelihood for r in lm.pseudo_likelihood(probe, model).collect()}
+    real, shuffled = (sum(got[i] for i in ids) / 60 for ids in (range(60), range(60, 120)))
+    assert real > -np.log(400) + 0.5 and real > shuffled + 0.5
+    assert sum(got[i] > got[i + 60] for i in range(60)) >= 57
+
+
+def test_pseudo_likelihood_does_not_depend_on_the_layout(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("row", F.lit(1)).withColumn("group", F.lit("x"))
+    one, two = ({r.doc_id: r.log_likelihood for r in lm.pseudo_likelihood(d).collect()} for d in (docs, docs.repartition(13)))
+    assert one.keys() == two.keys() and max(abs(one[k] - two[k]) / (1 + abs(one[k])) for k in one) < 1e-4
+
+
+def test_pseudo_likelihood_is_the_sum_over_words(spark):
+    """One document's sum, word by word from the weights, and the edge cases."""
+    docs = [(i, t) for i, t in enumerate(chain_texts(5, 200, 120))]
+    docs += [(0, docs[0][1]), (None, docs[1][1]), (900, None), (901, ""), (902, "!!"), (903, "one"), (904, "W001X w001x " * 60_000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    v, net = lm.fit(frame)
+    got = lm.pseudo_likelihood(frame.withColumn("n_words", F.lit("clash")).withColumn("h", F.lit(0)), (v, net)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in docs)
+    by = {r.doc_id: r for r in got}
+    assert [(by[i].n_words, by[i].log_likelihood, by[i].mean_log_likelihood) for i in (900, 901, 902)] == [(0, 0.0, None)] * 3
+    assert by[904].n_words == 120_000 and by[904].log_likelihood < 0
+    assert len({r.log_likelihood for r in got if r.doc_id == 0}) == 1
+    tables, bias, steps, outs = (x.astype(float) for x in net.views())
+    for doc in (3, 903):
+        tokens = WORD.findall(dict(docs)[doc].translate(FOLD))
+        place = [int(v.places(words.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0])[0]) for w in tokens]
+        total = 0.0
+        for i, p in enumerate(place):
+            base = bias.copy()
+            for j, d in enumerate(lm.OFFSETS):
+                base += tables[j][v.row[place[i + d]] if 0 <= i + d < len(place) else lm.ROWS - 1]
+            parent = 0
+            for level, share in enumerate(v.shares):
+                choice = int(v.code[p, level])
+                if choice < 0:
+                    break
+                logits = np.maximum(base + (steps[level][v.code[p, level - 1]] if level else 0), 0) @ outs[level] + share[parent]
+                total += logits[choice] - np.log(np.exp(logits).sum())
+                parent = parent * lm.FAN + choice if level else max(choice - lm.FREQUENT, 0)
+            total += v.log_share[p]
+        assert by[doc].log_likelihood == pytest.approx(total, rel=1e-4)
     assert lm.pseudo_likelihood(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_pseudo_likelihood_sums_over_classes_to_one():
-    v = lm.Vocabulary(np.arange(lm.BUCKETS) % lm.CLASSES, np.log(np.full(lm.BUCKETS, lm.CLASSES / lm.BUCKETS)))
-    share = np.bincount(v.classes, np.exp(v.log_share))
-    assert np.allclose(share, 1)
+def test_pseudo_likelihood_of_all_words_sums_to_one(spark):
+    texts = chain_texts(7, 60, 90)
+    v, net = lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    place = np.arange(len(v.known))
+    rows = np.repeat(np.array([[3], [5], [7], [lm.ROWS - 1]]), len(place), axis=1)
+    p = np.exp(lm.log_probabilities(net.views(), rows, v.code[place], v.shares) + v.log_share[place])
+    assert 0.98 < p.sum() < 1.001  # the rest belongs to words that the corpus has not
 
 
 def test_search_recall_and_order(spark, sf_dir):
