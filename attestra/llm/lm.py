@@ -21,8 +21,8 @@ from . import common, words
 #: Choices of a level; of the first level's, how many are single words (the commonest) and how many are groups of the others.
 FAN, FREQUENT = 32, 24
 GROUPS = FAN - FREQUENT
-#: Words aimed at in a leaf, and most levels.
-LEAF, MOST_LEVELS = 64, 5
+#: Words aimed at in a leaf, of those that occur OFTEN (of others a context can't be learned), and most levels.
+LEAF, OFTEN, MOST_LEVELS = 64, 8, 5
 #: Most words that are told apart exactly; the rest share buckets, with the mean count of a bucket's words.
 MOST_WORDS, MOST_BUCKETS = 1 << 18, 1 << 16
 #: Words on each side, input rows of their own and by hash, and width of the hidden layer.
@@ -139,7 +139,7 @@ def codes(hashes: np.ndarray, rank: np.ndarray, levels: int) -> np.ndarray:
 def vocabulary(texts: DataFrame) -> Vocabulary:
     """Count every word of every text; the driver gets MOST_WORDS and MOST_BUCKETS counts at most.
 
-    The number of levels follows from the number of different words. A bucket stands for the words beyond MOST_WORDS with
+    The number of levels follows from the number of different words that occur OFTEN. A bucket stands for the words beyond MOST_WORDS with
     that hash, each with their mean count; a word that the corpus has not counts as half an occurrence.
     """
     counts = common.saved(word_counts(texts), "lm-counts")
@@ -147,7 +147,7 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
     known = top["word"].to_numpy().view(np.uint64)
     n = top["n"].to_numpy().astype(np.float64)
     rank = np.arange(len(known))
-    different = len(known)
+    different = counts.where(F.col("n") >= OFTEN).count()
     buckets = 1
     rest_n, rest_many = np.zeros(1), np.zeros(1)
     if len(known) == MOST_WORDS:
@@ -157,7 +157,6 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
         held = rest.groupBy((F.col("word").bitwiseAND(F.lit(buckets - 1))).alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("many")).toArrow()
         rest_n, rest_many = np.zeros(buckets), np.zeros(buckets)
         rest_n[held["bucket"].to_numpy()], rest_many[held["bucket"].to_numpy()] = held["n"].to_numpy(), held["many"].to_numpy()
-        different += int(rest_many.sum())
     common.discard(counts)
     levels = 2
     while levels < MOST_LEVELS and GROUPS * FAN ** (levels - 1) * LEAF < different:
@@ -251,12 +250,13 @@ def _learn(net: list[np.ndarray], rows: np.ndarray, code: np.ndarray, shares: li
     for level, out in moves:
         outs[level] -= RATE / n * out
     bias -= RATE / n * back.sum(axis=0)
-    for j in range(len(OFFSETS)):
-        by = np.argsort(rows[j], kind="stable")
-        at = rows[j][by]
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        grad = np.add.reduceat(back[by], first, axis=0)
-        tables[j][at[first]] -= RATE_ROWS * grad / np.sqrt(np.diff(np.append(first, n)).astype(np.float32))[:, None]
+    flat = (rows + np.arange(0, len(OFFSETS) * ROWS, ROWS, dtype=np.int32)[:, None]).ravel()
+    by = np.argsort(flat)
+    at = flat[by]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    grad = np.add.reduceat(back[by % n], first, axis=0)
+    grad *= (RATE_ROWS / np.sqrt(np.diff(np.append(first, len(at))))).astype(np.float32)[:, None]
+    tables.reshape(-1, HIDDEN)[at[first]] -= grad
 
 
 def _train(dealt: DataFrame, v: Vocabulary, start: Network) -> Network:
