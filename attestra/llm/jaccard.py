@@ -209,6 +209,7 @@ def links(documents: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
         return rows.select(["bucket", "left", "right", "band", "block", "tid"]).take(pa.array(used))
 
     needed = common.saved(common.map_groups(dealt.join(copies.select("tid", "sig"), "tid"), keys, meeting, kept), "jaccard-meetings")
+    common.discard(shared)
     likely = common.keep_likely(texts, "tid", common.bit_filter(needed.select("tid").distinct(), "tid"))
     one = likely.join(copies.select("tid", "rep", "sig").join(needed.select("tid").distinct(), "tid", "left_semi"), "tid").where("doc_id <=> rep").select("tid", "sig", "text").dropDuplicates(["tid"])
 
@@ -222,6 +223,7 @@ def links(documents: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
         return pa.table({"tid": rows["tid"].take(pa.array(out)), "top": rows["tid"].take(pa.array(top[out])), "n": pa.array(n[out], pa.int64())})
 
     found = common.saved(common.map_groups(needed.join(one, "tid"), keys, verified, "tid binary, top binary, n bigint"), "jaccard-links")
+    common.discard(needed)
     counts = found.groupBy("tid").agg(F.sum("n").alias("n_links"))
     edges = found.where("tid <> top").select(F.col("tid").alias("a"), F.col("top").alias("b")).distinct()
     return copies, edges, counts
@@ -244,6 +246,7 @@ def components(edges: DataFrame) -> DataFrame:
         common.discard(labels)
         labels = new.select("node", "root")
         if done:
+            common.discard(both)
             return labels
 
 

@@ -128,8 +128,7 @@ def _chunk_rows(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """The chunks that may be repeated, with bytes, digest and rank, and the bitmap that tells which those are."""
     texts = common.texts_of(documents).where("tid is not null")
     narrow = texts.mapInArrow(lambda batches: (_chunks(b, None) for b in batches), "doc_id bigint, tid binary, number bigint, chunk bigint")
-    hashes = common.saved(narrow.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk"), "line-hashes")
-    wanted = common.bit_filter(hashes, "chunk", hashed=True)
+    wanted = common.repeated_filter(narrow, "chunk", None, "line-hashes")
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +181,7 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
 
         return texts.mapInArrow(loose, schema).unionByName(inner.mapInArrow(within, schema))
 
-    hashes = common.saved(pairs(None, "pair bigint").groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pair"), "line-pair-hashes")
-    wanted = common.bit_filter(hashes, "pair", hashed=True)
+    wanted = common.repeated_filter(pairs(None, "pair bigint"), "pair", None, "line-pair-hashes")
     found = common.saved(
         pairs(wanted, "doc_id bigint, tid binary, first bigint, last bigint, pair bigint, digest binary").withColumn("rank", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid", "first", "last")),
         "line-pairs",

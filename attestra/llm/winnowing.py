@@ -69,20 +69,20 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     strings and joined by commas (of the empty string if there are none). Null or wordless texts have no words and no hits;
     null or wordless items have no windows; a null item_id still hits words. Repeated documents each get a row.
     """
-    spans = common.saved(item_windows(benchmark, window), "winnowing-items")
+    named = common.saved(item_windows(benchmark, window).withColumn("span_id", F.xxhash64("length", "span")), "winnowing-items")
+    spans = named.select("length", "span", "span_id")
     lengths = sorted(r[0] for r in spans.select("length").distinct().collect())  # at most `window` values
     texts = common.texts_of(documents)
-    hits: DataFrame | None = None
-    for length in lengths:
-        one = _occurrences(texts, spans.where(F.col("length") == length), length)
-        hits = one if hits is None else hits.unionByName(one)
     base = documents.select("doc_id", common.text_id(F.col("text")).alias("tid"), F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
-    if hits is None:
+    if not lengths:
         found = base.select("tid").limit(0).select("tid", F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("ids"))
     else:
+        hits = common.saved(_occurrences(texts, spans, lengths), "winnowing-places")
         covered = F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1))))
-        ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("items", lambda i: i.cast("string"))))))
-        found = common.saved(hits.groupBy("tid").agg(F.size(covered).cast("bigint").alias("n_hit"), ids.alias("ids")), "winnowing-found")
+        n_hit = hits.groupBy("tid").agg(F.size(covered).cast("bigint").alias("n_hit"))
+        items = named.select("span_id", F.explode(F.transform("items", lambda i: i.cast("string"))).alias("item"))
+        held = hits.select("tid", "span_id").distinct().join(items, "span_id").groupBy("tid").agg(F.array_sort(F.collect_set("item")).alias("ids"))
+        found = common.saved(n_hit.join(held, "tid", "left"), "winnowing-found")
     out = base.join(found, "tid", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return out.select(
@@ -96,22 +96,45 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     )
 
 
-def _occurrences(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
-    """tid, at (word number), length, items of every occurrence of the windows of one length; rows may repeat."""
+def _shape(length: int) -> tuple[int, int]:
+    """Words of the hashed grams of a window of `length` words, and grams of a window."""
     k = min(GRAM, (length + 1) // 2)
-    width = length - k + 1
-    prints = common.saved(
-        spans.select(F.array_min(gram_hashes(F.split("span", " "), k)).alias("print")).distinct(), "winnowing-prints"
-    )
-    chosen = kept(gram_hashes(words(F.col("text")), k), width)
-    each = texts.where("tid is not null").select("tid", F.explode(F.array_distinct(chosen)).alias("print"))
-    likely = common.saved(each.join(prints, "print").groupBy("tid").agg(F.collect_set("print").alias("prints")), "winnowing-hits")
-    one = texts.join(likely, "tid")
-    place = lambda v, prints: let(
-        kept(gram_hashes(v, k), width),
-        lambda least: F.filter(F.sequence(F.lit(1), F.size(least)), lambda i: F.array_contains(prints, F.element_at(least, i))),
-    )
-    spans_at = let(words(F.col("text")), lambda v: F.transform(place(v, F.col("prints")), lambda i: F.struct((i - 1).alias("at"), F.array_join(F.slice(v, i, length), " ").alias("span"))))
-    windows = one.select("tid", F.explode(spans_at).alias("x"))
-    rows = windows.select("tid", "x.at", "x.span").join(spans.select("span", "items"), "span")
-    return rows.select("tid", "at", F.lit(length).alias("length"), "items")
+    return k, length - k + 1
+
+
+def _occurrences(texts: DataFrame, spans: DataFrame, lengths: list[int]) -> DataFrame:
+    """tid, at (word number), length, span_id of every occurrence of the windows; rows may repeat.
+
+    All lengths are sought in one pass over the texts, and the texts that share a kept hash are read once more.
+    """
+
+    def prints(v: Column, length: int) -> Column:
+        k, width = _shape(length)
+        return kept(gram_hashes(v, k), width)
+
+    def tagged(v: Column) -> Column:
+        def of(n: int) -> Column:
+            return F.transform(F.array_distinct(prints(v, n)), lambda p: F.struct(F.lit(n).alias("length"), p.alias("print")))
+
+        each = [of(n) for n in lengths]
+        return each[0] if len(each) == 1 else F.concat(*each)
+
+    own = [spans.where(F.col("length") == n).select("length", F.array_min(gram_hashes(F.split("span", " "), _shape(n)[0])).alias("print")) for n in lengths]
+    wanted = own[0]
+    for other in own[1:]:
+        wanted = wanted.unionByName(other)
+    wanted = common.saved(wanted.distinct(), "winnowing-prints")
+    each = texts.where("tid is not null").select("tid", F.explode(let(words(F.col("text")), tagged)).alias("x")).select("tid", "x.length", "x.print")
+    likely = common.saved(each.join(wanted, ["length", "print"]).groupBy("tid").agg(F.collect_set(F.struct("length", "print")).alias("found")), "winnowing-hits")
+
+    def places(v: Column) -> Column:
+        def of(n: int) -> Column:
+            mine = F.transform(F.filter("found", lambda x: x["length"] == n), lambda x: x["print"])
+            at = let(prints(v, n), lambda least: F.filter(F.sequence(F.lit(1), F.size(least)), lambda i: F.array_contains(mine, F.element_at(least, i))))
+            here = F.transform(at, lambda i: F.struct((i - 1).alias("at"), F.lit(n).alias("length"), F.array_join(F.slice(v, i, n), " ").alias("span")))
+            return F.when(F.size(mine) > 0, here).otherwise(F.array().cast("array<struct<at:int,length:int,span:string>>"))
+
+        return F.concat(*(of(n) for n in lengths)) if len(lengths) > 1 else of(lengths[0])
+
+    windows = texts.join(likely, "tid").select("tid", F.explode(let(words(F.col("text")), places)).alias("x")).select("tid", "x.at", "x.length", "x.span")
+    return windows.join(spans, ["length", "span"]).select("tid", "at", "length", "span_id")
