@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +18,27 @@ def link(prev: Column, body: Column) -> Column:
 
 
 def chain(rows: DataFrame, key: str, order: str, body: str) -> DataFrame:
-    """The rows with prev_hash and hash. A chain is sequential by nature, so each key's chain is one fold; keys run in parallel."""
-    entry = F.struct(F.col(order).alias("o"), F.col(body).alias("b"))
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(F.element_at(acc, -1)["hash"].alias("prev_hash"), link(F.element_at(acc, -1)["hash"], x["b"]).alias("hash"), x["o"].alias("o"))))
-    start = F.array(F.struct(F.lit(GENESIS).alias("prev_hash"), F.lit(GENESIS).alias("hash"), F.lit(None).cast(rows.schema[order].dataType).alias("o")))
-    folded = rows.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("e")).select(key, F.aggregate("e", start, step).alias("c"))
-    links = folded.select(key, F.inline(F.slice("c", 2, F.size("c")))).withColumnRenamed("o", order)
-    return rows.join(links, [key, order])
+    """The rows with prev_hash and hash.
+
+    A chain is sequential by nature, so a key's rows come in order to one task, which carries nothing but the last hash from
+    row to row: a chain of any length needs no memory. A null body adds nothing to what is hashed.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, last = object(), GENESIS
+        for batch in batches:
+            before, after = [], []
+            for k, content in zip(batch.column(key).to_pylist(), batch.column(body).to_pylist(), strict=True):
+                if k != book:
+                    book, last = k, GENESIS
+                before.append(last)
+                last = hashlib.sha256((last if content is None else f"{last}|{content}").encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*names, "prev_hash", "hash"])
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, order)
+    return dealt.mapInArrow(run, rows.withColumn("prev_hash", F.lit("")).withColumn("hash", F.lit("")).schema)
 
 
 def breaks(ledger: DataFrame, key: str, order: str, body: str) -> DataFrame:

@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ..functions.geo import EARTH
+from ..functions.geo import EARTH, haversine
+from ..sources.tables import saved
 
 #: Metres by which an outline is widened, and corners of the circle that stands for it.
 BUFFER_M, CORNERS = 250.0, 16
 #: Parts into which a key's corners are dealt before they meet.
 PARTS = 64
+#: Points of a key that are compared in pairs at once.
+FEW = 24
 #: Points whose cosine to their middle falls below this are not projected; all of them are kept then.
 LEAST_COS = 0.8
 
@@ -82,9 +85,12 @@ def hull_points(members: DataFrame, key: str, of: Callable[[np.ndarray], np.ndar
 
 
 def widest(members: DataFrame, key: str) -> DataFrame:
-    """key and widest, the greatest great-circle distance in km between two of its points (lng, lat)."""
+    """key and widest, the greatest great-circle distance in km between two of its points (lng, lat).
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    The points of a key with at most FEW are compared in pairs by array functions; of others only corners of hulls are.
+    """
+
+    def farthest(rows: pd.DataFrame) -> float:
         points = rows[["lng", "lat"]].to_numpy(float)
         points = points[corners_on_sphere(points)]
         lng, lat = np.radians(points[:, 0]), np.radians(points[:, 1])
@@ -92,10 +98,21 @@ def widest(members: DataFrame, key: str) -> DataFrame:
         for i in range(len(points)):  # a row at a time, so that memory stays in proportion to the corners
             a = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat) * np.cos(lat[i]) * np.sin((lng - lng[i]) / 2) ** 2
             most = max(most, float(a.max()))
-        return pd.DataFrame({key: [rows[key].iloc[0]], "widest": [2 * EARTH * np.arcsin(np.sqrt(min(1.0, most)))]})
+        return 2 * EARTH * np.arcsin(np.sqrt(min(1.0, most)))
 
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: [rows[key].iloc[0]], "widest": [farthest(rows)]})
+
+    points = members.select(key, "lng", "lat").where(F.col(key).isNotNull() & F.col("lng").isNotNull() & F.col("lat").isNotNull())
+    sized = points.join(points.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), key)
+    few = sized.where(F.col("__n") <= FEW).groupBy(key).agg(F.collect_list(F.struct("lng", "lat")).alias("p"))
+    far = lambda a, b: haversine(a["lat"], a["lng"], b["lat"], b["lng"])
+    small = few.select(key, F.array_max(F.transform("p", lambda a: F.array_max(F.transform("p", lambda b: far(a, b))))).alias("widest"))
     kind = members.schema[key].dataType.simpleString()
-    return hull_points(members, key, corners_on_sphere).groupBy(key).applyInPandas(one, f"{key} {kind}, widest double")
+    large = saved(hull_points(sized.where(F.col("__n") > FEW).drop("__n"), key, corners_on_sphere), "corners")
+    if large.isEmpty():
+        return small
+    return small.unionByName(large.groupBy(key).applyInPandas(one, f"{key} {kind}, widest double"))
 
 
 def outline(points: np.ndarray, metres: float = BUFFER_M) -> np.ndarray:

@@ -25,22 +25,22 @@ def _keyed(points: DataFrame, km: float, spread: bool, most_lat: float) -> DataF
     return points.withColumn("__c", F.explode(near)).select("*", "__c.cy", "__c.cx").drop("__c")
 
 
-def radius_join(left: DataFrame, right: DataFrame, km: float, most_lat: float = 60.0, how: str = "inner", radius: float = EARTH) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, km: float, most_lat: float = 60.0, how: str = "inner", radius: float = EARTH, spread_right: bool = False) -> DataFrame:
     """Pairs within km: columns of left (with lat, lng) and those of right prefixed r_, and km.
 
-    The right side stands in its own cell and the left one looks into nine, so Spark sees an equi-join and only neighbours are
-    compared. Points without coordinates meet nobody. most_lat bounds the latitudes of the data.
+    One side stands in its own cell and the other, the left one or if spread_right the right one (name the smaller), in nine, so
+    Spark sees an equi-join and only neighbours are compared. Points without coordinates meet nobody. most_lat bounds the latitudes of the data.
     """
-    r = _keyed(right.where("lat is not null and lng is not null"), km, False, most_lat)
+    r = _keyed(right.where("lat is not null and lng is not null"), km, spread_right, most_lat)
     r = r.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), F.col("cy").alias("__ry"), F.col("cx").alias("__rx"))
-    pairs = _keyed(left, km, True, most_lat).join(r, (F.col("cy") == F.col("__ry")) & (F.col("cx") == F.col("__rx")), how)
+    pairs = _keyed(left, km, not spread_right, most_lat).join(r, (F.col("cy") == F.col("__ry")) & (F.col("cx") == F.col("__rx")), how)
     out = pairs.withColumn("km", haversine(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"), radius)).where(F.col("km") <= km)
     return out.drop("cy", "cx", "__ry", "__rx")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, km: float, within: Column | None = None, most_lat: float = 60.0) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, km: float, within: Column | None = None, most_lat: float = 60.0, spread_right: bool = False) -> DataFrame:
     """Of each left row (named by key) the nearest right row within km and `within`; ties go to the smaller r_ columns. No row without one."""
-    pairs = radius_join(left.select(key, "lat", "lng", *[c for c in left.columns if c not in (key, "lat", "lng")]), right, km, most_lat)
+    pairs = radius_join(left.select(key, "lat", "lng", *[c for c in left.columns if c not in (key, "lat", "lng")]), right, km, most_lat, spread_right=spread_right)
     if within is not None:
         pairs = pairs.where(within)
     rest = [c for c in pairs.columns if c.startswith("r_")]

@@ -15,7 +15,6 @@ RULES = [
     ("RULE_HIGH_CONFIDENCE_FLOOD", 20, ["URBAN_FLOOD", "RIVER_BREACH"], 2, 0.70, 2),
     ("RULE_GENERAL_THREAT", 50, None, 1, 0.80, 3),
 ]
-RULE_SCHEMA = "rule_id string, priority int, types array<string>, least_severity int, least_confidence double, least_sources int"
 COOLDOWN_S, CONFIDENCE_STEP = 300, 0.10
 
 
@@ -23,22 +22,19 @@ def severity_rank(c: str):
     return F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), F.col(c)) - 1
 
 
-def matched(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """The events with rule_id, the applicable rule of least priority (null if none). Rules are a table of a few rows.
+def matched(events: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
+    """The events with rule_id, the applicable rule of least priority (null if none). The rules are a literal: a row finds its own.
 
     Only published and approved events are matched.
     """
     eligible = F.col("review_status").isin("AUTO_PUBLISHED", "HUMAN_APPROVED")
-    fits = (
-        eligible
-        & (F.col("types").isNull() | F.array_contains("types", F.col("event_type")))
-        & (severity_rank("severity") >= F.col("least_severity"))
-        & (F.col("confidence") >= F.col("least_confidence"))
-        & (F.col("sources") >= F.col("least_sources"))
-    )
-    best = rules.agg(F.sort_array(F.collect_list(F.struct("priority", "rule_id", "types", "least_severity", "least_confidence", "least_sources"))).alias("rules"))
-    each = events.join(best).withColumn("r", F.explode_outer("rules")).select(*events.columns, "r.*")
-    return each.groupBy(*events.columns).agg(F.min(F.when(fits, F.struct("priority", "rule_id"))).alias("m")).select(*events.columns, F.col("m.rule_id").alias("rule_id"))
+    choices = []
+    for rule_id, priority, types, severity, confidence, sources in rules:
+        fits = (severity_rank("severity") >= severity) & (F.col("confidence") >= confidence) & (F.col("sources") >= sources)
+        if types is not None:
+            fits &= F.col("event_type").isin(types)
+        choices.append(F.when(fits, F.struct(F.lit(priority).alias("priority"), F.lit(rule_id).alias("rule_id"))))
+    return events.withColumn("rule_id", F.when(eligible, F.array_min(F.array(*choices))["rule_id"]))
 
 
 def eligible_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,12 +47,12 @@ _RULE = """CASE WHEN review_status NOT IN ('AUTO_PUBLISHED', 'HUMAN_APPROVED') T
 
 @query(cte("verified") + f"SELECT id, {_RULE} AS rule_id FROM verified")
 def alr01_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matched(eligible_events(spark, sf_dir), spark.createDataFrame(RULES, RULE_SCHEMA)).select("id", "rule_id")
+    return matched(eligible_events(spark, sf_dir)).select("id", "rule_id")
 
 
 @query(cte("verified") + f"SELECT id, sha256(concat('EV-', id, '|', {_RULE})) AS fingerprint FROM verified WHERE {_RULE} IS NOT NULL")
 def alr02_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matched(eligible_events(spark, sf_dir), spark.createDataFrame(RULES, RULE_SCHEMA)).where("rule_id is not null")
+    m = matched(eligible_events(spark, sf_dir)).where("rule_id is not null")
     return m.select("id", F.sha2(F.concat_ws("|", F.concat(F.lit("EV-"), "id"), "rule_id"), 256).alias("fingerprint"))
 
 
@@ -91,7 +87,7 @@ SELECT id, CASE WHEN rule_id IS NULL THEN CASE WHEN state IN ('ACTIVE', 'ESCALAT
 )
 def alr03_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
-    m = matched(eligible_events(spark, sf_dir), spark.createDataFrame(RULES, RULE_SCHEMA))
+    m = matched(eligible_events(spark, sf_dir))
     rows = m.withColumn("state", F.expr(_STATE)).withColumn("old_severity", i % 3).withColumn("old_confidence", (i * 41 % 1001) / 1000).withColumn("old_sources", i % 4).withColumn("updated_s", -(i % 601))
     return rows.select("id", decision(F.lit(0)).alias("decision"))
 

@@ -32,7 +32,7 @@ def jon08_nearest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each report the nearest serious event that reaches it: within the event's own radius and 5 km more (13.4 at most)."""
     r = frame(spark, sf_dir, "reports").select("id", "lat", "lng")
     v = frame(spark, sf_dir, "verified").where("severity in ('CRITICAL', 'HIGH')").select(F.col("id").alias("event"), "lat", "lng", "radius_km")
-    return nearest(r, v, "id", 13.4, F.col("km") <= F.col("r_radius_km") + 5, 40).select("id", F.col("r_event").alias("event"), F.round("km", 5).alias("km"))
+    return nearest(r, v, "id", 13.4, F.col("km") <= F.col("r_radius_km") + 5, 40, spread_right=True).select("id", F.col("r_event").alias("event"), F.round("km", 5).alias("km"))
 
 
 @query(
@@ -86,7 +86,11 @@ def agg08_heatmap_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coarse.agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("most"), F.sum("n").alias("total"), F.sum("linked").alias("linked"))
 
 
-@query()
+@query(
+    cte("reports")
+    + """, c AS (SELECT CAST(floor((lat + 90) / 180 * 1024) AS BIGINT) AS y, CAST(floor((lng + 180) / 360 * 1024) AS BIGINT) AS x, verified_id FROM reports)
+SELECT array_to_string(list_transform(range(9, -1, -1), lambda i: CAST(((y >> CAST(i AS INTEGER)) & 1) * 2 + ((x >> CAST(i AS INTEGER)) & 1) AS VARCHAR)), '') AS cell, count(*) AS n, count(verified_id) AS linked FROM c GROUP BY 1"""
+)
 def agg08_heatmap_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count and linked count of each level-10 cell, the fullest first."""
     cell = quad_key(F.col("lat"), F.col("lng"), 10).alias("cell")

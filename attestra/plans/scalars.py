@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..sources.bindings import AS_OF, DAY, cte, flags, frame
+from ..sources.tables import saved
 from .registry import query
 
 
@@ -97,13 +98,15 @@ df AS (SELECT t, count(*) AS df FROM f GROUP BY 1), n AS (SELECT count(DISTINCT
 SELECT doc_id, count(*) AS terms, round(sqrt(sum(v * v)), 6) AS norm FROM x GROUP BY 1"""
 )
 def str18_tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms and length of each TF-IDF vector: (1 + ln tf) x (ln((1 + N) / (1 + df)) + 1)."""
-    t = F.explode(F.split(text.text_key(F.col("text")), " ")).alias("t")
-    f = documents(spark, sf_dir).select("doc_id", t).where("t <> ''").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("tf"))
+    """Terms and length of each TF-IDF vector: (1 + ln tf) x (ln((1 + N) / (1 + df)) + 1).
+
+    A document's terms are counted in its own row, by the runs of its sorted words, before anything is shuffled.
+    """
+    f = saved(documents(spark, sf_dir).select("doc_id", F.explode(text.term_counts(F.split(text.text_key(F.col("text")), " "))).alias("x")).select("doc_id", "x.t", "x.tf"), "terms")
     df = f.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    n = f.agg(F.countDistinct("doc_id").alias("n"))
-    v = (1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    return f.join(df, "t").join(n).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sqrt(F.sum(v * v)), 6).alias("norm"))
+    n = f.select("doc_id").distinct().count()
+    v = (1 + F.ln("tf")) * (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    return f.join(df, "t").groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sqrt(F.sum(v * v)), 6).alias("norm"))
 
 
 @query(cte("reports") + "SELECT id, (at_s + 19800) // 86400 AS ist_day, ((at_s + 19800) % 86400) // 3600 AS ist_hour FROM reports")
@@ -160,17 +163,55 @@ def geo05_step_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("order_id", "line", geo.heat_score(t, F.col("elevation_m")).alias("heat"), geo.cold_score(t).alias("cold"), geo.fog_score(F.col("visibility_m")).alias("fog"), geo.gust_score(F.col("gust_kmh")).alias("gust"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS BIGINT) AS bits FROM (SELECT vec_id, CAST(list_sum(list_transform(generate_series(1, 32), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << CAST(i - 1 AS INTEGER) ELSE 0 END)) AS BIGINT) AS h FROM embeddings) a JOIN (SELECT vec_id, CAST(list_sum(list_transform(generate_series(1, 32), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << CAST(i - 1 AS INTEGER) ELSE 0 END)) AS BIGINT) AS h FROM embeddings) b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 4")
+# Media of one group of five have hashes that a few flipped bits tell apart; a medium has two frames.
+_LOW, _HIGH = "(page_id // 5 % 1000003) * 2654435761 % 4294967296", "(page_id // 5 % 1000003 * 40503 + 977) * 69069 % 4294967296"
+_FLIPS = [[f"(page_id * {m} + {k * 3}) % 64" for m in (7, 13, 29)] for k in (0, 1)]
+
+
+def _flipped(flips: list[str], half: int) -> str:
+    one = "CASE WHEN {f} // 32 = {h} THEN 1::BIGINT << CAST({f} % 32 AS INTEGER) ELSE 0 END"
+    out = (_LOW, _HIGH)[half]
+    for f in flips:
+        out = f"xor({out}, {one.format(f=f, h=half)})"
+    return out
+
+
+_HASHES = " UNION ALL ".join(f"SELECT page_id, {_flipped(f, 0)} AS lo, {_flipped(f, 1)} AS hi FROM pages" for f in _FLIPS)
+
+
+@query(
+    f"WITH h AS ({_HASHES}) SELECT a.page_id AS a, b.page_id AS b, CAST(min(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi))) AS BIGINT) AS bits FROM h a JOIN h b ON a.page_id < b.page_id AND bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 8 GROUP BY 1, 2"
+)
 def jon13_hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of 32-bit sign hashes at most 4 bits apart: five bands of bits, of which one at least is equal in such a pair."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    h = F.aggregate(F.transform(F.slice("embedding", 1, 32), lambda x, i: F.when(x > 0, F.expr("1L") * F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, x: a + x)
-    rows = e.select("vec_id", h.alias("h"))
-    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftright("h", lo).bitwiseAND(F.lit((1 << n) - 1).cast("bigint")).alias("bits_")) for k, (lo, n) in enumerate([(0, 7), (7, 7), (14, 6), (20, 6), (26, 6)])))
-    a = rows.select(F.col("vec_id").alias("a"), F.col("h").alias("ha"), F.inline(bands))
-    b = rows.select(F.col("vec_id").alias("b"), F.col("h").alias("hb"), F.inline(bands))
-    bits = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return a.join(b, ["band", "bits_"]).where((F.col("a") < F.col("b")) & (bits <= 4)).select("a", "b", bits.cast("bigint").alias("bits")).distinct()
+    """Media of which two frames have 64-bit hashes at most 8 bits apart, and the least distance."""
+    spark_of = lambda e: F.expr(e.replace("//", "div"))
+    base = F.call_function("shiftleft", spark_of(_HIGH), F.lit(32)).bitwiseOR(spark_of(_LOW))
+    bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("bigint"), spark_of(e).cast("int"))
+    frames = []
+    for flips in _FLIPS:
+        h = base
+        for f in flips:
+            h = h.bitwiseXOR(bit(f))
+        frames.append(h)
+    own, rest = frames[0], F.array(*frames[1:])
+    media = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(F.array_prepend(rest, own)).alias("h"))
+    return hamming_pairs(media, "page_id")
+
+
+def hamming_pairs(rows: DataFrame, key: str, most: int = 8) -> DataFrame:
+    """a, b, bits: pairs of keys with 64-bit hashes (h) at most `most` bits apart, and their least distance.
+
+    The bits are cut into most + 1 bands, of which one at least is equal in such a pair; equal hashes are met once per hash.
+    """
+    bands = most + 1
+    edge = [64 * k // bands for k in range(bands + 1)]
+    part = lambda k: F.shiftrightunsigned("h", edge[k]).bitwiseAND(F.lit((1 << (edge[k + 1] - edge[k])) - 1).cast("bigint"))
+    known = saved(rows.select("h").distinct(), "hashes")
+    each = known.select("h", F.inline(F.array(*(F.struct(F.lit(k).alias("band"), part(k).alias("bits_")) for k in range(bands)))))
+    bits = F.bit_count(F.col("h").bitwiseXOR(F.col("g")))
+    near = each.join(each.withColumnRenamed("h", "g"), ["band", "bits_"]).where(bits <= most).select("h", "g", bits.cast("bigint").alias("bits")).distinct()
+    a, b = rows.select(F.col(key).alias("a"), "h"), rows.select(F.col(key).alias("b"), F.col("h").alias("g"))
+    return a.join(near, "h").join(b, "g").where("a < b").groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
 @query(cte("reports") + "SELECT id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, concat('{\"hazard\":', CASE WHEN hazard IS NULL THEN 'null' ELSE concat('\"', hazard, '\"') END, ',\"id\":', id, ',\"state\":\"', state, '\"}') AS canonical FROM reports")

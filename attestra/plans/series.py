@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,16 +85,44 @@ def win09_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "reports").groupBy("reporter").agg(F.min("at_s").alias("first_s"), F.min_by("id", F.struct("at_s", "id")).alias("first_id"))
 
 
-@query()
-def stm06_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two reports a reporter and day are accepted; rejected ones do not count. The rule depends on what it decided before, so each reporter's reports are one fold."""
-    day, most = 86_400, 2
-    start = F.struct(F.array().cast("array<bigint>").alias("live"), F.lit(0).alias("accepted"), F.lit(0).alias("rejected"))
+def rate_limited(reports: DataFrame, seconds: int, most: int) -> DataFrame:
+    """reporter, accepted, rejected: a report (reporter, at_s, id) is accepted if fewer than `most` accepted ones lie within `seconds` before it.
+
+    The rule depends on what it decided before, so a reporter's reports come in order to one task, which keeps the last `most`
+    accepted times only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, live, accepted, rejected = None, [], 0, 0
+        for batch in batches:
+            out: list[tuple[str, int, int]] = []
+            for reporter, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if reporter != name:
+                    if name is not None:
+                        out.append((name, accepted, rejected))
+                    name, live, accepted, rejected = reporter, [], 0, 0
+                live = [t for t in live if t > at - seconds]
+                if len(live) < most:
+                    live.append(at)
+                    accepted += 1
+                else:
+                    rejected += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["reporter", "accepted", "rejected"])
+        if name is not None:
+            yield pa.RecordBatch.from_pydict({"reporter": [name], "accepted": pa.array([accepted], pa.int64()), "rejected": pa.array([rejected], pa.int64())})
+
+    dealt = reports.where("reporter is not null and at_s is not null").select("reporter", "at_s", "id").repartition("reporter").sortWithinPartitions("reporter", "at_s", "id")
+    return dealt.select("reporter", "at_s").mapInArrow(run, "reporter string, accepted bigint, rejected bigint")
 
-    def step(acc: Column, x: Column) -> Column:
-        live = F.filter(acc["live"], lambda t: t > x["at_s"] - day)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.concat(live, F.array(x["at_s"]))).otherwise(live).alias("live"), (acc["accepted"] + ok.cast("int")).alias("accepted"), (acc["rejected"] + (~ok).cast("int")).alias("rejected"))
 
-    rows = frame(spark, sf_dir, "reports").groupBy("reporter").agg(F.sort_array(F.collect_list(F.struct("at_s", "id"))).alias("e"))
-    return rows.select("reporter", F.aggregate("e", start, step).alias("r")).select("reporter", "r.accepted", "r.rejected")
+@query(
+    cte("reports")
+    + """, e AS (SELECT reporter, list(at_s ORDER BY at_s, id) AS e FROM reports GROUP BY 1),
+f AS (SELECT reporter, len(e) AS n, list_reduce(list_prepend({'live': []::BIGINT[], 'ok': 0::BIGINT, 't': 0::BIGINT}, list_transform(e, lambda t: {'live': []::BIGINT[], 'ok': 0::BIGINT, 't': t})),
+  lambda a, x: CASE WHEN len(list_filter(a.live, lambda y: y > x.t - 86400)) < 2 THEN {'live': list_append(list_filter(a.live, lambda y: y > x.t - 86400), x.t), 'ok': a.ok + 1, 't': x.t} ELSE {'live': list_filter(a.live, lambda y: y > x.t - 86400), 'ok': a.ok, 't': x.t} END) AS r FROM e)
+SELECT reporter, r.ok AS accepted, n - r.ok AS rejected FROM f"""
+)
+def stm06_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reports a reporter and day are accepted; rejected ones do not count."""
+    return rate_limited(frame(spark, sf_dir, "reports"), 86_400, 2)

@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
-DEFAULT_DIR = "/tmp/checkpoints"
+#: Used only in local mode, as in tests, where the session names no shared folder.
+LOCAL_DIR = "/tmp/checkpoints"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or DEFAULT_DIR).rstrip('/')}/attestra/{name}-{uuid.uuid4().hex}"
+    """A new path in spark.checkpoint.dir, or else in the context's checkpoint directory; a cluster without either raises."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = set_.get() if set_.isDefined() else None
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = LOCAL_DIR
+    return f"{named.rstrip('/')}/attestra/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df and read it back: cuts lineage, survives lost executors and tells the planner true sizes."""
-    path = shared_path(df.sparkSession, name)
+    """Write df and read it back: cuts lineage, survives lost executors and tells the planner true sizes. The files go when the application ends."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
