@@ -201,16 +201,6 @@ def win11_coordinated_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("id").agg(F.countDistinct("reporter").alias("reporters")).where("reporters >= 3")
 
 
-@query(
-    r"""WITH p AS (SELECT page_id, split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS host, regexp_extract(url, '([0-9]+)', 1) AS num FROM pages), f AS (SELECT host, min(page_id) AS first FROM p GROUP BY 1) SELECT p.page_id, f.first AS original, CASE WHEN p.page_id = f.first THEN 0 ELSE 1 END AS rule FROM p JOIN f USING (host)"""
-)
-def dom02_feed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of one host point to the first of them (rule 1), which points to itself (rule 0)."""
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.split(F.regexp_replace("url", "^https?://", ""), "/")[0].alias("host"))
-    first = F.min("page_id").over(Window.partitionBy("host"))
-    return p.select("page_id", first.alias("original")).withColumn("rule", F.when(F.col("page_id") == F.col("original"), 0).otherwise(1))
-
-
 @query("WITH g AS (SELECT text, count(*) AS n, min(doc_id) AS keep FROM documents GROUP BY 1) SELECT d.doc_id, CASE WHEN g.keep % 10 < 8 THEN 'train' WHEN g.keep % 10 = 8 THEN 'validation' ELSE 'test' END AS split FROM documents d JOIN g USING (text)")
 def ml08_leakage_safe_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts fall into one split."""

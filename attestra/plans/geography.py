@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH, EARTH_DEDUP, quad_key
+from ..functions.geo import EARTH, quad_key
 from ..operators.shapes import widest
 from ..operators.spatial import dbscan, nearest, radius_join
 from ..sources.bindings import AS_OF, DAY, cte, frame
@@ -123,25 +123,6 @@ def agg14_cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.join(wide, "cluster").select("cluster", "n", "lat", "lng", F.round("widest", 5).alias("widest_km"))
 
 
-@query(
-    cte("reports")
-    + f""", c AS (SELECT id, at_s, lat, lng, reporter, value FROM reports WHERE source_type = 'CITIZEN_APP' AND coalesce(place_precision, 'gps') = 'gps')
-SELECT b.id, arg_min(a.id, (a.at_s, a.id)) AS original FROM c b JOIN c a ON a.at_s >= b.at_s - 10800 AND (a.at_s < b.at_s OR (a.at_s = b.at_s AND a.id < b.id)) AND abs(a.lat - b.lat) < 0.1 AND {km_sql('a', 'b', 6371.0)} <= 10 GROUP BY 1"""
-)
-def dom01_citizen_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The earliest earlier precise citizen report within 10 km and three hours (the driver's reports are sparse; the gates are parameters)."""
-    return citizen_originals(frame(spark, sf_dir, "reports"), 10, 10_800)
-
-
-def citizen_originals(reports: DataFrame, km: float = 1.0, seconds: int = 900) -> DataFrame:
-    """id, original of citizen reports that repeat an earlier one within km and seconds. Neighbours meet by grid cell and time slot."""
-    c = reports.where((F.col("source_type") == "CITIZEN_APP") & (F.coalesce("place_precision", F.lit("gps")) == "gps")).select("id", "at_s", "lat", "lng")
-    pairs = radius_join(c.withColumn("slot", F.explode(F.array(F.floor(F.col("at_s") / seconds), F.floor(F.col("at_s") / seconds) - 1))), c.withColumn("slot", F.floor(F.col("at_s") / seconds)), km, 40, radius=EARTH_DEDUP)
-    earlier = (F.col("r_at_s") < F.col("at_s")) | ((F.col("r_at_s") == F.col("at_s")) & (F.col("r_id") < F.col("id")))
-    found = pairs.where((F.col("slot") == F.col("r_slot")) & (F.col("r_at_s") >= F.col("at_s") - seconds) & earlier)
-    return found.groupBy("id").agg(F.min_by("r_id", F.struct("r_at_s", "r_id")).alias("original"))
-
-
 @query(
     cte("stations", "readings")
     + """SELECT station, recorded_s, order_id, line, n FROM (SELECT r.*, row_number() OVER (PARTITION BY station ORDER BY recorded_s DESC, order_id, line) AS n FROM readings r) WHERE n <= 24"""

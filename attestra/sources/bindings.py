@@ -44,6 +44,9 @@ FRAMES: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "duplicate_of": "CASE WHEN event_id % 11 = 5 THEN event_id - 1 END",
             "stale": "event_id % 23 = 0",
             "flags_csv": "CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'shouting' WHEN 2 THEN 'promotional,shouting' WHEN 3 THEN 'bot_account' WHEN 4 THEN 'not_an_observation' ELSE NULL END",
+            "raw_text": "concat(CASE WHEN event_id % 12 = 0 THEN 'URGENT: ' ELSE '' END, 'Water on road ', substr(md5(concat('t', user_id % 30)), 1, 20), ' market ', event_id % 4)",
+            "link": "CASE WHEN event_id % 5 = 0 THEN concat('https://n.example/', event_id - event_id % 200) END",
+            "headline_key": "CASE WHEN user_id % 8 = 6 THEN concat('head ', event_id * 7 % 50) END",
             "props": "props",
             "value": "value",
         },
