@@ -167,7 +167,7 @@ class ShardStore:
             runs = self.spark.createDataFrame(named, f"{file} string, {run} int")
             found = self.spark.read.schema(self.schema).parquet(*gone)
             rows = found.withColumn(file, F.regexp_replace(found.metadataColumn("_metadata")["file_path"], "^file:/+", "file:/"))
-            rows.join(runs, file).drop(file).repartition(len(groups), run).write.partitionBy(run).parquet(folder)
+            rows.join(runs, file).drop(file).repartitionById(len(groups), F.col(run)).write.partitionBy(run).parquet(folder)
             new = self._written(folder)
             before, after = self._rows(gone), self._rows([s.path for s in new])
             if before != after:

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from attestra.llm import common, crf, jaccard, lines, packing, winnowing
 
-#: Documents whose best language has a lower mean marginal are in no learned language.
-LEAST_SCORE = 0.3
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the field has learned; null texts, texts without letters and unclear ones go."""
-    found = crf.identify(docs)
-    return found.where((F.col("lang_pred") != crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    model = crf.fit(docs)
+    found = crf.predict(docs, model)
+    return found.where((F.col("lang_pred") != crf.UNKNOWN) & (F.col("score") >= crf.least_score(model))).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,13 +112,8 @@ def test_line_dedup_matches_brute_force(spark):
     assert Counter((r.doc_id is None, r.doc_id or 0, r.text) for r in got) == expect
 
 
-def test_line_passages_match_brute_force_over_pairs(spark):
-    rng = random.Random(11)
-    line = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(12))
-    planted = [[line() for _ in range(n)] for n in (2, 3, 4, 5, 6) for _ in range(12)]
-    docs = [(d, "\n".join(x for p in rng.sample(planted, 6) for x in [*(line() for _ in range(rng.randint(1, 3))), *p, *[""] * rng.randint(0, 1)])) for d in range(60)]
-    docs += [(60, "a\na\na"), (61, "b\na\na\na\n"), (62, docs[0][1]), (63, docs[1][1] + "\n"), (64, docs[0][1].replace(line(), "")), (None, docs[2][1]), (65, "\n\n\n"), (66, "é\n\nü\n\n"), (67, "x\né\n\nü"), (68, None), (69, "")]
-    got = {r.doc_id: r for r in lines.drop_repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+def brute_passages(docs):
+    """Lines of each document, and the numbers of those in a pair of successive lines (blank ones aside) that stands earlier too."""
     rows = {d: (t or "").split("\n") for d, t in docs}
     seen, gone = {}, {d: set() for d, _ in docs}
     for d, _ in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0)):
@@ -127,6 +122,17 @@ def test_line_passages_match_brute_force_over_pairs(spark):
             e, at = seen.setdefault(tuple(rows[d][i : j + 1]), (d, i))
             if e != d or at + j - i < i:
                 gone[d] |= set(range(i, j + 1))
+    return rows, gone
+
+
+def test_line_passages_match_brute_force_over_pairs(spark):
+    rng = random.Random(11)
+    line = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(12))
+    planted = [[line() for _ in range(n)] for n in (2, 3, 4, 5, 6) for _ in range(12)]
+    docs = [(d, "\n".join(x for p in rng.sample(planted, 6) for x in [*(line() for _ in range(rng.randint(1, 3))), *p, *[""] * rng.randint(0, 1)])) for d in range(60)]
+    docs += [(60, "a\na\na"), (61, "b\na\na\na\n"), (62, docs[0][1]), (63, docs[1][1] + "\n"), (64, docs[0][1].replace(line(), "")), (None, docs[2][1]), (65, "\n\n\n"), (66, "é\n\nü\n\n"), (67, "x\né\n\nü"), (68, None), (69, "")]
+    got = {r.doc_id: r for r in lines.drop_repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    rows, gone = brute_passages(docs)
     for d, t in docs:
         kept = lambda ls: [x for x in ls if x]
         assert kept((got[d].text or "").split("\n")) == kept([x for i, x in enumerate(rows[d]) if i not in gone[d]]), d

@@ -89,6 +89,53 @@ def test_language_edges(spark):
     assert crf.identify(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_language_fit_does_not_depend_on_the_layout(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one, two = ({r.doc_id: (r.lang_pred, r.score) for r in crf.identify(d).collect()} for d in (docs, docs.repartition(9)))
+    assert one.keys() == two.keys()
+    assert all(one[k][0] == two[k][0] and abs(one[k][1] - two[k][1]) < 1e-4 for k in one)
+
+
+def test_language_sample_is_bounded_and_leaves_no_language_out(spark):
+    rng = random.Random(9)
+    make = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(40))
+    hot = make("abcd")
+    docs = [(i, hot, "hot") for i in range(3000)] + [(i, make("efgh"), "big") for i in range(3000, 5000)] + [(i, make("ijkl"), "rare") for i in range(5000, 5004)]
+    model = crf.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), 100)
+    assert model.labels == ["big", "hot", "rare"]
+
+
+def test_texts_in_an_unlearned_script_are_rejected(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(2)
+    greek = [(1_000_000 + i, " ".join("".join(rng.choices("αβγδεζηθικλμνξοπρστυφχψω", k=rng.randint(2, 8))) for _ in range(80)), None, "s", 0) for i in range(30)]
+    both = docs.unionByName(spark.createDataFrame(greek, SCHEMA).select(*docs.columns))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, both, sf_dir).collect()}
+    assert not any(d >= 1_000_000 for d in kept)
+    assert len(kept) > 0.97 * docs.where("text is not null").count()
+
+
+def test_words_of_code_switched_texts_are_labelled(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = crf.fit(docs)
+    long = docs.where("length(text) > 400")
+    de, en = (long.where(F.col("lang") == x).orderBy("doc_id").first()["text"][:300] for x in ("de", "en"))
+    probe = spark.createDataFrame([(1, de + " " + en), (2, None), (3, "..."), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r["words"] for r in crf.label_words(probe, model).collect()}
+    assert got[2] == got[3] == got[4] == []
+    raw, edge = (de + " " + en).encode(), len(de.encode())
+    right = [w.lang == ("de" if w.first < edge else "en") for w in got[1]]
+    assert np.mean(right) > 0.85 and [raw[w.first : w.last].decode().lower() for w in got[1]] == WORD.findall((de + " " + en).translate(FOLD))
+
+
+def test_language_of_very_long_texts(spark):
+    docs = [(i, "the end of it " * 3, "en") for i in range(20)] + [(i, "que lo de la " * 3, "es") for i in range(20, 40)] + [(99, "the end of it " * 100_000, None)]
+    got = {r.doc_id: r.lang_pred for r in crf.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert got[99] == "en"
+
+
 def test_code_switched_chain_labels_words():
     runs = {"a": [b"thing", b"other", b"with", b"then"], "b": [b"qui", b"que", b"eau", b"oui"]}
     rng = np.random.default_rng(1)
@@ -125,6 +172,13 @@ def test_packing_is_whole_and_gapless(spark):
     assert g.groupby("sequence_id").length.sum().max() <= 1024
 
 
+def test_packing_wastes_little_and_takes_an_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n = packing.pack(docs).agg(F.sum("length").alias("tokens"), F.countDistinct("sequence_id").alias("sequences")).first()
+    assert n.tokens / (1024 * n.sequences) > 0.97
+    assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_plan_uses_each_bin_exactly():
     rng = np.random.default_rng(2)
     for units in (1, 2, 7, 32, 128):
@@ -371,7 +425,7 @@ def test_search_splits_large_buckets(spark, monkeypatch):
 
 def test_pipeline_matches_brute_force(spark, sf_dir):
     import corpus_pipeline
-    from tests.llm.test_dedup import brute_classes
+    from tests.llm.test_dedup import brute_classes, brute_passages
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     frames, now = {}, docs
@@ -379,7 +433,13 @@ def test_pipeline_matches_brute_force(spark, sf_dir):
         now = spark.createDataFrame(stage(spark, now, sf_dir).toPandas(), docs.schema)
         assert now.columns == docs.columns
         frames[name] = {r.doc_id: r.text for r in now.collect()}
-    assert len(frames["language"]) == docs.count()
+    named = {r.doc_id: (r.lang_pred, r.score) for r in crf.predict(docs, crf.fit(docs)).collect()}
+    assert set(frames["language"]) == {d for d, (lang, score) in named.items() if lang != "und" and score >= crf.least_score(crf.fit(docs))}
+    lines_, gone = brute_passages(sorted(frames["language"].items()))
+    for d, text in frames["language"].items():
+        want = [x for i, x in enumerate(lines_[d]) if i not in gone[d] and x]
+        assert [x for x in frames["line dedup"].get(d, "").split("\n") if x] == want
+        assert d in frames["line dedup"] or (gone[d] and not want)
     rows = [(d, t) for d, t in sorted(frames["line dedup"].items())]
     assert set(frames["near copies"]) == {c for _, c, _ in brute_classes(rows)}
     tokens = lambda t: WORD.findall((t or "").translate(FOLD))
