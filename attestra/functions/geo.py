@@ -85,13 +85,24 @@ def dust_score(ug: Column, gust: Column) -> Column:
     return F.least(F.lit(1.0), steps(ug, DUST_UG_M3, 0.0) + F.when(gust >= 40, 0.1).otherwise(0.0))
 
 
-def distance_factor(km: Column) -> Column:
-    return F.when(km <= 25, 1.0).when(km <= 50, 0.8).otherwise(0.0)
+# Weather codes of thunder, hail and showers, and what the air must hold for a lower score.
+THUNDER, HAIL, SHOWERS = (95, 96, 99), (96, 99), (80, 81, 82)
+CAPE_SHOWERS, CAPE_ALONE = 1000.0, 500.0
+
+
+def thunder_score(codes: Column, cape: Column) -> Column:
+    """1 for a thunder code, 0.6 for showers in unstable air, 0.3 for less unstable air alone."""
+    any_of = lambda xs: F.arrays_overlap(codes, F.array(*(F.lit(x) for x in xs)))
+    return F.when(any_of(THUNDER), 1.0).when(any_of(SHOWERS) & (cape >= CAPE_SHOWERS), 0.6).when(cape >= CAPE_ALONE, 0.3).otherwise(0.0)
 
 
-def cell(lat: Column, lng: Column, degrees: float) -> tuple[Column, Column]:
-    """Row and column of a grid whose cells are `degrees` wide."""
-    return F.floor(lat / degrees), F.floor(lng / degrees)
+def hail_score(codes: Column) -> Column:
+    """1 for a hail code, 0.5 for a thunderstorm without one."""
+    return F.when(F.arrays_overlap(codes, F.array(*(F.lit(x) for x in HAIL))), 1.0).when(F.array_contains(codes, 95), 0.5).otherwise(0.0)
+
+
+def distance_factor(km: Column) -> Column:
+    return F.when(km <= 25, 1.0).when(km <= 50, 0.8).otherwise(0.0)
 
 
 def quad_key(lat: Column, lng: Column, level: int) -> Column:

@@ -24,12 +24,13 @@ def receipt(scores: dict[str, Column]) -> Column:
     """struct(confidence, coverage, mean): the mean, to four decimals and as it is, over the factors that have a score, each contribution rounded first.
 
     A null score is a factor that is offline: it is out of the mean, which is not the same as a score of 0. All offline gives 0.
+    Parts have four decimals, so a mean halfway between two is one but for the noise of doubles; it is rounded up.
     """
     present = {k: (w, scores[k]) for k, w in WEIGHTS.items() if k in scores}
     add = lambda parts: reduce(lambda a, b: a + b, parts)
     online = add([F.when(s.isNotNull(), F.lit(w)).otherwise(0.0) for w, s in present.values()])
     total = add([F.coalesce(F.round(w * F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)), 4), F.lit(0.0)) for w, s in present.values()])
-    return F.struct(F.when(online == 0, 0.0).otherwise(F.round(total / online, 4)).alias("confidence"), F.round(online, 2).alias("coverage"), F.when(online == 0, 0.0).otherwise(total / online).alias("mean"))
+    return F.struct(F.when(online == 0, 0.0).otherwise(F.round(total / online + 1e-9, 4)).alias("confidence"), F.round(online, 2).alias("coverage"), F.when(online == 0, 0.0).otherwise(total / online).alias("mean"))
 
 
 def verdict(contradictions: Column, official: Column, weather: Column) -> Column:

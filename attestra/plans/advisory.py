@@ -122,10 +122,32 @@ def jon15_shared_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look.join(first, ["link", "slot"]).where("original < id and id - original <= 720").groupBy("id").agg(F.min("original").alias("original"))
 
 
-@query("SELECT user_id, count(*) AS n, array_to_string(list(DISTINCT event_type ORDER BY event_type), ',') AS kinds, round(sum(value), 4) AS total FROM events GROUP BY 1")
+_MEDIA = """m AS (SELECT page_id AS media, page_id - page_id % 4 AS report, CASE WHEN page_id % 3 = 0 THEN 'video' ELSE 'image' END AS kind, page_id * 37 % 1000 AS seen_s, CASE WHEN page_id % 5 = 0 THEN 'failed' WHEN page_id % 11 = 0 THEN 'pending' ELSE 'ready' END AS status, CASE page_id % 6 WHEN 0 THEN 'old_capture' WHEN 1 THEN 'recycled_suspect' WHEN 2 THEN 'location_mismatch' END AS flag FROM pages)"""
+
+
+@query(
+    f"""WITH {_MEDIA}, f AS (SELECT report, array_to_string(list(flag ORDER BY s, media), ',') AS flags FROM (SELECT report, flag, arg_min(media, (seen_s, media)) AS media, min(seen_s) AS s FROM m WHERE flag IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT report, count(*) AS n, count(*) FILTER (WHERE kind = 'image') AS images, count(*) FILTER (WHERE kind = 'video') AS videos, array_to_string(list(media ORDER BY seen_s, media), ',') AS ids, coalesce(any_value(f.flags), '') AS flags,
+ count(*) FILTER (WHERE status = 'ready') AS ready, CASE WHEN count(*) FILTER (WHERE status = 'ready') = 0 THEN 'none_usable' WHEN any_value(f.flags) IS NULL THEN 'clean' ELSE 'flagged' END AS summary FROM m LEFT JOIN f USING (report) GROUP BY 1"""
+)
 def agg20_media_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"), F.round(F.sum("value"), 4).alias("total"))
+    """Media of each report: counts by kind, ids and flags in the order first seen, and the summary that a receipt shows."""
+    i = F.col("page_id")
+    m = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        i.alias("media"), (i - i % 4).alias("report"), F.when(i % 3 == 0, "video").otherwise("image").alias("kind"), (i * 37 % 1000).alias("seen_s"),
+        F.when(i % 5 == 0, "failed").when(i % 11 == 0, "pending").otherwise("ready").alias("status"), F.when(i % 6 == 0, "old_capture").when(i % 6 == 1, "recycled_suspect").when(i % 6 == 2, "location_mismatch").alias("flag"),
+    )
+    return media_lists(m)
+
+
+def media_lists(media: DataFrame) -> DataFrame:
+    """report, n, images, videos, ids, flags, ready, summary of media rows (report, media, kind, seen_s, status, flag)."""
+    rows = F.sort_array(F.collect_list(F.struct("seen_s", "media", "flag")))  # a report has a few media
+    lists = media.groupBy("report").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "image").alias("images"), F.count_if(F.col("kind") == "video").alias("videos"), F.count_if(F.col("status") == "ready").alias("ready"), rows.alias("m"))
+    ids = F.array_join(F.transform("m", lambda x: x["media"].cast("string")), ",")
+    seen = F.array_distinct(F.array_compact(F.transform("m", lambda x: x["flag"])))
+    summary = F.when(F.col("ready") == 0, "none_usable").when(F.size(seen) == 0, "clean").otherwise("flagged")
+    return lists.select("report", "n", "images", "videos", ids.alias("ids"), F.array_join(seen, ",").alias("flags"), "ready", summary.alias("summary"))
 
 
 @query(cte("reports") + "SELECT id, coalesce(flags_csv, '') AS flags FROM reports")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ledger import GENESIS, breaks, chain
 from ..sources.bindings import cte, frame
-from .evidence import scored
+from .evidence import _RECEIPT_SQL, scored
 from .registry import query
 
 
@@ -32,6 +32,18 @@ def win06_chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return breaks(changed, "book", "seq", "body")
 
 
+@query(f"""WITH h AS (SELECT o_custkey AS book, list_reduce(list_prepend('{GENESIS}', list(concat(o_orderkey, ':', o_orderstatus) ORDER BY o_orderkey)), lambda a, x: sha256(concat(a, '|', x))) AS head, min(o_orderkey) FILTER (WHERE o_orderkey % 97 = 0) IS NULL AS valid FROM orders GROUP BY 1)
+SELECT o_custkey AS book, o_orderkey AS seq, n = 1 AS newest, valid, CASE WHEN n = 1 THEN head END AS head FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) JOIN h ON book = o_custkey WHERE n <= 3""")
+def srt08_newest_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three newest rows of each ledger, the newest first, beside whether its whole chain holds."""
+    whole = ledger(spark, sf_dir)
+    changed = whole.withColumn("body", F.when(F.col("seq") % 97 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    w = Window.partitionBy("book").orderBy(F.desc("seq"))
+    newest = whole.withColumn("n", F.row_number().over(w)).where("n <= 3")
+    held = breaks(changed, "book", "seq", "body").select("book", "valid")
+    return newest.join(held, "book").select("book", "seq", (F.col("n") == 1).alias("newest"), "valid", F.when(F.col("n") == 1, F.col("hash")).alias("head"))
+
+
 @query(
     cte("verified", "reports")
     + "SELECT id, kind, at_s FROM (SELECT verified_id AS id, 'snapshot' AS kind, 0 AS rank, max(at_s) AS at_s FROM reports WHERE verified_id IS NOT NULL GROUP BY 1 UNION ALL SELECT id, 'ledger', 1, verified_s FROM verified)"
@@ -65,7 +77,15 @@ def dom23_review_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(d, "id").select("id", F.aggregate("actions", F.col("review_status"), lambda s, x: transition(s, x["a"])).alias("final"))
 
 
-@query()
+_SCORED = _RECEIPT_SQL[: _RECEIPT_SQL.index("SELECT id, mean,")]
+
+
+@query(
+    cte("verified", "reports", "readings", "warnings")
+    + _SCORED
+    + """, z AS (SELECT u.id, v.confidence AS stored, v.review_status, round(u.total / online + 1e-9, 4) AS confidence, u.verdict, CASE WHEN round(u.total / online + 1e-9, 4) >= 0.9 AND contradicted = 0 AND NOT posts AND u.event_type <> 'UNCLASSIFIED' THEN 'AUTO_PUBLISHED' WHEN round(u.total / online + 1e-9, 4) >= 0.6 OR u.severity IN ('HIGH', 'CRITICAL') THEN 'PENDING_HUMAN_REVIEW' ELSE 'QUARANTINED' END AS routed FROM u JOIN verified v USING (id))
+SELECT id, stored, confidence, verdict, routed FROM z WHERE review_status NOT IN ('HUMAN_APPROVED', 'REJECTED') AND (confidence <> stored OR routed <> review_status)"""
+)
 def dom21_rescore_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose new score, verdict or routing differs from what is stored; human decisions stay."""
     rows = scored(spark, sf_dir).where(~F.col("review_status").isin("HUMAN_APPROVED", "REJECTED"))

@@ -63,7 +63,10 @@ def str09_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", body.alias("text"))
 
 
-@query()
+@query(
+    r"""WITH x AS (SELECT doc_id, text, ' ' || trim(regexp_replace(lower(text), '[!-/:-@\[-`{-~\s]+', ' ', 'g')) || ' ' AS k FROM documents)
+SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[\x{0900}-\x{097F}]')) * 1.0 / greatest(len(regexp_extract_all(text, '\p{L}')), 1) >= 0.3 THEN 'hi' WHEN contains(k, ' hai ') OR contains(k, ' nahi ') OR contains(k, ' paani ') OR contains(k, ' mein ')::INT + contains(k, ' ka ')::INT + contains(k, ' se ')::INT + contains(k, ' ko ')::INT >= 2 THEN 'hinglish' WHEN text IS NULL THEN 'en' ELSE 'en' END AS language FROM x"""
+)
 def str10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", text.language(F.col("text"), ["hai", "nahi", "paani"], ["mein", "ka", "se", "ko"]).alias("language"))
 
@@ -151,16 +154,21 @@ def geo04_rain_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     cte("readings", "stations")
-    + """, x AS (SELECT order_id, line, temperature_c AS t, gust_kmh AS g, visibility_m AS v, elevation_m AS e FROM readings JOIN stations USING (station))
+    + f""", x AS (SELECT order_id, line, rainfall_mm, 80 + order_id % 20 AS c1, 80 + order_id // 20 % 20 AS c2, temperature_c AS t, gust_kmh AS g, visibility_m AS v, elevation_m AS e FROM readings JOIN stations USING (station))
 SELECT order_id, line, CASE WHEN t + CASE WHEN e > 1000 THEN 10 ELSE 0 END >= 47 THEN 1.0 WHEN t + CASE WHEN e > 1000 THEN 10 ELSE 0 END >= 45 THEN 0.9 WHEN t + CASE WHEN e > 1000 THEN 10 ELSE 0 END >= 42 THEN 0.6 WHEN t + CASE WHEN e > 1000 THEN 10 ELSE 0 END >= 40 THEN 0.4 ELSE 0.1 END AS heat,
  CASE WHEN t <= 2 THEN 1.0 WHEN t <= 4 THEN 0.8 WHEN t <= 7 THEN 0.5 WHEN t <= 10 THEN 0.3 ELSE 0.1 END AS cold,
  CASE WHEN v IS NULL THEN NULL WHEN v < 50 THEN 1.0 WHEN v < 200 THEN 0.85 WHEN v < 500 THEN 0.6 WHEN v < 1000 THEN 0.4 ELSE 0.0 END AS fog,
- CASE WHEN g IS NULL THEN NULL WHEN g >= 89 THEN 1.0 WHEN g >= 62 THEN 0.8 WHEN g >= 50 THEN 0.6 WHEN g >= 39 THEN 0.4 ELSE 0.0 END AS gust FROM x"""
+ CASE WHEN g IS NULL THEN NULL WHEN g >= 89 THEN 1.0 WHEN g >= 62 THEN 0.8 WHEN g >= 50 THEN 0.6 WHEN g >= 39 THEN 0.4 ELSE 0.0 END AS gust,
+ greatest(CASE WHEN t * 3 >= 100 THEN 1.0 WHEN t * 3 >= 50 THEN 0.6 WHEN t * 3 >= 20 THEN 0.3 ELSE 0.0 END, {_RAIN}) AS cloudburst,
+ round(least(1.0, CASE WHEN t * 30 >= 1000 THEN 1.0 WHEN t * 30 >= 500 THEN 0.7 WHEN t * 30 >= 200 THEN 0.4 ELSE 0.0 END + CASE WHEN coalesce(g, 0) >= 40 THEN 0.1 ELSE 0.0 END), 4) AS dust,
+ CASE WHEN c1 IN (95, 96, 99) OR c2 IN (95, 96, 99) THEN 1.0 WHEN (c1 IN (80, 81, 82) OR c2 IN (80, 81, 82)) AND t * 40 >= 1000 THEN 0.6 WHEN t * 40 >= 500 THEN 0.3 ELSE 0.0 END AS thunder,
+ CASE WHEN c1 IN (96, 99) OR c2 IN (96, 99) THEN 1.0 WHEN c1 = 95 OR c2 = 95 THEN 0.5 ELSE 0.0 END AS hail FROM x"""
 )
 def geo05_step_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = frame(spark, sf_dir, "readings").join(frame(spark, sf_dir, "stations").select("station", "elevation_m"), "station")
-    t = F.col("temperature_c")
-    return r.select("order_id", "line", geo.heat_score(t, F.col("elevation_m")).alias("heat"), geo.cold_score(t).alias("cold"), geo.fog_score(F.col("visibility_m")).alias("fog"), geo.gust_score(F.col("gust_kmh")).alias("gust"))
+    t, i = F.col("temperature_c"), F.col("order_id")
+    codes = F.array((80 + i % 20).cast("int"), (80 + F.floor(i / 20) % 20).cast("int"))
+    return r.select("order_id", "line", geo.heat_score(t, F.col("elevation_m")).alias("heat"), geo.cold_score(t).alias("cold"), geo.fog_score(F.col("visibility_m")).alias("fog"), geo.gust_score(F.col("gust_kmh")).alias("gust"), geo.cloudburst_score(t * 3, F.col("rainfall_mm")).alias("cloudburst"), F.round(geo.dust_score(t * 30, F.col("gust_kmh")), 4).alias("dust"), geo.thunder_score(codes, t * 40).alias("thunder"), geo.hail_score(codes).alias("hail"))
 
 
 # Media of one group of five have hashes that a few flipped bits tell apart; a medium has two frames.
@@ -221,10 +229,11 @@ def arr04_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "reports").select("id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), body.alias("canonical"))
 
 
-@query(cte("reports") + "SELECT id, round(greatest(0.05, credibility * CASE WHEN contains(coalesce(flags_csv, ''), 'promotional') THEN 0.3 ELSE 1 END * CASE WHEN contains(coalesce(flags_csv, ''), 'shouting') THEN 0.9 ELSE 1 END * CASE WHEN contains(coalesce(flags_csv, ''), 'bot_account') THEN 0.8 ELSE 1 END), 6) AS score FROM reports")
+@query(cte("reports") + "SELECT id, round(greatest(0.05, credibility * CASE WHEN source_type = 'CITIZEN_APP' THEN 0.5 + 0.5 * least(1.0, length(raw_text) / 6e1) ELSE 1.0 END * CASE WHEN contains(coalesce(flags_csv, ''), 'promotional') THEN 0.3 ELSE 1 END * CASE WHEN contains(coalesce(flags_csv, ''), 'shouting') THEN 0.9 ELSE 1 END * CASE WHEN contains(coalesce(flags_csv, ''), 'bot_account') THEN 0.8 ELSE 1 END), 8) AS score FROM reports")
 def geo08_flagged_credibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = text.credibility(F.col("credibility"), F.lit(""), flags(), F.lit(False))
-    return frame(spark, sf_dir, "reports").select("id", F.round(score, 6).alias("score"))
+    """Prior x quality by length for what a person wrote x the factors of its flags."""
+    score = text.credibility(F.col("credibility"), F.col("raw_text"), flags(), F.col("source_type") == "CITIZEN_APP")
+    return frame(spark, sf_dir, "reports").select("id", F.round(score, 8).alias("score"))
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.parsers import cap_alert, hourly, latest_revision, metar, rss_items
-from ..sources.tables import shared_path
+from ..sources.tables import saved, shared_path
 from ..streaming.runner import collected, drain, read_stream
 from .registry import query
 
@@ -48,11 +48,62 @@ def stm04_event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collected(s.select("user_id", F.unix_timestamp("session_window.start").alias("first_s"), "n"), "complete")
 
 
-@query("SELECT event_type, CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS from_s, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+#: Hours that a report of each kind looks back over, by its hazard's family (as the reports frame maps kinds to hazards), and the
+#: minutes by which clocks may run ahead.
+LOOK_BACK = {"click": 6, "view": 6, "signup": 3, "purchase": 24, "error": 12}
+SLACK_MIN = 15
+_HOURS = "CASE {c} " + " ".join(f"WHEN '{k}' THEN {h}" for k, h in LOOK_BACK.items()) + " END"
+
+
+@query(
+    f"SELECT a.event_id, count(*) AS near FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id <> b.event_id AND b.ts >= a.ts - to_hours({_HOURS.format(c='a.event_type')}) AND b.ts <= a.ts + INTERVAL {SLACK_MIN} MINUTES GROUP BY 1"
+)
 def stm03_family_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_stream(spark, sf_dir, "events", "ts").withWatermark("ts", "1 day")
-    w = rows.groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return collected(w.select("event_type", F.unix_timestamp("window.start").alias("from_s"), "n", "total"), "complete")
+    """Of each report the others of its place and kind in its family's look-back and 15 minutes after: an interval join of the stream with
+    itself, whose bounds let the watermarks clear its state."""
+    rows = read_stream(spark, sf_dir, "events", "ts").withWatermark("ts", "1 day").select("event_id", "user_id", "event_type", "ts")
+    a = rows.select(F.col("event_id").alias("a"), F.col("user_id").alias("u"), F.col("event_type").alias("k"), F.col("ts").alias("a_ts"))
+    widest = F.expr(f"interval {max(LOOK_BACK.values())} hours")
+    hours = F.expr(_HOURS.format(c="k"))
+    near = a.join(rows, (F.col("u") == F.col("user_id")) & (F.col("k") == F.col("event_type")) & (F.col("ts") >= F.col("a_ts") - widest) & (F.col("ts") <= F.col("a_ts") + F.expr(f"interval {SLACK_MIN} minutes")))
+    own = near.where((F.col("a") != F.col("event_id")) & (F.unix_micros("ts") >= F.unix_micros("a_ts") - hours * F.lit(3_600_000_000).cast("bigint")))
+    return collected(own.select(F.col("a").alias("event_id"))).groupBy("event_id").agg(F.count(F.lit(1)).alias("near"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def stm07_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive written by micro-batches of 60 seconds or 5 MB of files, whichever comes first; read back and counted."""
+    rows = read_stream(spark, sf_dir, "events", size=str(5 << 20)).select("event_id", "event_type")
+    folder = shared_path(spark, "archive")
+    out = rows.writeStream.option("checkpointLocation", shared_path(spark, "stream")).trigger(processingTime="60 seconds").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")).start()
+    try:
+        out.processAllAvailable()
+    finally:
+        out.stop()
+    back = spark.read.schema(rows.schema).parquet(f"{folder}/batch=*")
+    return back.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+#: Seconds that a model's answer for a cell stays good, and a failure is not tried again.
+GOOD_S, FAILED_S = 600, 60
+
+
+@query(
+    f"""WITH l AS (SELECT user_id % 50 AS cell, CAST(floor(epoch(max(ts))) AS BIGINT) - 86400 * 15 AS fetched_s, max(event_id) % 4 <> 0 AS ok, round(avg(value), 6) AS answer FROM events GROUP BY 1)
+SELECT event_id, CASE WHEN CAST(floor(epoch(ts)) AS BIGINT) BETWEEN fetched_s AND fetched_s + CASE WHEN ok THEN {GOOD_S} ELSE {FAILED_S} END * 60 THEN CASE WHEN ok THEN 'hit' ELSE 'failed' END ELSE 'fetch' END AS state FROM events JOIN l ON cell = user_id % 50"""
+)
+def stm08_cached_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of a stream met with the answers that a model gave for their cell: used while young enough, failures for a shorter time.
+
+    The table of answers is static within a batch and read anew by the next. (Ages count in minutes here: the reports are sparse.)
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    answers = e.groupBy((F.col("user_id") % 50).alias("cell")).agg((F.unix_timestamp(F.max("ts").cast("timestamp")) - 86_400 * 15).alias("fetched_s"), (F.max("event_id") % 4 != 0).alias("ok"), F.round(F.avg("value"), 6).alias("answer"))
+    table = saved(answers, "answers")
+    rows = read_stream(spark, sf_dir, "events", "ts").select("event_id", (F.col("user_id") % 50).alias("cell"), F.unix_timestamp("ts").alias("at_s"))
+    lives = F.when(F.col("ok"), GOOD_S).otherwise(FAILED_S) * 60
+    young = F.col("at_s").between(F.col("fetched_s"), F.col("fetched_s") + lives)
+    return collected(rows.join(table, "cell").select("event_id", F.when(young & F.col("ok"), "hit").when(young, "failed").otherwise("fetch").alias("state")))
 
 
 @query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2")
@@ -66,14 +117,20 @@ def snk03_bronze_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dropDuplicates(["event_id"]).groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT e.event_id, count(*) AS late FROM events e JOIN events p ON p.user_id = e.user_id AND p.event_type = 'error' AND e.event_type = 'purchase' AND p.ts > e.ts AND p.ts <= e.ts + INTERVAL 24 HOURS GROUP BY 1")
+@query("SELECT e.event_id, count(DISTINCT strftime(p.ts, '%Y-%m-%d')) AS late FROM events e JOIN events p ON p.user_id = e.user_id AND p.event_type = 'error' AND e.event_type = 'purchase' AND p.ts > e.ts AND p.ts <= e.ts + INTERVAL 24 HOURS GROUP BY 1")
 def stm05_late_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases with the errors of the same user in the 24 hours after: a stream-stream interval join whose state the watermarks bound."""
-    rows = read_stream(spark, sf_dir, "events", "ts").withWatermark("ts", "1 day")
+    """Purchases that errors of the same user in the 24 hours after score anew, once for each day's trigger.
+
+    A stream-stream interval join whose state the watermarks bound; (trigger, event) is handled once while it is remembered. How
+    many files a batch takes (maxFilesPerTrigger) is the throttle.
+    """
+    rows = read_stream(spark, sf_dir, "events", "ts", files=50).withWatermark("ts", "1 day")
     e = rows.where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("e_ts"))
     p = rows.where("event_type = 'error'").select(F.col("user_id").alias("p_user"), F.col("ts").alias("p_ts"))
     pairs = e.join(p, (F.col("user_id") == F.col("p_user")) & (F.col("p_ts") > F.col("e_ts")) & (F.col("p_ts") <= F.col("e_ts") + F.expr("interval 24 hours")))
-    return collected(pairs.select("event_id")).groupBy("event_id").agg(F.count(F.lit(1)).alias("late"))
+    triggers = pairs.select("event_id", F.date_format("p_ts", "yyyy-MM-dd").alias("trigger"), "p_ts")
+    once = triggers.dropDuplicatesWithinWatermark(["event_id", "trigger"])
+    return collected(once.select("event_id", "trigger")).distinct().groupBy("event_id").agg(F.count(F.lit(1)).alias("late"))
 
 
 def _after(status: str, kind: str, value: float, level: float) -> str:

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from ..sources.tables import shared_path
 
 
-def read_stream(spark: SparkSession, sf_dir: str, table: str, time: str | None = None, files: int | None = None) -> DataFrame:
-    """A table as a stream of its files. The time column becomes a timestamp, as watermarks need."""
+def read_stream(spark: SparkSession, sf_dir: str, table: str, time: str | None = None, files: int | None = None, size: str | None = None) -> DataFrame:
+    """A table as a stream of its files. The time column becomes a timestamp, as watermarks need. files, size: most of them in a batch."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
     folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
     reader = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema)
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
+    if size:
+        reader = reader.option("maxBytesPerTrigger", size)
     rows = reader.parquet(f"{sf_dir}/{table}.parquet") if folder else reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
     return rows.withColumn(time, F.col(time).cast("timestamp")) if time else rows
 
