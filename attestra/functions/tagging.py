@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ CUES = {
     "COLD_WAVE": ("cold wave", "coldwave", "sheetlahar"),
     "FOG": ("fog", "kohra", "mist"),
 }
+STEMS = {hazard: re.compile(r"\b(?:" + "|".join(re.escape(x) for x in stems) + ")") for hazard, stems in CUES.items()}
 NEGATIONS = frozenset(("no", "not", "never", "without", "nahi", "nahin", "isn't", "wasn't"))
 PAST = re.compile(r"\b(last (?:week|month|year)|years? ago|yesterday|throwback)\b")
 FORECAST = re.compile(r"\b(forecast|expected|likely|warning|will|may|alert)\b")
@@ -66,16 +69,13 @@ def tag(text: str | None) -> dict:
     low = re.sub(r"#(\w+)", r"\1", (text or "").lower())
     tokens = re.findall(r"[\w']+", low)
     joined = " ".join(tokens)
-    starts = [m.start() for m in re.finditer(r"\S+", joined)]
+    starts = list(accumulate((len(t) + 1 for t in tokens[:-1]), initial=0))
+    negated = [t in NEGATIONS for t in tokens]
     yes, no = [], []
-    for hazard, stems in CUES.items():
-        states = []
-        for stem in stems:
-            for m in re.finditer(rf"\b{re.escape(stem)}", joined):
-                k = sum(s <= m.start() for s in starts) - 1
-                states.append(not NEGATIONS & set(tokens[max(0, k - 3) : k] + tokens[k + 1 : k + 4]))
-        if states:
-            (yes if any(states) else no).append(hazard)
+    for hazard, cue in STEMS.items():
+        places = [bisect_right(starts, m.start()) - 1 for m in cue.finditer(joined)]
+        if places:
+            (yes if any(not any(negated[max(0, k - 3) : k] + negated[k + 1 : k + 4]) for k in places) else no).append(hazard)
     values = {k: (float(m[1]) if (m := p.search(low)) else None) for k, p in VALUES.items()}
     depth = depth_cm(low)
     bad = [k for k, v in (*values.items(), ("depth_cm", depth)) if v is not None and not RANGES[k][0] <= v <= RANGES[k][1]]

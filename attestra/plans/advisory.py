@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
 from ..functions.tagging import tags
 from ..functions.text import FLAG_FACTORS, text_key
-from ..operators.matching import complete_link, matched_pairs
+from ..operators.matching import GATE_MIN, complete_link, matched_pairs
 from ..operators.shapes import intersecting, outlines
-from ..operators.spatial import dbscan
+from ..operators.spatial import connected, dbscan, radius_join
 from ..sources.bindings import AS_OF, DAY, HOUR, cte, flags, frame
 from ..sources.tables import shared_path
 from .geography import km_sql
@@ -75,24 +75,34 @@ def ml01_duplicate_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matched_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("id"), "conv_id", "turn", "text").dropDuplicates(["id"])
-    other = t.select("conv_id", F.col("id").alias("b"), F.col("turn").alias("u"))
+    width = int(GATE_MIN / 3)  # turns within the gate: each looks into its own slot of so many turns and the next
+    slot = F.floor(F.col("turn") / width)
+    other = t.select("conv_id", F.col("id").alias("b"), F.col("turn").alias("u"), slot.alias("slot"))
     minutes = 3.0 * F.abs(F.col("u") - F.col("turn"))
-    near = t.join(other, "conv_id").where(F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b", F.lit(0.0).alias("km"), minutes.alias("minutes"))
+    own = t.withColumn("slot", F.explode(F.array(slot, slot + 1)))
+    near = own.join(other, ["conv_id", "slot"]).where((F.col("id") < F.col("b")) & (minutes <= GATE_MIN)).select(F.col("id").alias("a"), "b", F.lit(0.0).alias("km"), minutes.alias("minutes"))
     return matched_pairs(near, t.select("id", "text"))
 
 
 @query()
 def ml02_complete_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete-link groups of the reports: blocks are districts cut where no report comes for longer than the window."""
+    """Complete-link groups of the reports of each district."""
     return complete_link(blocked(frame(spark, sf_dir, "reports").where("district is not null")))
 
 
-def blocked(reports: DataFrame, minutes: float = 180.0) -> DataFrame:
-    """id, at_s, lat, lng, kind, block: a new block begins where a district's reports pause for longer than the window."""
-    w = Window.partitionBy("district").orderBy("at_s", "id")
-    pause = F.when(F.col("at_s") - F.lag("at_s").over(w) > minutes * 60, 1).otherwise(0)
-    rows = reports.withColumn("pause", pause).withColumn("n", F.sum("pause").over(w))
-    return rows.select("id", "at_s", "lat", "lng", F.col("hazard").alias("kind"), F.concat_ws("#", "district", F.col("n").cast("string")).alias("block"))
+def blocked(reports: DataFrame, km: float = 5.0, minutes: float = 180.0) -> DataFrame:
+    """id, at_s, lat, lng, kind, block: the block is the component of compatible reports (near, within the window, of one kind or without one).
+
+    Members of a group are compatible in pairs, so no group reaches beyond a component.
+    """
+    r = reports.select("id", "at_s", "lat", "lng", F.col("hazard").alias("kind"), "district")
+    width = int(minutes * 60)
+    slot = F.floor(F.col("at_s") / width)
+    pairs = radius_join(r.withColumn("slot", F.explode(F.array(slot, slot - 1))), r.withColumn("slot", slot), km, 40)
+    same = F.coalesce(F.col("kind") == F.col("r_kind"), F.lit(True)) & (F.col("district") == F.col("r_district"))
+    fits = pairs.where((F.col("slot") == F.col("r_slot")) & (F.col("id") != F.col("r_id")) & (F.abs(F.col("at_s") - F.col("r_at_s")) <= width) & same)
+    roots = connected(reports.sparkSession, fits.select(F.col("id").alias("a"), F.col("r_id").alias("b")))
+    return r.join(roots, r.id == roots.node, "left").select("id", "at_s", "lat", "lng", "kind", F.coalesce("root", "id").cast("string").alias("block"))
 
 
 @query()

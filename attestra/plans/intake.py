@@ -58,17 +58,24 @@ def jon19_places_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def indel_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """1 - (insertions + deletions) / total length: twice the longest common subsequence over it; 1 for two empty texts."""
+    """1 - (insertions + deletions) / total length: twice the longest common subsequence over it; 1 for two empty texts.
+
+    The subsequence is found a row of bits at a time.
+    """
 
     def one(a: str | None, b: str | None) -> float | None:
         if a is None or b is None:
             return None
-        row = [0] * (len(b) + 1)
-        for x in a:
-            left = 0
-            for j, y in enumerate(b, 1):
-                row[j], left = (left + 1 if x == y else max(row[j], row[j - 1])), row[j]
-        return 1.0 if not a and not b else 2 * row[-1] / (len(a) + len(b))
+        if not a or not b:
+            return 0.0 if a or b else 1.0
+        masks: dict[str, int] = {}
+        for i, x in enumerate(a):
+            masks[x] = masks.get(x, 0) | 1 << i
+        full = open_ = (1 << len(a)) - 1  # a bit is cleared for each character that the common subsequence gains
+        for y in b:
+            hit = open_ & masks.get(y, 0)
+            open_ = ((open_ + hit) | (open_ - hit)) & full
+        return 2 * (len(a) - open_.bit_count()) / (len(a) + len(b))
 
     for a, b in parts:
         yield pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
@@ -134,8 +141,8 @@ p AS (SELECT r.id, v.id AS event, {km_sql('r', 'v')} AS km, v.radius_km + 5 AS r
 def dom07_merge_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each unassigned report the nearest open serious event of its family that reaches it; untagged ones fit any."""
     families = taxonomy(spark).select(F.col("event_type").alias("hazard"), "family")
-    r = frame(spark, sf_dir, "reports").where("verified_id is null and duplicate_of is null").select("id", "lat", "lng", "hazard").join(F.broadcast(families), "hazard", "left").drop("hazard")
-    v = frame(spark, sf_dir, "verified").where("review_status <> 'REJECTED' and severity = 'CRITICAL'").select(F.col("id").alias("event"), "lat", "lng", "radius_km", F.col("event_type").alias("hazard")).join(F.broadcast(families), "hazard", "left").drop("hazard")
+    r = frame(spark, sf_dir, "reports").where("verified_id is null and duplicate_of is null").select("id", "lat", "lng", "hazard").join(families, "hazard", "left").drop("hazard")
+    v = frame(spark, sf_dir, "verified").where("review_status <> 'REJECTED' and severity = 'CRITICAL'").select(F.col("id").alias("event"), "lat", "lng", "radius_km", F.col("event_type").alias("hazard")).join(families, "hazard", "left").drop("hazard")
     fits = (F.col("km") <= F.col("r_radius_km") + 5) & (F.col("family").isNull() | F.col("r_family").isNull() | (F.col("family") == F.col("r_family")))
     return nearest(r, v, "id", 13.4, fits, 40).select("id", F.col("r_event").alias("event"))
 
@@ -171,7 +178,7 @@ def stm09_feed_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = frame(spark, sf_dir, "reports").select("source_type", "at_s", "id", (F.col("id") % 7 != 0).alias("ok"))
     last = r.groupBy("source_type").agg(F.max(F.when(F.col("ok"), F.struct("at_s", "id"))).alias("last"))
     later = F.col("last").isNull() | (F.struct("at_s", "id") > F.col("last"))
-    return r.join(F.broadcast(last), "source_type").groupBy("source_type").agg(F.count_if(later).alias("consecutive_failures"), F.max("last.at_s").alias("last_success_s"))
+    return r.join(last, "source_type").groupBy("source_type").agg(F.count_if(later).alias("consecutive_failures"), F.max("last.at_s").alias("last_success_s"))
 
 
 @query(cte("verified") + f"SELECT a.id AS a, b.id AS b FROM verified a JOIN verified b ON a.id < b.id AND a.event_type = b.event_type AND a.state = b.state AND abs(a.verified_s - b.verified_s) <= {2 * DAY} AND {km_sql('a', 'b')} <= 5 AND a.severity = 'CRITICAL' AND b.severity = 'CRITICAL'")
@@ -218,7 +225,7 @@ t(family, a, b) AS (SELECT family, a, b FROM e UNION SELECT t.family, t.a, e.b F
 def dom05_family_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters within each of the four families, by its own radius and look-back; untagged reports may join any family."""
     families = taxonomy(spark).select(F.col("event_type").alias("hazard"), "family")
-    r = frame(spark, sf_dir, "reports").select("id", "lat", "lng", "at_s", "hazard").join(F.broadcast(families), "hazard", "left")
+    r = frame(spark, sf_dir, "reports").select("id", "lat", "lng", "at_s", "hazard").join(families, "hazard", "left")
     out = None
     for family, (eps, hours) in FAMILY_GATES.items():
         p = r.where((F.col("family").isNull() | (F.col("family") == family)) & (F.col("at_s") >= AS_OF - (12 + hours) * HOUR)).select("id", "lat", "lng")
