@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import advisory, alerts, evidence, extracts, geography, history, intake, places, relational, scalars, series, streams, verification  # noqa: F401  they register their queries
+from .plans import advisory, alerts, details, evidence, extracts, geography, history, intake, places, relational, scalars, series, streams, verification  # noqa: F401  they register their queries
 from .plans.registry import QUERIES, SQL, Plan
 
 

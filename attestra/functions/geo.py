@@ -110,3 +110,12 @@ def quad_key(lat: Column, lng: Column, level: int) -> Column:
     y, x = F.floor((lat + 90) / 180 * (1 << level)).cast("bigint"), F.floor((lng + 180) / 360 * (1 << level)).cast("bigint")
     bit = lambda v, k: F.shiftright(v, k).bitwiseAND(F.lit(1))
     return F.concat(*((bit(y, k) * 2 + bit(x, k)).cast("string") for k in range(level - 1, -1, -1)))
+
+
+def quad_centre(cell: Column) -> Column:
+    """struct(lat, lng) of the centre of a cell, from its name."""
+    digits = F.split(cell, "")
+    number = lambda of: F.aggregate(digits, F.lit(0).cast("bigint"), lambda v, d: F.when(d == "", v).otherwise(v * 2 + of(d.cast("int"))))
+    size = F.pow(F.lit(2.0), F.length(cell))
+    y, x = number(lambda d: F.floor(d / 2)), number(lambda d: d % 2)
+    return F.struct(((y + 0.5) / size * 180 - 90).alias("lat"), ((x + 0.5) / size * 360 - 180).alias("lng"))

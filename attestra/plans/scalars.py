@@ -52,7 +52,11 @@ def str06_edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(q, ["p_brand", "p_type"]).where((F.col("p_partkey") < F.col("b")) & (s >= 0.75)).select(F.col("p_partkey").alias("a"), "b", F.round(s, 6).alias("similarity"))
 
 
-@query()
+@query(
+    r"""WITH u AS (SELECT page_id, regexp_replace(concat(url, '?utm_source=x&b=2&a=1'), '#.*$', '') AS u FROM pages), p AS (SELECT page_id, regexp_replace(lower(regexp_extract(u, '^[a-zA-Z]+://([^/?]+)', 1)), '^(www\.|m\.|amp\.)+', '') AS host, regexp_replace(regexp_replace(regexp_extract(u, '^[a-zA-Z]+://[^/?]+([^?]*)', 1), '/amp(/|$)', '\1', 'g'), '/+$', '') AS path,
+ list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN ('fbclid', 'gclid', 'igshid', 'mc_cid', 'mc_eid', 'ref', 'ref_src'))) AS q FROM u)
+SELECT page_id, concat('https://', host, path, CASE WHEN len(q) > 0 THEN concat('?', array_to_string(q, '&')) ELSE '' END) AS url FROM p"""
+)
 def str08_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.canonical_url(F.concat("url", F.lit("?utm_source=x&b=2&a=1"))).alias("url"))
 

@@ -113,3 +113,27 @@ def latest_revision(warnings: DataFrame) -> DataFrame:
     rest = [c for c in warnings.columns if c not in ("identifier", "polygon")]
     newest = F.max_by(F.struct(*rest), F.col("fetched_s"))
     return warnings.groupBy("identifier").agg(newest.alias("n"), known.alias("polygon")).select("identifier", "n.*", "polygon")
+
+
+def exif_time(moment: Column, offset: Column) -> Column:
+    """Seconds of a camera's "yyyy:MM:dd HH:mm:ss" with its offset, UTC if it has none; null if it is no time."""
+    return F.unix_timestamp(F.try_to_timestamp(F.concat(moment, F.coalesce(offset, F.lit("+00:00"))), F.lit("yyyy:MM:dd HH:mm:ssXXX")))
+
+
+def iso_time(moment: Column) -> Column:
+    """Seconds of an ISO 8601 moment with its offset, as warnings have it."""
+    return F.unix_timestamp(F.try_to_timestamp(moment, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+
+
+def rfc822_time(moment: Column) -> Column:
+    """Seconds of a feed's "Wed, 31 Jan 2024 06:00:00 GMT" or with a numeric offset; the day's name plays no part."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(moment), r"^[A-Za-z]{3},\s*", ""), r"(GMT|UTC|UT|Z)$", "+0000")
+    return F.unix_timestamp(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss xx")))
+
+
+def metar_time(group: Column, as_of: Column) -> Column:
+    """Seconds of a METAR's day and time (ddHHmmZ): in the month of as_of, or in the one before if that lies over a day ahead."""
+    part = lambda a: F.substring(group, a, 2).try_cast("int")
+    first = F.trunc(F.timestamp_seconds(as_of).cast("date"), "month")
+    at = lambda month: F.unix_timestamp(month.cast("timestamp")) + (part(1) - 1) * 86_400 + part(3) * 3600 + part(5) * 60
+    return F.when(group.rlike(r"^\d{6}Z$"), F.when(at(first) > as_of + 86_400, at(F.add_months(first, -1))).otherwise(at(first)))
