@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
@@ -12,7 +12,7 @@ from ..operators.matching import GATE_MIN, complete_link, matched_pairs
 from ..operators.shapes import intersecting, outlines
 from ..operators.spatial import connected, dbscan, radius_join
 from ..sources.bindings import AS_OF, DAY, HOUR, cte, flags, frame
-from ..sources.tables import shared_path
+from ..sources.tables import saved, shared_path
 from .geography import km_sql
 from .registry import query
 
@@ -181,19 +181,54 @@ def snk01_csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("id", "code", "severity", "confidence", F.coalesce("district", F.lit("")).alias("district"))
 
 
-# Points of each sign of an incredible report, and the gates of medium and high risk.
-RISK = {"duplicate_text": 0.30, "shouting": 0.15, "no_place": 0.20, "repetition": 0.20, "links": 0.15}
-MEDIUM, HIGH = 0.25, 0.55
+# Hundredths that each sign of an incredible report adds, as (code, points, condition on the facts), and the gates of
+# medium and high risk.
+SIGNS = (
+    ("CONTRADICTORY_TIMESTAMP", 35, "delay_s < -300"),
+    ("INVALID_COORDINATES", 40, "NOT coordinates_valid"),
+    ("GEOGRAPHIC_INCONSISTENCY", 25, "NOT place_fits"),
+    ("EVENT_TYPE_INCONSISTENCY", 20, "NOT type_fits"),
+    ("REPEATED_TEXT", 10, "copies > 1"),
+    ("EXCESSIVE_DUPLICATE_BEHAVIOR", 15, "copies >= 20"),
+    ("SOURCE_REPORT_BURST", 15, "recent >= 5"),
+    ("SOURCE_DUPLICATE_PATTERN", 15, "repeated_share >= 0.5 AND copies > 1"),
+    ("UNUSUAL_TEXT_REPETITION", 15, "repeated_words >= 0.5"),
+    ("EXCESSIVE_PUNCTUATION", 8, "marks >= 0.2"),
+    ("EXCESSIVE_URLS", 10, "urls > 3"),
+    ("EXCESSIVE_PHONE_REFERENCES", 10, "phones > 2"),
+    ("VERY_SHORT_TEXT", 2, "characters BETWEEN 1 AND 11"),
+    ("HIGH_CLAIM_DENSITY", 3, "claims >= 0.3"),
+)
+MEDIUM, HIGH = 25, 55
+_FACTS = "CASE WHEN id % 41 = 0 THEN -900 ELSE id % 17 * 60 END AS delay_s, id % 37 <> 0 AS coordinates_valid, id % 11 <> 3 AS place_fits, id % 13 <> 2 AS type_fits, id % 19 / 3e1 AS repeated_words, id % 23 / 1e2 AS marks, id % 5 AS urls, id % 4 AS phones, id % 60 AS characters, id % 9 / 2e1 AS claims"
+_SIGNS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{code}' END" for code, _, test in SIGNS) + "], lambda x: x IS NOT NULL)"
+_POINTS_SQL = " + ".join(f"CASE WHEN {test} THEN {points} ELSE 0 END" for _, points, test in SIGNS)
+
 
+def risk(facts: DataFrame) -> DataFrame:
+    """id, score, level, reasons of reports with their facts: the signs' weights summed, 1 at most. Advisory only: no truth follows from it."""
+    points = sum((F.when(F.expr(test), n).otherwise(0) for _, n, test in SIGNS), F.lit(0))
+    reasons = F.array_compact(F.array(*(F.when(F.expr(test), F.lit(code)) for code, _, test in SIGNS)))
+    rows = facts.select("id", F.least(points, F.lit(100)).alias("points"), reasons.alias("reasons"))
+    level = F.when(F.col("points") >= HIGH, "high").when(F.col("points") >= MEDIUM, "medium").otherwise("low")
+    return rows.select("id", (F.col("points") / 100).alias("score"), level.alias("level"), F.array_join("reasons", ",").alias("reasons"))
 
-@query(r"""WITH d AS (SELECT doc_id, source, text, count(*) OVER (PARTITION BY text) > 1 AS dup, len(string_split(trim(regexp_replace(lower(text), '[!-/:-@\[-`{-~\s]+', ' ', 'g')), ' ')) AS n, len(list_distinct(string_split(trim(regexp_replace(lower(text), '[!-/:-@\[-`{-~\s]+', ' ', 'g')), ' '))) AS u FROM documents),
-r AS (SELECT doc_id, CASE WHEN dup THEN 30 ELSE 0 END + CASE WHEN contains(text, '!!!') THEN 15 ELSE 0 END + CASE WHEN source IS NULL THEN 20 ELSE 0 END + CASE WHEN u * 1.0 / n < 0.5 THEN 20 ELSE 0 END + CASE WHEN contains(text, 'http') THEN 15 ELSE 0 END AS points FROM d)
-SELECT doc_id, points, CASE WHEN points >= 55 THEN 'high' WHEN points >= 25 THEN 'medium' ELSE 'low' END AS risk FROM r""")
+
+@query(
+    cte("reports")
+    + f""", c AS (SELECT raw_text, count(*) AS copies FROM reports GROUP BY 1), x AS (SELECT id, reporter, copies, count(*) OVER (PARTITION BY reporter ORDER BY at_s RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS recent FROM reports JOIN c USING (raw_text)),
+y AS (SELECT reporter, avg(CASE WHEN copies > 1 THEN 1.0 ELSE 0.0 END) AS repeated_share FROM x GROUP BY 1), f AS (SELECT id, copies, recent, repeated_share, {_FACTS} FROM x JOIN y USING (reporter))
+SELECT id, least({_POINTS_SQL}, 100) / 100.0 AS score, CASE WHEN {_POINTS_SQL} >= {HIGH} THEN 'high' WHEN {_POINTS_SQL} >= {MEDIUM} THEN 'medium' ELSE 'low' END AS level, array_to_string({_SIGNS_SQL}, ',') AS reasons FROM f"""
+)
 def ml05_credibility_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points for repeated texts, shouting, no source, repetition and links; advisory only."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text", F.sha2("text", 256).alias("k"))
-    copies = d.groupBy("k").agg((F.count(F.lit(1)) > 1).alias("dup"))
-    t = F.split(text_key(F.col("text")), " ")
-    rows = d.join(copies, "k").withColumn("share", F.transform(F.array(t), lambda x: F.size(F.array_distinct(x)) / F.size(x))[0])
-    points = sum((F.when(c, round(RISK[k] * 100)).otherwise(0) for k, c in (("duplicate_text", F.col("dup")), ("shouting", F.col("text").contains("!!!")), ("no_place", F.col("source").isNull()), ("repetition", F.col("share") < 0.5), ("links", F.col("text").contains("http")))), F.lit(0))
-    return rows.select("doc_id", points.alias("points")).withColumn("risk", F.when(F.col("points") >= HIGH * 100, "high").when(F.col("points") >= MEDIUM * 100, "medium").otherwise("low"))
+    """Weighted signs of an incredible report: copies of its text, its reporter's recent reports and share of copies, and single facts."""
+    r = frame(spark, sf_dir, "reports").select("id", "reporter", "at_s", F.md5("raw_text").alias("k"))
+    copies = r.groupBy("k").agg(F.count(F.lit(1)).alias("copies"))
+    w = Window.partitionBy("reporter").orderBy("at_s").rangeBetween(-DAY, 0)
+    x = saved(r.join(copies, "k").select("id", "reporter", "copies", F.count(F.lit(1)).over(w).alias("recent")), "facts")
+    share = x.groupBy("reporter").agg(F.avg((F.col("copies") > 1).cast("double")).alias("repeated_share"))
+    return risk(x.join(share, "reporter").selectExpr("id", "copies", "recent", "repeated_share", *_split(_FACTS)))
+
+
+def _split(columns: str) -> list[str]:
+    return [x.strip() for x in columns.split(",")]

@@ -10,6 +10,7 @@ from ..functions.text import text_key
 from ..operators import fusion
 from ..operators.filters import in_force
 from ..sources.bindings import AS_OF, HOUR, cte, frame
+from ..sources.tables import saved
 from .registry import query
 
 _PRIOR = "CASE source_type WHEN 'OFFICIAL_DISPATCH' THEN 1.0 WHEN 'CWC_GAUGE' THEN 0.95 WHEN 'AWS_SENSOR' THEN 0.9 WHEN 'CITIZEN_APP' THEN 0.6 WHEN 'NEWS_MEDIA' THEN 0.55 WHEN 'SOCIAL_MEDIA' THEN 0.5 END"
@@ -181,7 +182,7 @@ def dom18_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dom03_coordinated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of 30 normalised characters or more that three sources or more share."""
     key = F.explode(F.array(text_key(F.col("text")))).alias("key")  # a generated column is made once, an expression once for each use
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", key).where(F.length("key") >= 30).select("doc_id", "source", F.md5("key").alias("k"))
+    d = saved(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", key).where(F.length("key") >= 30).select("doc_id", "source", F.md5("key").alias("k")), "text-keys")
     shared = d.groupBy("k").agg(F.countDistinct("source").alias("n")).where("n >= 3").select("k")
     return d.join(shared, "k", "left_semi").select("doc_id")
 
