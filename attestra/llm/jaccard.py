@@ -236,15 +236,15 @@ def components(edges: DataFrame) -> DataFrame:
     written to the shared folder.
     """
     both = common.saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null"), "components-edges")
-    labels = common.saved(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "components")
+    labels = table = common.saved(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "components")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
         new = common.saved(step.join(jump, "root", "left").select("node", "was", F.least("root", "beyond").alias("root")), "components")
         done = new.where("root <> was").isEmpty()
-        common.discard(labels)
-        labels = new.select("node", "root")
+        common.discard(table)
+        labels, table = new.select("node", "root"), new
         if done:
             common.discard(both)
             return labels
