@@ -15,7 +15,7 @@ from . import common, words
 #: Words of a shingle, least similarity, chance to find a pair of just that similarity, and most hash functions.
 SHINGLE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 1 - 1e-6, 128
 #: A bucket of more members is compared block by block, so that no task holds more than two blocks.
-BLOCK = 256
+BLOCK = 768
 #: From this many members on, a group is compared by matrix products.
 DENSE = 24
 
