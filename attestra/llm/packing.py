@@ -22,7 +22,7 @@ DEPTH = 3
 #: Id set after each document, and the vocabulary's one special token.
 END, SPECIAL = 0, {"<|endoftext|>": 50256}
 #: Rows of a bin that one task numbers; each bin is dealt to so many salts that a salt has about this many.
-SALT_ROWS = 1 << 17
+SALT_ROWS = 1 << 14
 
 
 @functools.lru_cache(maxsize=2)
