@@ -87,13 +87,14 @@ def matched_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ml02_complete_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete-link groups of the reports of each district."""
-    return complete_link(blocked(frame(spark, sf_dir, "reports").where("district is not null")))
+    rows = saved(blocked(frame(spark, sf_dir, "reports").where("district is not null")), "blocks")
+    return complete_link(rows.where("block is not null")).unionByName(rows.where("block is null").select("id", F.col("id").alias("group")))
 
 
 def blocked(reports: DataFrame, km: float = 5.0, minutes: float = 180.0) -> DataFrame:
     """id, at_s, lat, lng, kind, block: the block is the component of compatible reports (near, within the window, of one kind or without one).
 
-    Members of a group are compatible in pairs, so no group reaches beyond a component.
+    Members of a group are compatible in pairs, so no group reaches beyond a component. A report that fits no other has a null block.
     """
     r = reports.select("id", "at_s", "lat", "lng", F.col("hazard").alias("kind"), "district")
     width = int(minutes * 60)
@@ -102,7 +103,7 @@ def blocked(reports: DataFrame, km: float = 5.0, minutes: float = 180.0) -> Data
     same = F.coalesce(F.col("kind") == F.col("r_kind"), F.lit(True)) & (F.col("district") == F.col("r_district"))
     fits = pairs.where((F.col("slot") == F.col("r_slot")) & (F.col("id") != F.col("r_id")) & (F.abs(F.col("at_s") - F.col("r_at_s")) <= width) & same)
     roots = connected(reports.sparkSession, fits.select(F.col("id").alias("a"), F.col("r_id").alias("b")))
-    return r.join(roots, r.id == roots.node, "left").select("id", "at_s", "lat", "lng", "kind", F.coalesce("root", "id").cast("string").alias("block"))
+    return r.join(roots, r.id == roots.node, "left").select("id", "at_s", "lat", "lng", "kind", F.col("root").cast("string").alias("block"))
 
 
 @query()
