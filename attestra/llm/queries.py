@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, crf, jaccard, lines, lm, packing, shards, suffix, warc, winnowing
+from . import ann, crf, jaccard, lines, lm, packing, quality, shards, suffix, vafile, warc, winnowing, yinyang
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,23 @@ def op10_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256."""
+    return yinyang.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
+    return vafile.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_run_index, op2_line_dedup, op3_size_tiers, op4_pseudo_likelihood, op5_decontaminate, op6_language_id, op7_jaccard_join, op8_packing, op9_warc, op10_multiprobe)}
+    return {f.__name__: f for f in (op1_run_index, op2_line_dedup, op3_size_tiers, op4_pseudo_likelihood, op5_decontaminate, op6_language_id, op7_jaccard_join, op8_packing, op9_warc, op10_multiprobe, op11_yinyang, op12_va_file, op13_quality)}
 
 
 OP5_SQL = r"""
@@ -128,5 +143,49 @@ FROM b
 """
 
 
+#: A vector as its integer components.
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+
+def op11_sql() -> str:
+    """The rounds written out: nearest is each vector's centroid, then the centroids are moved."""
+    nearest = """n{0} AS MATERIALIZED (
+  SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT rid, c, list_sum(list_transform(list_zip(v.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{0} m) GROUP BY rid
+)"""
+    moved = """c{1} AS MATERIALIZED (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x
+  FROM (SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM n{0} JOIN v USING (rid), generate_series(1, 64) t(i) GROUP BY c, i) GROUP BY c
+  UNION ALL SELECT c, x FROM c{0} WHERE c NOT IN (SELECT c FROM n{0})
+)"""
+    rounds = ", ".join(f"{nearest.format(r)}, {moved.format(r, r + 1)}" for r in range(5))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, {_WHOLE} AS x FROM embeddings WHERE {_FINITE} AND len(embedding) = 64
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('2:', vec_id)), x) - 1 AS c, x FROM v QUALIFY c < 40
+), {rounds}, {nearest.format(5)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c5.x, ',')) AS centroid_sha256
+FROM n5 JOIN v USING (rid) JOIN c5 USING (c)
+"""
+
+
+OP12_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE} AND len(embedding) > 0
+), a AS MATERIALIZED (SELECT row_number() OVER () AS aid, * FROM v WHERE vec_id % 100 = 0
+), s AS MATERIALIZED (
+  SELECT aid, a.vec_id AS anchor_id, v.vec_id AS id, a.label = v.label AS alike, CAST(list_sum(list_transform(list_zip(a.x, v.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM a JOIN v ON len(a.x) = len(v.x)
+), p AS (SELECT aid, anchor_id, id, score, row_number() OVER (PARTITION BY aid ORDER BY score DESC, id) AS r FROM s WHERE alike AND id <> anchor_id QUALIFY r <= 5
+), n AS (
+  SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.aid, p.r ORDER BY s.score DESC, s.id) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.aid = p.aid AND NOT s.alike AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_run_index": OP1_SQL, "op5_decontaminate": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op9_warc": OP9_SQL}
+    return {"op1_run_index": OP1_SQL, "op5_decontaminate": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op9_warc": OP9_SQL, "op11_yinyang": op11_sql(), "op12_va_file": OP12_SQL}
