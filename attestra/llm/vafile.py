@@ -34,10 +34,12 @@ class Cells:
 
     @classmethod
     def of(cls, sample: np.ndarray, least: np.ndarray, greatest: np.ndarray) -> Cells:
-        """Cells with about as many sampled rows each; the outer ones reach to the least and greatest of all rows."""
+        """Cut halfway between equal shares of the sample and equal widths, so that neither crowded nor far cells are wide; the outer cells reach to the least and greatest of all rows."""
         d = len(least)
         low, high = np.empty((d, CELLS), np.int64), np.empty((d, CELLS), np.int64)
-        cuts = np.quantile(sample, np.arange(1, CELLS) / CELLS, axis=0, method="nearest").astype(np.int64) if len(sample) else np.tile(least, (CELLS - 1, 1))
+        at = np.arange(1, CELLS) / CELLS
+        even = least + np.outer(at, greatest - least)
+        cuts = np.floor((np.quantile(sample, at, axis=0) + even) / 2 if len(sample) else even).astype(np.int64)
         low[:, 0], high[:, -1] = least, greatest
         low[:, 1:] = np.clip(cuts.T, least[:, None], greatest[:, None])
         high[:, :-1] = np.maximum(low[:, 1:] - 1, low[:, :-1])  # a cell that two equal cuts leave empty holds no row
