@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.alerting import COOLDOWN_S, CONFIDENCE_STEP, TTL_S, VERSION_STEP
 from ..operators.fusion import SEVERITIES
-from ..sources.bindings import cte, frame
+from ..sources.bindings import DAY, cte, frame
+from ..streaming.runner import collected, read_stream
+from ..streaming.state import alert_lives, rocksdb
 from .registry import query
 
-# The default rules (id, priority, event types, least severity, confidence and number of sources), gates and times.
+# The default rules (id, priority, event types, least severity, confidence and number of sources).
 RULES = [
     ("RULE_CRITICAL_EVENT", 10, None, 3, 0.90, 2),
     ("RULE_HIGH_CONFIDENCE_FLOOD", 20, ["URBAN_FLOOD", "RIVER_BREACH"], 2, 0.70, 2),
     ("RULE_GENERAL_THREAT", 50, None, 1, 0.80, 3),
 ]
-COOLDOWN_S, CONFIDENCE_STEP = 300, 0.10
 
 
 def severity_rank(c: str):
@@ -108,3 +110,68 @@ def alr07_version_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("order_id").orderBy("line", "station", "recorded_s", "rainfall_mm")
     rows = frame(spark, sf_dir, "readings").select("order_id", "line", "rainfall_mm", F.lag("rainfall_mm").over(w).alias("before"), F.row_number().over(w).alias("n"))
     return rows.select("order_id", "line", F.when(F.col("n") == 1, "new").when(~F.col("rainfall_mm").eqNullSafe(F.col("before")), "updated").otherwise("seen").alias("kind"))
+
+
+#: Minutes by which the clock of alerts trails the newest version, so that versions may come out of order.
+CLOCK_MIN = 60
+#: Versions of events, as expressions that both engines read: an event is a district's day, each report a version of it.
+VERSIONS = {
+    "code": f"concat('EV-', user_id - user_id % 20, '-', at_s - at_s % {DAY})",
+    "version": "event_id",
+    "severity": "CAST((event_id * 7 + user_id) % 4 AS INT)",
+    "confidence": "(600 + event_id * 37 % 401) / 1e3",
+    "sources": "CAST(event_id * 3 % 6 AS INT)",
+    "review_status": "CASE WHEN event_id % 9 = 4 THEN 'QUARANTINED' WHEN event_id % 2 = 0 THEN 'AUTO_PUBLISHED' ELSE 'HUMAN_APPROVED' END",
+    "event_type": "CASE WHEN (user_id - user_id % 20) % 40 = 0 THEN 'URBAN_FLOOD' ELSE 'HEATWAVE' END",
+}
+
+
+def versions(rows: DataFrame) -> DataFrame:
+    """A stream of reports (event_id, user_id, ts) as versions of events, each with the rule that it matches (null for none)."""
+    v = rows.withColumn("at_s", F.unix_timestamp("ts")).selectExpr("ts", "at_s", *(f"{e} AS {c}" for c, e in VERSIONS.items()))
+    named = v.withColumn("rank", F.col("severity")).withColumn("severity", F.element_at(F.array(*(F.lit(s) for s in SEVERITIES)), F.col("severity") + 1))
+    return matched(named).select("code", "version", "at_s", "ts", F.col("rank").alias("severity"), "confidence", "sources", "review_status", F.col("rule_id").alias("rule"))
+
+
+def lives(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """What a stream of versions does to the alerts of its events, once all of it was read."""
+    with rocksdb(spark):
+        return collected(alert_lives(versions(rows.withWatermark("ts", f"{CLOCK_MIN} minutes"))))
+
+
+_LIVE = "status IN ('ACTIVE', 'ESCALATED', 'ACKNOWLEDGED')"
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM events),
+v AS (SELECT at_s, {', '.join(f'{x} AS {c}' for c, x in VERSIONS.items())} FROM e),
+r AS (SELECT code, version, at_s, severity, confidence, sources, review_status IN ('AUTO_PUBLISHED', 'HUMAN_APPROVED') AS fit, (severity >= 3 AND confidence >= 0.9 AND sources >= 2) OR (event_type = 'URBAN_FLOOD' AND severity >= 2 AND confidence >= 0.7 AND sources >= 2) OR (severity >= 1 AND confidence >= 0.8 AND sources >= 3) AS rule, row_number() OVER (PARTITION BY code ORDER BY at_s, version) AS n FROM v),
+s AS (
+  SELECT code, 0 AS n, CAST(NULL AS BIGINT) AS version, CAST(NULL AS BIGINT) AS at_s, CAST(NULL AS VARCHAR) AS class, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS BIGINT) AS ended, CAST(NULL AS INT) AS l_sev, CAST(NULL AS DOUBLE) AS l_conf, CAST(NULL AS INT) AS l_src,
+    CAST(NULL AS VARCHAR) AS status, CAST(NULL AS INT) AS a_sev, CAST(NULL AS DOUBLE) AS a_conf, CAST(NULL AS INT) AS a_src, CAST(NULL AS BIGINT) AS upd, CAST(NULL AS BIGINT) AS exp, 0 AS alerts FROM r GROUP BY code
+  UNION ALL
+  SELECT code, n, version, at_s, class, action, ended, CASE WHEN class = 'seen' THEN l_sev ELSE severity END, CASE WHEN class = 'seen' THEN l_conf ELSE confidence END, CASE WHEN class = 'seen' THEN l_src ELSE sources END,
+    CASE WHEN action = 'CREATE' THEN 'ACTIVE' WHEN starts_with(action, 'ESC') THEN 'ESCALATED' WHEN action = 'RESOLVE' THEN 'RESOLVED' ELSE status END, CASE WHEN action = 'CREATE' OR starts_with(action, 'ESC') THEN severity ELSE a_sev END,
+    CASE WHEN action = 'CREATE' OR action = 'UPDATE' OR starts_with(action, 'ESC') THEN confidence ELSE a_conf END, CASE WHEN action = 'CREATE' OR action = 'UPDATE' OR starts_with(action, 'ESC') THEN sources ELSE a_src END,
+    CASE WHEN action <> 'NO_ACTION' THEN at_s ELSE upd END, CASE WHEN action IN ('CREATE', 'UPDATE') THEN at_s + {TTL_S} ELSE exp END, CASE WHEN action = 'CREATE' THEN alerts + 1 ELSE alerts END
+  FROM (
+    SELECT *, CASE WHEN class = 'seen' OR NOT fit THEN 'NO_ACTION' WHEN NOT rule THEN CASE WHEN {_LIVE} THEN 'RESOLVE' ELSE 'NO_ACTION' END WHEN status IS NULL THEN 'CREATE' WHEN NOT {_LIVE} THEN CASE WHEN at_s - upd > {COOLDOWN_S} THEN 'CREATE' ELSE 'NO_ACTION' END
+      WHEN round(confidence - a_conf, 6) >= {CONFIDENCE_STEP} THEN 'ESCALATE_LEVEL_2' WHEN severity > a_sev THEN 'ESCALATE_LEVEL_1' WHEN sources > a_src OR confidence <> a_conf THEN 'UPDATE' ELSE 'NO_ACTION' END AS action
+    FROM (
+      SELECT s.code, r.n, r.version, r.at_s, r.severity, r.confidence, r.sources, r.fit, r.rule, l_sev, l_conf, l_src, a_sev, a_conf, a_src, exp, alerts,
+        CASE WHEN l_sev IS NULL THEN 'new' WHEN r.severity <> l_sev OR round(abs(r.confidence - l_conf), 6) >= {VERSION_STEP} OR r.sources > l_src THEN 'updated' ELSE 'seen' END AS class,
+        CASE WHEN {_LIVE} AND exp <= r.at_s THEN exp END AS ended, CASE WHEN {_LIVE} AND exp <= r.at_s THEN 'EXPIRED' ELSE status END AS status, CASE WHEN {_LIVE} AND exp <= r.at_s THEN exp ELSE upd END AS upd
+      FROM s JOIN r ON r.code = s.code AND r.n = s.n + 1
+    )
+  )
+), last AS (SELECT code, max(n) AS n FROM s GROUP BY 1)
+SELECT code, version, at_s, class, action, status, alerts FROM s WHERE n > 0
+UNION ALL SELECT code, NULL, ended, NULL, 'EXPIRE', 'EXPIRED', alerts - CASE WHEN action = 'CREATE' THEN 1 ELSE 0 END FROM s WHERE ended IS NOT NULL
+UNION ALL SELECT code, NULL, exp, NULL, 'EXPIRE', 'EXPIRED', alerts FROM s JOIN last USING (code, n) WHERE {_LIVE} AND exp * 1000 <= (SELECT max(epoch_ms(ts)) FROM events) - {CLOCK_MIN} * 60000"""
+)
+def alr04_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The life of every event's alert by one keyed operator with a timer: version class, decision, cooldown and expiry, as a history.
+
+    A row a version, and one for each alert that nothing updated in time; the clock is the newest version's time less CLOCK_MIN.
+    """
+    return lives(spark, read_stream(spark, sf_dir, "events", "ts").select("event_id", "user_id", "ts"))

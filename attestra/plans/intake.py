@@ -18,7 +18,9 @@ from ..operators.alerting import expired
 from ..operators.filters import report_status
 from ..operators.spatial import dbscan, nearest, radius_join
 from ..sources.bindings import AS_OF, DAY, HOUR, cte, flags, frame
+from ..sources.cursor import Timelines
 from ..sources.tables import shared_path
+from ..streaming.runner import collected
 from .geography import km_sql
 from .registry import query
 from .relational import EVENTS_AS_OF, STATUS_SQL, taxonomy
@@ -41,11 +43,18 @@ def src14_news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", headline_key(F.concat_ws(" - ", "p_name", "p_brand")).alias("key_"), (age_s > 48 * HOUR).alias("stale"))
 
 
-@query("SELECT user_id, max(event_id) AS cursor, count(*) AS fresh FROM events WHERE event_id > 500 GROUP BY 1")
+@query("SELECT concat('i', user_id % 3) AS instance, event_type AS tag, event_id AS id, concat('u', user_id) AS account FROM events")
 def src15_cursor_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a poll from a stored cursor brings, and the cursor after it; the bound reaches the scan."""
-    new = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id > 500")
-    return new.groupBy("user_id").agg(F.max("event_id").alias("cursor"), F.count(F.lit(1)).alias("fresh"))
+    """Posts of three instances polled by tag, in two runs from one checkpoint: what appeared by the first, and what was added since."""
+    spark.dataSource.register(Timelines)
+    posts, place = shared_path(spark, "timelines"), shared_path(spark, "polled")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select(F.concat(F.lit("i"), F.col("user_id") % 3).alias("instance"), F.col("event_type").alias("tag"), F.col("event_id").alias("id"), F.concat(F.lit("u"), "user_id").alias("account"))
+    half = e.agg((F.max("event_id") / 2).cast("bigint").alias("h")).first()["h"] or 0
+    for lot in (F.col("id") <= half, F.col("id") > half):
+        rows.where(lot).write.mode("append").partitionBy("instance", "tag").parquet(posts)
+        polled = collected(spark.readStream.format("timelines").option("path", posts).load(), place=place)
+    return polled
 
 
 @query(cte("warnings", "reports") + "SELECT w.identifier, d.district FROM warnings w JOIN (SELECT DISTINCT district FROM reports WHERE district IS NOT NULL) d ON lower(w.area) LIKE concat('% ', lower(d.district))")

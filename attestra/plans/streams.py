@@ -7,12 +7,13 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.parsers import cap_alert, hourly, latest_revision, metar, rss_items
-from ..sources.tables import saved, shared_path
+from ..sources.tables import shared_path
 from ..streaming.runner import collected, drain, read_stream
+from ..streaming.state import remembered, rocksdb
 from .registry import query
 
 
@@ -88,22 +89,27 @@ def stm07_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 GOOD_S, FAILED_S = 600, 60
 
 
+def _ask(report: Row) -> int | None:
+    """The model, as a stand-in: every fourth request fails, the others name the report that asked."""
+    return None if report.id % 4 == 0 else report.id
+
+
 @query(
-    f"""WITH l AS (SELECT user_id % 50 AS cell, CAST(floor(epoch(max(ts))) AS BIGINT) - 86400 * 15 AS fetched_s, max(event_id) % 4 <> 0 AS ok, round(avg(value), 6) AS answer FROM events GROUP BY 1)
-SELECT event_id, CASE WHEN CAST(floor(epoch(ts)) AS BIGINT) BETWEEN fetched_s AND fetched_s + CASE WHEN ok THEN {GOOD_S} ELSE {FAILED_S} END * 60 THEN CASE WHEN ok THEN 'hit' ELSE 'failed' END ELSE 'fetch' END AS state FROM events JOIN l ON cell = user_id % 50"""
+    f"""WITH RECURSIVE r AS (SELECT user_id - user_id % 20 AS cell, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS at_s, row_number() OVER (PARTITION BY user_id - user_id % 20 ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+s AS (SELECT cell, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, '' AS state, CAST(NULL AS BIGINT) AS answer, CAST(-1 AS BIGINT) AS expires FROM r GROUP BY cell UNION ALL
+  SELECT r.cell, r.n, r.id, CASE WHEN expires <= at_s THEN 'fetch' WHEN answer IS NULL THEN 'failed' ELSE 'hit' END, CASE WHEN expires > at_s THEN answer WHEN r.id % 4 <> 0 THEN r.id END, CASE WHEN expires > at_s THEN expires WHEN r.id % 4 <> 0 THEN at_s + {GOOD_S} ELSE at_s + {FAILED_S} END
+  FROM s JOIN r ON r.cell = s.cell AND r.n = s.n + 1)
+SELECT cell, id, state, answer FROM s WHERE n > 0"""
 )
 def stm08_cached_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of a stream met with the answers that a model gave for their cell: used while young enough, failures for a shorter time.
+    """Reports of a stream met with the answers that a model gave for their cell: an answer serves for GOOD_S, a failure for FAILED_S.
 
-    The table of answers is static within a batch and read anew by the next. (Ages count in minutes here: the reports are sparse.)
+    The stream itself asks, remembers and forgets: state of each cell with an end, which the event time's clock clears.
     """
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    answers = e.groupBy((F.col("user_id") % 50).alias("cell")).agg((F.unix_timestamp(F.max("ts").cast("timestamp")) - 86_400 * 15).alias("fetched_s"), (F.max("event_id") % 4 != 0).alias("ok"), F.round(F.avg("value"), 6).alias("answer"))
-    table = saved(answers, "answers")
-    rows = read_stream(spark, sf_dir, "events", "ts").select("event_id", (F.col("user_id") % 50).alias("cell"), F.unix_timestamp("ts").alias("at_s"))
-    lives = F.when(F.col("ok"), GOOD_S).otherwise(FAILED_S) * 60
-    young = F.col("at_s").between(F.col("fetched_s"), F.col("fetched_s") + lives)
-    return collected(rows.join(table, "cell").select("event_id", F.when(young & F.col("ok"), "hit").when(young, "failed").otherwise("fetch").alias("state")))
+    rows = read_stream(spark, sf_dir, "events", "ts").withWatermark("ts", "1 hour")
+    reports = rows.select((F.col("user_id") - F.col("user_id") % 20).alias("cell"), F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("at_s"), "ts")
+    with rocksdb(spark):
+        return collected(remembered(reports, _ask, GOOD_S, FAILED_S))
 
 
 @query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2")
