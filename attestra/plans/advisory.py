@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
 from ..functions.tagging import tags
-from ..functions.text import FLAG_FACTORS, text_key
+from ..functions.text import FEW_FOLLOWERS, FLAG_FACTORS, NEW_ACCOUNT_DAYS, account_flags, collapse, text_key
 from ..operators.matching import GATE_MIN, complete_link, matched_pairs
 from ..operators.shapes import intersecting, outlines
 from ..operators.spatial import connected, dbscan, radius_join
@@ -47,12 +47,11 @@ def arr06_media_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", F.array_join(file_flags(F.col("taken"), F.col("observed_s"), F.col("at_s"), km, i % 50 == 0, i % 5 != 0), ",").alias("flags"))
 
 
-@query("SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 20 < 7 THEN 'new_account' END, CASE WHEN c_custkey % 11 < 5 THEN 'few_followers' END, CASE WHEN c_custkey % 6 = 0 THEN 'bot_account' END) AS flags FROM customer")
+@query(f"SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 20 < {NEW_ACCOUNT_DAYS} THEN 'new_account' END, CASE WHEN c_custkey % 11 < {FEW_FOLLOWERS} THEN 'few_followers' END, CASE WHEN c_custkey % 6 = 0 THEN 'bot_account' END) AS flags FROM customer")
 def arr07_account_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts under seven days, with fewer than five followers, or marked as bots."""
     c = F.col("c_custkey")
-    found = F.array_compact(F.array(F.when(c % 20 < 7, F.lit("new_account")), F.when(c % 11 < 5, F.lit("few_followers")), F.when(c % 6 == 0, F.lit("bot_account"))))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.array_join(found, ",").alias("flags"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.array_join(account_flags(c % 20, c % 11, c % 6 == 0), ",").alias("flags"))
 
 
 _TEXT = "CASE p_partkey % 6 WHEN 0 THEN 'Knee deep water, flood in market right now' WHEN 1 THEN 'No flood here, all clear' WHEN 2 THEN 'Heavy rain forecast for tomorrow' WHEN 3 THEN concat('Wind of ', p_size + 20, ' kmph and hail') WHEN 4 THEN 'Fog, visibility only 80 m' ELSE p_name END"
@@ -182,54 +181,99 @@ def snk01_csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("id", "code", "severity", "confidence", F.coalesce("district", F.lit("")).alias("district"))
 
 
-# Hundredths that each sign of an incredible report adds, as (code, points, condition on the facts), and the gates of
-# medium and high risk.
+# From where on the facts of a report are signs against it. Texts shorter than `text`; shares of repeated words, repeated
+# pairs of words, marks, claims, and of copies among the reporter's recent reports; more than so many links and phone numbers; copies of
+# one text; recent reports; seconds that a report may lie ahead of its clock.
+RISK = {"text": 5, "words": 0.55, "pairs": 0.45, "marks": 0.20, "claims": 0.30, "share": 0.50, "urls": 2, "phones": 2, "copies": 5, "recent": 10, "ahead_s": 300}
+CLAIMS = ("confirmed", "definitely", "guaranteed", "official", "urgent", "always", "never", "proof", "claim")
+# Hundredths that each sign adds, as (code, points, condition on the facts), and the gates of medium and high risk.
 SIGNS = (
-    ("CONTRADICTORY_TIMESTAMP", 35, "delay_s < -300"),
+    ("INVALID_METADATA", "least(30, 10 * bad_metadata)", "bad_metadata > 0"),
     ("INVALID_COORDINATES", 40, "NOT coordinates_valid"),
+    ("CONTRADICTORY_TIMESTAMP", 35, f"delay_s < -{RISK['ahead_s']}"),
     ("GEOGRAPHIC_INCONSISTENCY", 25, "NOT place_fits"),
     ("EVENT_TYPE_INCONSISTENCY", 20, "NOT type_fits"),
     ("REPEATED_TEXT", 10, "copies > 1"),
-    ("EXCESSIVE_DUPLICATE_BEHAVIOR", 15, "copies >= 20"),
-    ("SOURCE_REPORT_BURST", 15, "recent >= 5"),
-    ("SOURCE_DUPLICATE_PATTERN", 15, "repeated_share >= 0.5 AND copies > 1"),
-    ("UNUSUAL_TEXT_REPETITION", 15, "repeated_words >= 0.5"),
-    ("EXCESSIVE_PUNCTUATION", 8, "marks >= 0.2"),
-    ("EXCESSIVE_URLS", 10, "urls > 3"),
-    ("EXCESSIVE_PHONE_REFERENCES", 10, "phones > 2"),
-    ("VERY_SHORT_TEXT", 2, "characters BETWEEN 1 AND 11"),
-    ("HIGH_CLAIM_DENSITY", 3, "claims >= 0.3"),
+    ("EXCESSIVE_DUPLICATE_BEHAVIOR", 15, f"copies >= {RISK['copies']}"),
+    ("SOURCE_REPORT_BURST", 15, f"recent >= {RISK['recent']}"),
+    ("SOURCE_DUPLICATE_PATTERN", 15, f"repeated_share >= {RISK['share']}"),
+    ("UNUSUAL_TEXT_REPETITION", 15, f"repeated_words >= {RISK['words']} OR repeated_pairs >= {RISK['pairs']}"),
+    ("EXCESSIVE_PUNCTUATION", 8, f"marks >= {RISK['marks']}"),
+    ("EXCESSIVE_URLS", 10, f"urls > {RISK['urls']}"),
+    ("EXCESSIVE_PHONE_REFERENCES", 10, f"phones > {RISK['phones']}"),
+    ("VERY_SHORT_TEXT", 2, f"characters > 0 AND characters < {RISK['text']}"),
+    ("HIGH_CLAIM_DENSITY", 3, f"claims >= {RISK['claims']}"),
 )
 MEDIUM, HIGH = 25, 55
-_FACTS = "CASE WHEN id % 41 = 0 THEN -900 ELSE id % 17 * 60 END AS delay_s, id % 37 <> 0 AS coordinates_valid, id % 11 <> 3 AS place_fits, id % 13 <> 2 AS type_fits, id % 19 / 3e1 AS repeated_words, id % 23 / 1e2 AS marks, id % 5 AS urls, id % 4 AS phones, id % 60 AS characters, id % 9 / 2e1 AS claims"
+#: How far back a reporter's reports are recent.
+RECENT_S = 3 * DAY
 _SIGNS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{code}' END" for code, _, test in SIGNS) + "], lambda x: x IS NOT NULL)"
 _POINTS_SQL = " + ".join(f"CASE WHEN {test} THEN {points} ELSE 0 END" for _, points, test in SIGNS)
 
 
+def text_facts(text):
+    """struct(characters, repeated_words, repeated_pairs, marks, claims, urls, phones) of a text, blanks collapsed and case aside; shares are null where there is nothing to share."""
+    t = F.lower(collapse(F.coalesce(text, F.lit(""))))
+
+    def of(t, w):
+        n = F.size(w)
+        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", w[i - 1], w[i])))
+        claims = F.filter(w, lambda x: x.rlike(r"^\d+$") | x.isin(*CLAIMS))
+        share = lambda v, of_: F.when(of_ > 0, v / of_)
+        return F.struct(
+            F.length(t).alias("characters"),
+            share(n - F.size(F.array_distinct(w)), n).alias("repeated_words"),
+            F.when(n > 1, (n - 1 - F.size(F.array_distinct(pairs))) / (n - 1)).alias("repeated_pairs"),
+            share(F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s]")), F.length(t)).alias("marks"),
+            share(F.size(claims), n).alias("claims"),
+            F.regexp_count(t, F.lit(r"(?:https?://|www\.)\S+")).alias("urls"),
+            F.regexp_count(t, F.lit(r"\d{10}")).alias("phones"),
+        )
+
+    both = F.array(F.struct(t.alias("t"), F.regexp_extract_all(t, F.lit(r"([\p{L}\p{N}_]+)"), 1).alias("w")))
+    return F.transform(both, lambda x: of(x["t"], x["w"]))[0]
+
+
 def risk(facts: DataFrame) -> DataFrame:
     """id, score, level, reasons of reports with their facts: the signs' weights summed, 1 at most. Advisory only: no truth follows from it."""
-    points = sum((F.when(F.expr(test), n).otherwise(0) for _, n, test in SIGNS), F.lit(0))
+    points = sum((F.when(F.expr(test), F.expr(str(n))).otherwise(0) for _, n, test in SIGNS), F.lit(0))
     reasons = F.array_compact(F.array(*(F.when(F.expr(test), F.lit(code)) for code, _, test in SIGNS)))
     rows = facts.select("id", F.least(points, F.lit(100)).alias("points"), reasons.alias("reasons"))
     level = F.when(F.col("points") >= HIGH, "high").when(F.col("points") >= MEDIUM, "medium").otherwise("low")
     return rows.select("id", (F.col("points") / 100).alias("score"), level.alias("level"), F.array_join("reasons", ",").alias("reasons"))
 
 
+#: What the reports' rows lack, made from their keys: texts of many kinds, a clock ahead, a latitude beyond the pole, metadata that are no numbers.
+_SAID = "CASE WHEN id % 53 = 0 THEN 'oh' ELSE concat(raw_text, CASE id % 9 WHEN 1 THEN repeat(' flood', 12) WHEN 2 THEN ' !!! ??? ### !!! ??? ### !!!' WHEN 3 THEN ' https://a.example www.b.example http://c.example/x' WHEN 4 THEN ' call 9000000001 9000000002 9000000003' WHEN 5 THEN ' confirmed official proof urgent 100 2 3 never' WHEN 6 THEN concat(' road ', id) ELSE '' END) END"
+_SEEN = "CASE WHEN id % 41 = 0 THEN at_s + 900 ELSE observed_s END"
+_LAT = "CASE WHEN id % 37 = 0 THEN lat + 90 ELSE lat END"
+_META = ("CASE WHEN id % 29 = 0 THEN 'many' ELSE concat('', id % 5) END", "CASE WHEN id % 31 = 0 THEN 'old' WHEN id % 3 = 0 THEN NULL ELSE concat('', id % 90) END")
+
+
 @query(
-    cte("reports")
-    + f""", c AS (SELECT raw_text, count(*) AS copies FROM reports GROUP BY 1), x AS (SELECT id, reporter, copies, count(*) OVER (PARTITION BY reporter ORDER BY at_s RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS recent FROM reports JOIN c USING (raw_text)),
-y AS (SELECT reporter, avg(CASE WHEN copies > 1 THEN 1.0 ELSE 0.0 END) AS repeated_share FROM x GROUP BY 1), f AS (SELECT id, copies, recent, repeated_share, {_FACTS} FROM x JOIN y USING (reporter))
+    cte("reports", "verified")
+    + f""", m AS (SELECT id, reporter, at_s, lat, lng, state, hazard, verified_id, {_SAID} AS said, {_SEEN} AS seen_s, {_LAT} AS at_lat, {_META[0]} AS m1, {_META[1]} AS m2 FROM reports),
+c AS (SELECT said, count(*) AS copies FROM m GROUP BY 1), x AS (SELECT m.*, copies, count(*) OVER w AS recent, sum(CASE WHEN copies > 1 THEN 1 ELSE 0 END) OVER w AS repeated FROM m JOIN c USING (said) WINDOW w AS (PARTITION BY reporter ORDER BY at_s RANGE BETWEEN {RECENT_S} PRECEDING AND CURRENT ROW)),
+t AS (SELECT *, lower(trim(regexp_replace(said, '\\s+', ' ', 'g'))) AS t, regexp_extract_all(lower(said), '[\\p{{L}}\\p{{N}}_]+') AS w FROM x),
+f AS (SELECT t.id, copies, recent, repeated * 1.0 / recent AS repeated_share, t.at_s - seen_s AS delay_s, at_lat BETWEEN -90 AND 90 AND t.lng BETWEEN -180 AND 180 AS coordinates_valid, t.state = v.state AS place_fits, t.hazard = v.event_type AS type_fits,
+ (CASE WHEN m1 IS NOT NULL AND try_cast(m1 AS DOUBLE) IS NULL THEN 1 ELSE 0 END) + (CASE WHEN m2 IS NOT NULL AND try_cast(m2 AS DOUBLE) IS NULL THEN 1 ELSE 0 END) AS bad_metadata, length(t) AS characters,
+ (len(w) - len(list_distinct(w))) * 1.0 / len(w) AS repeated_words, CASE WHEN len(w) > 1 THEN (len(w) - 1 - len(list_distinct(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))))) * 1.0 / (len(w) - 1) END AS repeated_pairs,
+ len(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}\\s]')) * 1.0 / length(t) AS marks, len(list_filter(w, lambda y: regexp_full_match(y, '[0-9]+') OR y IN {CLAIMS})) * 1.0 / len(w) AS claims, len(regexp_extract_all(t, '(?:https?://|www\\.)\\S+')) AS urls, len(regexp_extract_all(t, '[0-9]{{10}}')) AS phones
+ FROM t LEFT JOIN verified v ON v.id = verified_id)
 SELECT id, least({_POINTS_SQL}, 100) / 100.0 AS score, CASE WHEN {_POINTS_SQL} >= {HIGH} THEN 'high' WHEN {_POINTS_SQL} >= {MEDIUM} THEN 'medium' ELSE 'low' END AS level, array_to_string({_SIGNS_SQL}, ',') AS reasons FROM f"""
 )
 def ml05_credibility_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted signs of an incredible report: copies of its text, its reporter's recent reports and share of copies, and single facts."""
-    r = frame(spark, sf_dir, "reports").select("id", "reporter", "at_s", F.md5("raw_text").alias("k"))
+    """Weighted signs of an incredible report: its text, copies of it, its reporter's recent reports and the copies among them, its clock,
+    point and metadata, and whether its event has its place and kind."""
+    r = frame(spark, sf_dir, "reports").selectExpr("id", "reporter", "at_s", "lng", "state", "hazard", "verified_id", f"{_SAID} AS said", f"{_SEEN} AS seen_s", f"{_LAT} AS at_lat", f"{_META[0]} AS m1", f"{_META[1]} AS m2")
+    r = r.withColumn("k", F.md5("said"))
     copies = r.groupBy("k").agg(F.count(F.lit(1)).alias("copies"))
-    w = Window.partitionBy("reporter").orderBy("at_s").rangeBetween(-DAY, 0)
-    x = saved(r.join(copies, "k").select("id", "reporter", "copies", F.count(F.lit(1)).over(w).alias("recent")), "facts")
-    share = x.groupBy("reporter").agg(F.avg((F.col("copies") > 1).cast("double")).alias("repeated_share"))
-    return risk(x.join(share, "reporter").selectExpr("id", "copies", "recent", "repeated_share", *_split(_FACTS)))
-
-
-def _split(columns: str) -> list[str]:
-    return [x.strip() for x in columns.split(",")]
+    w = Window.partitionBy("reporter").orderBy("at_s").rangeBetween(-RECENT_S, 0)
+    x = r.join(copies, "k").withColumn("recent", F.count(F.lit(1)).over(w)).withColumn("repeated_share", F.count_if(F.col("copies") > 1).over(w) / F.col("recent"))
+    events = frame(spark, sf_dir, "verified").select(F.col("id").alias("verified_id"), F.col("state").alias("v_state"), "event_type")
+    no_number = lambda c: (F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).cast("int")
+    facts = x.join(events, "verified_id", "left").select(
+        "id", "copies", "recent", "repeated_share", (F.col("at_s") - F.col("seen_s")).alias("delay_s"), (F.col("at_lat").between(-90, 90) & F.col("lng").between(-180, 180)).alias("coordinates_valid"),
+        (F.col("state") == F.col("v_state")).alias("place_fits"), (F.col("hazard") == F.col("event_type")).alias("type_fits"), (no_number("m1") + no_number("m2")).alias("bad_metadata"), text_facts(F.col("said")).alias("t"),
+    )
+    return risk(facts.select("*", "t.*"))

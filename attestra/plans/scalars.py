@@ -233,10 +233,14 @@ def arr04_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "reports").select("id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), body.alias("canonical"))
 
 
-@query(cte("reports") + "SELECT id, round(greatest(0.05, credibility * CASE WHEN source_type = 'CITIZEN_APP' THEN 0.5 + 0.5 * least(1.0, length(raw_text) / 6e1) ELSE 1.0 END * CASE WHEN contains(coalesce(flags_csv, ''), 'promotional') THEN 0.3 ELSE 1 END * CASE WHEN contains(coalesce(flags_csv, ''), 'shouting') THEN 0.9 ELSE 1 END * CASE WHEN contains(coalesce(flags_csv, ''), 'bot_account') THEN 0.8 ELSE 1 END), 8) AS score FROM reports")
+#: Texts with blanks at their ends, some of them nothing else.
+_PADDED = "CASE WHEN id % 7 = 0 THEN '   ' ELSE concat(repeat(' ', CAST(id % 30 AS INT)), substr(raw_text, 1, CAST(id % 50 AS INT)), '  ') END"
+
+
+@query(cte("reports") + f"SELECT id, round(greatest(0.05, credibility * CASE WHEN source_type = 'CITIZEN_APP' THEN 0.5 + 0.5 * least(1.0, length(trim({_PADDED})) / 6e1) ELSE 1.0 END * CASE WHEN contains(coalesce(flags_csv, ''), 'promotional') THEN 0.3 ELSE 1 END * CASE WHEN contains(coalesce(flags_csv, ''), 'shouting') THEN 0.9 ELSE 1 END * CASE WHEN contains(coalesce(flags_csv, ''), 'bot_account') THEN 0.8 ELSE 1 END), 8) AS score FROM reports")
 def geo08_flagged_credibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prior x quality by length for what a person wrote x the factors of its flags."""
-    score = text.credibility(F.col("credibility"), F.col("raw_text"), flags(), F.col("source_type") == "CITIZEN_APP")
+    score = text.credibility(F.col("credibility"), F.expr(_PADDED), flags(), F.col("source_type") == "CITIZEN_APP")
     return frame(spark, sf_dir, "reports").select("id", F.round(score, 8).alias("score"))
 
 

@@ -160,7 +160,7 @@ def derived(rows: DataFrame) -> DataFrame:
 #: A submission's text has so many characters.
 LEAST_TEXT, MOST_TEXT = 5, 2000
 _TEXT = "concat(CASE WHEN user_id % 9 = 0 THEN 'Fwd: share this with everyone ' ELSE '' END, repeat(concat(event_type, ' '), CAST(event_id % 30 AS INTEGER)))"
-_QUALITY = "CASE WHEN source_type = 'CITIZEN_APP' THEN 0.5 + 0.5 * least(1.0, length(raw_text) / 6e1) ELSE 1.0 END"
+_QUALITY = "CASE WHEN source_type = 'CITIZEN_APP' THEN 0.5 + 0.5 * least(1.0, length(trim(raw_text)) / 6e1) ELSE 1.0 END"
 
 
 @query(
