@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,14 @@ from ..functions.geo import EARTH_DEDUP
 from ..functions.text import core, edit_similarity, without_repost
 from ..sources.tables import saved
 from .spatial import radius_join
+from .tiles import by_groups
 
 # Gates of citizen duplicates (km, seconds), least edit similarity, hours in which a link and a text are shared, and
 # how many of the latest candidates a post's text is compared with.
 CITIZEN_KM, CITIZEN_S, SIMILAR, LINK_H, TEXT_H, CANDIDATES = 1.0, 900, 0.75, 72, 24, 200
 HOUR = 3600
+#: Posts whose candidates are held at once.
+OWN = 1 << 14
 
 
 def earlier(a_s: Column, a_id: Column, b_s: Column, b_id: Column) -> Column:
@@ -22,11 +27,17 @@ def earlier(a_s: Column, a_id: Column, b_s: Column, b_id: Column) -> Column:
 
 
 def resolved(parents: DataFrame) -> DataFrame:
-    """id, original: where the pointers (id, parent) end. Pointers lead to earlier rows, so there are no rings; chains halve in each round."""
+    """id, original: where the pointers (id, parent) end. Pointers lead to earlier rows, so there are no rings.
+
+    A round follows four pointers of the round before, so a chain of n takes log4(n) rounds; the last is the one in which no fourth
+    pointer was there to follow.
+    """
     at = saved(parents.select("id", F.col("parent").alias("original")), "pointers")
     while True:
-        beyond = at.select(F.col("id").alias("original"), F.col("original").alias("beyond"))
-        new = saved(at.join(beyond, "original", "left").select("id", F.coalesce("beyond", "original").alias("original"), F.col("beyond").isNotNull().alias("moved")), "pointers")
+        rows = at.select("id", F.col("original").alias("p0"))
+        for step in range(3):
+            rows = rows.join(at.select(F.col("id").alias(f"p{step}"), F.col("original").alias(f"p{step + 1}")), f"p{step}", "left")
+        new = saved(rows.select("id", F.coalesce("p3", "p2", "p1", "p0").alias("original"), F.col("p3").isNotNull().alias("moved")), "pointers")
         at = new.select("id", "original")
         if new.where("moved").isEmpty():
             return at
@@ -61,23 +72,72 @@ def _by_link(posts: DataFrame) -> DataFrame:
     return first.where(F.col("first.id") != F.col("id")).where(earlier(F.col("first.at_s"), F.col("first.id"), F.col("at_s"), F.col("id"))).select("id", F.col("first.id").alias("parent"))
 
 
+def latest(start: np.ndarray, seen: np.ndarray, rows: np.ndarray, most: int, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, candidate): for each of `rows` the `most` latest rows before it, from its place's start on, seen within `within` seconds of it.
+
+    Steps back from all rows at once, one row further at each; a row that has its number, or nothing before it, is done.
+    """
+    got, step = np.zeros(len(start), np.int64), 0
+    found: list[tuple[np.ndarray, np.ndarray]] = [(rows[:0], rows[:0])]
+    while len(rows):
+        step += 1
+        rows = rows[rows - step >= start[rows]]
+        hit = rows[np.abs(seen[rows - step] - seen[rows]) <= within]
+        got[hit] += 1
+        found.append((hit, hit - step))
+        rows = rows[got[rows] < most]
+    i, j = (np.concatenate(v) for v in zip(*found, strict=True))
+    return i, j
+
+
 def feed_parents(posts: DataFrame) -> DataFrame:
     """id, parent, rule of posts and headlines (id, at_s, seen_s, district, state, link, headline_key, raw_text) that repeat an earlier one.
 
     Rule 1: the same link within LINK_H. Of the CANDIDATES latest earlier ones of the same place, seen within TEXT_H: rule 2, the same
     headline key; rule 3, a similar text. The first rule that applies wins, and with it the earliest post. Places without a
     district or state are equal to each other.
+
+    A place is dealt by slots of TEXT_H with what lies within TEXT_H of them, so that one with any number of posts fills many tasks.
+    There each post meets its candidates only; of those with one text just the earliest goes on to be compared.
     """
     width = TEXT_H * HOUR
     slot = F.floor(F.col("seen_s") / width)
-    place = [F.coalesce("district", F.lit("")).alias("d"), F.coalesce("state", F.lit("")).alias("s")]
     text = F.regexp_replace(core(F.col("raw_text")), r"\s+", " ")
-    own = posts.select("id", "at_s", "seen_s", "headline_key", text.alias("text"), *place, F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
-    other = posts.select(F.col("id").alias("o"), F.col("at_s").alias("o_s"), F.col("seen_s").alias("o_seen"), F.col("headline_key").alias("o_key"), text.alias("o_text"), *place, slot.alias("slot"))
-    near = own.join(other, ["d", "s", "slot"]).where((F.abs(F.col("seen_s") - F.col("o_seen")) <= width) & earlier(F.col("o_s"), F.col("o"), F.col("at_s"), F.col("id")))
-    latest = Window.partitionBy("id").orderBy(F.desc("o_s"), F.desc("o"))
-    kept = near.withColumn("n", F.row_number().over(latest)).where(F.col("n") <= CANDIDATES)
-    rule = F.when(F.col("headline_key") == F.col("o_key"), 2).when(F.coalesce((F.col("text") != "") & (edit_similarity(F.col("text"), F.col("o_text")) >= SIMILAR), F.lit(False)), 3)
-    by_text = kept.withColumn("rule", rule).where("rule is not null").select("id", "rule", "o_s", F.col("o").alias("parent"))
-    by_link = _by_link(posts).select("id", F.lit(1).alias("rule"), F.lit(0).cast("bigint").alias("o_s"), "parent")
+    place = F.xxhash64(F.struct(F.coalesce("district", F.lit("")), F.coalesce("state", F.lit(""))))
+    keyed = posts.where("seen_s is not null and at_s is not null").select(
+        F.col("id").cast("bigint").alias("id"), F.col("at_s").cast("bigint").alias("at_s"), F.col("seen_s").cast("bigint").alias("seen_s"), F.coalesce("district", F.lit("")).alias("d"), F.coalesce("state", F.lit("")).alias("s"),
+        place.alias("p"), F.col("headline_key").alias("head"), F.explode(F.array(text)).alias("text"), slot.alias("home"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"),
+    )
+
+    def work(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        code = lambda c: rows[c].combine_chunks().dictionary_encode()
+        heads, texts = code("head"), code("text")
+        named = (group, code("d").indices.to_numpy(), code("s").indices.to_numpy())  # places of one hash are told apart
+        order = np.lexsort((rows["id"].to_numpy(), rows["at_s"].to_numpy(), *named))
+        id_, at, seen, own = (v[order] for v in (rows["id"].to_numpy(), rows["at_s"].to_numpy(), rows["seen_s"].to_numpy(), rows["home"].to_numpy() == rows["slot"].to_numpy()))
+        head, text = (v.indices.fill_null(-1).to_numpy()[order] for v in (heads, texts))
+        empty = next((i for i, t in enumerate(texts.dictionary.to_pylist()) if t == ""), -2)
+        new = np.logical_or.reduce([np.diff(v[order], prepend=-1) != 0 for v in named])
+        start = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
+        out = [(np.zeros(0, np.int64),) * 3]
+        owners = np.flatnonzero(own)
+        for first in range(0, len(owners), OWN):
+            i, j = latest(start, seen, owners[first : first + OWN], CANDIDATES, width)
+            titled = (head[i] >= 0) & (head[i] == head[j])
+            alike = ~titled & (text[i] >= 0) & (text[j] >= 0) & (text[i] != empty)
+            for hit, rule in ((titled, 2), (alike, 3)):
+                x, y = i[hit], j[hit]
+                t = text[y] if rule == 3 else 0 * y
+                by = np.lexsort((y, t, x))  # rows stand in order of time and id
+                x, y, t = x[by], y[by], t[by]
+                keep = (np.diff(x, prepend=-1) != 0) | (np.diff(t, prepend=-1) != 0)
+                out.append((x[keep], y[keep], np.full(keep.sum(), rule)))
+        i, j, rule = (np.concatenate(v) for v in zip(*out, strict=True))
+        words = rows["text"].combine_chunks()
+        return pa.table({"id": id_[i], "rule": pa.array(rule, pa.int32()), "o_s": at[j], "parent": id_[j], "text": words.take(pa.array(order[i])), "o_text": words.take(pa.array(order[j]))})
+
+    met = by_groups(keyed.select("p", "slot", "d", "s", "id", "at_s", "seen_s", "head", "text", "home"), ["p", "slot"], work, "id bigint, rule int, o_s bigint, parent bigint, text string, o_text string")
+    by_text = met.where((F.col("rule") == 2) | (edit_similarity(F.col("text"), F.col("o_text")) >= SIMILAR)).select("id", "rule", "o_s", "parent")
+    by_link = _by_link(posts).select(F.col("id").cast("bigint").alias("id"), F.lit(1).alias("rule"), F.lit(0).cast("bigint").alias("o_s"), F.col("parent").cast("bigint").alias("parent"))
     return by_link.unionByName(by_text).groupBy("id").agg(F.min(F.struct("rule", "o_s", "parent")).alias("m")).select("id", "m.parent", "m.rule")

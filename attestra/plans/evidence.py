@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import coherence, density, fog_score, gust_score, rain_score
@@ -103,9 +103,12 @@ def dom09_weather_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = frame(spark, sf_dir, "readings").groupBy(F.col("order_id").alias("id")).agg(F.sum("rainfall_mm").alias("rain"), F.min("visibility_m").alias("fog"), F.max("gust_kmh").alias("gust"), F.max("temperature_c").alias("hottest"))
-    kind = F.col("event_type")
-    score = F.when(kind.isin("RAINFALL", "URBAN_FLOOD", "RIVER_BREACH", "LANDSLIDE"), rain_score(F.col("rain"))).when(kind == "FOG", fog_score(F.col("fog"))).when(kind.isin("STRONG_WIND", "CYCLONE", "DUST_STORM"), gust_score(F.col("gust")))
-    return frame(spark, sf_dir, "verified").join(o, "id", "left").withColumn("weather", score)
+    return frame(spark, sf_dir, "verified").join(o, "id", "left").withColumn("weather", weather_score(F.col("event_type")))
+
+
+def weather_score(kind: Column) -> Column:
+    """What was measured (rain, fog, gust) by the scale of the hazard; null where no scale applies or nothing was measured."""
+    return F.when(kind.isin("RAINFALL", "URBAN_FLOOD", "RIVER_BREACH", "LANDSLIDE"), rain_score(F.col("rain"))).when(kind == "FOG", fog_score(F.col("fog"))).when(kind.isin("STRONG_WIND", "CYCLONE", "DUST_STORM"), gust_score(F.col("gust")))
 
 
 _CONTRA = "CASE WHEN event_type = 'FOG' AND fog > 5000 THEN 1 WHEN event_type = 'STRONG_WIND' AND gust < 20 THEN 1 WHEN event_type = 'HEATWAVE' AND hottest < 35 THEN 1 WHEN event_type IN ('RAINFALL', 'URBAN_FLOOD', 'CLOUDBURST') AND rain = 0 THEN 1 ELSE 0 END"

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.geo import coherence, density
 from ..functions.text import FLAG_FACTORS, credibility, text_flags
 from ..operators import fusion
+from ..operators.campaigns import LEAST_TEXT as LEAST_TEXT_C
+from ..operators.campaigns import REPORTERS, WITHIN_S, coordinated
 from ..operators.dedup import CANDIDATES, CITIZEN_KM, CITIZEN_S, LINK_H, SIMILAR, TEXT_H, citizen_parents, feed_parents, resolved
 from ..operators.shapes import widest
-from ..operators.spatial import connected, radius_join
-from ..sources.bindings import HOUR, cte, frame
+from ..operators.filters import in_force
+from ..operators.spatial import connected
+from ..operators.tiles import links
+from ..sources.bindings import AS_OF, HOUR, cte, frame
 from ..sources.tables import saved, shared_path
 from ..streaming.runner import drain, read_stream
+from .evidence import _CONTRA, _FOG, _FORCE, _GUST, _RAIN, _TYPE, _WSCORE, PRECEDENCE, contradicted, weather_score
 from .geography import km_sql
 from .intake import _FAMILY, FAMILY_GATES
 from .registry import query
@@ -21,8 +26,6 @@ from .registry import query
 FEEDS = ("NEWS_MEDIA", "SOCIAL_MEDIA")
 _EPS = " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in FAMILY_GATES.items())
 _BACK = " ".join(f"WHEN '{k}' THEN {v[1] * HOUR}" for k, v in FAMILY_GATES.items())
-#: Least reporters of one text, and seconds within which they count as one campaign; what such copies' credibility is worth.
-CAMPAIGN, CAMPAIGN_S = 3, 600
 
 
 def _bare(c: str) -> str:
@@ -63,70 +66,82 @@ def dom02_feed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(parents).join(parents.select("id", "rule"), "id")
 
 
-def in_campaign(reports: DataFrame) -> DataFrame:
-    """id of reports whose text CAMPAIGN reporters or more sent within CAMPAIGN_S of it."""
-    slot = F.floor(F.col("at_s") / CAMPAIGN_S)
-    key = F.md5(F.lower("raw_text"))
-    own = reports.select("id", "at_s", key.alias("k"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
-    other = reports.select("reporter", F.col("at_s").alias("o_s"), key.alias("k"), slot.alias("slot")).distinct()
-    near = own.join(other, ["k", "slot"]).where(F.abs(F.col("at_s") - F.col("o_s")) <= CAMPAIGN_S)
-    return near.groupBy("id").agg(F.countDistinct("reporter").alias("n")).where(F.col("n") >= CAMPAIGN).select("id")
-
-
 def family_components(spark: SparkSession, reports: DataFrame) -> DataFrame:
     """id, event: reports (id, at_s, lat, lng, family) that others of their family join within its radius and time, and the least id of each such group.
 
-    Each report looks back over its family's hours, so time gates slide with the reports and are not tumbling.
+    Each report looks back over its family's hours, so time gates slide with the reports and are not tumbling. Tiles link their own
+    reports as stars; only those links are joined up over all.
     """
-    edges = None
-    for family, (eps, hours) in FAMILY_GATES.items():
-        width = hours * HOUR
-        p = reports.where(F.col("family") == family).select("id", "at_s", "lat", "lng")
-        slot = F.floor(F.col("at_s") / width)
-        pairs = radius_join(p.withColumn("slot", F.explode(F.array(slot, slot - 1))), p.withColumn("slot", slot), eps, 40)
-        back = pairs.where((F.col("slot") == F.col("r_slot")) & (F.col("r_at_s") >= F.col("at_s") - width) & (F.col("r_at_s") <= F.col("at_s")) & (F.col("id") != F.col("r_id")))
-        one = back.select(F.col("id").alias("a"), F.col("r_id").alias("b"))
-        edges = one if edges is None else edges.unionByName(one)
-    return connected(spark, edges).select(F.col("node").alias("id"), F.col("root").alias("event"))
+    return connected(spark, links(reports, FAMILY_GATES)).select(F.col("node").alias("id"), F.col("root").alias("event"))
 
 
-def verify(spark: SparkSession, reports: DataFrame) -> DataFrame:
-    """id, outcome, original, event, n, confidence, routed of every report.
+def evidence(members: DataFrame, readings: DataFrame, warnings: DataFrame) -> DataFrame:
+    """event, kind, weather, official, against of events by their members (event, family, hazard, district, state).
+
+    The hazard of most members, ties by precedence, says which scale the readings that belong to the event are held against; the
+    warnings are those in force of the family for a member's district. No reading of a scale's kind is a null weather score, no
+    warning a score of 0. A measurement that says the opposite of the claim makes the weather score 0.
+    """
+    votes = members.groupBy("event", "hazard").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.when(F.col("hazard").isNotNull(), F.struct("n", (-fusion.lookup(PRECEDENCE, F.col("hazard"))).alias("p")))
+    kind = votes.groupBy("event").agg(F.coalesce(F.max_by("hazard", rank), F.lit("UNCLASSIFIED")).alias("event_type"))
+    seen = readings.groupBy(F.col("order_id").alias("event")).agg(F.sum("rainfall_mm").alias("rain"), F.min("visibility_m").alias("fog"), F.max("gust_kmh").alias("gust"), F.max("temperature_c").alias("hottest"))
+    live = warnings.where(in_force(AS_OF)).groupBy("area", "family").agg(F.max(fusion.lookup(fusion.WARNING_SCORES, F.col("severity"))).alias("score"))
+    places = members.select("event", "family", F.concat("state", F.lit(" - "), "district").alias("area")).distinct()
+    official = places.join(live, ["area", "family"]).groupBy("event").agg(F.max("score").alias("official"))
+    rows = kind.join(seen, "event", "left").join(official, "event", "left").withColumn("against", contradicted())
+    weather = F.when(F.col("against"), 0.0).otherwise(weather_score(F.col("event_type")))
+    return rows.select("event", F.col("event_type").alias("kind"), weather.alias("weather"), F.coalesce("official", F.lit(0.0)).alias("official"), "against")
+
+
+def verify(spark: SparkSession, reports: DataFrame, readings: DataFrame, warnings: DataFrame) -> DataFrame:
+    """id, outcome, original, event, kind, n, coverage, confidence, verdict, routed of every report.
 
     In order: reports already linked or marked stay as they are; posts and headlines, then precise citizen reports, that repeat an
     earlier one are duplicates of its original; those without a point, then those without a hazard, are stored only; the rest
-    cluster within their hazard's family, and each cluster becomes an event with a receipt (independent reporters, coherence,
-    the best source, credibility halved for campaigns as the reliability's ceiling) and a routing. Posts alone never publish.
+    cluster within their hazard's family, and each cluster becomes an event with a receipt over all seven factors: weather,
+    official warnings, independent reporters, coherence, vision, the best source (credibility halved for campaigns) and anomaly.
+    Vision and anomaly have no source here and are offline, as is weather where nothing was measured. Posts alone, contradicted
+    and unclassified events never publish.
     """
     old = F.when(F.col("verified_id").isNotNull(), "linked").when(F.col("duplicate_of").isNotNull(), "known_duplicate")
     rows = reports.withColumn("family", F.expr(_FAMILY.format(c="coalesce(hazard, 'UNCLASSIFIED')"))).withColumn("old", old)
     fresh = rows.where("old is null")
-    repeats = saved(resolved(feed_parents(feed_posts(fresh)).select("id", "parent").unionByName(citizen_parents(fresh))), "repeats")
-    left = saved(fresh.join(repeats, "id", "left_anti").select("id", "at_s", "lat", "lng", "family", "reporter", "source_type", "place_precision", "raw_text"), "left")
+    repeats = resolved(feed_parents(feed_posts(fresh)).select("id", "parent").unionByName(citizen_parents(fresh)))
+    left = saved(fresh.join(repeats, "id", "left_anti").select("id", "at_s", "lat", "lng", "family", "hazard", "district", "state", "reporter", "source_type", "place_precision", "raw_text"), "left")
     placed = left.where(~F.coalesce(F.col("place_precision").isin("none", "state"), F.lit(False)) & F.col("family").isNotNull())
     members = saved(placed.join(family_components(spark, placed), "id"), "members")
-    copied = in_campaign(left).withColumn("copied", F.lit(True))
+    copied = coordinated(left).withColumn("copied", F.lit(True))
     prior = fusion.lookup(fusion.PRIORS, F.col("source_type")) * F.when(F.col("copied"), FLAG_FACTORS["coordinated"]).otherwise(1.0)
     stats = members.join(copied, "id", "left").groupBy("event").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("reporter").alias("witnesses"), F.max(prior).alias("reliability"), F.bool_and(F.col("source_type").isin(*FEEDS)).alias("posts"), F.min("family").alias("family")
     )
     eps = F.create_map(*(F.lit(x) for k, v in FAMILY_GATES.items() for x in (k, v[0])))
-    events = stats.join(widest(members, "event"), "event")
-    scores = {"density": density(F.col("witnesses")), "coherence": coherence(F.col("widest"), F.element_at(eps, F.col("family"))), "reliability": F.col("reliability")}
+    events = stats.join(widest(members, "event"), "event").join(evidence(members, readings, warnings), "event")
+    offline = F.lit(None).cast("double")
+    scores = {"weather": F.col("weather"), "official": F.col("official"), "density": density(F.col("witnesses")), "coherence": coherence(F.col("widest"), F.element_at(eps, F.col("family"))), "vision": offline, "reliability": F.col("reliability"), "anomaly": offline}
     severity = F.when(F.col("n") >= 10, "HIGH").when(F.col("n") >= 5, "MODERATE").otherwise("LOW")
-    scored = events.withColumn("receipt", fusion.receipt(scores)).select("event", "n", F.round("receipt.mean", 6).alias("confidence"), fusion.review_status(F.col("receipt.confidence"), severity, F.col("posts")).alias("routed"))
+    capped = F.col("posts") | F.col("against") | (F.col("kind") == "UNCLASSIFIED")
+    scored = events.withColumn("receipt", fusion.receipt(scores)).select(
+        "event", "kind", "n", F.col("receipt.coverage").alias("coverage"), F.round("receipt.mean", 6).alias("confidence"),
+        fusion.verdict(F.col("against").cast("int"), F.col("official"), F.col("weather")).alias("verdict"), fusion.review_status(F.col("receipt.confidence"), severity, capped).alias("routed"),
+    )
     fate = members.select("id", "event").join(scored, "event")
     out = rows.select("id", "old", "place_precision", "family").join(repeats, "id", "left").join(fate, "id", "left")
     pointless = F.col("place_precision").isin("none", "state")
     outcome = F.coalesce("old", F.when(F.col("original").isNotNull(), "duplicate").when(pointless, "no_point").when(F.col("family").isNull(), "untagged").when(F.col("event").isNull(), "alone").otherwise("event"))
-    return out.select("id", outcome.alias("outcome"), "original", "event", "n", "confidence", "routed")
+    return out.select("id", outcome.alias("outcome"), "original", "event", "kind", "n", "coverage", "confidence", "verdict", "routed")
 
 
+#: Which reports are one text's copies: in SQL, over rows (id, at_s, reporter, raw_text).
+_CAMPAIGN = f"""kt AS (SELECT id, at_s, coalesce(concat('r', reporter), concat('i', id)) AS who, trim(regexp_replace(lower(raw_text), '[!-/:-@\\[-`{{{{-~\\s]+', ' ', 'g')) AS t FROM {{rows}}),
+km AS (SELECT b.id, b.t, b.at_s FROM kt b JOIN kt a ON a.t = b.t AND a.at_s BETWEEN b.at_s - {WITHIN_S} AND b.at_s WHERE length(b.t) >= {LEAST_TEXT_C} GROUP BY 1, 2, 3 HAVING count(DISTINCT a.who) >= {REPORTERS}), k AS (SELECT DISTINCT a.id FROM kt a JOIN km b ON a.t = b.t AND a.at_s BETWEEN b.at_s - {WITHIN_S} AND b.at_s)"""
+_RANK = "CASE hazard " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRECEDENCE.items()) + " END"
 _PRIOR = "CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fusion.PRIORS.items()) + " END"
 
 
 @query(
-    cte("reports").replace("WITH", "WITH RECURSIVE", 1)
+    cte("reports", "readings", "warnings").replace("WITH", "WITH RECURSIVE", 1)
     + f""", b AS (SELECT *, {_FAMILY.format(c="coalesce(hazard, 'UNCLASSIFIED')")} AS family FROM reports), fresh AS (SELECT * FROM b WHERE verified_id IS NULL AND duplicate_of IS NULL), """
     + _CITIZEN.format(rows="fresh")
     + ", "
@@ -136,17 +151,21 @@ _PRIOR = "CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fusio
     + f""", rest AS (SELECT * FROM fresh WHERE id NOT IN (SELECT id FROM rr)), pl AS (SELECT * FROM rest WHERE NOT coalesce(place_precision IN ('none', 'state'), false) AND family IS NOT NULL),
 e AS (SELECT a.id AS a, b.id AS b FROM pl a JOIN pl b ON a.family = b.family AND a.id <> b.id AND abs(a.at_s - b.at_s) <= CASE a.family {_BACK} END AND abs(a.lat - b.lat) < 0.3 AND {km_sql('a', 'b')} <= CASE a.family {_EPS} END),
 t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a), ev AS (SELECT a AS id, min(b) AS event FROM t GROUP BY 1),
-m AS (SELECT pl.*, ev.event FROM pl JOIN ev USING (id)), k AS (SELECT a.id FROM rest a JOIN rest b ON lower(a.raw_text) = lower(b.raw_text) AND abs(a.at_s - b.at_s) <= {CAMPAIGN_S} GROUP BY 1 HAVING count(DISTINCT b.reporter) >= {CAMPAIGN}),
+m AS (SELECT pl.*, ev.event FROM pl JOIN ev USING (id)), {_CAMPAIGN.format(rows='rest')},
 w AS (SELECT a.event, max({km_sql('a', 'b')}) AS wide FROM m a JOIN m b USING (event) GROUP BY 1),
+vt AS (SELECT event, hazard, count(*) AS n, {_RANK} AS p FROM m GROUP BY event, hazard), ty AS (SELECT event, coalesce(arg_max(hazard, (n, -p)) FILTER (WHERE hazard IS NOT NULL), 'UNCLASSIFIED') AS event_type FROM vt GROUP BY 1),
+ob AS (SELECT order_id AS event, sum(rainfall_mm) AS rain, min(visibility_m) AS fog, max(gust_kmh) AS gust, max(temperature_c) AS hottest FROM readings GROUP BY 1),
+wa AS (SELECT area, family, max({_WSCORE}) AS score FROM warnings WHERE {_FORCE} GROUP BY 1, 2), ow AS (SELECT m.event, max(score) AS official FROM m JOIN wa ON wa.area = concat(m.state, ' - ', m.district) AND m.state IS NOT NULL AND m.district IS NOT NULL AND wa.family = m.family GROUP BY 1),
+ev7 AS (SELECT event, event_type AS kind, coalesce(official, 0.0) AS official, coalesce({_CONTRA}, 0) = 1 AS against, CASE WHEN {_CONTRA} = 1 THEN 0.0 ELSE {_TYPE.format(rain=f'CASE WHEN rain IS NOT NULL THEN {_RAIN} END', fog=_FOG, gust=_GUST)} END AS weather FROM ty LEFT JOIN ob USING (event) LEFT JOIN ow USING (event)),
 s AS (SELECT event, count(*) AS n, count(DISTINCT reporter) AS wit, max({_PRIOR} * CASE WHEN id IN (SELECT id FROM k) THEN {FLAG_FACTORS['coordinated']} ELSE 1.0 END) AS rel, bool_and(source_type IN ('NEWS_MEDIA', 'SOCIAL_MEDIA')) AS posts, CASE min(family) {_EPS} END AS eps FROM m GROUP BY 1),
-x AS (SELECT event, n, posts, round(0.2 * greatest(0.0, least(1.0, (1 - exp(-wit / 6.5)) / (1 - exp(-25 / 6.5)))), 4) + round(0.15 * CASE WHEN wide >= 2 * eps THEN 0.0 ELSE 0.5 * (1 + cos(pi() * wide / (2 * eps))) END, 4) + round(0.15 * rel, 4) AS total FROM s JOIN w USING (event)),
-y AS (SELECT event, n, round(total / 0.5, 6) AS confidence, CASE WHEN round(total / 0.5 + 1e-9, 4) >= 0.9 AND NOT posts THEN 'AUTO_PUBLISHED' WHEN round(total / 0.5 + 1e-9, 4) >= 0.6 OR n >= 10 THEN 'PENDING_HUMAN_REVIEW' ELSE 'QUARANTINED' END AS routed FROM x)
-SELECT b.id, CASE WHEN verified_id IS NOT NULL THEN 'linked' WHEN duplicate_of IS NOT NULL THEN 'known_duplicate' WHEN rr.original IS NOT NULL THEN 'duplicate' WHEN place_precision IN ('none', 'state') THEN 'no_point' WHEN family IS NULL THEN 'untagged' WHEN m.event IS NULL THEN 'alone' ELSE 'event' END AS outcome, rr.original, m.event, y.n, y.confidence, y.routed
+x AS (SELECT event, kind, n, posts, against, weather, official, CASE WHEN weather IS NULL THEN 0.0 ELSE 0.2 END + 0.1 + 0.2 + 0.15 + 0.15 AS online, coalesce(round(0.2 * weather, 4), 0.0) + round(0.1 * official, 4) + round(0.2 * greatest(0.0, least(1.0, (1 - exp(-wit / 6.5)) / (1 - exp(-25 / 6.5)))), 4) + round(0.15 * CASE WHEN wide >= 2 * eps THEN 0.0 ELSE 0.5 * (1 + cos(pi() * wide / (2 * eps))) END, 4) + round(0.15 * rel, 4) AS total FROM s JOIN w USING (event) JOIN ev7 USING (event)),
+y AS (SELECT event, kind, n, round(online, 2) AS coverage, round(total / online, 6) AS confidence, CASE WHEN against THEN 'CONTRADICTED' WHEN official >= 0.6 OR coalesce(weather, 0.0) >= 0.6 THEN 'CORROBORATED' ELSE 'UNCONFIRMED' END AS verdict, CASE WHEN round(total / online + 1e-9, 4) >= 0.9 AND NOT posts AND NOT against AND kind <> 'UNCLASSIFIED' THEN 'AUTO_PUBLISHED' WHEN round(total / online + 1e-9, 4) >= 0.6 OR n >= 10 THEN 'PENDING_HUMAN_REVIEW' ELSE 'QUARANTINED' END AS routed FROM x)
+SELECT b.id, CASE WHEN verified_id IS NOT NULL THEN 'linked' WHEN duplicate_of IS NOT NULL THEN 'known_duplicate' WHEN rr.original IS NOT NULL THEN 'duplicate' WHEN place_precision IN ('none', 'state') THEN 'no_point' WHEN family IS NULL THEN 'untagged' WHEN m.event IS NULL THEN 'alone' ELSE 'event' END AS outcome, rr.original, m.event, y.kind, y.n, y.coverage, y.confidence, y.verdict, y.routed
 FROM b LEFT JOIN rr ON rr.id = b.id LEFT JOIN (SELECT id, event FROM m) m ON m.id = b.id LEFT JOIN y ON y.event = m.event"""
 )
 def dom20_verify_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every report through the whole chain."""
-    return verify(spark, frame(spark, sf_dir, "reports"))
+    return verify(spark, *(frame(spark, sf_dir, name) for name in ("reports", "readings", "warnings")))
 
 
 def derived(rows: DataFrame) -> DataFrame:
