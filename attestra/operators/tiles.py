@@ -87,52 +87,57 @@ def united(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def components(at: np.ndarray, lat: np.ndarray, lng: np.ndarray, eps: float, seconds: float) -> np.ndarray:
-    """For each point the first point of its component, where points within eps km and seconds are linked.
+def components(at: np.ndarray, lat: np.ndarray, lng: np.ndarray, starts: np.ndarray, eps: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    """For each point the first point of its component, where points of a group within its eps km and seconds are linked.
 
-    Points of a cell of 0.7 eps are all neighbours, so there only successive ones in time are compared; between cells a point meets
-    those of its time, except where both are in one component already.
+    starts has each group's first row and the end, eps and seconds a value a group; all groups are handled at once. Points of a cell
+    of 0.7 eps are all neighbours, so there only successive ones in time are compared; between cells a point meets those of its
+    time, except where both are in one component already.
     """
     n = len(at)
     root = np.arange(n)
     if n < 2:
         return root
-    widest = math.cos(math.radians(min(89.0, float(np.abs(lat).min()))))
-    narrowest = math.cos(math.radians(min(89.0, float(np.abs(lat).max()))))
+    size = np.diff(starts)
+    group = np.repeat(np.arange(len(size)), size)
+    each = lambda f, v: np.repeat(f.reduceat(v, starts[:-1]), size)
+    cosine = lambda v: np.cos(np.radians(np.minimum(89.0, v)))
+    widest, narrowest = cosine(each(np.minimum, np.abs(lat))), cosine(each(np.maximum, np.abs(lat)))
+    eps, seconds = eps[group], seconds[group].astype(np.int64)
     tall = 0.7 * eps / DEGREE
     y, x = np.floor(lat / tall).astype(np.int64), np.floor(lng / (tall / widest)).astype(np.int64)
-    y, x = y - y.min() + 2, x - x.min()
-    reach = math.ceil(1.43 * widest / narrowest)
-    stride = int(x.max()) + 2 * reach + 1
-    cell = y * stride + x + reach
-    order = np.lexsort((at, cell))
-    t, c = at[order], cell[order]
-    close = (c[1:] == c[:-1]) & (t[1:] - t[:-1] <= seconds)
+    t = at.astype(np.int64) - each(np.minimum, at.astype(np.int64))
+    y, x = y - each(np.minimum, y), x - each(np.minimum, x)
+    reach = math.ceil(1.43 * float((widest / narrowest).max()))
+    stride, height, span = int(x.max()) + 2 * reach + 1, int(y.max()) + 3, int(t.max()) + 2 * int(seconds.max()) + 2
+    cell = (group * height + y) * stride + x + reach
+    order = np.lexsort((t, cell))
+    t, c, within = t[order], cell[order], seconds[order]
+    close = (c[1:] == c[:-1]) & (t[1:] - t[:-1] <= within[1:])
     i, j = order[:-1][close], order[1:][close]
-    ok = haversine(lat, lng, i, j) <= eps
+    ok = haversine(lat, lng, i, j) <= eps[i]
     root = united(root, i[ok], j[ok])
-    span = t.max() - t.min() + 2 * seconds + 2
-    key = c * span + (t - t.min() + seconds + 1)
+    key = c * span + t + int(seconds.max())
     for dy in range(0, 3):
         for dx in range(-reach, reach + 1):
             if dy == 0 and dx <= 0:
                 continue
-            there = (c + dy * stride + dx) * span + (t - t.min() + seconds + 1)
-            lo, hi = np.searchsorted(key, there - seconds, "left"), np.searchsorted(key, there + seconds, "right")
+            there = key + (dy * stride + dx) * span
+            lo, hi = np.searchsorted(key, there - within, "left"), np.searchsorted(key, there + within, "right")
             many = hi - lo
-            first = 0
-            total = np.cumsum(many)
+            total, first = np.cumsum(many), 0
+            if not total[-1]:
+                continue
             while first < n:
                 last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PAIRS, "right")))
                 m = many[first:last]
-                if m.sum():
-                    a = np.repeat(np.arange(first, last), m)
-                    b = lo[a] + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
-                    i, j = order[a], order[b]
-                    new = root[i] != root[j]
-                    i, j = i[new], j[new]
-                    ok = haversine(lat, lng, i, j) <= eps
-                    root = united(root, i[ok], j[ok])
+                a = np.repeat(np.arange(first, last), m)
+                b = lo[a] + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+                i, j = order[a], order[b]
+                new = (root[i] != root[j]) & (group[i] == group[j])
+                i, j = i[new], j[new]
+                ok = haversine(lat, lng, i, j) <= eps[i]
+                root = united(root, i[ok], j[ok])
                 first = last
     return root
 
@@ -153,14 +158,13 @@ def links(points: DataFrame, gates: dict[str, tuple[float, int]], most_lat: floa
     known = points.where(F.col("family").isin(*gates)).select("id", "at_s", "lat", "lng", "family").withColumn("gate", gate)
 
     def work(rows: pa.Table, starts: np.ndarray) -> pa.Table:
-        family = rows["family"].to_pylist() if len(starts) < 2 else [rows["family"][int(s)].as_py() for s in starts[:-1]]
+        many = np.diff(starts) > 1  # the others have no company
+        keep = np.repeat(many, np.diff(starts))
+        rows, starts = rows.filter(pa.array(keep)), np.append(0, np.cumsum(np.diff(starts)[many]))
         id_, at, lat, lng = (rows[c].to_numpy() for c in ("id", "at_s", "lat", "lng"))
-        out = []
-        for name, a, b in zip(family, starts[:-1], starts[1:], strict=True):
-            if b - a > 1:
-                eps, hours = gates[name]
-                out.append(star(id_[a:b], components(at[a:b], lat[a:b], lng[a:b], eps, hours * 3600)))
-        a, b = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        own = [gates[f] for f in rows["family"].take(pa.array(starts[:-1])).to_pylist()]
+        root = components(at, lat, lng, starts, np.array([g[0] for g in own]), np.array([g[1] * 3600 for g in own]))
+        a, b = star(id_, root)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     dealt = tiled(known, F.col("gate")[0], F.col("gate")[1], most_lat).select("family", "ty", "tx", "slot", F.col("id").cast("bigint").alias("id"), F.col("at_s").cast("bigint").alias("at_s"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))

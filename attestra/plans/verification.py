@@ -17,7 +17,9 @@ from ..operators.spatial import connected
 from ..operators.tiles import links
 from ..sources.bindings import AS_OF, HOUR, cte, frame
 from ..sources.tables import saved, shared_path
+from ..streaming.events import open_events
 from ..streaming.runner import drain, read_stream
+from ..streaming.state import rocksdb
 from .evidence import _CONTRA, _FOG, _FORCE, _GUST, _RAIN, _TYPE, _WSCORE, PRECEDENCE, contradicted, weather_score
 from .geography import km_sql
 from .intake import _FAMILY, FAMILY_GATES
@@ -168,6 +170,33 @@ def dom20_verify_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(spark, *(frame(spark, sf_dir, name) for name in ("reports", "readings", "warnings")))
 
 
+#: How late a report may come, and into how many lots the replay below deals them.
+LATE_S, LOTS = 40 * 86_400, 4
+
+
+def shuffled_stream(spark: SparkSession, reports: DataFrame, lots: int = LOTS) -> DataFrame:
+    """Reports dealt by hash to as many files, read as a stream of one file a batch: they arrive out of order."""
+    folder = shared_path(spark, "arrivals")
+    lot = F.pmod(F.xxhash64("id"), F.lit(lots))
+    reports.withColumn("ts", F.timestamp_seconds("at_s")).withColumn("lot", lot).repartition(lots, "lot").write.partitionBy("lot").parquet(folder)
+    back = spark.read.parquet(folder).drop("lot")
+    return spark.readStream.schema(back.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/lot=*")
+
+
+@query(
+    cte("reports").replace("WITH", "WITH RECURSIVE", 1)
+    + f""", pl AS (SELECT * FROM (SELECT *, {_FAMILY.format(c="coalesce(hazard, 'UNCLASSIFIED')")} AS family FROM reports) WHERE family IS NOT NULL AND NOT coalesce(place_precision IN ('none', 'state'), false)),
+e AS (SELECT a.id AS a, b.id AS b FROM pl a JOIN pl b ON a.family = b.family AND a.id <> b.id AND abs(a.at_s - b.at_s) <= CASE a.family {_BACK} END AND abs(a.lat - b.lat) < 0.3 AND {km_sql('a', 'b')} <= CASE a.family {_EPS} END),
+t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a AS id, min(b) AS event FROM t GROUP BY 1"""
+)
+def dom07_open_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that a stream of reports, in shuffled order and several batches, extends, makes and merges: id and event of each member."""
+    rows = frame(spark, sf_dir, "reports").withColumn("family", F.expr(_FAMILY.format(c="coalesce(hazard, 'UNCLASSIFIED')")))
+    placed = rows.where(F.col("family").isNotNull() & ~F.coalesce(F.col("place_precision").isin("none", "state"), F.lit(False))).select("id", "at_s", "lat", "lng", "family")
+    with rocksdb(spark):
+        return open_events(shuffled_stream(spark, placed), FAMILY_GATES, shared_path(spark, "events"), LATE_S).members()
+
+
 def derived(rows: DataFrame) -> DataFrame:
     """Reports (raw_text, source_type) with what is derived from their text: flags and credibility; a person's text is weighed by its length."""
     flags = text_flags(F.coalesce("raw_text", F.lit("")))

@@ -32,3 +32,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # known only once it is there
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, system = _at(spark, path)
+    return system.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours that nothing reads any more, if it is there."""
+    place, system = _at(spark, path)
+    system.delete(place, True)

@@ -29,7 +29,7 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_PROVIDER, before)
 
 
-class _Timed(StatefulProcessor):
+class Timed(StatefulProcessor):
     """One value and at most one timer a key."""
 
     value_schema: str
@@ -49,7 +49,7 @@ class _Timed(StatefulProcessor):
         pass
 
 
-class AlertLife(_Timed):
+class AlertLife(Timed):
     """Versions of an event in, what becomes of its alert out.
 
     Each version is new, updated or seen by what was last acted on; seen ones change nothing. The others are met with the rules
@@ -95,7 +95,7 @@ class AlertLife(_Timed):
         return iter([Row(**dict(zip(_names(self.schema), (key[0], None, alert.updated_s, None, "EXPIRE", EXPIRED, alert.alerts), strict=True)))])
 
 
-class Remembered(_Timed):
+class Remembered(Timed):
     """Reports of a cell in; whether a model's answer for it was at hand (hit), failed a while ago (failed) or was asked for (fetch).
 
     An answer serves for good_s seconds and a failure is not tried again for failed_s; then the key's state is gone. ask(row) gives

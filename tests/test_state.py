@@ -128,3 +128,62 @@ def test_cursors_bring_each_post_once(spark, tmp_path):
     assert sorted(poll(), key=str) == sorted(first + more, key=str)
     write([("c", "z", i, "u") for i in range(2000, 2500)])
     assert len(poll()) == len(first + more) + 500
+
+
+GATES = {"water": (5.0, 6), "thermal": (25.0, 24)}
+
+
+def _reports(spark, n=260):
+    from tests.test_tiles import crowd
+
+    rows = [r for r in crowd(n, 4, 0.4) if r[4] in GATES]
+    return spark.createDataFrame(rows, "id long, at_s long, lat double, lng double, family string").withColumn("ts", F.timestamp_seconds("at_s"))
+
+
+def test_events_do_not_depend_on_arrival_and_go_on_from_the_checkpoint(spark, tmp_path):
+    from attestra.operators.spatial import connected
+    from attestra.operators.tiles import links
+    from attestra.streaming.events import open_events
+
+    point = lambda id_, km: (id_, 5000, 5.0 + km / 111.2, 70.0, "water")
+    pairs, bridge = [point(9000, 0), point(9001, 1), point(9010, 8), point(9011, 9)], [point(9005, 4.5)]
+    extra = spark.createDataFrame(pairs + bridge, "id long, at_s long, lat double, lng double, family string").withColumn("ts", F.timestamp_seconds("at_s"))
+    df = _reports(spark).unionByName(extra).cache()
+    want = {r.node: r.root for r in connected(spark, links(df, GATES)).collect()}
+    lots = []
+    for n in range(5):
+        path = f"{tmp_path}/p{n}"
+        lot = F.when(F.col("id") == 9005, 4).when(F.col("id") >= 9000, 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(5)))
+        df.where(lot == n).unionByName(df.where(F.col("id") % 40 == n)).coalesce(1).write.parquet(path)  # some come twice
+        lots.append(path)
+    read = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*.parquet")
+    with rocksdb(spark):
+        put(lots[:3], f"{tmp_path}/in")
+        first = {r.id: r.event for r in open_events(read(), GATES, f"{tmp_path}/events", 10**7).members().collect()}
+        put(lots[3:], f"{tmp_path}/in")
+        events = open_events(read(), GATES, f"{tmp_path}/events", 10**7)
+    got = {r.id: r.event for r in events.members().collect()}
+    assert got == want and first != want and len(got) == events.members().count()
+    changes = events.log().collect()
+    assert {r.change for r in changes} == {"created", "extended", "merged"}
+    assert sum(r.added for r in changes) == len(want)
+
+
+def test_old_events_close_and_late_reports_are_left_out(spark, tmp_path):
+    from attestra.operators.spatial import connected
+    from attestra.operators.tiles import links
+    from attestra.streaming.events import open_events
+
+    df = _reports(spark).cache()
+    want = {r.node: r.root for r in connected(spark, links(df, GATES)).collect()}
+    put(in_files(spark, df, str(tmp_path), ["1970-01-01", "1970-01-02", "1970-01-03 07:00:00", "1970-01-05", "1971-01-01"]), f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*.parquet")
+    with rocksdb(spark):
+        events = open_events(read(), GATES, f"{tmp_path}/events", 3600)
+        assert {r.id: r.event for r in events.members().collect()} == want
+        closed = events._kept("closed", "node bigint, root bigint, at_s bigint").count()
+        assert 0 < closed < len(want)
+        late = df.where("at_s < 20000").limit(5).withColumn("id", F.col("id") + 10**6)  # beside reports of a day that is over
+        late.coalesce(1).write.parquet(f"{tmp_path}/part9")
+        put([f"{tmp_path}/part9"], f"{tmp_path}/in")
+        assert {r.id: r.event for r in open_events(read(), GATES, f"{tmp_path}/events", 3600).members().collect()} == want

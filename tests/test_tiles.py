@@ -65,11 +65,27 @@ def test_components_of_a_dense_tile():
         i, j = np.triu_indices(n, 1)
         near = (tiles.haversine(lat, lng, i, j) <= 5) & (np.abs(at[i] - at[j]) <= 3600)
         want = tiles.united(np.arange(n), i[near], j[near])
-        got = components(at, lat, lng, 5, 3600)
+        got = components(at, lat, lng, np.array([0, n]), np.array([5.0]), np.array([3600]))
         same = lambda r: [tuple(np.flatnonzero(r == v)) for v in sorted(set(r.tolist()))]
         assert sorted(same(got)) == sorted(same(want))
 
 
+def test_components_of_many_groups_at_once():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 30, 200)
+    starts = np.append(0, np.cumsum(sizes))
+    n = starts[-1]
+    middle = np.repeat(np.stack([rng.uniform(-40, 40, 200), rng.uniform(-100, 100, 200)]), sizes, axis=1)
+    at, lat, lng = rng.integers(0, 50_000, n) + np.repeat(rng.integers(0, 10**9, 200), sizes), middle[0] + 0.05 * rng.normal(size=n), middle[1] + 0.05 * rng.normal(size=n)
+    eps, seconds = rng.choice([2.0, 8.0], 200), rng.choice([3600, 20_000], 200)
+    got = components(at, lat, lng, starts, eps, seconds)
+    for g, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
+        i, j = np.triu_indices(b - a, 1)
+        near = (tiles.haversine(lat[a:b], lng[a:b], i, j) <= eps[g]) & (np.abs(at[a + i] - at[a + j]) <= seconds[g])
+        want = tiles.united(np.arange(b - a), i[near], j[near])
+        assert len(np.unique(got[a:b])) == len(np.unique(want)) == len(set(zip(got[a:b].tolist(), want.tolist(), strict=True)))
+
+
 def test_campaigns_match_brute_force(spark):
     rng = random.Random(2)
     texts = ["Water is rising near the old market, leave now!", "water IS rising near the old market leave now", "short text", None, "Another message that goes round the town today"]
