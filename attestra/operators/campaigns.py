@@ -63,5 +63,5 @@ def coordinated(reports: DataFrame) -> DataFrame:
 
 
 def halved(credibility: Column, already: Column) -> Column:
-    """The credibility of a copy: reduced once, floored, to four decimals."""
-    return F.when(already, credibility).otherwise(F.greatest(F.lit(FLAG_FLOOR), F.round(credibility * FLAG_FACTORS["coordinated"], 4)))
+    """The credibility of a copy: reduced once, floored, to four decimals (halves up, but for the noise of doubles)."""
+    return F.when(already, credibility).otherwise(F.greatest(F.lit(FLAG_FLOOR), F.round(credibility * FLAG_FACTORS["coordinated"] + 1e-9, 4)))

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import coherence, density, fog_score, gust_score, rain_score
-from ..functions.text import text_key
+from ..functions.text import FLAG_FACTORS, FLAG_FLOOR
 from ..operators import fusion
+from ..operators.campaigns import LEAST_TEXT, REPORTERS, WITHIN_S, coordinated, halved
 from ..operators.filters import in_force
-from ..sources.bindings import AS_OF, HOUR, cte, frame
-from ..sources.tables import saved
+from ..sources.bindings import AS_OF, cte, frame
 from .registry import query
 
 _PRIOR = "CASE source_type WHEN 'OFFICIAL_DISPATCH' THEN 1.0 WHEN 'CWC_GAUGE' THEN 0.95 WHEN 'AWS_SENSOR' THEN 0.9 WHEN 'CITIZEN_APP' THEN 0.6 WHEN 'NEWS_MEDIA' THEN 0.55 WHEN 'SOCIAL_MEDIA' THEN 0.5 END"
@@ -179,30 +179,31 @@ def dom18_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", F.greatest(fusion.ordinal(F.col("rain"), (64.5, 115.6, 204.5)), fusion.ordinal(F.col("gust"), (39, 62, 89)), fusion.ordinal(F.col("fog"), (500, 200, 50), True), count).alias("severity"))
 
 
-@query(
-    r"""WITH d AS (SELECT doc_id, source, md5(trim(regexp_replace(lower(text), '[!-/:-@\[-`{-~\s]+', ' ', 'g'))) AS k FROM documents WHERE length(trim(regexp_replace(lower(text), '[!-/:-@\[-`{-~\s]+', ' ', 'g'))) >= 30) SELECT d.doc_id FROM d WHERE k IN (SELECT k FROM d GROUP BY 1 HAVING count(DISTINCT source) >= 3)"""
-)
+#: A message that many send, and one in eight words it on its own; every ninth sender is not known.
+_MESSAGE = "concat('Water on the road near the OLD market!  Please share: ', event_type, CASE WHEN event_id % 8 = 0 THEN concat(' ', event_id) ELSE '' END)"
+_SENDER = "CASE WHEN event_id % 9 = 0 THEN NULL ELSE concat('u', user_id) END"
+_KEY = r"trim(regexp_replace(lower(raw_text), '[!-/:-@\[-`{-~\s]+', ' ', 'g'))"
+_COPIES = f"""WITH r AS (SELECT event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS at_s, {_SENDER} AS reporter, {_MESSAGE} AS raw_text, (event_id * 31 % 96 + 5) / 1e2 AS credibility, event_id % 50 = 3 AS already FROM events),
+t AS (SELECT *, coalesce(concat('r', reporter), concat('i', id)) AS who, {_KEY} AS k FROM r),
+m AS (SELECT b.id, b.k, b.at_s, count(DISTINCT a.who) AS reporters FROM t b JOIN t a ON a.k = b.k AND a.at_s BETWEEN b.at_s - {WITHIN_S} AND b.at_s WHERE length(b.k) >= {LEAST_TEXT} GROUP BY 1, 2, 3 HAVING count(DISTINCT a.who) >= {REPORTERS})"""
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS id", "unix_timestamp(cast(ts AS timestamp)) AS at_s", f"{_SENDER} AS reporter", f"{_MESSAGE} AS raw_text", "(event_id * 31 % 96 + 5) / 1e2 AS credibility", "event_id % 50 = 3 AS already")
+
+
+@query(f"{_COPIES} SELECT id, round(CASE WHEN already THEN credibility ELSE greatest({FLAG_FLOOR}, round(credibility * {FLAG_FACTORS['coordinated']} + 1e-9, 4)) END, 6) AS credibility FROM r WHERE id IN (SELECT a.id FROM t a JOIN m ON a.k = m.k AND a.at_s BETWEEN m.at_s - {WITHIN_S} AND m.at_s)")
 def dom03_coordinated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of 30 normalised characters or more that three sources or more share."""
-    key = F.explode(F.array(text_key(F.col("text")))).alias("key")  # a generated column is made once, an expression once for each use
-    d = saved(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", key).where(F.length("key") >= 30).select("doc_id", "source", F.md5("key").alias("k")), "text-keys")
-    shared = d.groupBy("k").agg(F.countDistinct("source").alias("n")).where("n >= 3").select("k")
-    return d.join(shared, "k", "left_semi").select("doc_id")
+    """Copies of a message that three reporters or more sent within ten minutes, and what their credibility is then: halved once, and not
+    again for those that were marked before."""
+    r = messages(spark, sf_dir)
+    return coordinated(r).join(r, "id").select("id", F.round(halved(F.col("credibility"), F.col("already")), 6).alias("credibility"))
 
 
-@query(
-    cte("reports")
-    + f", b AS (SELECT a.id, count(DISTINCT b.reporter) AS reporters FROM reports a JOIN reports b ON a.district = b.district AND a.hazard = b.hazard AND abs(a.at_s - b.at_s) <= {2 * HOUR} GROUP BY 1) SELECT id, reporters FROM b WHERE reporters >= 3"
-)
+@query(f"{_COPIES} SELECT id FROM t WHERE id IN (SELECT a.id FROM t a JOIN m ON a.k = m.k AND a.at_s BETWEEN m.at_s - {WITHIN_S} AND m.at_s)")
 def win11_coordinated_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports that three reporters or more made of one hazard and district within two hours: a band join by time slot, so that each row meets three slots only."""
-    width = 2 * HOUR
-    r = frame(spark, sf_dir, "reports").where("district is not null and hazard is not null").select("id", "at_s", "district", "hazard", "reporter")
-    slot = F.floor(F.col("at_s") / width)
-    a = r.drop("reporter").withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
-    b = r.select("district", "hazard", "reporter", F.col("at_s").alias("b_s"), slot.alias("slot"))
-    near = a.join(b, ["district", "hazard", "slot"]).where(F.abs(F.col("at_s") - F.col("b_s")) <= width)
-    return near.groupBy("id").agg(F.countDistinct("reporter").alias("reporters")).where("reporters >= 3")
+    """Reports of one normalised text by three reporters or more within ten minutes: a sliding count of senders over each text's reports in order of time."""
+    return coordinated(messages(spark, sf_dir))
 
 
 @query("WITH g AS (SELECT text, count(*) AS n, min(doc_id) AS keep FROM documents GROUP BY 1) SELECT d.doc_id, CASE WHEN g.keep % 10 < 8 THEN 'train' WHEN g.keep % 10 = 8 THEN 'validation' ELSE 'test' END AS split FROM documents d JOIN g USING (text)")
