@@ -2,47 +2,119 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from ..functions.text import edit_similarity, text_key
+from ..functions.text import text_key
+from ..sources.tables import saved
+from .tiles import PAIRS, by_groups, haversine
 
 # Weights of the five signals, gates and thresholds.
 WEIGHTS = {"char": 0.35, "word": 0.30, "edit": 0.15, "geo": 0.10, "time": 0.10}
 GATE_KM, GATE_MIN, TEXT_GATE, COMBINED_GATE = 1.0, 15.0, 0.55, 0.70
 
 
-def char_grams(text: Column, n: int = 3) -> Column:
-    """Overlapping character n-grams of a text key; none of a shorter one."""
-    k = text_key(text)
-    return F.transform(F.array(k), lambda t: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))[0]
+def char_grams(key: str) -> np.ndarray:
+    """The overlapping runs of three characters of a text key, each as its code points in one integer; none of a shorter key."""
+    c = np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
 
 
-def word_terms(text: Column) -> Column:
-    return F.filter(F.split(text_key(text), " "), lambda t: t != "")
+def word_terms(key: str) -> np.ndarray:
+    """64-bit hashes of the words of a text key."""
+    return np.array([int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for w in key.split(" ") if w], np.int64)
 
 
-def tfidf(rows: DataFrame, key: str, terms: str) -> DataFrame:
-    """key, term, w: (1 + ln tf) x (ln((1 + N) / (1 + df)) + 1), every vector of length 1."""
-    f = rows.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = f.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    v = f.join(df, "term").join(n).select(key, "term", ((1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("v"))
-    norm = v.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return v.join(norm, key).select(key, "term", (F.col("v") / F.col("norm")).alias("w"))
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, kind, h, tf: the terms of text keys (id, key) and how often each stands in its key."""
+    for batch in batches:
+        parts = []
+        for row, key in enumerate(batch.column("key").to_pylist()):
+            for kind, terms in enumerate((char_grams, word_terms)):
+                h, tf = np.unique(terms(key or ""), return_counts=True)
+                parts.append((np.full(len(h), row), np.full(len(h), kind), h, tf))
+        row, kind, h, tf = (np.concatenate(v).astype(np.int64) for v in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+        yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(row)), "kind": pa.array(kind, pa.int32()), "h": pa.array(h), "tf": pa.array(tf)})
 
 
-def cosine(pairs: DataFrame, vectors: DataFrame, key: str, name: str) -> DataFrame:
-    """The pairs (a, b) with the cosine of their vectors as `name`; 0 without a common term. Only the pairs' own terms are joined."""
-    a = vectors.select(F.col(key).alias("a"), "term", F.col("w").alias("wa"))
-    b = vectors.select(F.col(key).alias("b"), "term", F.col("w").alias("wb"))
-    dots = pairs.select("a", "b").join(a, "a").join(b, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias(name))
-    return pairs.join(dots, ["a", "b"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+def vectors(texts: DataFrame) -> DataFrame:
+    """id and, for the character n-grams and the words of text keys (id, key), the terms in order and their weights.
+
+    A weight is (1 + ln tf) x (ln((1 + N) / (1 + df)) + 1), every vector of length 1. Terms are counted within a text's row; a text's
+    own rows are shuffled once to meet the terms' numbers of texts and once to be a vector again.
+    """
+    rows = saved(texts.select("id", "key").mapInArrow(counted, StructType([texts.schema["id"], *(StructField(c, t()) for c, t in (("kind", IntegerType), ("h", LongType), ("tf", LongType)))])), "terms")
+    df = rows.groupBy("kind", "h").agg(F.count(F.lit(1)).alias("df"))
+    n = texts.count()
+    weighed = rows.join(df, ["kind", "h"]).select("id", "kind", "h", ((1 + F.ln("tf")) * (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
+    whole = weighed.groupBy("id").agg(*(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("h", "w")))).alias(name) for k, name in enumerate(("char", "word"))), *(F.sqrt(F.sum(F.when(F.col("kind") == k, F.col("w") * F.col("w")))).alias(f"{name}_norm") for k, name in enumerate(("char", "word"))))
+    scaled = lambda name, norm: F.transform(name, lambda x: x["w"] / norm)
+    return whole.select("id", *(c for name in ("char", "word") for c in (F.transform(name, lambda x: x["h"]).alias(f"{name}_h"), scaled(name, F.col(f"{name}_norm")).alias(f"{name}_w"))))
+
+
+def dots(left: tuple[pa.Array, pa.Array], right: tuple[pa.Array, pa.Array]) -> np.ndarray:
+    """For each row the sum of products over the terms that both sides have; sides are lists of hashes and of weights, null for none."""
+
+    def flat(side: tuple[pa.Array, pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, w = side
+        n = pc.fill_null(pc.list_value_length(h), 0).to_numpy(zero_copy_only=False)
+        return np.repeat(np.arange(len(n)), n), h.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False)
+
+    (i, h, w), (j, g, v) = flat(left), flat(right)
+    row, term, weight = np.concatenate([i, j]), np.concatenate([h, g]), np.concatenate([w, v])
+    order = np.lexsort((term, row))
+    row, term, weight = row[order], term[order], weight[order]
+    both = np.flatnonzero((row[1:] == row[:-1]) & (term[1:] == term[:-1]))
+    return np.bincount(row[both], weight[both] * weight[both + 1], minlength=len(left[0]))
+
+
+def edits(a: str, b: str) -> int:
+    """The Levenshtein distance, a row of the table at a time as the bits of two integers (Myers 1999, Hyyro 2003)."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, last, found = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    more, less = full, 0  # where the column grows and falls by one
+    for c in b:
+        same = places.get(c, 0)
+        down = same | less
+        across = ((same & more) + more ^ more) | same
+        up, fall = less | (full & ~(across | more)), more & across
+        found += bool(up & last) - bool(fall & last)
+        up, fall = (up << 1 | 1) & full, fall << 1 & full
+        more, less = fall | (full & ~(down | up)), up & down
+    return found
+
+
+def compared(pairs: DataFrame, texts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The pairs (a, b, and other columns) with char and word, the cosines of their texts' vectors (0 without a common term), edit, the
+    edit similarity of the keys of texts (id, key), and said, whether both have a key that is not empty."""
+    whole = texts.join(vectors, "id", "left")
+    side = lambda name: whole.select(*(F.col(c).alias(name if c == "id" else f"{name}_{c}") for c in whole.columns))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: texts are dearer to compare than their bytes tell
+    both = pairs.join(side("a"), "a").join(side("b"), "b").repartition(parts, "a", "b")
+    kept = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = lambda name, kind, batch=batch: (batch.column(f"{name}_{kind}_h"), batch.column(f"{name}_{kind}_w"))
+            scores = [pa.array(dots(of("a", kind), of("b", kind))) for kind in ("char", "word")]
+            keys = [(x or "", y or "") for x, y in zip(batch.column("a_key").to_pylist(), batch.column("b_key").to_pylist(), strict=True)]
+            edit = pa.array([1 - edits(x, y) / max(len(x), len(y), 1) for x, y in keys], pa.float64())
+            said = pa.array([bool(x and y) for x, y in keys], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *scores, edit, said], names=[*kept, "char", "word", "edit", "said"])
+
+    schema = StructType([*(pairs.schema[c] for c in kept), *(StructField(c, DoubleType()) for c in ("char", "word", "edit")), StructField("said", BooleanType())])
+    return both.mapInArrow(run, schema)
 
 
 def proximity(value: Column, gate: float) -> Column:
@@ -54,64 +126,68 @@ def matched_pairs(pairs: DataFrame, texts: DataFrame, gate_km: float = GATE_KM,
 
     A duplicate reaches both thresholds; an empty text never does.
     """
-    close = pairs.where((F.col("km") <= gate_km) & (F.col("minutes") <= gate_min))
-    used = texts.join(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    words = tfidf(used.withColumn("t", word_terms(F.col("text"))), "id", "t")
-    chars = tfidf(used.withColumn("t", char_grams(F.col("text"))), "id", "t")
-    rows = cosine(cosine(close, chars, "id", "char"), words, "id", "word")
-    both = rows.join(used.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(used.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    ka, kb = text_key(F.col("ta")), text_key(F.col("tb"))
-    edit = edit_similarity(ka, kb)
+    spark = pairs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: texts are dearer to compare than their bytes tell
+    close = saved(pairs.where((F.col("km") <= gate_km) & (F.col("minutes") <= gate_min)).select("a", "b", "km", "minutes").repartition(parts, "a"), "close")
+    ids = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    used = saved(texts.join(ids, "id", "left_semi").select("id", text_key(F.col("text")).alias("key")).repartition(parts, "id"), "texts")
+    rows = compared(close, used, vectors(used))
     w = WEIGHTS
-    text_part = w["char"] * F.col("char") + w["word"] * F.col("word") + w["edit"] * edit
-    scored = both.withColumn("text_score", text_part / (w["char"] + w["word"] + w["edit"])).withColumn("combined", text_part + w["geo"] * proximity(F.col("km"), gate_km) + w["time"] * proximity(F.col("minutes"), gate_min))
-    ok = (F.col("text_score") >= TEXT_GATE) & (F.col("combined") >= COMBINED_GATE) & (ka != "") & (kb != "")
+    text_part = w["char"] * F.col("char") + w["word"] * F.col("word") + w["edit"] * F.col("edit")
+    scored = rows.withColumn("text_score", text_part / (w["char"] + w["word"] + w["edit"])).withColumn("combined", text_part + w["geo"] * proximity(F.col("km"), gate_km) + w["time"] * proximity(F.col("minutes"), gate_min))
+    ok = (F.col("text_score") >= TEXT_GATE) & (F.col("combined") >= COMBINED_GATE) & F.col("said")
     return scored.select("a", "b", "text_score", "combined", ok.alias("duplicate"))
 
 
+def swept(order: list[int], near: dict[int, set[int]]) -> dict[int, int]:
+    """The group of each row: rows come in order, each meets the later ones that it fits, and two groups are joined if every pair of their members fits."""
+    rank = {r: n for n, r in enumerate(order)}
+    group, members, common = {r: r for r in order}, {r: {r} for r in order}, {r: near[r] for r in order}
+    for i in order:
+        for j in sorted((j for j in near[i] if rank[j] > rank[i]), key=rank.__getitem__):
+            x, y = group[i], group[j]
+            if x != y and members[y] <= common[x]:
+                low, high = (x, y) if len(members[x]) >= len(members[y]) else (y, x)
+                for k in members[high]:
+                    group[k] = low
+                members[low] |= members.pop(high)
+                common[low] = common[low] & common.pop(high)
+    return group
+
+
 def complete_link(reports: DataFrame, km: float = 5.0, minutes: float = 180.0) -> DataFrame:
     """id, group of reports (id, at_s, lat, lng, kind, block): a sweep in time order that joins two groups only if every pair of members is compatible.
 
-    The rule depends on the order of joins, so each block (a region and type whose gaps in time exceed the window) is swept by
-    one task; blocks run in parallel. Compatible means within km and minutes, and of one kind or without a kind.
+    The rule depends on the order of joins, so each block (a component of compatible reports, which no group leaves) is swept by
+    one task; blocks run in parallel, and the pairs that fit are found for many blocks at once. Compatible means within km and
+    minutes, and of one kind or without a kind. A null block is a report that fits no other.
     """
 
-    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at_s", "id"]).reset_index(drop=True)
-        lat, lng = np.radians(rows.lat.to_numpy(float)), np.radians(rows.lng.to_numpy(float))
-        at, kind = rows.at_s.to_numpy(float), rows.kind.fillna("").to_numpy(str)
-        member = {i: [i] for i in range(len(rows))}
-        group = list(range(len(rows)))
-
-        def fit(i: list[int], j: list[int]) -> bool:
-            a, b = np.array(i)[:, None], np.array(j)[None, :]
-            h = np.sin((lat[a] - lat[b]) / 2) ** 2 + np.cos(lat[a]) * np.cos(lat[b]) * np.sin((lng[a] - lng[b]) / 2) ** 2
-            near = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(h, 1))) <= km
-            same = (kind[a] == kind[b]) | (kind[a] == "") | (kind[b] == "")
-            return bool((near & same & (np.abs(at[a] - at[b]) <= minutes * 60)).all())
-
-        for i in range(len(rows)):
-            for j in range(i + 1, int(np.searchsorted(at, at[i] + minutes * 60, "right"))):
-                x, y = group[i], group[j]
-                if x != y and fit(member[x], member[y]):
-                    low, high = min(x, y), max(x, y)
-                    for k in member.pop(high):
-                        group[k] = low
-                        member[low].append(k)
-        least: dict[int, int] = defaultdict(lambda: 1 << 62)
-        for k, g in enumerate(group):
-            least[g] = min(least[g], int(rows.id[k]))
-        return pd.DataFrame({"id": rows.id, "group": [least[g] for g in group]})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for rows in batches:
-            kept = rows if kept is None else pd.concat([kept, rows])
-            whole = kept[kept.block != kept.block.iloc[-1]] if len(kept) else kept
-            if len(whole):
-                yield pd.concat([sweep(x) for _, x in whole.groupby("block", sort=False)])
-                kept = kept[kept.block == kept.block.iloc[-1]]
-        if kept is not None and len(kept):
-            yield pd.concat([sweep(x) for _, x in kept.groupby("block", sort=False)])
-
-    return reports.repartition("block").sortWithinPartitions("block").mapInPandas(run, "id bigint, group bigint")
+    def work(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        id_, at, lat, lng = (rows[c].to_numpy() for c in ("id", "at_s", "lat", "lng"))
+        kind = rows["kind"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        block = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        by = np.lexsort((id_, at, block))
+        id_, at, lat, lng, kind = (v[by] for v in (id_, at, lat, lng, kind))
+        end = np.minimum(np.searchsorted(block * (1 << 40) + at, block * (1 << 40) + at + int(minutes * 60), "right"), starts[1:][block])
+        near: dict[int, set[int]] = {i: set() for i in range(len(id_))}
+        many, first = end - np.arange(len(id_)) - 1, 0
+        total = np.cumsum(many)
+        while first < len(id_):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PAIRS, "right")))
+            m = many[first:last]
+            i = np.repeat(np.arange(first, last), m)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+            fits = ((kind[i] == kind[j]) | (kind[i] < 0) | (kind[j] < 0)) & (haversine(lat, lng, i, j) <= km)
+            for x, y in zip(i[fits].tolist(), j[fits].tolist(), strict=True):
+                near[x].add(y)
+                near[y].add(x)
+            first = last
+        group = np.array([g for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) for _, g in sorted(swept(list(range(a, b)), near).items())], np.int64)
+        least = np.full(len(id_), np.iinfo(np.int64).max)
+        np.minimum.at(least, group, id_)
+        return pa.table({"id": id_, "group": least[group]})
+
+    schema = "id bigint, group bigint"
+    rows = reports.select(F.col("id").cast("bigint").alias("id"), F.col("at_s").cast("bigint").alias("at_s"), "lat", "lng", "kind", "block")
+    return by_groups(rows.where("block is not null"), ["block"], work, schema).unionByName(rows.where("block is null").select("id", F.col("id").alias("group")))

@@ -151,19 +151,25 @@ def star(ids: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[apart], top[apart]
 
 
-def links(points: DataFrame, gates: dict[str, tuple[float, int]], most_lat: float = 40.0) -> DataFrame:
-    """a, b: stars that link the reports (id, at_s, lat, lng, family) that lie within their family's gate (km, hours) of each other, directly or over others."""
-    table = F.create_map(*(F.lit(x) for k, v in gates.items() for x in (k, F.array(F.lit(float(v[0])), F.lit(float(v[1]))))))
+def links(points: DataFrame, gates: dict[str, tuple[float, float]] | None, most_lat: float = 40.0, default: tuple[float, float] | None = None) -> DataFrame:
+    """a, b: stars that link the reports (id, at_s, lat, lng, family) that lie within their family's gate (km, hours) of each other, directly or over others.
+
+    Families without a gate have the default one; without a default they take no part, nor do reports without a family.
+    """
+    table = F.create_map(*(F.lit(x) for k, v in (gates or {"": (0, 0)}).items() for x in (k, F.array(F.lit(float(v[0])), F.lit(float(v[1]))))))
     gate = F.try_element_at(table, F.col("family"))
-    known = points.where(F.col("family").isin(*gates)).select("id", "at_s", "lat", "lng", "family").withColumn("gate", gate)
+    if default is not None:
+        gate = F.coalesce(gate, F.array(F.lit(float(default[0])), F.lit(float(default[1]))))
+    known = points.where(F.col("family").isNotNull()).select("id", "at_s", "lat", "lng", "family", gate.alias("gate")).where("gate is not null")
+    of = gates or {}
 
     def work(rows: pa.Table, starts: np.ndarray) -> pa.Table:
         many = np.diff(starts) > 1  # the others have no company
         keep = np.repeat(many, np.diff(starts))
         rows, starts = rows.filter(pa.array(keep)), np.append(0, np.cumsum(np.diff(starts)[many]))
         id_, at, lat, lng = (rows[c].to_numpy() for c in ("id", "at_s", "lat", "lng"))
-        own = [gates[f] for f in rows["family"].take(pa.array(starts[:-1])).to_pylist()]
-        root = components(at, lat, lng, starts, np.array([g[0] for g in own]), np.array([g[1] * 3600 for g in own]))
+        own = [of.get(f, default) for f in rows["family"].take(pa.array(starts[:-1])).to_pylist()]
+        root = components(at, lat, lng, starts, np.array([g[0] for g in own], float), np.array([g[1] * 3600 for g in own], float))
         a, b = star(id_, root)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 

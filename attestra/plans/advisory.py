@@ -10,7 +10,8 @@ from ..functions.tagging import tags
 from ..functions.text import FEW_FOLLOWERS, FLAG_FACTORS, NEW_ACCOUNT_DAYS, account_flags, collapse, text_key
 from ..operators.matching import GATE_MIN, complete_link, matched_pairs
 from ..operators.shapes import intersecting, outlines
-from ..operators.spatial import connected, dbscan, radius_join
+from ..operators.spatial import connected, dbscan
+from ..operators.tiles import links
 from ..sources.bindings import AS_OF, DAY, HOUR, cte, flags, frame
 from ..sources.tables import saved, shared_path
 from .geography import km_sql
@@ -86,23 +87,17 @@ def matched_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ml02_complete_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete-link groups of the reports of each district."""
-    rows = saved(blocked(frame(spark, sf_dir, "reports").where("district is not null")), "blocks")
-    return complete_link(rows.where("block is not null")).unionByName(rows.where("block is null").select("id", F.col("id").alias("group")))
+    return complete_link(saved(blocked(frame(spark, sf_dir, "reports").where("district is not null")), "blocks"))
 
 
 def blocked(reports: DataFrame, km: float = 5.0, minutes: float = 180.0) -> DataFrame:
-    """id, at_s, lat, lng, kind, block: the block is the component of compatible reports (near, within the window, of one kind or without one).
+    """id, at_s, lat, lng, kind, block: the block is the part in one district of a component of reports near in space and time.
 
-    Members of a group are compatible in pairs, so no group reaches beyond a component. A report that fits no other has a null block.
+    Members of a group are compatible in pairs, so no group reaches beyond a block. A report that is near no other has a null block.
     """
     r = reports.select("id", "at_s", "lat", "lng", F.col("hazard").alias("kind"), "district")
-    width = int(minutes * 60)
-    slot = F.floor(F.col("at_s") / width)
-    pairs = radius_join(r.withColumn("slot", F.explode(F.array(slot, slot - 1))), r.withColumn("slot", slot), km, 40)
-    same = F.coalesce(F.col("kind") == F.col("r_kind"), F.lit(True)) & (F.col("district") == F.col("r_district"))
-    fits = pairs.where((F.col("slot") == F.col("r_slot")) & (F.col("id") != F.col("r_id")) & (F.abs(F.col("at_s") - F.col("r_at_s")) <= width) & same)
-    roots = connected(reports.sparkSession, fits.select(F.col("id").alias("a"), F.col("r_id").alias("b")))
-    return r.join(roots, r.id == roots.node, "left").select("id", "at_s", "lat", "lng", "kind", F.col("root").cast("string").alias("block"))
+    roots = connected(reports.sparkSession, links(r.withColumn("family", F.col("district")), None, default=(km, minutes / 60)))
+    return r.join(roots, r.id == roots.node, "left").select("id", "at_s", "lat", "lng", "kind", F.col("root").alias("block"))
 
 
 @query()
