@@ -6,19 +6,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ..functions.geo import EARTH, haversine
+from ..functions.geo import EARTH
 from ..sources.tables import saved
+from .tiles import by_groups
 
 #: Metres by which an outline is widened, and corners of the circle that stands for it.
 BUFFER_M, CORNERS = 250.0, 16
 #: Parts into which a key's corners are dealt before they meet.
 PARTS = 64
-#: Points of a key that are compared in pairs at once.
-FEW = 24
+#: Points of a key that meet in one task as they are, and points that are compared in pairs without looking for corners first.
+FEW, PAIRWISE = 4096, 64
 #: Points whose cosine to their middle falls below this are not projected; all of them are kept then.
 LEAST_COS = 0.8
 
@@ -87,32 +89,32 @@ def hull_points(members: DataFrame, key: str, of: Callable[[np.ndarray], np.ndar
 def widest(members: DataFrame, key: str) -> DataFrame:
     """key and widest, the greatest great-circle distance in km between two of its points (lng, lat).
 
-    The points of a key with at most FEW are compared in pairs by array functions; of others only corners of hulls are.
+    A key with more than FEW points keeps the corners of its parts' hulls before its points meet, so that no task holds a whole
+    large group; of what is left, corners are compared in pairs.
     """
 
-    def farthest(rows: pd.DataFrame) -> float:
-        points = rows[["lng", "lat"]].to_numpy(float)
-        points = points[corners_on_sphere(points)]
+    def farthest(points: np.ndarray) -> float:
+        if len(points) > PAIRWISE:
+            points = points[corners_on_sphere(points)]
         lng, lat = np.radians(points[:, 0]), np.radians(points[:, 1])
         most = 0.0
-        for i in range(len(points)):  # a row at a time, so that memory stays in proportion to the corners
-            a = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat) * np.cos(lat[i]) * np.sin((lng - lng[i]) / 2) ** 2
+        for first in range(0, len(points), PAIRWISE):  # some rows at a time, so that memory stays in proportion to the corners
+            y, x = lat[first : first + PAIRWISE, None], lng[first : first + PAIRWISE, None]
+            a = np.sin((lat - y) / 2) ** 2 + np.cos(lat) * np.cos(y) * np.sin((lng - x) / 2) ** 2
             most = max(most, float(a.max()))
         return 2 * EARTH * np.arcsin(np.sqrt(min(1.0, most)))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [rows[key].iloc[0]], "widest": [farthest(rows)]})
+    def work(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        points = np.column_stack([rows["lng"].to_numpy(), rows["lat"].to_numpy()]).astype(float)
+        return pa.table({key: rows[key].take(pa.array(starts[:-1])), "widest": pa.array([farthest(points[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.float64())})
 
     points = members.select(key, "lng", "lat").where(F.col(key).isNotNull() & F.col("lng").isNotNull() & F.col("lat").isNotNull())
-    sized = points.join(points.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), key)
-    few = sized.where(F.col("__n") <= FEW).groupBy(key).agg(F.collect_list(F.struct("lng", "lat")).alias("p"))
-    far = lambda a, b: haversine(a["lat"], a["lng"], b["lat"], b["lng"])
-    small = few.select(key, F.array_max(F.transform("p", lambda a: F.array_max(F.transform("p", lambda b: far(a, b))))).alias("widest"))
-    kind = members.schema[key].dataType.simpleString()
-    large = saved(hull_points(sized.where(F.col("__n") > FEW).drop("__n"), key, corners_on_sphere), "corners")
+    large = saved(points.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select(key), "large")
+    schema = f"{key} {members.schema[key].dataType.simpleString()}, widest double"
     if large.isEmpty():
-        return small
-    return small.unionByName(large.groupBy(key).applyInPandas(one, f"{key} {kind}, widest double"))
+        return by_groups(points, [key], work, schema)
+    few = points.join(large, key, "left_anti").unionByName(hull_points(points.join(large, key, "left_semi"), key, corners_on_sphere))
+    return by_groups(few, [key], work, schema)
 
 
 def outline(points: np.ndarray, metres: float = BUFFER_M) -> np.ndarray:

@@ -69,10 +69,19 @@ def dbscan(points: DataFrame, eps_km: float, least: int = 2, most_lat: float = 6
     """id, cluster of every clustered point (id, lat, lng): the least core id of its cluster; noise has no row.
 
     A core point has `least` points within eps, itself included; cores within eps share a cluster; a border point joins the
-    nearest core, the smaller id on a tie. Points at one spot are counted once per spot, so that a crowd does not multiply.
+    nearest core, the smaller id on a tie. Points at one spot are counted once per spot, so that a crowd does not multiply. With
+    two points whoever has company is a core, so the clusters are the components, which tiles link without making pairs.
     """
     spark = points.sparkSession
     spots = saved(points.where("lat is not null and lng is not null").groupBy("lat", "lng").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "spots")
+    if least == 2:
+        from .tiles import links  # it stands on this module
+
+        stars = links(spots.withColumn("family", F.lit("")).withColumn("at_s", F.lit(0)), None, most_lat, (eps_km, 1.0))
+        roots = connected(spark, stars).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+        alone = F.when(F.col("n") > 1, F.col("id"))
+        named = spots.join(roots, "id", "left").select("lat", "lng", F.coalesce("cluster", alone).alias("cluster")).where("cluster is not null")
+        return points.join(named, ["lat", "lng"]).select("id", "cluster")
     pairs = saved(radius_join(spots, spots.select("id", "n", "lat", "lng"), eps_km, most_lat).select("id", "r_id", "r_n", "km"), "pairs")
     core = pairs.groupBy("id").agg(F.sum("r_n").alias("near")).where(F.col("near") >= least).select("id")
     links = pairs.join(core, "id").join(core.withColumnRenamed("id", "r_id"), "r_id").select(F.col("id").alias("a"), F.col("r_id").alias("b"))

@@ -156,10 +156,9 @@ def links(points: DataFrame, gates: dict[str, tuple[float, float]] | None, most_
 
     Families without a gate have the default one; without a default they take no part, nor do reports without a family.
     """
-    table = F.create_map(*(F.lit(x) for k, v in (gates or {"": (0, 0)}).items() for x in (k, F.array(F.lit(float(v[0])), F.lit(float(v[1]))))))
-    gate = F.try_element_at(table, F.col("family"))
-    if default is not None:
-        gate = F.coalesce(gate, F.array(F.lit(float(default[0])), F.lit(float(default[1]))))
+    one = lambda v: F.array(F.lit(float(v[0])), F.lit(float(v[1])))
+    named = F.try_element_at(F.create_map(*(c for k, v in gates.items() for c in (F.lit(k), one(v)))), F.col("family")) if gates else None
+    gate = named if default is None else F.coalesce(named, one(default)) if named is not None else one(default)
     known = points.where(F.col("family").isNotNull()).select("id", "at_s", "lat", "lng", "family", gate.alias("gate")).where("gate is not null")
     of = gates or {}
 

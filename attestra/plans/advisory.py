@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
 from ..functions.tagging import tags
-from ..functions.text import FEW_FOLLOWERS, FLAG_FACTORS, NEW_ACCOUNT_DAYS, account_flags, collapse, text_key
+from ..functions.text import FEW_FOLLOWERS, FLAG_FACTORS, NEW_ACCOUNT_DAYS, account_flags, collapse
 from ..operators.matching import GATE_MIN, complete_link, matched_pairs
 from ..operators.shapes import intersecting, outlines
 from ..operators.spatial import connected, dbscan
 from ..operators.tiles import links
-from ..sources.bindings import AS_OF, DAY, HOUR, cte, flags, frame
+from ..sources.bindings import DAY, HOUR, cte, flags, frame
 from ..sources.tables import saved, shared_path
-from .geography import km_sql
+from .geography import km_sql, unassigned
 from .registry import query
 
 # Media gates.
@@ -102,8 +102,8 @@ def blocked(reports: DataFrame, km: float = 5.0, minutes: float = 180.0) -> Data
 
 @query()
 def geo11_cluster_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outline of each cluster of three days: hull of its points, widened by 250 m. The reference's concave hull is not reproduced."""
-    p = frame(spark, sf_dir, "reports").where(F.col("at_s") >= AS_OF - 3 * DAY).select("id", "lat", "lng")
+    """The outline of each cluster of unassigned reports: the convex hull of its points, widened by 250 m. A concave hull is not reproduced."""
+    p = unassigned(spark, sf_dir)
     return outlines(p.join(dbscan(p, 5, 2, 40), "id"), "cluster")
 
 

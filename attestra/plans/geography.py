@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.geo import EARTH, quad_key
 from ..operators.shapes import widest
 from ..operators.spatial import dbscan, nearest, radius_join
-from ..sources.bindings import AS_OF, DAY, cte, frame
+from ..sources.bindings import DAY, cte, frame
+from ..sources.tables import saved
 from .registry import query
 
 
@@ -97,15 +98,19 @@ def agg08_heatmap_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "reports").groupBy(cell).agg(F.count(F.lit(1)).alias("n"), F.count("verified_id").alias("linked")).orderBy(F.desc("n"), "cell")
 
 
-_GRAPH = f""", p AS (SELECT id, lat, lng FROM reports WHERE at_s >= {AS_OF - 3 * DAY}), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON abs(a.lat - b.lat) < 0.06 AND {km_sql("a", "b")} <= 5),
+_GRAPH = f""", p AS (SELECT id, lat, lng FROM reports WHERE verified_id IS NULL AND duplicate_of IS NULL), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON b.lat BETWEEN a.lat - 0.06 AND a.lat + 0.06 AND {km_sql("a", "b")} <= 5),
 t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a), c AS (SELECT a AS id, min(b) AS cluster FROM t GROUP BY 1 HAVING count(*) > 1) """
 
 
+def unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, lat, lng of the reports that belong to no event and repeat none."""
+    return frame(spark, sf_dir, "reports").where("verified_id is null and duplicate_of is null").select("id", "lat", "lng")
+
+
 @query(cte("reports").replace("WITH", "WITH RECURSIVE", 1) + _GRAPH + "SELECT id, cluster FROM c")
 def dom06_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density clusters of the reports of three days, eps 5 km, two points: with two, the components of the eps graph."""
-    p = frame(spark, sf_dir, "reports").where(F.col("at_s") >= AS_OF - 3 * DAY).select("id", "lat", "lng")
-    return dbscan(p, 5, 2, 40)
+    """Density clusters of all unassigned reports, eps 5 km, two points: with two, the components of the eps graph."""
+    return dbscan(unassigned(spark, sf_dir), 5, 2, 40)
 
 
 @query(
@@ -116,8 +121,8 @@ SELECT cluster, count(*) AS n, round(avg(lat), 9) AS lat, round(avg(lng), 9) AS
 )
 def agg14_cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, planar centroid and greatest distance within each cluster; only corners of its hull are compared in pairs."""
-    p = frame(spark, sf_dir, "reports").where(F.col("at_s") >= AS_OF - 3 * DAY).select("id", "lat", "lng")
-    m = p.join(dbscan(p, 5, 2, 40), "id")
+    p = unassigned(spark, sf_dir)
+    m = saved(p.join(dbscan(p, 5, 2, 40), "id"), "clustered")
     wide = widest(m, "cluster")
     mean = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("lat"), 9).alias("lat"), F.round(F.avg("lng"), 9).alias("lng"))
     return mean.join(wide, "cluster").select("cluster", "n", "lat", "lng", F.round("widest", 5).alias("widest_km"))

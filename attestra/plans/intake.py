@@ -190,10 +190,10 @@ def stm09_feed_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(last, "source_type").groupBy("source_type").agg(F.count_if(later).alias("consecutive_failures"), F.max("last.at_s").alias("last_success_s"))
 
 
-@query(cte("verified") + f"SELECT a.id AS a, b.id AS b FROM verified a JOIN verified b ON a.id < b.id AND a.event_type = b.event_type AND a.state = b.state AND abs(a.verified_s - b.verified_s) <= {2 * DAY} AND {km_sql('a', 'b')} <= 5 AND a.severity = 'CRITICAL' AND b.severity = 'CRITICAL'")
+@query(cte("verified") + f"SELECT a.id AS a, b.id AS b FROM verified a JOIN verified b ON a.id < b.id AND a.event_type = b.event_type AND a.state = b.state AND abs(a.verified_s - b.verified_s) <= {2 * DAY} AND {km_sql('a', 'b')} <= 5 AND b.lat BETWEEN a.lat - 0.1 AND a.lat + 0.1")
 def ml03_event_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of critical events of one type and state within 5 km and two days: candidates to merge."""
-    v = frame(spark, sf_dir, "verified").where("severity = 'CRITICAL'").select("id", "lat", "lng", "event_type", "state", "verified_s")
+    """Pairs of events of one type and state within 5 km and two days: candidates to merge."""
+    v = frame(spark, sf_dir, "verified").select("id", "lat", "lng", "event_type", "state", "verified_s")
     p = radius_join(v, v, 5, 40)
     return p.where((F.col("id") < F.col("r_id")) & (F.col("event_type") == F.col("r_event_type")) & (F.col("state") == F.col("r_state")) & (F.abs(F.col("verified_s") - F.col("r_verified_s")) <= 2 * DAY)).select(F.col("id").alias("a"), F.col("r_id").alias("b"))
 

@@ -245,9 +245,9 @@ def agg26_having_least(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("first_s") <= 1_704_153_600)
 
 
-@query(cte("reports") + f"SELECT count(*) AS backlog, coalesce({AS_OF} - min(at_s), 0) AS oldest_age_s FROM reports WHERE verified_id IS NULL AND at_s >= {AS_OF - 5 * DAY}")
+@query(cte("reports") + f"SELECT count(*) AS backlog, coalesce({AS_OF} - min(at_s), 0) AS oldest_age_s FROM reports WHERE verified_id IS NULL")
 def agg27_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, sf_dir, "reports").where(F.col("verified_id").isNull() & (F.col("at_s") >= AS_OF - 5 * DAY))
+    rows = frame(spark, sf_dir, "reports").where(F.col("verified_id").isNull())
     return rows.agg(F.count(F.lit(1)).alias("backlog"), F.coalesce(F.lit(AS_OF) - F.min("at_s"), F.lit(0)).alias("oldest_age_s"))
 
 

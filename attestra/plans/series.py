@@ -75,6 +75,45 @@ def ml04_level_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(baseline(rows), "station").where(z >= Z_GATE).select("order_id", "line", F.round(z, 4).alias("z"))
 
 
+# Consecutive points that make a deviation persistent and a gap a pattern, and the share by which an interval may differ.
+PERSISTENT, MISSING, IRREGULAR = 3, 3, 0.25
+#: Some weeks are made ten times as wet, so that deviations last.
+_WET = "CASE WHEN recorded_s // 1728000 % 7 = 0 THEN rainfall_mm * 10 ELSE rainfall_mm END"
+
+
+def islands(readings: DataFrame) -> DataFrame:
+    """station, kind, from_s, to_s, points of readings (station, recorded_s, tie, x, z): what lasts, in one sorted pass over each station.
+
+    persistent: PERSISTENT consecutive points or more with z at Z_GATE or above; missing: MISSING consecutive points or more without a
+    value; irregular, one row a station: its intervals that differ by more than IRREGULAR from the median one. An interval of 0 is
+    none, and a missing point ends a deviation.
+    """
+    by = Window.partitionBy("station").orderBy("recorded_s", "tie")
+    state = F.when(F.col("x").isNull(), "missing").when(F.col("z") >= Z_GATE, "persistent").otherwise("fine")
+    rows = readings.withColumn("kind", state).withColumn("same", F.lag("kind").over(by).eqNullSafe(F.col("kind")).cast("int")).withColumn("island", F.sum(1 - F.col("same")).over(by))
+    rows = rows.withColumn("gap", F.when(F.col("recorded_s") > F.lag("recorded_s").over(by), F.col("recorded_s") - F.lag("recorded_s").over(by)))
+    runs = rows.where("kind <> 'fine'").groupBy("station", "kind", "island").agg(F.min("recorded_s").alias("from_s"), F.max("recorded_s").alias("to_s"), F.count(F.lit(1)).alias("points"))
+    long = runs.where(F.col("points") >= F.when(F.col("kind") == "missing", MISSING).otherwise(PERSISTENT)).select("station", "kind", "from_s", "to_s", "points")
+    usual = rows.groupBy("station").agg(F.expr("percentile(gap, 0.5)").alias("usual"))
+    off = rows.join(usual, "station").where(F.abs(F.col("gap") - F.col("usual")) > IRREGULAR * F.col("usual")).groupBy("station").agg(F.min("recorded_s").alias("from_s"), F.max("recorded_s").alias("to_s"), F.count(F.lit(1)).alias("points"))
+    return long.unionByName(off.select("station", F.lit("irregular").alias("kind"), "from_s", "to_s", "points"))
+
+
+@query(
+    cte("readings")
+    + f""", r AS (SELECT station, recorded_s, order_id * 10 + line AS tie, {_WET} AS x FROM readings), q AS (SELECT station, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM r WHERE x IS NOT NULL GROUP BY 1),
+d AS (SELECT station, quantile_cont(abs(x - med), 0.5) AS mad FROM r JOIN q USING (station) WHERE x IS NOT NULL GROUP BY 1), s AS (SELECT r.*, CASE WHEN x IS NULL THEN 'missing' WHEN abs(x - med) / greatest(1.4826 * mad, (q3 - q1) / 1.349, {FLOOR}) >= {Z_GATE} THEN 'persistent' ELSE 'fine' END AS kind, recorded_s - lag(recorded_s) OVER w AS gap FROM r LEFT JOIN q USING (station) LEFT JOIN d USING (station) WINDOW w AS (PARTITION BY station ORDER BY recorded_s, tie)),
+i AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY recorded_s, tie) - row_number() OVER (PARTITION BY station, kind ORDER BY recorded_s, tie) AS island FROM s), u AS (SELECT station, quantile_cont(gap, 0.5) AS usual FROM s WHERE gap > 0 GROUP BY 1)
+SELECT station, kind, min(recorded_s) AS from_s, max(recorded_s) AS to_s, count(*) AS points FROM i WHERE kind <> 'fine' GROUP BY station, kind, island HAVING count(*) >= CASE kind WHEN 'missing' THEN {MISSING} ELSE {PERSISTENT} END
+UNION ALL SELECT station, 'irregular', min(recorded_s), max(recorded_s), count(*) FROM s JOIN u USING (station) WHERE gap > 0 AND abs(gap - usual) > {IRREGULAR} * usual GROUP BY 1"""
+)
+def ml04_lasting_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations that persist, patterns of missing values, and irregular intervals of each station."""
+    r = frame(spark, sf_dir, "readings").selectExpr("station", "recorded_s", "order_id * 10 + line AS tie", _WET.replace("//", "div") + " AS x")
+    scale = baseline(r.where("x is not null"))
+    return islands(r.join(scale, "station", "left").withColumn("z", F.abs(F.col("x") - F.col("median")) / F.col("scale")).select("station", "recorded_s", "tie", "x", "z"))
+
+
 @query(cte("readings") + "SELECT station, arg_max(recorded_s, (rainfall_mm, -recorded_s)) AS peak_s, max(rainfall_mm) AS peak FROM readings WHERE rainfall_mm IS NOT NULL GROUP BY 1")
 def win10_argmax_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(spark, sf_dir).groupBy("station").agg(F.max_by("recorded_s", F.struct("x", (-F.col("recorded_s")).alias("e"))).alias("peak_s"), F.max("x").alias("peak"))
