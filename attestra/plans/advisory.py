@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
 from ..functions.tagging import tags
-from ..functions.text import FEW_FOLLOWERS, FLAG_FACTORS, NEW_ACCOUNT_DAYS, account_flags, collapse
+from ..functions.text import FEW_FOLLOWERS, FLAG_FACTORS, NEW_ACCOUNT_DAYS, account_flags, collapse, text_key
 from ..operators.matching import GATE_MIN, complete_link, matched_pairs
 from ..operators.shapes import intersecting, outlines
 from ..operators.spatial import connected, dbscan
+from ..operators.splits import contaminated, grouped_split
 from ..operators.tiles import links
 from ..sources.bindings import DAY, HOUR, cte, flags, frame
 from ..sources.tables import saved, shared_path
@@ -84,6 +85,25 @@ def matched_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched_pairs(near, t.select("id", "text"))
 
 
+@query()
+def ml08_grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matcher's pairs dealt to train, validation and test by whole components, with the hardest negatives of each conversation."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("id"), text_key(F.col("text")).alias("key")).dropDuplicates(["id"])
+    pairs = matched_turns(spark, sf_dir).withColumn("block", F.floor(F.col("a") / 10_000))
+    return grouped_split(pairs, t).select("a", "b", "duplicate", "grp", "split", "hard")
+
+
+@query(
+    r"""WITH d AS (SELECT md5(trim(regexp_replace(lower(text), '[!-/:-@\[-`{-~\s]+', ' ', 'g'))) AS key, CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'validation' ELSE 'test' END AS split FROM documents WHERE trim(regexp_replace(lower(text), '[!-/:-@\[-`{-~\s]+', ' ', 'g')) <> '')
+SELECT key, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits, count(*) AS records FROM d GROUP BY 1 HAVING count(DISTINCT split) > 1"""
+)
+def ml08_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that a split by document number alone leaves in more than one split."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.array(text_key(F.col("text")))).alias("text")).where("text <> ''")
+    split = F.when(F.col("doc_id") % 10 < 6, "train").when(F.col("doc_id") % 10 < 8, "validation").otherwise("test")
+    return contaminated(d.select(F.md5("text").alias("key"), split.alias("split")))
+
+
 @query()
 def ml02_complete_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete-link groups of the reports of each district."""

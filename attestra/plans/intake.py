@@ -163,15 +163,6 @@ def dom25_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(~F.col("status").eqNullSafe(F.col("stored"))).select("id", "status")
 
 
-@query("SELECT event_type, count(*) AS n FROM (SELECT event_id, event_type FROM events WHERE value >= 5 UNION ALL SELECT event_id, event_type FROM events WHERE NOT coalesce(value >= 5, false) AND coalesce(abs(value), 0) >= 1) GROUP BY 1")
-def dom27_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dead letters repaired and put back with the rest; those that still fail stay out."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value")
-    ok = F.coalesce(F.col("value") >= 5, F.lit(False))
-    repaired = e.where(~ok).withColumn("value", F.coalesce(F.abs("value"), F.lit(0.0))).where("value >= 1")
-    return e.where(ok).unionByName(repaired).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(cte("verified") + f"SELECT id, CASE WHEN verified_s + 3600 <= {EVENTS_AS_OF - 200 * DAY} THEN 'EXPIRED' ELSE 'ACTIVE' END AS state FROM verified WHERE review_status IN ('AUTO_PUBLISHED', 'HUMAN_APPROVED')")
 def alr05_expiry_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = frame(spark, sf_dir, "verified").where(F.col("review_status").isin("AUTO_PUBLISHED", "HUMAN_APPROVED"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..sources.parsers import cap_alert, hourly, latest_revision, metar, rss_items
 from ..sources.tables import shared_path
@@ -27,18 +28,39 @@ def stm02_broadcast_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) FILTER (WHERE value >= 5) AS good, count(*) FILTER (WHERE NOT coalesce(value >= 5, false)) AS dead FROM events GROUP BY 1")
 def stm01_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that fail the check go to the dead-letter table, the others on; a batch that runs again replaces its own files."""
+    good, dead = split_letters(spark, sf_dir)
+    both = good.withColumn("to", F.lit("good")).unionByName(dead.drop("reason").withColumn("to", F.lit("dead")))
+    return both.groupBy("event_type").agg(F.count_if(F.col("to") == "good").alias("good"), F.count_if(F.col("to") == "dead").alias("dead"))
+
+
+#: The least value that passes.
+LEAST_VALUE = 5
+
+
+def split_letters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The good rows and the dead letters of the events' stream, as it wrote them; a dead letter names its reason."""
     good, dead = shared_path(spark, "good"), shared_path(spark, "dead")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value").schema
 
     def split(batch: DataFrame, n: int) -> None:
-        ok = F.coalesce(F.col("value") >= 5, F.lit(False))
+        ok = F.coalesce(F.col("value") >= LEAST_VALUE, F.lit(False))
         batch.where(ok).write.mode("overwrite").parquet(f"{good}/batch={n}")
-        batch.where(~ok).write.mode("overwrite").parquet(f"{dead}/batch={n}")
+        reason = F.when(F.col("value").isNull(), "no value").otherwise("too small")
+        batch.where(~ok).withColumn("reason", reason).write.mode("overwrite").parquet(f"{dead}/batch={n}")
 
     drain(read_stream(spark, sf_dir, "events").select("event_id", "event_type", "value"), split)
-    back = lambda path, name: spark.read.schema(schema).parquet(f"{path}/batch=*").select("event_type", F.lit(name).alias("to"))
-    both = back(good, "good").unionByName(back(dead, "dead"))
-    return both.groupBy("event_type").agg(F.count_if(F.col("to") == "good").alias("good"), F.count_if(F.col("to") == "dead").alias("dead"))
+    back = lambda path, kind: spark.read.schema(kind).parquet(f"{path}/batch=*")
+    return back(good, schema), back(dead, StructType([*schema, StructField("reason", StringType())]))
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE value >= 5) AS kept, count(*) FILTER (WHERE value < 5 AND value * 10 >= 5) AS mended, count(*) FILTER (WHERE value IS NULL OR value * 10 < 5) AS dead FROM events GROUP BY 1")
+def dom27_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dead letters that the stream wrote, read back and mended (a value in tenths), checked again and put to the rest; those that still fail stay dead."""
+    good, dead = split_letters(spark, sf_dir)
+    mended = dead.withColumn("value", F.when(F.col("reason") == "too small", F.col("value") * 10))
+    ok = F.coalesce(F.col("value") >= LEAST_VALUE, F.lit(False))
+    fate = good.select("event_type", F.lit("kept").alias("to")).unionByName(mended.select("event_type", F.when(ok, "mended").otherwise("dead").alias("to")))
+    return fate.groupBy("event_type").agg(*(F.count_if(F.col("to") == to).alias(to) for to in ("kept", "mended", "dead")))
 
 
 @query("SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_s, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
@@ -234,11 +256,18 @@ def src12_series_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly(p, "hour", ["rain"])
 
 
-@query("SELECT l_orderkey AS identifier, max(l_linenumber) AS revision FROM lineitem GROUP BY 1")
+_FETCHED = {"identifier": "l_orderkey", "fetched_s": "l_linenumber", "polygon_status": "CASE (l_orderkey + l_linenumber) % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'absent' ELSE 'ok' END"}
+_POLYGON = "CASE WHEN (l_orderkey + l_linenumber) % 4 >= 2 THEN concat('p', l_linenumber) END"
+
+
+@query(
+    f"""WITH f AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _FETCHED.items())}, {_POLYGON} AS polygon FROM lineitem), k AS (SELECT identifier, arg_max(polygon_status, fetched_s) AS s, max(fetched_s) AS at FROM f WHERE polygon_status <> 'failed' GROUP BY 1)
+SELECT n.identifier, n.revision, CASE WHEN k.s = 'ok' THEN concat('p', k.at) END AS polygon FROM (SELECT identifier, max(fetched_s) AS revision FROM f GROUP BY 1) n LEFT JOIN k USING (identifier)"""
+)
 def src07_latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest revision of each warning; the polygon rules are covered by tests."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("identifier"), F.col("l_linenumber").alias("fetched_s"), F.lit("p").alias("polygon"), F.lit("ok").alias("polygon_status"))
-    return latest_revision(rows).select("identifier", F.col("fetched_s").alias("revision"))
+    """The newest revision of each warning and its polygon: one that was fetched replaces the old, an absent one clears it, a failed fetch leaves it."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*(f"{e} AS {c}" for c, e in _FETCHED.items()), f"{_POLYGON} AS polygon")
+    return latest_revision(rows).select("identifier", F.col("fetched_s").alias("revision"), "polygon")
 
 
 @query("SELECT l_suppkey, l_orderkey FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")

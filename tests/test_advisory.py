@@ -100,3 +100,40 @@ def test_rate_limit_ignores_rejected(spark):
         a, b = want.get(r.reporter, (0, 0))
         want[r.reporter] = (a + ok, b + (not ok))
     assert {r.reporter: (r.accepted, r.rejected) for r in got} == want
+
+
+def test_splits_keep_components_whole_and_shares_even(spark):
+    from attestra.operators.splits import contaminated, dealt, grouped_split
+
+    rng = random.Random(8)
+    groups = [(i, rng.choice([1, 1, 2, 5, 9]), i % 3 == 0) for i in range(4000)] + [(9000 + i, 700, i % 2 == 0) for i in range(5)]
+    got = {r.grp: r.split for r in dealt(spark.createDataFrame(groups, "grp long, n long, positive boolean")).collect()}
+    assert len(got) == len(groups)
+    for kind in (True, False):
+        total = sum(n for _, n, p in groups if p == kind)
+        for split, share in (("train", 0.6), ("validation", 0.2), ("test", 0.2)):
+            assert abs(sum(n for g, n, p in groups if p == kind and got[g] == split) / total - share) < 0.02
+    pairs = [(a, a + 1, a % 10 == 0, rng.random(), a // 100) for a in range(0, 3000, 2)] + [(a, a + 3, False, rng.random(), a // 100) for a in range(0, 3000, 40)]
+    texts = [(i, f"text {i // 500}" if i % 250 == 0 else "" if i % 7 == 0 else f"own {i}") for i in range(3004)]
+    df, t = spark.createDataFrame(pairs, "a long, b long, duplicate boolean, text_score double, block long"), spark.createDataFrame(texts, "id long, key string")
+    rows = grouped_split(df, t).collect()
+    assert len(rows) == len(pairs)
+    split = {}
+    for r in rows:
+        for i in (r.a, r.b):
+            assert split.setdefault(i, r.split) == r.split
+    assert contaminated(spark.createDataFrame([(k, split[i]) for i, k in texts if i in split], "key string, split string")).count() == 0
+    for block in {p[4] for p in pairs}:
+        scores = sorted((p[3] for p in pairs if p[4] == block and not p[2]), reverse=True)
+        assert sorted((r.text_score for r in rows if r.block == block and r.hard), reverse=True) == scores[:3]
+    assert {r.key: (r.splits, r.records) for r in contaminated(spark.createDataFrame([("x", "train"), ("x", "test"), ("x", "test"), ("y", "test"), ("", "train"), ("", "test"), (None, "train")], "key string, split string")).collect()} == {"x": ("test,train", 3)}
+    assert grouped_split(df.where("false"), t).count() == 0
+
+
+def test_islands_are_runs_of_a_station(spark):
+    from attestra.plans.series import islands
+
+    row = lambda t, x, z=0.0: ("s", t, t, x, z)
+    rows = [row(0, 1.0), row(10, None), row(20, None), row(30, None), row(40, 9.0, 3.5), row(50, 9.0, 8.0), row(60, 9.0, 4.0), row(70, 1.0, 3.4), row(80, 9.0, 5.0), row(90, 9.0, 5.0), row(100, None), row(110, 9.0, 5.0), row(200, 1.0)]
+    got = {(r.kind, r.from_s, r.to_s, r.points) for r in islands(spark.createDataFrame(rows, "station string, recorded_s long, tie long, x double, z double")).collect()}
+    assert got == {("missing", 10, 30, 3), ("persistent", 40, 60, 3), ("irregular", 200, 200, 1)}
