@@ -28,7 +28,8 @@ CUES = {
     "COLD_WAVE": ("cold wave", "coldwave", "sheetlahar"),
     "FOG": ("fog", "kohra", "mist"),
 }
-STEMS = {hazard: re.compile(r"\b(?:" + "|".join(re.escape(x) for x in stems) + ")") for hazard, stems in CUES.items()}
+#: All cues as one automaton, so that a text is read once whatever their number; made by each worker when it first tags.
+_machines: list = []
 NEGATIONS = frozenset(("no", "not", "never", "without", "nahi", "nahin", "isn't", "wasn't"))
 PAST = re.compile(r"\b(last (?:week|month|year)|years? ago|yesterday|throwback)\b")
 FORECAST = re.compile(r"\b(forecast|expected|likely|warning|will|may|alert)\b")
@@ -64,6 +65,21 @@ def depth_cm(text: str) -> float | None:
     return max(found, default=None)
 
 
+def cued(joined: str, starts: list[int]) -> dict[str, list[int]]:
+    """The words, by their number, at which cues of each hazard begin; a cue begins a word or follows an apostrophe."""
+    if not _machines:
+        from ..operators.automaton import machine
+
+        _machines.append(machine((cue, hazard) for hazard, cues in CUES.items() for cue in cues))
+    found: dict[str, list[int]] = {hazard: [] for hazard in CUES}
+    for last, (length, hazards) in _machines[0].iter(joined):
+        first = last - length + 1
+        if first == 0 or joined[first - 1] in " '":
+            for hazard in hazards:
+                found[hazard].append(bisect_right(starts, first) - 1)
+    return found
+
+
 def tag(text: str | None) -> dict:
     """Hazards and negated hazards in table order, tense, values, and the names of implausible values."""
     low = re.sub(r"#(\w+)", r"\1", (text or "").lower())
@@ -72,8 +88,7 @@ def tag(text: str | None) -> dict:
     starts = list(accumulate((len(t) + 1 for t in tokens[:-1]), initial=0))
     negated = [t in NEGATIONS for t in tokens]
     yes, no = [], []
-    for hazard, cue in STEMS.items():
-        places = [bisect_right(starts, m.start()) - 1 for m in cue.finditer(joined)]
+    for hazard, places in cued(joined, starts).items():
         if places:
             (yes if any(not any(negated[max(0, k - 3) : k] + negated[k + 1 : k + 4]) for k in places) else no).append(hazard)
     values = {k: (float(m[1]) if (m := p.search(low)) else None) for k, p in VALUES.items()}

@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.geo import distance_factor, gust_score, rain_score
 from ..functions.text import headline_key, text_key
 from ..operators.alerting import expired
+from ..operators.automaton import names_in
 from ..operators.filters import report_status
 from ..operators.spatial import dbscan, nearest, radius_join
 from ..sources.bindings import AS_OF, DAY, HOUR, cte, flags, frame
@@ -59,10 +60,9 @@ def src15_cursor_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(cte("warnings", "reports") + "SELECT w.identifier, d.district FROM warnings w JOIN (SELECT DISTINCT district FROM reports WHERE district IS NOT NULL) d ON lower(w.area) LIKE concat('% ', lower(d.district))")
 def jon19_places_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """District names in warning areas: word pairs of the text meet the names by equality."""
+    """District names in warning areas, all looked up in one pass over a text."""
     names = frame(spark, sf_dir, "reports").where("district is not null").select("district").distinct().withColumn("k", text_key(F.col("district")))
-    pairs = F.transform(F.array(F.split(text_key(F.col("area")), " ")), lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.slice(t, i, 2)))))[0]
-    return frame(spark, sf_dir, "warnings").select("identifier", F.explode(pairs).alias("k")).join(names, "k").select("identifier", "district")
+    return names_in(frame(spark, sf_dir, "warnings"), "identifier", "area", names).join(names, "k").select("identifier", "district")
 
 
 @F.pandas_udf(DoubleType())

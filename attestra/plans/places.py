@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
-from ..operators.names import best_similar, grams, longest_prefix
+from ..operators.automaton import names_in
+from ..operators.names import best_similar, longest_prefix
 from ..operators.spatial import nearest
 from ..sources.bindings import cte, frame
 from ..sources.tables import saved
@@ -116,7 +117,7 @@ def _by_place():
 def place_of_text(texts: DataFrame, names: DataFrame) -> DataFrame:
     """id, place, precision of texts (id, t) by the gazetteer names in them: the only district; the first of several that lie within
     SPREAD_KM of each other; else the only state; else none."""
-    found = texts.select("id", F.explode(grams(F.col("t"))).alias("k")).join(names, "k").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("name", "state", "lat", "lng"))).alias("p"))
+    found = names_in(texts, "id", "t", names).join(names, "k").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("name", "state", "lat", "lng"))).alias("p"))
     far = F.array_max(F.transform("p", lambda a: F.array_max(F.transform("p", lambda b: haversine(a["lat"], a["lng"], b["lat"], b["lng"])))))
     states = F.array_distinct(F.transform("p", lambda a: a["state"]))
     is_district = (F.size("p") == 1) | (far <= SPREAD_KM)

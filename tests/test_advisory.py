@@ -137,3 +137,27 @@ def test_islands_are_runs_of_a_station(spark):
     rows = [row(0, 1.0), row(10, None), row(20, None), row(30, None), row(40, 9.0, 3.5), row(50, 9.0, 8.0), row(60, 9.0, 4.0), row(70, 1.0, 3.4), row(80, 9.0, 5.0), row(90, 9.0, 5.0), row(100, None), row(110, 9.0, 5.0), row(200, 1.0)]
     got = {(r.kind, r.from_s, r.to_s, r.points) for r in islands(spark.createDataFrame(rows, "station string, recorded_s long, tie long, x double, z double")).collect()}
     assert got == {("missing", 10, 30, 3), ("persistent", 40, 60, 3), ("irregular", 200, 200, 1)}
+
+
+def test_one_automaton_finds_what_each_pattern_finds(spark):
+    import re
+
+    from attestra.functions.tagging import CUES, cued
+    from attestra.operators.automaton import names_in
+
+    rng = random.Random(3)
+    words = [c for cues in CUES.values() for c in cues] + ["no", "rainy", "the", "mole", "holes", "o'hail", "overflowing", "dam", "burst", "heat", "wave"]
+    for _ in range(400):
+        joined = " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))
+        starts = [m.start() for m in re.finditer(r"\S+", joined)]
+        number = lambda at: sum(s <= at for s in starts) - 1
+        want = {h: {number(m.start()) for c in cues for m in re.finditer(rf"\b{re.escape(c)}", joined)} for h, cues in CUES.items()}
+        assert {h: set(p) for h, p in cued(joined, starts).items()} == want
+    names = ["goa", "north goa", "goa north", "a b", "b c", "a b c d", "x" * 40, "new delhi"]
+    texts = [(i, rng.choice(["", " ", "In "]) + ", ".join(rng.choice([*names, "goan", "delhi", "NEW-Delhi", "a"]) for _ in range(rng.randint(0, 5)))) for i in range(120)] + [(500, None), (501, "")]
+    t, n = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(k,) for k in [*names, "goa", "", None]], "k string")
+    key = lambda s: " " + " ".join(re.sub(r"[^\w]+", " ", (s or "").lower()).split()) + " "
+    want = sorted((i, k) for i, s in texts for k in names if f" {k} " in key(s))
+    assert sorted(map(tuple, names_in(t, "id", "t", n).collect())) == want
+    assert sorted(map(tuple, names_in(t, "id", "t", n, most=3).collect())) == want
+    assert names_in(t, "id", "t", n.where("false")).count() == 0
