@@ -15,6 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, of each document without its repeated 400-byte strings."""
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("tid")
 
 
@@ -30,31 +31,38 @@ def op3_size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of the masked log-probabilities of each document's words, and how many words those are."""
     return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, of each document against the benchmark's windows."""
     return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tid")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return crf.identify(documents).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id (its group's least), n_links (similar other texts), n_copies (documents with its text)."""
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).drop("tid")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, of each piece of each document."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from the archives."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op10_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's 20 nearest found by inner product."""
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 

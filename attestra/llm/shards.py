@@ -76,7 +76,8 @@ class ShardStore:
     """A table of immutable Parquet shards in a folder. A version is one manifest file, committed by a rename that never overwrites.
 
     The folder's name may hold any characters but those of Hadoop's globs. Writers may run side by side: a commit that comes
-    second is tried again on the newer version.
+    second is tried again on the newer version. This rests on a rename that is atomic, as on HDFS and local disks; stores of objects
+    that copy and delete instead give no such promise.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema, target: int = TARGET, fanout: int = FANOUT) -> None:
@@ -119,7 +120,9 @@ class ShardStore:
             context.rename(temporary, self._path(self._manifest(version)), none)
         except Exception as error:
             self._fs.delete(temporary, False)
-            raise Conflict(f"version {version} exists") from error
+            if self._fs.exists(self._path(self._manifest(version))):
+                raise Conflict(f"version {version} exists") from error
+            raise  # anything else is no other writer's doing
 
     def _written(self, folder: str) -> list[Shard]:
         out, files = [], self._fs.listFiles(self._path(folder), True)
@@ -192,16 +195,19 @@ class ShardStore:
             self._fs.delete(path, False)
         return len(gone)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete the shards that none of the newest `keep` versions names, and older manifests; return how many shards went."""
-        known = self.versions()
-        live = {s.path for v in known[-keep:] for s in self.shards(v)}
-        gone = [s for v in known[:-keep] for s in self.shards(v) if s.path not in live]
-        for path in {s.path for s in gone}:
+    def vacuum(self, keep: int = 1, older_than: float = ORPHAN_AGE) -> int:
+        """Delete the manifests before the newest `keep` that were followed by another over `older_than` seconds ago, and the shards that no
+        version left names; return how many shards went. Readers and merges that began on a younger version keep their files."""
+        known, edge = self.versions(), (time.time() - older_than) * 1000
+        since = lambda v: self._fs.getFileStatus(self._path(self._manifest(v))).getModificationTime()
+        old = [v for v, after in zip(known, known[1:], strict=False) if v in known[:-keep] and since(after) <= edge]
+        live = {s.path for v in known if v not in old for s in self.shards(v)}
+        gone = {s.path for v in old for s in self.shards(v)} - live
+        for path in gone:
             self._fs.delete(self._path(path), False)
-        for v in known[:-keep]:
+        for v in old:
             self._fs.delete(self._path(self._manifest(v)), False)
-        return len({s.path for s in gone})
+        return len(gone)
 
     def read(self, version: int | None = None, shard: str = "shard") -> DataFrame:
         """The rows of a version, the newest by default, and the name of the file that holds each.
@@ -227,5 +233,5 @@ def arrive(documents: DataFrame, folder: str | None = None, arrivals: int = 6, t
         store.append(documents.where(F.pmod(F.xxhash64(*documents.columns), F.lit(arrivals)) == k))
         if k % 3 == 2 or k == arrivals - 1:
             store.compact()
-            store.vacuum()
+            store.vacuum(older_than=0)  # nobody else knows the store yet
     return store

@@ -250,6 +250,21 @@ def test_shards_keep_every_row(spark, tmp_path):
     assert empty.read().count() == 0
 
 
+def test_only_a_version_that_exists_is_a_conflict_and_young_versions_stay(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i}", "en", "s", 0) for i in range(20)], SCHEMA).coalesce(1)
+    store = shards.ShardStore(spark, str(tmp_path / "s"), docs.schema)
+    for _ in range(3):
+        store.append(docs)
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "_manifest", lambda version: f"{store.folder}/nowhere/v{version:08d}.json")
+        with pytest.raises(Exception) as error:
+            store.commit([], 9)
+        assert not isinstance(error.value, shards.Conflict)
+    store._swap({store.shards()[0].path}, [])
+    assert store.vacuum() == 0 and store.read(1).count() == 20  # a reader of version 1 goes on
+    assert store.vacuum(older_than=0) == 1 and store.versions() == [4] and store.read().count() == 40
+
+
 @pytest.mark.parametrize("name", ["with space", "per%20cent 100%", "ü-ß", "plus+and&"])
 def test_store_in_odd_folders_keeps_every_row(spark, tmp_path, name):
     rows = [(i, f"text {i}", "x", i % 3, None) for i in range(1000)] + [(1, "text 1", "x", 1, None)] * 5
