@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +103,17 @@ def str17_docket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.docket(typed).alias("docket"))
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, t, tf: the different words of text keys (doc_id, key) and how often each stands in its key; some texts at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 256):
+            part = batch.slice(first, 256)
+            terms = [Counter(w for w in (key or "").split(" ") if w) for key in part.column("key").to_pylist()]
+            at = pa.array([row for row, words in enumerate(terms) for _ in words], pa.int64())
+            t = pa.array([w for words in terms for w in words], pa.string())
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(at), "t": t, "tf": pa.array([n for words in terms for n in words.values()], pa.int64())})
+
+
 @query(
     r"""WITH w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[!-/:-@\[-`{-~\s]+', ' ', 'g')), ' ')) AS t FROM documents), f AS (SELECT doc_id, t, count(*) AS tf FROM w WHERE t <> '' GROUP BY 1, 2),
 df AS (SELECT t, count(*) AS df FROM f GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS n FROM f), x AS (SELECT doc_id, f.t, (1 + ln(tf)) * (ln((1 + n) * 1.0 / (1 + df)) + 1) AS v FROM f JOIN df USING (t), n)
@@ -107,9 +122,9 @@ SELECT doc_id, count(*) AS terms, round(sqrt(sum(v * v)), 6) AS norm FROM x GROU
 def str18_tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms and length of each TF-IDF vector: (1 + ln tf) x (ln((1 + N) / (1 + df)) + 1).
 
-    A document's terms are counted in its own row, by the runs of its sorted words, before anything is shuffled.
+    A document's terms are counted in its own row, before anything is shuffled.
     """
-    f = saved(documents(spark, sf_dir).select("doc_id", F.explode(text.term_counts(F.split(text.text_key(F.col("text")), " "))).alias("x")).select("doc_id", "x.t", "x.tf"), "terms")
+    f = saved(documents(spark, sf_dir).select("doc_id", text.text_key(F.col("text")).alias("key")).mapInArrow(counted, "doc_id bigint, t string, tf bigint"), "terms")
     df = f.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     n = f.select("doc_id").distinct().count()
     v = (1 + F.ln("tf")) * (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
