@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine
 from ..functions.tagging import tags
 from ..functions.text import FEW_FOLLOWERS, FLAG_FACTORS, NEW_ACCOUNT_DAYS, account_flags, collapse, text_key
+from ..operators.footprints import footprints
 from ..operators.matching import GATE_MIN, complete_link, matched_pairs
-from ..operators.shapes import intersecting, outlines
+from ..operators.shapes import intersecting
 from ..operators.spatial import connected, dbscan
 from ..operators.splits import contaminated, grouped_split
 from ..operators.tiles import links
@@ -122,9 +123,9 @@ def blocked(reports: DataFrame, km: float = 5.0, minutes: float = 180.0) -> Data
 
 @query()
 def geo11_cluster_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outline of each cluster of unassigned reports: the convex hull of its points, widened by 250 m. A concave hull is not reproduced."""
+    """The footprint of each cluster of unassigned reports: the concave hull of its points, widened by 250 m."""
     p = unassigned(spark, sf_dir)
-    return outlines(p.join(dbscan(p, 5, 2, 40), "id"), "cluster")
+    return footprints(p.join(dbscan(p, 5, 2, 40), "id"), "cluster")
 
 
 @query("SELECT a.c_custkey AS id, b.s_suppkey AS other FROM customer a JOIN supplier b ON abs((8000 + a.c_custkey * 6151 % 28000) / 1e3 - (8000 + b.s_suppkey * 9973 % 28000) / 1e3) <= 0.55 AND abs((69000 + a.c_custkey * 7433 % 27000) / 1e3 - (69000 + b.s_suppkey * 7907 % 27000) / 1e3) <= 0.55")
