@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.pins import WORLD, leaders
 from ..sources.bindings import cte, frame
 from ..sources.parsers import cap_ring, wkt
-from ..sources.tables import shared_path
+from ..sources.tables import saved, shared_path
 from .registry import query
 
 #: Degrees that a map pin covers at the zoom of the overview.
 PIN_DEGREES = 2.0
+# Zoom of the whole country and pixels within which its pins merge.
+ZOOM, PIN_PIXELS = 5, 36.0
 
 
 @query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -75,6 +78,38 @@ def agg28_map_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pins.join(by("district"), ["y", "x"], "left").join(by("event_type").withColumnRenamed("event_type", "hazard"), ["y", "x"], "left").select("y", "x", "pins", "lat", "lng", "rank", "district", "hazard")
 
 
+_SIZE = WORLD * 2**ZOOM
+
+
+@query(
+    cte("verified").replace("WITH", "WITH RECURSIVE", 1)
+    + f""", m AS (SELECT *, (lng + 180) / 360 * {_SIZE} AS x, (0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * {_SIZE} AS y FROM verified),
+loose AS (SELECT 0 AS step, x, y, min(id) AS id FROM m GROUP BY x, y UNION ALL SELECT step + 1, x, y, id FROM (SELECT *, first_value(x) OVER w AS lx, first_value(y) OVER w AS ly FROM loose WINDOW w AS (ORDER BY id)) WHERE (x - lx) * (x - lx) + (y - ly) * (y - ly) >= {PIN_PIXELS * PIN_PIXELS}),
+led AS (SELECT step, min(id) AS leader FROM loose GROUP BY 1), spot AS (SELECT x, y, max(step) AS step FROM loose GROUP BY 1, 2),
+p AS (SELECT leader, CAST(round(lat * 1000) AS BIGINT) AS lat, CAST(round(lng * 1000) AS BIGINT) AS lng, district, event_type, {_RANK} AS rank FROM m JOIN spot USING (x, y) JOIN led USING (step)),
+d AS (SELECT leader, arg_min(district, (-n, district)) AS district FROM (SELECT leader, district, count(*) AS n FROM p WHERE district IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT leader, arg_min(event_type, (-n, event_type)) AS hazard FROM (SELECT leader, event_type, count(*) AS n FROM p GROUP BY 1, 2) GROUP BY 1)
+SELECT leader, count(*) AS pins, CAST(sum(lat) AS DOUBLE) / (1000.0 * count(*)) AS lat, CAST(sum(lng) AS DOUBLE) / (1000.0 * count(*)) AS lng, max(rank) AS rank, any_value(d.district) AS district, any_value(h.hazard) AS hazard FROM p LEFT JOIN d USING (leader) LEFT JOIN h USING (leader) GROUP BY 1"""
+)
+def agg28_screen_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pins merged by their distance on the screen, in order of id: each goes to the first pin before it that leads within PIN_PIXELS.
+
+    For each leader: count, centre, worst severity, commonest district and hazard (ties to the first by name).
+    """
+    v = frame(spark, sf_dir, "verified").select("id", "lat", "lng", "district", "event_type", F.expr(_RANK).alias("rank"))
+    thousandths = lambda c: F.sum(F.round(F.col(c) * 1000).cast("bigint")).alias(c)
+    led = v.join(leaders(v, ZOOM, PIN_PIXELS), "id")
+    fine = saved(led.groupBy("leader", "district", "event_type").agg(F.count(F.lit(1)).alias("n"), thousandths("lat"), thousandths("lng"), F.max("rank").alias("rank")), "pin-counts")
+
+    def by(column: str) -> DataFrame:
+        counts = fine.where(F.col(column).isNotNull()).groupBy("leader", column).agg(F.sum("n").alias("n"))
+        return counts.groupBy("leader").agg(F.min_by(column, F.struct(-F.col("n"), F.col(column))).alias(column))
+
+    mean = lambda c: F.sum(c).cast("double") / (F.lit(1000.0) * F.sum("n"))
+    pins = fine.groupBy("leader").agg(F.sum("n").alias("pins"), mean("lat").alias("lat"), mean("lng").alias("lng"), F.max("rank").alias("rank"))
+    return pins.join(by("district"), "leader", "left").join(by("event_type").withColumnRenamed("event_type", "hazard"), "leader", "left").select("leader", "pins", "lat", "lng", "rank", "district", "hazard")
+
+
 @query(
     cte("verified", "readings", "warnings", "reports")
     + """, s AS (SELECT order_id AS id, max(rainfall_mm) AS rain_mm, max(gust_kmh) AS gust_kmh, min(visibility_m) AS visibility_m FROM readings GROUP BY 1),
