@@ -9,33 +9,17 @@ from ..functions.geo import haversine
 from ..functions.tagging import tags
 from ..functions.text import FEW_FOLLOWERS, FLAG_FACTORS, NEW_ACCOUNT_DAYS, account_flags, collapse, text_key
 from ..operators.footprints import footprints
+from ..operators.media import FUTURE_S, MISMATCH_KM, OLD_S, RECYCLED_S, EDITORS, copied, file_flags, recycled
 from ..operators.matching import GATE_MIN, complete_link, matched_pairs
 from ..operators.shapes import intersecting
 from ..operators.spatial import connected, dbscan
 from ..operators.splits import contaminated, grouped_split
 from ..operators.tiles import links
-from ..sources.bindings import DAY, HOUR, cte, flags, frame
+from ..sources.bindings import AS_OF, DAY, HOUR, cte, flags, frame
 from ..sources.tables import saved, shared_path
 from .geography import km_sql, unassigned
 from .registry import query
-
-# Media gates.
-RECYCLED_S, OLD_S, FUTURE_S, MISMATCH_KM, HAMMING = 48 * HOUR, 48 * HOUR, HOUR, 25.0, 8
-
-
-def file_flags(taken_s, observed_s, received_s, km, same_file, has_metadata):
-    """Flags of one file in their fixed order; unknown values set none."""
-    observed = F.coalesce(observed_s, received_s)
-    old = taken_s < observed - OLD_S
-    rules = [
-        ("duplicate_media", same_file),
-        ("old_capture", old),
-        ("future_capture", ~F.coalesce(old, F.lit(False)) & (taken_s > received_s + FUTURE_S)),
-        ("location_mismatch", km > MISMATCH_KM),
-        ("no_metadata", ~has_metadata),
-    ]
-    return F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules)))
-
+from .scalars import HASHES, media_hashes
 
 @query(
     cte("reports")
@@ -50,6 +34,31 @@ def arr06_media_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", F.array_join(file_flags(F.col("taken"), F.col("observed_s"), F.col("at_s"), km, i % 50 == 0, i % 5 != 0), ",").alias("flags"))
 
 
+_FILES = f"""page_id AS media, page_id - page_id % 2 AS report, CASE WHEN page_id div 2 % 7 <> 0 THEN page_id div 2 % 40 END AS reporter, {AS_OF} - page_id * 37 % 1000 * 3600 AS at_s, CASE WHEN page_id % 9 <> 0 THEN {AS_OF} - page_id * 37 % 1000 * 3600 - page_id % 17 * 60 END AS observed_s,
+ CASE WHEN page_id % 5 <> 0 THEN {AS_OF} - page_id * 37 % 1000 * 3600 + (page_id % 200 - 100) * 3600 END AS taken, (8000 + page_id * 7919 % 28000) / 1e3 AS lat, 77e0 AS lng, CASE WHEN page_id % 3 = 0 AND page_id % 10 > 2 THEN (8000 + page_id * 7919 % 28000) / 1e3 + (page_id % 7) / 1e1 END AS e_lat, page_id % 5 <> 0 AS has_metadata,
+ CASE page_id % 8 WHEN 0 THEN 'Adobe Photoshop 25.1' WHEN 1 THEN 'HDR+ 1.0' WHEN 2 THEN 'Snapseed 2' END AS software"""
+
+
+@query(
+    f"""WITH h AS ({HASHES}), m AS (SELECT {_FILES.replace(" div ", " // ")}, CASE WHEN page_id % 6 = 0 THEN page_id % 90 WHEN html IS NOT NULL THEN page_id END AS sha FROM pages),
+g AS (SELECT *, coalesce('by ' || reporter, 'report ' || report) AS who, coalesce(observed_s, at_s) AS seen, struct_pack(lat := lat, lng := lng) AS a, struct_pack(lat := e_lat, lng := lng) AS b FROM m),
+near AS (SELECT DISTINCT x.page_id AS a, y.page_id AS b FROM h x JOIN h y ON x.page_id <> y.page_id AND bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)) <= 8),
+old AS (SELECT near.a AS media, min(o.at_s) AS first_seen FROM near JOIN g o ON o.media = near.b JOIN g i ON i.media = near.a WHERE o.at_s < i.seen - {RECYCLED_S} GROUP BY 1),
+dup AS (SELECT DISTINCT i.media FROM g i JOIN g o ON i.sha = o.sha AND i.who <> o.who AND (o.at_s < i.at_s OR o.at_s = i.at_s AND o.media < i.media))
+SELECT g.media, first_seen, concat_ws(',', CASE WHEN dup.media IS NOT NULL THEN 'duplicate_media' END, CASE WHEN first_seen IS NOT NULL THEN 'recycled_suspect' END, CASE WHEN taken < seen - {OLD_S} THEN 'old_capture' WHEN taken > at_s + {FUTURE_S} THEN 'future_capture' END, CASE WHEN {km_sql('a', 'b')} > {MISMATCH_KM} THEN 'location_mismatch' END,
+ CASE WHEN NOT has_metadata THEN 'no_metadata' WHEN {" OR ".join(f"contains(lower(software), '{x}')" for x in EDITORS)} THEN 'edited' END) AS flags FROM g LEFT JOIN old USING (media) LEFT JOIN dup USING (media)"""
+)
+def arr06_media_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven flags of each file: those of its own data, and those that earlier media give (same file from others, near-identical pictures)."""
+    sha = F.expr("CASE WHEN page_id % 6 = 0 THEN page_id % 90 WHEN html IS NOT NULL THEN page_id END").alias("sha")
+    m = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.expr(f"struct({_FILES})").alias("m"), sha).select("m.*", "sha")
+    old = recycled(m.select("media", F.col("at_s").alias("seen_s"), F.coalesce("observed_s", "at_s").alias("observed_s")), media_hashes(spark, sf_dir).withColumnRenamed("page_id", "media"))
+    both = m.join(old, "media", "left").join(copied(m).withColumn("dup", F.lit(True)), "media", "left")
+    km = haversine(F.col("lat"), F.col("lng"), F.col("e_lat"), F.col("lng"))
+    found = file_flags(F.col("taken"), F.col("observed_s"), F.col("at_s"), km, F.col("dup"), F.col("has_metadata"), F.col("first_seen").isNotNull(), F.col("software"))
+    return both.select("media", "first_seen", F.array_join(found, ",").alias("flags"))
+
+
 @query(f"SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 20 < {NEW_ACCOUNT_DAYS} THEN 'new_account' END, CASE WHEN c_custkey % 11 < {FEW_FOLLOWERS} THEN 'few_followers' END, CASE WHEN c_custkey % 6 = 0 THEN 'bot_account' END) AS flags FROM customer")
 def arr07_account_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts under seven days, with fewer than five followers, or marked as bots."""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from ..operators.media import hamming_pairs
 from ..sources.bindings import AS_OF, DAY, cte, flags, frame
 from ..sources.tables import saved
 from .registry import query
@@ -203,14 +204,11 @@ def _flipped(flips: list[str], half: int) -> str:
     return out
 
 
-_HASHES = " UNION ALL ".join(f"SELECT page_id, {_flipped(f, 0)} AS lo, {_flipped(f, 1)} AS hi FROM pages" for f in _FLIPS)
+HASHES = " UNION ALL ".join(f"SELECT page_id, {_flipped(f, 0)} AS lo, {_flipped(f, 1)} AS hi FROM pages" for f in _FLIPS)
 
 
-@query(
-    f"WITH h AS ({_HASHES}) SELECT a.page_id AS a, b.page_id AS b, CAST(min(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi))) AS BIGINT) AS bits FROM h a JOIN h b ON a.page_id < b.page_id AND bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 8 GROUP BY 1, 2"
-)
-def jon13_hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Media of which two frames have 64-bit hashes at most 8 bits apart, and the least distance."""
+def media_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id and h of each medium's two frames."""
     spark_of = lambda e: F.expr(e.replace("//", "div"))
     base = F.call_function("shiftleft", spark_of(_HIGH), F.lit(32)).bitwiseOR(spark_of(_LOW))
     bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("bigint"), spark_of(e).cast("int"))
@@ -221,24 +219,15 @@ def jon13_hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             h = h.bitwiseXOR(bit(f))
         frames.append(h)
     own, rest = frames[0], F.array(*frames[1:])
-    media = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(F.array_prepend(rest, own)).alias("h"))
-    return hamming_pairs(media, "page_id")
-
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(F.array_prepend(rest, own)).alias("h"))
 
-def hamming_pairs(rows: DataFrame, key: str, most: int = 8) -> DataFrame:
-    """a, b, bits: pairs of keys with 64-bit hashes (h) at most `most` bits apart, and their least distance.
 
-    The bits are cut into most + 1 bands, of which one at least is equal in such a pair; equal hashes are met once per hash.
-    """
-    bands = most + 1
-    edge = [64 * k // bands for k in range(bands + 1)]
-    part = lambda k: F.shiftrightunsigned("h", edge[k]).bitwiseAND(F.lit((1 << (edge[k + 1] - edge[k])) - 1).cast("bigint"))
-    known = saved(rows.select("h").distinct(), "hashes")
-    each = known.select("h", F.inline(F.array(*(F.struct(F.lit(k).alias("band"), part(k).alias("bits_")) for k in range(bands)))))
-    bits = F.bit_count(F.col("h").bitwiseXOR(F.col("g")))
-    near = each.join(each.withColumnRenamed("h", "g"), ["band", "bits_"]).where(bits <= most).select("h", "g", bits.cast("bigint").alias("bits")).distinct()
-    a, b = rows.select(F.col(key).alias("a"), "h"), rows.select(F.col(key).alias("b"), F.col("h").alias("g"))
-    return a.join(near, "h").join(b, "g").where("a < b").groupBy("a", "b").agg(F.min("bits").alias("bits"))
+@query(
+    f"WITH h AS ({HASHES}) SELECT a.page_id AS a, b.page_id AS b, CAST(min(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi))) AS BIGINT) AS bits FROM h a JOIN h b ON a.page_id < b.page_id AND bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 8 GROUP BY 1, 2"
+)
+def jon13_hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media of which two frames have 64-bit hashes at most 8 bits apart, and the least distance."""
+    return hamming_pairs(media_hashes(spark, sf_dir), "page_id")
 
 
 @query(cte("reports") + "SELECT id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, concat('{\"hazard\":', CASE WHEN hazard IS NULL THEN 'null' ELSE concat('\"', hazard, '\"') END, ',\"id\":', id, ',\"state\":\"', state, '\"}') AS canonical FROM reports")

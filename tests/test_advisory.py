@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attestra.functions.tagging import depth_cm, tag, tense
 from attestra.operators.matching import complete_link, matched_pairs
 from attestra.operators.shapes import hull, inside, intersecting, outline, rings_meet
-from attestra.plans.advisory import file_flags
+from attestra.operators.media import copied, file_flags, recycled
 
 
 @pytest.mark.parametrize(
@@ -85,6 +85,35 @@ def test_media_flags(spark):
     assert got == [["old_capture"], ["duplicate_media", "future_capture", "location_mismatch", "no_metadata"], []]
 
 
+def test_media_flags_of_history_and_program(spark):
+    rows = [(True, True, "HDR+ 1.0"), (True, True, "Adobe PHOTOSHOP 25"), (False, None, "snapseed"), (None, True, None)]
+    df = spark.createDataFrame(rows, "recycled boolean, meta boolean, software string")
+    none = F.lit(None).cast("long")
+    got = [r.f for r in df.select(file_flags(none, none, none, none, F.lit(False), F.col("meta"), F.col("recycled"), F.col("software")).alias("f")).collect()]
+    assert got == [["recycled_suspect"], ["recycled_suspect", "edited"], [], []]
+
+
+def test_copied_needs_another_reporter_before(spark):
+    rows = [
+        (1, 10, "a", 100, "x"), (2, 11, "a", 200, "x"), (3, 12, "b", 300, "x"), (4, 13, "a", 400, "x"),  # 2 repeats its own, 3 and 4 another's
+        (5, 20, None, 100, "y"), (6, 20, None, 150, "y"), (7, 21, None, 200, "y"),  # no reporter: a report stands for itself
+        (8, 30, "a", 100, "z"), (9, 31, "b", 100, "z"),  # ties go by media
+        (10, 40, "a", 1, None), (11, 41, "b", 2, None), (12, 50, "a", None, "x"),
+    ]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "media long, report long, reporter string, at_s long, sha string, who int")
+    assert sorted(r.media for r in copied(df).collect()) == [3, 4, 7, 9]
+    assert copied(df.where("false")).count() == 0
+
+
+def test_recycled_is_near_and_two_days_old(spark):
+    day = 86_400
+    media = [(1, 0, 0), (2, 2 * day, 2 * day), (3, 2 * day + 1, 2 * day + 1), (4, 9 * day, 9 * day), (5, day, 9 * day), (6, 9 * day, None)]
+    hashes = [(1, 0b1111), (1, 7 << 40), (2, 0b1110), (3, 0b1100), (4, (1 << 20) - 1), (5, 7 << 40), (6, 0b1111)]
+    got = {r.media: r.first_seen for r in recycled(spark.createDataFrame(media, "media long, seen_s long, observed_s long"), spark.createDataFrame(hashes, "media long, h long")).collect()}
+    # 2 is 48 hours old to the second; 4 has no near picture; 6 has no time
+    assert got == {3: 0, 5: 0}
+
+
 def test_rate_limit_ignores_rejected(spark):
     from attestra.plans import series
 
