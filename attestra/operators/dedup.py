@@ -62,14 +62,18 @@ def citizen_parents(reports: DataFrame, km: float = CITIZEN_KM, seconds: int = C
     return near.where(same_text(F.col("raw_text"), F.col("r_raw_text"))).groupBy("id").agg(F.min_by("r_id", F.struct("r_at_s", "r_id")).alias("parent"))
 
 
-def _by_link(posts: DataFrame) -> DataFrame:
-    """id, parent: the earliest post with the same link within LINK_H before; a running minimum, within slots of that length."""
+def by_link(posts: DataFrame) -> DataFrame:
+    """id, parent, parent_s: the earliest post with the same link within LINK_H before; a running minimum, within slots of that length.
+
+    posts: id, at_s, link; a post with several links has a row for each, and the earliest of all counts.
+    """
     width = LINK_H * HOUR
     own = F.floor(F.col("at_s") / width)
-    rows = posts.where("link is not null").withColumn("own", own).withColumn("slot", F.explode(F.array(own, own + 1)))
+    rows = posts.select("id", "at_s", "link").where("link is not null").withColumn("own", own).withColumn("slot", F.explode(F.array(own, own + 1)))
     w = Window.partitionBy("link", "slot").orderBy("at_s").rangeBetween(-(width - 1), 0)
     first = rows.withColumn("first", F.min(F.struct("at_s", "id")).over(w)).where("slot = own")
-    return first.where(F.col("first.id") != F.col("id")).where(earlier(F.col("first.at_s"), F.col("first.id"), F.col("at_s"), F.col("id"))).select("id", F.col("first.id").alias("parent"))
+    before = first.where(F.col("first.id") != F.col("id")).where(earlier(F.col("first.at_s"), F.col("first.id"), F.col("at_s"), F.col("id")))
+    return before.groupBy("id").agg(F.min("first").alias("first")).select("id", F.col("first.id").alias("parent"), F.col("first.at_s").alias("parent_s"))
 
 
 def latest(start: np.ndarray, seen: np.ndarray, rows: np.ndarray, most: int, within: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,5 +143,5 @@ def feed_parents(posts: DataFrame) -> DataFrame:
 
     met = by_groups(keyed.select("p", "slot", "d", "s", "id", "at_s", "seen_s", "head", "text", "home"), ["p", "slot"], work, "id bigint, rule int, o_s bigint, parent bigint, text string, o_text string")
     by_text = met.where((F.col("rule") == 2) | (edit_similarity(F.col("text"), F.col("o_text")) >= SIMILAR)).select("id", "rule", "o_s", "parent")
-    by_link = _by_link(posts).select(F.col("id").cast("bigint").alias("id"), F.lit(1).alias("rule"), F.lit(0).cast("bigint").alias("o_s"), F.col("parent").cast("bigint").alias("parent"))
-    return by_link.unionByName(by_text).groupBy("id").agg(F.min(F.struct("rule", "o_s", "parent")).alias("m")).select("id", "m.parent", "m.rule")
+    links = by_link(posts).select(F.col("id").cast("bigint").alias("id"), F.lit(1).alias("rule"), F.lit(0).cast("bigint").alias("o_s"), F.col("parent").cast("bigint").alias("parent"))
+    return links.unionByName(by_text).groupBy("id").agg(F.min(F.struct("rule", "o_s", "parent")).alias("m")).select("id", "m.parent", "m.rule")

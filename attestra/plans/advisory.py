@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine
 from ..functions.tagging import tags
 from ..functions.text import FEW_FOLLOWERS, FLAG_FACTORS, NEW_ACCOUNT_DAYS, account_flags, collapse, text_key
+from ..operators.dedup import LINK_H, by_link
 from ..operators.footprints import footprints
 from ..operators.media import FUTURE_S, MISMATCH_KM, OLD_S, RECYCLED_S, EDITORS, copied, file_flags, recycled
 from ..operators.matching import GATE_MIN, complete_link, matched_pairs
@@ -157,6 +158,22 @@ def jon15_shared_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look.join(first, ["link", "slot"]).where("original < id and id - original <= 720").groupBy("id").agg(F.min("original").alias("original"))
 
 
+_LINKS = "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN '[]' ELSE concat('[\"https://n.example/', id % 150, '\",\"https://n.example/', id * 31 % 170, '\"]') END"
+
+
+@query(
+    cte("reports")
+    + f""", p AS (SELECT id, at_s, duplicate_of, {_LINKS} AS links FROM reports WHERE source_type IN ('SOCIAL_MEDIA', 'NEWS_MEDIA')), x AS (SELECT DISTINCT id, at_s, duplicate_of, unnest(CAST(links AS JSON)::VARCHAR[]) AS link FROM p)
+SELECT b.id, arg_min(a.id, (a.at_s, a.id)) AS parent, arg_min(coalesce(a.duplicate_of, a.id), (a.at_s, a.id)) AS original FROM x a JOIN x b ON a.link = b.link AND (a.at_s < b.at_s OR a.at_s = b.at_s AND a.id < b.id) AND a.at_s > b.at_s - {LINK_H * HOUR} GROUP BY 1"""
+)
+def jon15_links_within_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts and news that share any link of their JSON array with an earlier one of the 72 hours before: the earliest such, and what it repeats itself."""
+    p = frame(spark, sf_dir, "reports").where(F.col("source_type").isin("SOCIAL_MEDIA", "NEWS_MEDIA"))
+    listed = F.array_distinct(F.from_json(F.expr(_LINKS), "array<string>"))
+    found = by_link(p.select("id", "at_s", F.explode(listed).alias("link"))).select("id", "parent")
+    return found.join(p.select(F.col("id").alias("parent"), F.coalesce("duplicate_of", "id").alias("original")), "parent").select("id", "parent", "original")
+
+
 _MEDIA = """m AS (SELECT page_id AS media, page_id - page_id % 4 AS report, CASE WHEN page_id % 3 = 0 THEN 'video' ELSE 'image' END AS kind, page_id * 37 % 1000 AS seen_s, CASE WHEN page_id % 5 = 0 THEN 'failed' WHEN page_id % 11 = 0 THEN 'pending' ELSE 'ready' END AS status, CASE page_id % 6 WHEN 0 THEN 'old_capture' WHEN 1 THEN 'recycled_suspect' WHEN 2 THEN 'location_mismatch' END AS flag FROM pages)"""
 
 

@@ -9,6 +9,7 @@ from ..operators.pins import WORLD, leaders
 from ..sources.bindings import cte, frame
 from ..sources.parsers import cap_ring, wkt
 from ..sources.tables import saved, shared_path
+from .intake import FAMILY_OF
 from .registry import query
 
 #: Degrees that a map pin covers at the zoom of the overview.
@@ -112,24 +113,24 @@ def agg28_screen_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     cte("verified", "readings", "warnings", "reports")
-    + """, s AS (SELECT order_id AS id, max(rainfall_mm) AS rain_mm, max(gust_kmh) AS gust_kmh, min(visibility_m) AS visibility_m FROM readings GROUP BY 1),
+    + f""", s AS (SELECT order_id AS id, max(rainfall_mm) AS rain_mm, max(gust_kmh) AS gust_kmh, min(visibility_m) AS visibility_m FROM readings GROUP BY 1),
 w AS (SELECT split_part(area, ' - ', 2) AS district, family, count(*) AS n FROM warnings WHERE status = 'actual' AND msg_type <> 'cancel' GROUP BY 1, 2),
 n AS (SELECT verified_id AS id, count(*) AS reports, count(DISTINCT reporter) FILTER (WHERE source_type = 'NEWS_MEDIA') AS outlets FROM reports WHERE verified_id IS NOT NULL AND duplicate_of IS NULL GROUP BY 1)
 SELECT v.id, rain_mm, gust_kmh, visibility_m, coalesce(w.n, 0) AS warnings, coalesce(reports, 0) AS reports, coalesce(outlets, 0) AS outlets,
   CAST(CASE WHEN s.id IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN w.n IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN outlets > 0 THEN 1 ELSE 0 END AS INTEGER) AS kinds
-FROM verified v LEFT JOIN s ON s.id = v.id LEFT JOIN w ON w.district = v.district AND w.family = 'water' LEFT JOIN n ON n.id = v.id"""
+FROM verified v LEFT JOIN s ON s.id = v.id LEFT JOIN w ON w.district = v.district AND w.family = {FAMILY_OF.format(c='v.event_type')} LEFT JOIN n ON n.id = v.id"""
 )
 def dom08_evidence_gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations, official warnings and news of each event beside it; each kind is summed to one row a key before it is joined."""
-    v = frame(spark, sf_dir, "verified").select("id", "district")
+    """Stations, official warnings of the event's own family and news beside each event; each kind is summed to one row a key before it is joined."""
+    v = frame(spark, sf_dir, "verified").select("id", "district", F.expr(FAMILY_OF.format(c="event_type")).alias("family"))
     s = frame(spark, sf_dir, "readings").groupBy(F.col("order_id").alias("id")).agg(F.max("rainfall_mm").alias("rain_mm"), F.max("gust_kmh").alias("gust_kmh"), F.min("visibility_m").alias("visibility_m"), F.lit(1).alias("measured"))
-    live = frame(spark, sf_dir, "warnings").where("status = 'actual' and msg_type <> 'cancel' and family = 'water'")
-    w = live.groupBy(F.split_part("area", F.lit(" - "), F.lit(2)).alias("district")).agg(F.count(F.lit(1)).alias("warned"))
+    live = frame(spark, sf_dir, "warnings").where("status = 'actual' and msg_type <> 'cancel'")
+    w = live.groupBy(F.split_part("area", F.lit(" - "), F.lit(2)).alias("district"), "family").agg(F.count(F.lit(1)).alias("warned"))
     told = frame(spark, sf_dir, "reports").where("verified_id is not null and duplicate_of is null")
     n = told.groupBy(F.col("verified_id").alias("id")).agg(F.count(F.lit(1)).alias("reports"), F.count_distinct(F.when(F.col("source_type") == "NEWS_MEDIA", F.col("reporter"))).alias("outlets"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
     kinds = F.coalesce("measured", F.lit(0)) + F.when(F.col("warned").isNotNull(), 1).otherwise(0) + F.when(F.col("outlets") > 0, 1).otherwise(0)
     return (
-        v.join(s, "id", "left").join(w, "district", "left").join(n, "id", "left")
+        v.join(s, "id", "left").join(w, ["district", "family"], "left").join(n, "id", "left")
         .select("id", "rain_mm", "gust_kmh", "visibility_m", zero("warned").alias("warnings"), zero("reports").alias("reports"), zero("outlets").alias("outlets"), kinds.alias("kinds"))
     )

@@ -139,12 +139,12 @@ def dom11_combined_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("id", F.round(combined(F.col("event_type"), F.col("m"), F.col("s")), 5).alias("score"), F.coalesce(F.abs(F.col("m") - F.col("s")) >= 0.4, F.lit(False)).alias("disagree"))
 
 
-_FAMILY = "CASE {c} WHEN 'HEATWAVE' THEN 'thermal' WHEN 'COLD_WAVE' THEN 'thermal' WHEN 'FOG' THEN 'visibility' WHEN 'UNCLASSIFIED' THEN NULL WHEN 'CLOUDBURST' THEN 'water' WHEN 'CYCLONE_INUNDATION' THEN 'water' WHEN 'URBAN_FLOOD' THEN 'water' WHEN 'RIVER_BREACH' THEN 'water' WHEN 'LANDSLIDE' THEN 'water' WHEN 'RAINFALL' THEN 'water' ELSE 'convective' END"
+FAMILY_OF = "CASE {c} WHEN 'HEATWAVE' THEN 'thermal' WHEN 'COLD_WAVE' THEN 'thermal' WHEN 'FOG' THEN 'visibility' WHEN 'UNCLASSIFIED' THEN NULL WHEN 'CLOUDBURST' THEN 'water' WHEN 'CYCLONE_INUNDATION' THEN 'water' WHEN 'URBAN_FLOOD' THEN 'water' WHEN 'RIVER_BREACH' THEN 'water' WHEN 'LANDSLIDE' THEN 'water' WHEN 'RAINFALL' THEN 'water' ELSE 'convective' END"
 
 
 @query(
     cte("reports", "verified")
-    + f""", r AS (SELECT *, {_FAMILY.format(c="coalesce(hazard, 'UNCLASSIFIED')")} AS family FROM reports WHERE verified_id IS NULL AND duplicate_of IS NULL), v AS (SELECT *, {_FAMILY.format(c='event_type')} AS family FROM verified WHERE review_status <> 'REJECTED' AND severity = 'CRITICAL'),
+    + f""", r AS (SELECT *, {FAMILY_OF.format(c="coalesce(hazard, 'UNCLASSIFIED')")} AS family FROM reports WHERE verified_id IS NULL AND duplicate_of IS NULL), v AS (SELECT *, {FAMILY_OF.format(c='event_type')} AS family FROM verified WHERE review_status <> 'REJECTED' AND severity = 'CRITICAL'),
 p AS (SELECT r.id, v.id AS event, {km_sql('r', 'v')} AS km, v.radius_km + 5 AS reach FROM r JOIN v ON v.lat BETWEEN r.lat - 0.2 AND r.lat + 0.2 AND v.lng BETWEEN r.lng - 0.3 AND r.lng + 0.3 AND (r.family = v.family OR r.family IS NULL OR v.family IS NULL)) SELECT id, arg_min(event, (km, event)) AS event FROM p WHERE km <= reach GROUP BY 1"""
 )
 def dom07_merge_target(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ _BACK = " ".join(f"WHEN '{k}' THEN {v[1] * HOUR}" for k, v in FAMILY_GATES.items
 
 @query(
     cte("reports").replace("WITH", "WITH RECURSIVE", 1)
-    + f""", f AS (SELECT *, {_FAMILY.format(c="coalesce(hazard, 'UNCLASSIFIED')")} AS own FROM reports), p AS (SELECT k AS family, id, lat, lng FROM f, (SELECT unnest(['water', 'convective', 'thermal', 'visibility']) AS k) WHERE (own IS NULL OR own = k) AND at_s >= {AS_OF - 12 * HOUR} - CASE k {_BACK} END),
+    + f""", f AS (SELECT *, {FAMILY_OF.format(c="coalesce(hazard, 'UNCLASSIFIED')")} AS own FROM reports), p AS (SELECT k AS family, id, lat, lng FROM f, (SELECT unnest(['water', 'convective', 'thermal', 'visibility']) AS k) WHERE (own IS NULL OR own = k) AND at_s >= {AS_OF - 12 * HOUR} - CASE k {_BACK} END),
 e AS (SELECT a.family, a.id AS a, b.id AS b FROM p a JOIN p b ON a.family = b.family AND abs(a.lat - b.lat) < 0.3 AND {km_sql("a", "b")} <= CASE a.family {_EPS} END),
 t(family, a, b) AS (SELECT family, a, b FROM e UNION SELECT t.family, t.a, e.b FROM t JOIN e ON t.family = e.family AND t.b = e.a) SELECT family, a AS id, min(b) AS cluster FROM t GROUP BY 1, 2 HAVING count(*) > 1"""
 )

@@ -22,7 +22,7 @@ from ..streaming.runner import drain, read_stream
 from ..streaming.state import rocksdb
 from .evidence import _CONTRA, _FOG, _FORCE, _GUST, _RAIN, _TYPE, _WSCORE, PRECEDENCE, contradicted, weather_score
 from .geography import km_sql
-from .intake import _FAMILY, FAMILY_GATES
+from .intake import FAMILY_GATES, FAMILY_OF
 from .registry import query
 
 FEEDS = ("NEWS_MEDIA", "SOCIAL_MEDIA")
@@ -107,7 +107,7 @@ def verify(spark: SparkSession, reports: DataFrame, readings: DataFrame, warning
     and unclassified events never publish.
     """
     old = F.when(F.col("verified_id").isNotNull(), "linked").when(F.col("duplicate_of").isNotNull(), "known_duplicate")
-    rows = reports.withColumn("family", F.expr(_FAMILY.format(c="coalesce(hazard, 'UNCLASSIFIED')"))).withColumn("old", old)
+    rows = reports.withColumn("family", F.expr(FAMILY_OF.format(c="coalesce(hazard, 'UNCLASSIFIED')"))).withColumn("old", old)
     fresh = rows.where("old is null")
     repeats = resolved(feed_parents(feed_posts(fresh)).select("id", "parent").unionByName(citizen_parents(fresh)))
     left = saved(fresh.join(repeats, "id", "left_anti").select("id", "at_s", "lat", "lng", "family", "hazard", "district", "state", "reporter", "source_type", "place_precision", "raw_text"), "left")
@@ -144,7 +144,7 @@ _PRIOR = "CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fusio
 
 @query(
     cte("reports", "readings", "warnings").replace("WITH", "WITH RECURSIVE", 1)
-    + f""", b AS (SELECT *, {_FAMILY.format(c="coalesce(hazard, 'UNCLASSIFIED')")} AS family FROM reports), fresh AS (SELECT * FROM b WHERE verified_id IS NULL AND duplicate_of IS NULL), """
+    + f""", b AS (SELECT *, {FAMILY_OF.format(c="coalesce(hazard, 'UNCLASSIFIED')")} AS family FROM reports), fresh AS (SELECT * FROM b WHERE verified_id IS NULL AND duplicate_of IS NULL), """
     + _CITIZEN.format(rows="fresh")
     + ", "
     + _FEED.format(rows="fresh")
@@ -185,13 +185,13 @@ def shuffled_stream(spark: SparkSession, reports: DataFrame, lots: int = LOTS) -
 
 @query(
     cte("reports").replace("WITH", "WITH RECURSIVE", 1)
-    + f""", pl AS (SELECT * FROM (SELECT *, {_FAMILY.format(c="coalesce(hazard, 'UNCLASSIFIED')")} AS family FROM reports) WHERE family IS NOT NULL AND NOT coalesce(place_precision IN ('none', 'state'), false)),
+    + f""", pl AS (SELECT * FROM (SELECT *, {FAMILY_OF.format(c="coalesce(hazard, 'UNCLASSIFIED')")} AS family FROM reports) WHERE family IS NOT NULL AND NOT coalesce(place_precision IN ('none', 'state'), false)),
 e AS (SELECT a.id AS a, b.id AS b FROM pl a JOIN pl b ON a.family = b.family AND a.id <> b.id AND abs(a.at_s - b.at_s) <= CASE a.family {_BACK} END AND abs(a.lat - b.lat) < 0.3 AND {km_sql('a', 'b')} <= CASE a.family {_EPS} END),
 t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a AS id, min(b) AS event FROM t GROUP BY 1"""
 )
 def dom07_open_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events that a stream of reports, in shuffled order and several batches, extends, makes and merges: id and event of each member."""
-    rows = frame(spark, sf_dir, "reports").withColumn("family", F.expr(_FAMILY.format(c="coalesce(hazard, 'UNCLASSIFIED')")))
+    rows = frame(spark, sf_dir, "reports").withColumn("family", F.expr(FAMILY_OF.format(c="coalesce(hazard, 'UNCLASSIFIED')")))
     placed = rows.where(F.col("family").isNotNull() & ~F.coalesce(F.col("place_precision").isin("none", "state"), F.lit(False))).select("id", "at_s", "lat", "lng", "family")
     with rocksdb(spark):
         return open_events(shuffled_stream(spark, placed), FAMILY_GATES, shared_path(spark, "events"), LATE_S).members()
