@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..sources.parsers import cap_alert, hourly, latest_revision, metar, rss_items
 from ..sources.tables import shared_path
 from ..streaming.runner import collected, drain, read_stream
-from ..streaming.state import remembered, rocksdb
+from ..streaming.state import remembered, rocksdb, throttled
 from .registry import query
 
 
@@ -166,6 +166,35 @@ def stm05_late_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collected(once.select("event_id", "trigger")).distinct().groupBy("event_id").agg(F.count(F.lit(1)).alias("late"))
 
 
+# Events a trigger handles a tick, hours in which an event is open, and seconds in which (trigger, event) is remembered.
+MOST_A_TICK, OPEN_S, MARK_S = 50, 86_400, 86_400
+#: Seconds between ticks, and the least value of an error that triggers.
+TICK_S, REMARKABLE = 300, 50.0
+_GROUPS = 5
+
+
+@query(
+    f"""WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s, user_id % {_GROUPS} AS g FROM events), t AS (SELECT DISTINCT g, s // 21600 AS q FROM e WHERE event_type = 'error' AND value >= {REMARKABLE}),
+c AS (SELECT concat(g, '@', q) AS trigger, event_id, q * 21600 AS due, CAST((row_number() OVER (PARTITION BY g, q ORDER BY s, event_id) - 1) // {MOST_A_TICK} AS INTEGER) AS tick FROM t JOIN e USING (g) WHERE event_type = 'purchase' AND s <= q * 21600 AND s > q * 21600 - {OPEN_S})
+SELECT trigger, event_id, tick, due + tick * {TICK_S} AS at_s FROM c WHERE tick = 0 OR due + tick * {TICK_S} <= (SELECT max(s) FROM e WHERE event_type = 'error' AND value >= {REMARKABLE}) - 3600"""
+)
+def stm05_throttled_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late evidence scores the open events of its region anew: 50 a tick, oldest first, the others carried on, each once a trigger.
+
+    Errors of REMARKABLE value trigger; those of one region and quarter of a day are deliveries of one trigger, which speaks to the
+    purchases of the 24 hours before. The queue of a trigger is keyed state, its ticks are timers of event time.
+    """
+    rows = read_stream(spark, sf_dir, "events", "ts").where((F.col("event_type") == "error") & (F.col("value") >= REMARKABLE)).withWatermark("ts", "1 hour")
+    group, quarter = F.col("user_id") % _GROUPS, F.floor(F.unix_timestamp("ts") / 21600)
+    triggers = rows.select("ts", group.alias("g"), F.concat(group, F.lit("@"), quarter).alias("trigger"), (quarter * 21600).alias("at_s"))
+    opened = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("opened_s"), (F.col("user_id") % _GROUPS).alias("g"))
+    opened = opened.withColumn("day", F.explode(F.array(F.floor(F.col("opened_s") / OPEN_S), F.floor(F.col("opened_s") / OPEN_S) + 1)))
+    spoken = (F.col("opened_s") <= F.col("at_s")) & (F.col("opened_s") > F.col("at_s") - OPEN_S)
+    candidates = triggers.withColumn("day", F.floor(F.col("at_s") / OPEN_S)).join(opened, ["g", "day"]).where(spoken).select("trigger", "event_id", "opened_s", "at_s", "ts")
+    with rocksdb(spark):
+        return collected(throttled(candidates, MOST_A_TICK, TICK_S, MARK_S))
+
+
 def _after(status: str, kind: str, value: float, level: float) -> str:
     """ACTIVE from the first report, ESCALATED once a value beats the last by half, RESOLVED by a signup."""
     return "RESOLVED" if kind == "signup" else "ESCALATED" if status != "NONE" and value > 1.5 * level else "ACTIVE" if status in ("NONE", "RESOLVED") else status

@@ -143,3 +143,77 @@ def remembered(reports: DataFrame, ask: Callable[[Row], int | None], good_s: int
     """What a stream of reports (cell, id, at_s, ts, and what ask reads) finds in memory, with a watermark on ts."""
     return reports.groupBy("cell").transformWithState(Remembered(ask, good_s, failed_s), Remembered.schema, "append", "EventTime")
 
+
+
+class Throttled(Timed):
+    """Candidates of a trigger in; which are handled at which tick. At most `most` go out a tick, oldest first, the others wait for later ones.
+
+    A trigger that is delivered again brings its candidates again: one that waits or was handled within keep_s is left alone. What
+    waits lies in the state by its place in the queue, so a call reads no more than it puts out. Once all is out and keep_s has passed, the state goes.
+    """
+
+    value_schema = "head bigint, tail bigint, tick int, next_s bigint, last_s bigint"
+    schema = "trigger string, event_id bigint, tick int, at_s bigint"
+
+    def __init__(self, most: int, every_s: int, keep_s: int):
+        self.most, self.every_s, self.keep_s = most, every_s, keep_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.queue = handle.getMapState("queue", "place bigint", "event_id bigint")
+        self.marks = handle.getMapState("marks", "event_id bigint", "until_s bigint")
+
+    def _tick(self, trigger: str, v: list, at: int) -> Iterator[Row]:
+        for place in range(v[0], min(v[1], v[0] + self.most)):
+            event = self.queue.getValue((place,))[0]
+            self.queue.removeKey((place,))
+            v[0] = place + 1
+            yield Row(trigger=trigger, event_id=event, tick=v[2], at_s=at)
+        v[2], v[3], v[4] = v[2] + 1, at + self.every_s, at
+
+    def _kept(self, v: list) -> None:
+        self.value.update(tuple(v))
+        self.wake_at(v[3] if v[0] < v[1] else v[4] + self.keep_s)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        before = self.value.get()
+        v = list(before or (0, 0, 0, -(1 << 62), 0))
+        found = {(r.opened_s, r.event_id): r.at_s for r in sorted(rows, key=lambda r: -r.at_s)}
+        if not found:
+            return
+        at = min(found.values())
+        if v[0] < v[1] and at >= v[3]:
+            yield from self._tick(key[0], v, at)
+        free = self.most if v[0] == v[1] and at >= v[3] else 0  # places of this tick, which need no queue
+        out = 0
+        for (_, event), at_s in sorted(found.items()):
+            if before and self.marks.containsKey((event,)) and self.marks.getValue((event,))[0] > at_s:
+                continue
+            if out < free:
+                out += 1
+                self.marks.updateValue((event,), (at + self.keep_s,))
+                yield Row(trigger=key[0], event_id=event, tick=v[2], at_s=at)
+                continue
+            due = (at + self.every_s if out else v[3]) + (v[1] - v[0]) // self.most * self.every_s
+            self.marks.updateValue((event,), (due + self.keep_s,))
+            self.queue.updateValue((v[1],), (event,))
+            v[1] += 1
+        if out:
+            v[2], v[3], v[4] = v[2] + 1, at + self.every_s, at
+        self._kept(v)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        v, now = list(self.value.get()), timerValues.getCurrentWatermarkInMs()
+        while v[0] < v[1] and v[3] * 1000 <= now:
+            yield from self._tick(key[0], v, v[3])
+        if v[0] == v[1] and (v[4] + self.keep_s) * 1000 <= now:
+            self.queue.clear()
+            self.marks.clear()
+            self.value.clear()
+        else:
+            self._kept(v)
+
+
+def throttled(candidates: DataFrame, most: int, every_s: int, keep_s: int) -> DataFrame:
+    """When a stream of candidates (trigger, event_id, opened_s, at_s, ts) is handled, with a watermark on ts."""
+    return candidates.groupBy("trigger").transformWithState(Throttled(most, every_s, keep_s), Throttled.schema, "append", "EventTime")

@@ -9,7 +9,7 @@ from attestra.plans.alerts import CLOCK_MIN, versions
 from attestra.plans.streams import FAILED_S, GOOD_S, _ask
 from attestra.sources.cursor import Timelines
 from attestra.streaming.runner import collected
-from attestra.streaming.state import alert_lives, remembered, rocksdb
+from attestra.streaming.state import alert_lives, remembered, rocksdb, throttled
 from tests.compare import of_spark
 
 
@@ -187,3 +187,35 @@ def test_old_events_close_and_late_reports_are_left_out(spark, tmp_path):
         late.coalesce(1).write.parquet(f"{tmp_path}/part9")
         put([f"{tmp_path}/part9"], f"{tmp_path}/in")
         assert {r.id: r.event for r in open_events(read(), GATES, f"{tmp_path}/events", 3600).members().collect()} == want
+
+
+def test_throttled_carries_on_over_a_restart_and_handles_each_once(spark, tmp_path):
+    """Seven candidates, three a tick: delivered twice within a day they go out once, after a day again; the queue outlives the run."""
+    hour, start = 3600, 1_704_067_200
+    row = lambda trigger, event, at: (trigger, event, start - event, start + at, start + at)  # noqa: E731  a larger id is older
+    first = [row("a", e, 0) for e in range(7)] + [row("a", e, 0) for e in range(7)] + [row("b", 1, 0)]
+    second = [row("a", e, 2 * hour) for e in (0, 6, 9)] + [row("c", 1, 3 * hour)]
+    third = [row("a", e, 40 * hour) for e in (2, 3)] + [row("c", 2, 45 * hour)]
+    schema = "trigger string, event_id long, opened_s long, at_s long, s long"
+    parts = []
+    for n, rows in enumerate((first, second, third)):
+        path = f"{tmp_path}/part{n}"
+        spark.createDataFrame(rows, schema).select("trigger", "event_id", "opened_s", "at_s", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(path)
+        parts.append(path)
+    kind = spark.read.parquet(parts[0]).schema
+    run = lambda folder, place: collected(throttled(stream(spark, folder, kind, "10 minutes"), 3, 300, 24 * hour), place=str(tmp_path / place))
+    with rocksdb(spark):
+        put(parts, f"{tmp_path}/all")
+        whole = of_spark(run(f"{tmp_path}/all", "one"))
+        put(parts[:1], f"{tmp_path}/some")
+        early = run(f"{tmp_path}/some", "two").count()
+        put(parts[1:], f"{tmp_path}/some")
+        both_df = run(f"{tmp_path}/some", "two")
+        both = of_spark(both_df)
+    assert early < len(both[1]) and both == whole
+    got = sorted((r.trigger, r.at_s - start, r.event_id) for r in both_df.collect())
+    a = [g[1:] for g in got if g[0] == "a"]
+    assert a[:3] == [(0, 4), (0, 5), (0, 6)]  # the oldest first
+    assert sorted(e for _, e in a) == [0, 1, 2, 2, 3, 3, 4, 5, 6, 9]  # 0 and 6 came again within a day, 2 and 3 after it
+    assert all(sum(at == t for t, _ in a) <= 3 for at, _ in a)
+    assert [g for g in got if g[0] != "a"] == [("b", 0, 1), ("c", 3 * hour, 1), ("c", 45 * hour, 2)]
