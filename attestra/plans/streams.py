@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..sources.parsers import cap_alert, hourly, latest_revision, metar, rss_items
+from ..sources.parsers import cap_alerts, hourly, latest_revision, metar, rss_items
 from ..sources.tables import shared_path
 from ..streaming.runner import collected, drain, read_stream
 from ..streaming.state import remembered, rocksdb, throttled
@@ -266,8 +266,9 @@ _XML = """concat('<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><identifie
 @query("SELECT c_custkey, concat('W-', c_custkey) AS identifier, CASE c_custkey % 4 WHEN 0 THEN 'Severe' WHEN 1 THEN 'Extreme' WHEN 2 THEN 'Unknown' ELSE 'Minor' END AS severity, 1704047400 AS sent_s, 1704133800 AS expires_s, concat('District ', c_custkey % 40) AS area, 4 AS vertices, 71 + c_custkey % 5 AS east FROM customer")
 def src04_cap_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CAP documents made from customers, parsed: the first info block counts, unknown severities and bad vertices are handled."""
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.expr(_XML).alias("xml")).select("c_custkey", cap_alert(F.col("xml")).alias("a"))
-    return rows.select("c_custkey", "a.identifier", "a.severity", "a.sent_s", "a.expires_s", "a.area", F.size("a.ring").alias("vertices"), F.col("a.ring")[1]["lng"].cast("bigint").alias("east"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: the keys are few bytes, their documents dear to parse
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").repartition(parts, "c_custkey").select("c_custkey", F.expr(_XML).alias("xml"))
+    return cap_alerts(rows, "xml", "a").select("c_custkey", "a.identifier", "a.severity", "a.sent_s", "a.expires_s", "a.area", F.size("a.ring").alias("vertices"), F.col("a.ring")[1]["lng"].cast("bigint").alias("east"))
 
 
 @query("SELECT c_custkey, concat('g', c_custkey) AS guid, 'Rain' AS title, 1704067200 AS at_s FROM customer UNION ALL SELECT c_custkey, concat('h', c_custkey), 'Fog', NULL FROM customer")

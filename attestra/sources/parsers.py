@@ -2,46 +2,104 @@
 
 from __future__ import annotations
 
+from xml.parsers import expat
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: A ring of more vertices is thinned evenly to at most this many.
 MOST_VERTICES = 2000
 
 
-def element(xml: Column, name: str, within: str = "") -> Column:
-    """The text of the first element of a local name, whatever its namespace; null if there is none or it is empty."""
-    scope = f"//*[local-name()='{within}'][1]" if within else ""
-    text = F.trim(F.xpath_string(xml, F.lit(f"{scope}//*[local-name()='{name}'][1]/text()")))
-    return F.when(text != "", text)
+#: What a warning's header and its first info block state.
+_HEADER, _INFO = ("identifier", "status", "msgType", "sent"), ("event", "severity", "expires", "areaDesc", "polygon")
+_STATED = StructType([StructField(name, StringType()) for name in (*_HEADER, *_INFO)])
+
 
+def _stated(xml: str | None) -> dict[str, str]:
+    """The first text of each of these elements in a document, in one pass; names are local, whatever their namespace.
 
-def cap_alert(xml: Column) -> Column:
-    """A CAP warning: its header and its first info block."""
+    An element counts if it is the first of its name in its parent; those of an info block only below an info that is. A document
+    that is no XML states nothing.
+    """
+    out: dict[str, str] = {}
+    stack: list[tuple[str | None, bool, set[str]]] = [(None, False, set())]  # what is read, whether within an info, names of children
+    text: list[str] = []
+
+    def flush(*_: str) -> None:
+        name, found = stack[-1][0], "".join(text)
+        text.clear()
+        if name and found:
+            out.setdefault(name, found)
+
+    def start(tag: str, _: dict[str, str]) -> None:
+        flush()
+        local = tag.rsplit(":", 1)[-1]
+        _, within, seen = stack[-1]
+        first = local not in seen
+        seen.add(local)
+        read = first and (local in _HEADER or (local in _INFO and within))
+        stack.append((local if read else None, within or (first and local == "info"), set()))
+
+    def end(_: str) -> None:
+        flush()
+        stack.pop()
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text.append
+    parser.CommentHandler = parser.ProcessingInstructionHandler = flush
+    try:
+        parser.Parse(xml or "", True)
+    except expat.ExpatError:
+        return {}
+    return out
+
+
+@F.pandas_udf(_STATED)
+def stated(xml: pd.Series) -> pd.DataFrame:
+    """The texts of a warning as they stand, each document parsed once."""
+    return pd.DataFrame([_stated(x) for x in xml], columns=[*_HEADER, *_INFO], dtype=object)
+
+
+def cap_alerts(rows: DataFrame, xml: str, name: str) -> DataFrame:
+    """rows with the CAP warning of their column xml as `name`: its header and its first info block. Of a document that is no XML all is null, its severity Unknown."""
     moment = lambda c: F.try_to_timestamp(c)
-    severity = element(xml, "severity", "info")
-    return F.struct(
-        element(xml, "identifier").alias("identifier"),
-        F.lower(element(xml, "status")).alias("status"),
-        F.lower(element(xml, "msgType")).alias("msg_type"),
-        element(xml, "event", "info").alias("event"),
+
+    def element(part: str) -> Column:
+        text = F.trim(F.col(f"__stated.{part}"))
+        return F.when(text != "", text)
+
+    severity = element("severity")
+    alert = F.struct(
+        element("identifier").alias("identifier"),
+        F.lower(element("status")).alias("status"),
+        F.lower(element("msgType")).alias("msg_type"),
+        element("event").alias("event"),
         F.when(severity.isin("Extreme", "Severe", "Moderate", "Minor"), severity).otherwise("Unknown").alias("severity"),
         severity.alias("raw_severity"),
-        F.unix_timestamp(moment(element(xml, "sent"))).alias("sent_s"),
-        F.unix_timestamp(moment(element(xml, "expires", "info"))).alias("expires_s"),
-        element(xml, "areaDesc", "info").alias("area"),
-        cap_ring(element(xml, "polygon", "info")).alias("ring"),
+        F.unix_timestamp(moment(element("sent"))).alias("sent_s"),
+        F.unix_timestamp(moment(element("expires"))).alias("expires_s"),
+        element("areaDesc").alias("area"),
+        cap_ring(element("polygon")).alias("ring"),
     )
+    return rows.withColumn("__stated", stated(F.col(xml))).withColumn(name, alert).drop("__stated")
 
 
 def cap_ring(text: Column) -> Column:
     """"lat,lng lat,lng ..." as an array of (lng, lat), closed; vertices that are no numbers or off the globe are dropped, long rings thinned. Null under three vertices."""
     raw = F.transform(F.split(F.trim(text), r"\s+"), lambda p: F.struct(F.try_element_at(F.split(p, ","), F.lit(2)).try_cast("double").alias("lng"), F.try_element_at(F.split(p, ","), F.lit(1)).try_cast("double").alias("lat")))
     fine = F.filter(raw, lambda p: p["lng"].isNotNull() & p["lat"].isNotNull() & (F.abs(p["lat"]) <= 90) & (F.abs(p["lng"]) <= 180))
-    every = F.greatest(F.lit(1), F.ceil(F.size(fine) / MOST_VERTICES))
-    thin = F.filter(fine, lambda p, i: i % every == 0)
-    first, last = F.try_element_at(thin, F.lit(1)), F.try_element_at(thin, F.lit(-1))
-    return F.when(F.size(thin) >= 3, F.when(first.eqNullSafe(last), thin).otherwise(F.concat(thin, F.array(first))))
+    once = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731  what is read several times is made once
+    every = lambda n: F.greatest(F.lit(1), F.ceil(n / MOST_VERTICES))
+    thinned = lambda v: once(F.struct(v.alias("v"), every(F.size(v)).alias("every")), lambda x: F.filter(x["v"], lambda p, i: i % x["every"] == 0))
+
+    def closed(thin: Column) -> Column:
+        first, last = F.try_element_at(thin, F.lit(1)), F.try_element_at(thin, F.lit(-1))
+        return F.when(F.size(thin) >= 3, F.when(first.eqNullSafe(last), thin).otherwise(F.concat(thin, F.array(first))))
+
+    return once(once(fine, thinned), closed)
 
 
 def wkt(ring: Column) -> Column:
