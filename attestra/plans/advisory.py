@@ -138,13 +138,26 @@ def geo11_cluster_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return footprints(p.join(dbscan(p, 5, 2, 40), "id"), "cluster")
 
 
+#: Degrees beyond any rounding of a corner.
+_ROUNDING = 1e-9
+
+
 @query("SELECT a.c_custkey AS id, b.s_suppkey AS other FROM customer a JOIN supplier b ON abs((8000 + a.c_custkey * 6151 % 28000) / 1e3 - (8000 + b.s_suppkey * 9973 % 28000) / 1e3) <= 0.55 AND abs((69000 + a.c_custkey * 7433 % 27000) / 1e3 - (69000 + b.s_suppkey * 7907 % 27000) / 1e3) <= 0.55")
 def jon09_polygons_meet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warning areas (squares of 0.6 degrees) with the station areas (squares of 0.5) that they meet."""
+    w, s = frame(spark, sf_dir, "warnings"), frame(spark, sf_dir, "stations")
+    return squares_meet(w.select(F.col("identifier").alias("id"), "lat", "lng"), s.select(F.col("station").alias("other"), "lat", "lng"), 0.3, 0.25)
+
+
+def squares_meet(left: DataFrame, right: DataFrame, a: float, b: float) -> DataFrame:
+    """id, other of squares around points (id or other, lat, lng) that meet, edges included; a and b are half their sides.
+
+    Corners are rounded, so that squares that just touch may seem apart: rings a little larger meet, and the middles decide.
+    """
     square = lambda h: F.array(*(F.struct((F.col("lng") + x * h).alias("lng"), (F.col("lat") + y * h).alias("lat")) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1))))
-    w = frame(spark, sf_dir, "warnings").select(F.col("identifier").alias("id"), square(F.lit(0.3)).alias("ring"))
-    s = frame(spark, sf_dir, "stations").select(F.col("station").alias("other"), square(F.lit(0.25)).alias("ring"))
-    return intersecting(w, s)
+    near = intersecting(left.select("id", square(F.lit(a + _ROUNDING)).alias("ring")), right.select("other", square(F.lit(b)).alias("ring")))
+    both = near.join(left, "id").join(right.select("other", F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng")), "other")
+    return both.where((F.abs(F.col("lat") - F.col("o_lat")) <= a + b) & (F.abs(F.col("lng") - F.col("o_lng")) <= a + b)).select("id", "other")
 
 
 @query("WITH l AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 500 AS link FROM lineitem) SELECT b.id, min(a.id) AS original FROM l a JOIN l b ON a.link = b.link AND a.id < b.id AND b.id - a.id <= 720 GROUP BY 1")

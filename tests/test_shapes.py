@@ -44,3 +44,14 @@ def test_no_rows(spark):
     empty = _frame(spark, {1: []}).where("false")
     assert shapes.widest(empty, "cluster").count() == 0
     assert shapes.outlines(empty, "cluster").count() == 0
+
+
+def test_squares_that_touch_meet(spark):
+    """Middles 0.55 degrees apart as doubles: they meet where the difference as a double says so, whatever the corners are rounded to."""
+    from attestra.plans.advisory import squares_meet
+
+    at = [(8000 + k * 37) / 1e3 for k in range(700)]
+    left = [(i, y, 70.0) for i, y in enumerate(at)]
+    right = [(i, (8000 + i * 37 + d) / 1e3, 70.25) for i, d in zip(range(700), (550, -550) * 350, strict=True)]
+    got = squares_meet(spark.createDataFrame(left, "id long, lat double, lng double"), spark.createDataFrame(right, "other long, lat double, lng double"), 0.3, 0.25)
+    assert {(r.id, r.other) for r in got.where("id = other").collect()} == {(i, i) for i in range(700) if abs(left[i][1] - right[i][1]) <= 0.55}
