@@ -43,15 +43,26 @@ def file_flags(taken_s, observed_s, received_s, km, same_file, has_metadata, rec
 def hamming_pairs(rows: DataFrame, key: str, most: int = 8) -> DataFrame:
     """a, b, bits: pairs of keys with 64-bit hashes (h) at most `most` bits apart, and their least distance.
 
-    The bits are cut into most + 1 bands, of which one at least is equal in such a pair; equal hashes are met once per hash.
+    The bits are cut into (most + 1) / 3 bands, rounded up, of which one at least differs by two bits at most in such a pair: with one
+    bit or none flipped on either side both give the same key, so bands are wide and few others share a key. Equal hashes are met
+    once per hash.
     """
-    bands = most + 1
+    bands = -(-(most + 1) // 3)
     edge = [64 * k // bands for k in range(bands + 1)]
-    part = lambda k: F.shiftrightunsigned("h", edge[k]).bitwiseAND(F.lit((1 << (edge[k + 1] - edge[k])) - 1).cast("bigint"))
-    known = saved(rows.select("h").distinct(), "hashes")
-    each = known.select("h", F.inline(F.array(*(F.struct(F.lit(k).alias("band"), part(k).alias("bits_")) for k in range(bands)))))
-    bits = F.bit_count(F.col("h").bitwiseXOR(F.col("g")))
-    near = each.join(each.withColumnRenamed("h", "g"), ["band", "bits_"]).where(bits <= most).select("h", "g", bits.cast("bigint").alias("bits")).distinct()
+    known = saved(rows.select("h").where("h is not null").distinct(), "hashes")
+
+    def keys(k: int) -> Column:
+        own = F.shiftrightunsigned("h", edge[k]).bitwiseAND(F.lit((1 << (edge[k + 1] - edge[k])) - 1 if bands > 1 else -1).cast("bigint"))
+        near = [F.lit(0).cast("bigint"), *(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(i)) for i in range(edge[k + 1] - edge[k]))]
+        return F.transform(F.array(*near), lambda flip: F.struct(F.lit(k).alias("band"), own.bitwiseXOR(flip).alias("bits_")))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes become many rows
+    each = known.repartition(parts, "h").select("h", F.inline(F.concat(*(keys(k) for k in range(bands)))))
+    bits = F.bit_count(F.col("h").bitwiseXOR(F.col("g"))).cast("bigint")
+    other = each.withColumnRenamed("h", "g")
+    apart = each.join(other.hint("merge"), ["band", "bits_"]).where((F.col("h") < F.col("g")) & (bits <= most)).select("h", "g").distinct()
+    turned = F.inline(F.array(F.struct("h", "g"), F.struct(F.col("g").alias("h"), F.col("h").alias("g"))))
+    near = apart.select(turned).unionByName(known.select("h", F.col("h").alias("g"))).withColumn("bits", bits)
     a, b = rows.select(F.col(key).alias("a"), "h"), rows.select(F.col(key).alias("b"), F.col("h").alias("g"))
     return a.join(near, "h").join(b, "g").where("a < b").groupBy("a", "b").agg(F.min("bits").alias("bits"))
 

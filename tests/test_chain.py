@@ -141,3 +141,22 @@ def test_places_named_by_texts(spark):
     texts = spark.createDataFrame([(1, "Flood in Pune!"), (2, "Goa, Panjim under water"), (3, "Pune and Nashik"), (4, "goa to pune"), (5, "nowhere"), (6, None)], "id long, t string")
     got = {r.id: (r.place, r.precision) for r in place_of_text(texts, names).collect()}
     assert got == {1: ("pune", "district"), 2: ("goa", "district"), 3: ("S2", "state"), 4: (None, "none"), 5: (None, "none"), 6: (None, "none")}
+
+
+def test_hamming_pairs_meet_few_strangers(spark):
+    """Bits that differ may lie anywhere; hashes that have nothing in common seldom share a key."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(0, 3000, 3):
+        h = rng.getrandbits(64)
+        for k, far in enumerate((0, 8, 9)):
+            g = h
+            for bit in rng.sample(range(64), far):
+                g ^= 1 << bit
+            rows.append((i + k, g - (1 << 64) if g >> 63 else g))
+    got = hamming_pairs(spark.createDataFrame(rows, "k long, h long"), "k").collect()
+    ones = lambda a, b: ((rows[a][1] ^ rows[b][1]) & (2**64 - 1)).bit_count()
+    want = {(a, b): ones(a, b) for i in range(0, 3000, 3) for a in range(i, i + 3) for b in range(a + 1, i + 3) if ones(a, b) <= 8}
+    assert {(r.a, r.b): r.bits for r in got} == want
+    assert len(want) >= 1000
