@@ -184,15 +184,20 @@ def stm05_throttled_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     Errors of REMARKABLE value trigger; those of one region and quarter of a day are deliveries of one trigger, which speaks to the
     purchases of the 24 hours before. The queue of a trigger is keyed state, its ticks are timers of event time.
     """
+    with rocksdb(spark):
+        return collected(throttled(triggered(spark, sf_dir), MOST_A_TICK, TICK_S, MARK_S))
+
+
+def triggered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the triggers' stream: a trigger meets its open events once, however often it is delivered while it is remembered."""
     rows = read_stream(spark, sf_dir, "events", "ts").where((F.col("event_type") == "error") & (F.col("value") >= REMARKABLE)).withWatermark("ts", "1 hour")
     group, quarter = F.col("user_id") % _GROUPS, F.floor(F.unix_timestamp("ts") / 21600)
     triggers = rows.select("ts", group.alias("g"), F.concat(group, F.lit("@"), quarter).alias("trigger"), (quarter * 21600).alias("at_s"))
+    triggers = triggers.dropDuplicatesWithinWatermark(["trigger"])  # a second delivery speaks to the same events, which have their marks
     opened = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("opened_s"), (F.col("user_id") % _GROUPS).alias("g"))
     opened = opened.withColumn("day", F.explode(F.array(F.floor(F.col("opened_s") / OPEN_S), F.floor(F.col("opened_s") / OPEN_S) + 1)))
     spoken = (F.col("opened_s") <= F.col("at_s")) & (F.col("opened_s") > F.col("at_s") - OPEN_S)
-    candidates = triggers.withColumn("day", F.floor(F.col("at_s") / OPEN_S)).join(opened, ["g", "day"]).where(spoken).select("trigger", "event_id", "opened_s", "at_s", "ts")
-    with rocksdb(spark):
-        return collected(throttled(candidates, MOST_A_TICK, TICK_S, MARK_S))
+    return triggers.withColumn("day", F.floor(F.col("at_s") / OPEN_S)).join(opened, ["g", "day"]).where(spoken).select("trigger", "event_id", "opened_s", "at_s", "ts")
 
 
 def _after(status: str, kind: str, value: float, level: float) -> str:

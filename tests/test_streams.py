@@ -67,3 +67,12 @@ def test_text_classifier_on_labels_it_has_not_seen(spark, sf_dir):
     share = lambda v: sum(v) / len(v)
     assert len(rows) > 500 and share([r.guess == r.quality for r in rows]) > share([r.quality for r in rows]) + 0.05
     assert share([r.guess == 0 for r in rows if r.quality == 0]) > 0.45
+
+
+def test_a_trigger_delivered_again_meets_its_events_once(spark, sf_dir):
+    """Deliveries of one trigger do not multiply the candidates that are shuffled to its queue."""
+    from attestra.plans.streams import triggered
+    from attestra.streaming.runner import collected
+
+    met = collected(triggered(spark, sf_dir)).select("trigger", "event_id")
+    assert met.count() == met.distinct().count() > 0
