@@ -105,3 +105,28 @@ def test_campaigns_match_brute_force(spark):
 def test_a_copy_is_reduced_once(spark):
     got = spark.createDataFrame([(0.6, False), (0.6, True), (0.06, False), (0.33335, False)], "c double, already boolean").select(F.round(campaigns.halved(F.col("c"), F.col("already")), 6).alias("x")).collect()
     assert [r.x for r in got] == [0.3, 0.6, 0.05, 0.1667]
+
+
+def test_connected_goes_on_with_fewer_edges(spark, monkeypatch):
+    """Long chains, loops and stars give least members; edges whose ends have met are not read again."""
+    import random
+
+    from attestra.operators import spatial
+
+    kept = []
+
+    def noted(df, name):
+        out = spatial_saved(df, name)
+        if name == "edges":
+            kept.append(out.count())
+        return out
+
+    spatial_saved = spatial.saved
+    monkeypatch.setattr(spatial, "saved", noted)
+    rng = random.Random(5)
+    names = rng.sample(range(10**6), 400)
+    chain = list(zip(names, names[1:], strict=False))
+    pairs = [*chain, (2_000_000, 2_000_000), (3_000_002, 3_000_001), (3_000_001, 3_000_002)]
+    got = {r.node: r.root for r in spatial.connected(spark, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(names, min(names)), 2_000_000: 2_000_000, 3_000_001: 3_000_001, 3_000_002: 3_000_001}
+    assert kept[-1] == 0 and all(after <= before / 2 for before, after in zip(kept, kept[1:], strict=False))
