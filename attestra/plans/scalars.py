@@ -51,10 +51,17 @@ def str05_headline_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE 1 - levenshtein(a.p_name, b.p_name) * 1.0 / greatest(length(a.p_name), length(b.p_name)) >= 0.75""")
 def str06_edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of names of one brand and type that are similar; brand and type are the block."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type")
-    q = p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("other"), "p_brand", "p_type")
+    return similar_names(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type"), 0.75)
+
+
+def similar_names(parts: DataFrame, least: float) -> DataFrame:
+    """a, b, similarity of parts of one block whose names are at least so similar; different names are compared once a block, then met with their parts."""
+    names = parts.select("p_brand", "p_type", "p_name").distinct()
     s = text.edit_similarity(F.col("p_name"), F.col("other"))
-    return p.join(q, ["p_brand", "p_type"]).where((F.col("p_partkey") < F.col("b")) & (s >= 0.75)).select(F.col("p_partkey").alias("a"), "b", F.round(s, 6).alias("similarity"))
+    near = names.join(names.withColumnRenamed("p_name", "other"), ["p_brand", "p_type"]).withColumn("similarity", s).where(F.col("similarity") >= least)
+    of = parts.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("other"), "p_brand", "p_type")
+    pairs = parts.join(near, ["p_brand", "p_type", "p_name"]).join(of, ["p_brand", "p_type", "other"]).where(F.col("p_partkey") < F.col("b"))
+    return pairs.select(F.col("p_partkey").alias("a"), "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(

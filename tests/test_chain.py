@@ -160,3 +160,14 @@ def test_hamming_pairs_meet_few_strangers(spark):
     want = {(a, b): ones(a, b) for i in range(0, 3000, 3) for a in range(i, i + 3) for b in range(a + 1, i + 3) if ones(a, b) <= 8}
     assert {(r.a, r.b): r.bits for r in got} == want
     assert len(want) >= 1000
+
+
+def test_similar_names_compare_names_not_parts(spark):
+    """Copies of a name multiply pairs of parts, not comparisons; nulls and other blocks meet nobody."""
+    from attestra.plans.scalars import similar_names
+
+    rows = [(i, "red ring" if i % 2 else "red rinse", "B", "T") for i in range(20)] + [(20, None, "B", "T"), (21, "red ring", "C", "T"), (22, "", "B", "T"), (23, "", "B", "T")]
+    found = similar_names(spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string"), 0.75)
+    got = {(r.a, r.b): r.similarity for r in found.collect()}
+    assert got == {**{(a, b): 1.0 if (a - b) % 2 == 0 else 0.777778 for a in range(20) for b in range(a + 1, 20)}, (22, 23): 1.0}
+    assert found._jdf.queryExecution().analyzed().toString().count("Deduplicate") + found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [p_brand") >= 2
