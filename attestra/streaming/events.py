@@ -15,6 +15,8 @@ from ..sources.tables import exists, remove, saved
 from .runner import drain
 from .state import Timed
 
+#: Least width in km and length in hours of a tile whose reports are one state: a call a key is dear, its rows are cheap.
+WIDE_KM, LONG_H = 300.0, 48.0
 _LINKS = "a bigint, b bigint, a_s bigint, b_s bigint"
 _LIVE = "node bigint, root bigint, at_s bigint"
 _LOG = "event bigint, change string, members bigint, added bigint"
@@ -52,7 +54,7 @@ class OpenTile(Timed):
         pairs = {(old.get(i, i), t) for i, t in zip(known[0], top, strict=True) if old.get(i, i) != t}
         self.value.update((known[0], known[1], known[2], known[3], top))
         if not v:
-            self.handle.registerTimer(((slot + 1) * LOOKS + 1) * hours * 3_600_000)
+            self.handle.registerTimer(int(((slot + 1) * max(LOOKS * hours, LONG_H) + hours) * 3_600_000))
         return iter([Row(a=a, b=b, a_s=times[a], b_s=times[b]) for a, b in sorted(pairs)])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
@@ -114,6 +116,14 @@ class Events:
         return self._kept("log", _LOG)
 
 
+def dealt(reports: DataFrame, gates: dict[str, tuple[float, int]], most_lat: float = 40.0) -> DataFrame:
+    """Reports (id, at_s, lat, lng, family, ts) of the gates' families with the tiles (ty, tx, slot) whose state they belong to, and their gate."""
+    table = F.create_map(*(F.lit(x) for k, v in gates.items() for x in (k, F.array(F.lit(float(v[0])), F.lit(float(v[1]))))))
+    gate = F.try_element_at(table, F.col("family"))
+    rows = reports.where(F.col("family").isin(*gates)).select(F.col("id").cast("bigint").alias("id"), F.col("at_s").cast("bigint").alias("at_s"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"), "family", "ts", gate.alias("gate"))
+    return tiled(rows, F.col("gate")[0], F.col("gate")[1], most_lat, WIDE_KM, LONG_H)
+
+
 def open_events(reports: DataFrame, gates: dict[str, tuple[float, int]], place: str, delay_s: int, most_lat: float = 40.0) -> Events:
     """Run a stream of reports (id, at_s, lat, lng, family, ts) over all that is there, into the events in `place`.
 
@@ -121,10 +131,7 @@ def open_events(reports: DataFrame, gates: dict[str, tuple[float, int]], place:
     depend on the order or on how the batches are cut: it is what family_components gives for all accepted reports at once.
     """
     spark = reports.sparkSession
-    table = F.create_map(*(F.lit(x) for k, v in gates.items() for x in (k, F.array(F.lit(float(v[0])), F.lit(float(v[1]))))))
-    gate = F.try_element_at(table, F.col("family"))
-    rows = reports.withWatermark("ts", f"{delay_s} seconds").where(F.col("family").isin(*gates))
-    keyed = tiled(rows.select(F.col("id").cast("bigint").alias("id"), F.col("at_s").cast("bigint").alias("at_s"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"), "family", "ts", gate.alias("gate")), F.col("gate")[0], F.col("gate")[1], most_lat)
+    keyed = dealt(reports.withWatermark("ts", f"{delay_s} seconds"), gates, most_lat)
     links = keyed.drop("gate").groupBy("family", "ty", "tx", "slot").transformWithState(OpenTile(gates), _LINKS, "append", "EventTime")
     events = Events(spark, place, delay_s, max(h for _, h in gates.values()) * 3600)
     drain(links, events.apply, progress=f"{place}/progress")
