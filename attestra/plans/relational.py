@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import EventFilter, clusterable, contains, day_bound, in_force, report_status
 from ..sources.bindings import AS_OF, DAY, HOUR, cte, flags, frame
+from ..sources.tables import saved
 from .registry import query
 
 OPEN = ("AUTO_PUBLISHED", "HUMAN_APPROVED")
+#: Tasks that one event's reports are dealt to, where they are shuffled.
+SALTS = 8
 #: The driver's orders lie years before its events, so windows over verified events are read at the end of the orders.
 EVENTS_AS_OF = 915_148_800
 STATUS_SQL = """CASE WHEN duplicate_of IS NOT NULL THEN 'duplicate' WHEN verified_id IS NOT NULL THEN 'fused' WHEN stale THEN 'stale'
@@ -25,6 +28,12 @@ def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "verified")
 
 
+def named_only(events: DataFrame, rows: DataFrame) -> DataFrame:
+    """The events (verified_id) that rows name, as a table of known size."""
+    named = rows.select("verified_id").where("verified_id is not null").distinct()
+    return saved(events.join(named, "verified_id", "left_semi"), "named-events")
+
+
 def change_pct(now: Column, before: Column) -> Column:
     """Change in per cent; from nothing, 100 for any growth and 0 for none."""
     return F.when(before == 0, F.when(now > 0, 100.0).otherwise(0.0)).otherwise(F.round((now - before) / before * 100, 1))
@@ -155,12 +164,16 @@ def agg07_feed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
  count(*) FILTER (WHERE v.review_status = 'REJECTED') AS rejected, count(*) FILTER (WHERE coalesce(flags_csv, '') <> '') AS flagged FROM reports r LEFT JOIN verified v ON v.id = r.verified_id GROUP BY 1, 2"""
 )
 def agg09_source_credibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reports(spark, sf_dir)
+    """Reports are counted by event first, so that one event's reports, or those of none, meet it as few rows."""
+    kind = ["source_type", F.coalesce("place_precision", F.lit("gps")).alias("place_precision")]
+    r = reports(spark, sf_dir).groupBy("verified_id", *kind).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("flags") > 0).alias("flagged"))
     v = verified(spark, sf_dir).select(F.col("id").alias("verified_id"), "review_status")
+    of = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    status = F.col("review_status")
     return (
-        r.join(v, "verified_id", "left")
-        .groupBy("source_type", F.coalesce("place_precision", F.lit("gps")).alias("place_precision"))
-        .agg(F.count(F.lit(1)).alias("reports"), F.count_if(F.col("review_status").isin(*OPEN)).alias("approved"), F.count_if(F.col("review_status") == "REJECTED").alias("rejected"), F.count_if(F.size("flags") > 0).alias("flagged"))
+        r.join(named_only(v, r), "verified_id", "left")
+        .groupBy("source_type", "place_precision")
+        .agg(F.sum("n").alias("reports"), of(status.isin(*OPEN)).alias("approved"), of(status == "REJECTED").alias("rejected"), F.sum("flagged").alias("flagged"))
     )
 
 
@@ -362,8 +375,16 @@ def flt14_recent_unfused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(cte("reports", "verified") + f"SELECT r.id, {STATUS_SQL} AS status, v.code, v.severity FROM reports r LEFT JOIN verified v ON v.id = r.verified_id")
 def jon01_report_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of no event are not shuffled to be joined; the others meet the events that reports name, by pairs of key and salt, so that
+    one event's reports fill many tasks."""
     v = verified(spark, sf_dir).select(F.col("id").alias("verified_id"), "code", "severity")
-    return reports(spark, sf_dir).join(v, "verified_id", "left").select("id", report_status().alias("status"), "code", "severity")
+    r = reports(spark, sf_dir).select("id", "verified_id", report_status().alias("status"))
+    events = named_only(v, r)
+    salted = events.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    some = r.where("verified_id is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    none = F.lit(None).cast("string")
+    alone = r.where("verified_id is null").select("id", "status", none.alias("code"), none.alias("severity"))
+    return some.join(salted, ["verified_id", "salt"], "left").select("id", "status", "code", "severity").unionByName(alone)
 
 
 @query(cte("reports", "verified") + "SELECT r.source_type, count(DISTINCT r.verified_id) AS events FROM reports r JOIN verified v ON v.id = r.verified_id WHERE v.review_status <> 'REJECTED' GROUP BY 1")
