@@ -8,7 +8,7 @@ document is a training target once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -196,33 +196,43 @@ def _context_rows(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _levels(net: list[np.ndarray], rows: np.ndarray, code: np.ndarray, shares: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+#: Units of a whole number in exact products, and what hidden layers and weights are held under: sums of HIDDEN such products stay below 2^53.
+UNITS, MOST_HIDDEN, MOST_WEIGHT = 1 << 16, 1 << 10, 1 << 7
+
+
+def _exact(hidden: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """hidden @ out in whole units, which a double holds exactly in any order of the sum: a row comes out alike whatever stands beside it."""
+    whole = lambda x, most: np.rint(np.clip(x, -most, most) * np.float32(UNITS)).astype(np.float64)
+    return (whole(hidden, MOST_HIDDEN) @ (whole(out, MOST_WEIGHT) / UNITS**2)).astype(np.float32)
+
+
+def _levels(net: list[np.ndarray], rows: np.ndarray, code: np.ndarray, shares: list[np.ndarray], product: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.matmul) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Level, the words that have it, their hidden layers and the logits of its choices, for words in their contexts (rows: offset x word)."""
     tables, bias, steps, outs = net
-    before = bias + tables[0][rows[0]]
+    before = bias + tables[0].take(rows[0], axis=0)
     for j in range(1, len(OFFSETS)):
-        before += tables[j][rows[j]]
+        before += tables[j].take(rows[j], axis=0)
     some, parent = np.arange(rows.shape[1]), np.zeros(rows.shape[1], np.int64)
     for level, share in enumerate(shares):
         hidden = before
         if level:
             if level == 1:  # a code has one choice or all
                 some = np.flatnonzero(code[:, 1] >= 0)
-                before, parent = before[some], parent[some]
+                before, parent = before.take(some, axis=0), parent[some]
             if not len(some):
                 return
-            hidden = before + steps[level][code[some, level - 1]]
+            hidden = before + steps[level].take(code[some, level - 1], axis=0)
         hidden = np.maximum(hidden, 0)
-        logits = hidden @ outs[level]
-        logits += share[parent] if level else share
+        logits = product(hidden, outs[level])
+        logits += share.take(parent, axis=0) if level else share
         yield level, some, hidden, np.minimum(logits, 60, out=logits)  # so that no exponential overflows
         parent = _child(parent, code[some, level], level)
 
 
 def log_probabilities(net: list[np.ndarray], rows: np.ndarray, code: np.ndarray, shares: list[np.ndarray]) -> np.ndarray:
-    """The log-probability of each word's code in its context."""
+    """The log-probability of each word's code in its context, the same to the bit in whatever company."""
     score = np.zeros(rows.shape[1])
-    for level, some, _, logits in _levels(net, rows, code, shares):
+    for level, some, _, logits in _levels(net, rows, code, shares, _exact):
         chosen = logits[np.arange(len(some)), code[some, level]]
         score[some] += chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
     return score
@@ -251,11 +261,15 @@ def _learn(net: list[np.ndarray], rows: np.ndarray, code: np.ndarray, shares: li
         outs[level] -= RATE / n * out
     bias -= RATE / n * back.sum(axis=0)
     flat = (rows + np.arange(0, len(OFFSETS) * ROWS, ROWS, dtype=np.int32)[:, None]).ravel()
-    by = np.argsort(flat)
-    at = flat[by]
+    by = np.argsort(flat.astype(np.int16), kind="stable")  # few enough rows for it, see ROWS
+    at, moved = flat.take(by), back.take(np.tile(np.arange(n), len(OFFSETS)).take(by), axis=0)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    grad = np.add.reduceat(back[by % n], first, axis=0)
-    grad *= (RATE_ROWS / np.sqrt(np.diff(np.append(first, len(at))))).astype(np.float32)[:, None]
+    times = np.diff(np.append(first, len(at)))
+    grad, often = moved.take(first, axis=0), times > 1  # most rows occur once
+    if often.any():
+        some = times[often]
+        grad[often] = np.add.reduceat(moved.take(np.flatnonzero(np.repeat(often, times)), axis=0), np.cumsum(some) - some, axis=0)
+    grad *= (RATE_ROWS / np.sqrt(times)).astype(np.float32)[:, None]
     tables.reshape(-1, HIDDEN)[at[first]] -= grad
 
 
