@@ -64,6 +64,23 @@ def test_suffix_matches_brute_force(spark, monkeypatch, most):
     assert sum(w[3] for w in want) > 5000
 
 
+def test_near_copies_are_not_cut_into_a_row_a_byte(spark, monkeypatch):
+    """op1: the rows of a group of near copies grow with its segments; a large bucket once gave a row for every byte of every copy."""
+    rng = random.Random(11)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(500))
+    near = [text[:at] + f"<{i}>" + text[at + 3 :] for i, at in enumerate(rng.randrange(len(text) - 3) for _ in range(60))]
+    docs = [(i, t) for i, t in enumerate([*near, *near[:10], "ab" * 900, text[:1500]])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(suffix, "MOST_BYTES", 5000)
+    different = frame.select("text").distinct().select(F.encode("text", "utf-8").alias("tid"), "text")
+    assert suffix.repeated_ranges(different).count() < len(near) * len(text) / 20
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.remove_repeats(frame).collect()}
+    seen = Counter(t[i : i + 400] for _, t in docs for i in range(len(t) - 399))
+    for d, t in docs:
+        ranges = suffix.spans(np.array([i for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1]), 400)
+        assert got[d] == (sum(b - a for a, b in ranges), len(ranges))
+
+
 def test_run_index_marks_what_brute_force_marks():
     rng = random.Random(3)
     for _ in range(60):
