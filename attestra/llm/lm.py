@@ -196,14 +196,18 @@ def _context_rows(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Words that are scored side by side.
+SCORED = 1 << 13
 #: Units of a whole number in exact products, and what hidden layers and weights are held under: sums of HIDDEN such products stay below 2^53.
 UNITS, MOST_HIDDEN, MOST_WEIGHT = 1 << 16, 1 << 10, 1 << 7
 
 
 def _exact(hidden: np.ndarray, out: np.ndarray) -> np.ndarray:
     """hidden @ out in whole units, which a double holds exactly in any order of the sum: a row comes out alike whatever stands beside it."""
-    whole = lambda x, most: np.rint(np.clip(x, -most, most) * np.float32(UNITS)).astype(np.float64)
-    return (whole(hidden, MOST_HIDDEN) @ (whole(out, MOST_WEIGHT) / UNITS**2)).astype(np.float32)
+    whole = np.minimum(hidden, np.float32(MOST_HIDDEN))  # no hidden layer is negative
+    whole *= np.float32(UNITS)
+    weights = np.rint(np.clip(out, -MOST_WEIGHT, MOST_WEIGHT) * np.float32(UNITS)).astype(np.float64) / UNITS**2
+    return (np.rint(whole, out=whole).astype(np.float64) @ weights).astype(np.float32)
 
 
 def _levels(net: list[np.ndarray], rows: np.ndarray, code: np.ndarray, shares: list[np.ndarray], product: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.matmul) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -238,6 +242,9 @@ def log_probabilities(net: list[np.ndarray], rows: np.ndarray, code: np.ndarray,
     return score
 
 
+_ONES, _CHOICES = np.ones(FAN, np.float32), np.arange(FAN, dtype=np.int16)[:, None]
+
+
 def _learn(net: list[np.ndarray], rows: np.ndarray, code: np.ndarray, shares: list[np.ndarray]) -> None:
     """One step of gradient ascent on the log-probability of the words' codes.
 
@@ -245,24 +252,30 @@ def _learn(net: list[np.ndarray], rows: np.ndarray, code: np.ndarray, shares: li
     """
     tables, bias, steps, outs = net
     n = rows.shape[1]
-    back = np.zeros((n, HIDDEN), np.float32)
-    moves = []
+    back, deeper, moves = np.zeros((n, HIDDEN), np.float32), None, []
     for level, some, hidden, p in _levels(net, rows, code, shares):
+        chosen = code[:, level] if len(some) == n else code[:, level].take(some)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(some)), code[some, level]] -= 1
-        inner = (p @ outs[level].T) * (hidden > 0)
+        p *= (1 / (p @ _ONES))[:, None]
+        p.reshape(-1)[np.arange(0, p.size, FAN) + chosen] -= 1
+        inner = p @ outs[level].T
+        inner *= hidden > 0
         moves.append((level, hidden.T @ p))
-        back[some] += inner
-        if level:
-            hot = (np.arange(FAN)[:, None] == code[some, level - 1]).astype(np.float32)
-            steps[level] -= RATE_ROWS * (hot @ inner) / np.sqrt(np.maximum(hot.sum(axis=1), 1))[:, None]
+        if not level:
+            back = inner
+            continue
+        deeper = inner if deeper is None else deeper + inner
+        before = code[:, level - 1].take(some)
+        hot = (_CHOICES == before).astype(np.float32)
+        steps[level] -= RATE_ROWS * (hot @ inner) / np.sqrt(np.maximum(np.bincount(before, minlength=FAN), 1)).astype(np.float32)[:, None]
+    if deeper is not None:
+        back[some] += deeper
     for level, out in moves:
         outs[level] -= RATE / n * out
     bias -= RATE / n * back.sum(axis=0)
     flat = (rows + np.arange(0, len(OFFSETS) * ROWS, ROWS, dtype=np.int32)[:, None]).ravel()
     by = np.argsort(flat.astype(np.int16), kind="stable")  # few enough rows for it, see ROWS
-    at, moved = flat.take(by), back.take(np.tile(np.arange(n), len(OFFSETS)).take(by), axis=0)
+    at, moved = flat.take(by), back.take(by % n, axis=0)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     times = np.diff(np.append(first, len(at)))
     grad, often = moved.take(first, axis=0), times > 1  # most rows occur once
@@ -270,7 +283,8 @@ def _learn(net: list[np.ndarray], rows: np.ndarray, code: np.ndarray, shares: li
         some = times[often]
         grad[often] = np.add.reduceat(moved.take(np.flatnonzero(np.repeat(often, times)), axis=0), np.cumsum(some) - some, axis=0)
     grad *= (RATE_ROWS / np.sqrt(times)).astype(np.float32)[:, None]
-    tables.reshape(-1, HIDDEN)[at[first]] -= grad
+    every, at = tables.reshape(-1, HIDDEN), at.take(first)
+    every[at] = every.take(at, axis=0) - grad
 
 
 def _train(dealt: DataFrame, v: Vocabulary, start: Network) -> Network:
@@ -374,8 +388,8 @@ def pseudo_likelihood(documents: DataFrame, model: tuple[Vocabulary, Network] |
                 place = v.places(h)
                 rows = _context_rows(v.row[place], counts)
                 score = np.empty(len(h))
-                for first in range(0, len(h), STEP):
-                    part = slice(first, first + STEP)
+                for first in range(0, len(h), SCORED):
+                    part = slice(first, first + SCORED)
                     score[part] = log_probabilities(net, rows[:, part], v.code[place[part]], v.shares)
                 score += v.log_share[place]
                 full = np.flatnonzero(counts)

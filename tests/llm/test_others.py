@@ -340,6 +340,48 @@ def test_pseudo_likelihood_does_not_depend_on_the_layout(spark, sf_dir):
     assert one.keys() == two.keys() and max(abs(one[k] - two[k]) / (1 + abs(one[k])) for k in one) < 1e-4
 
 
+def test_a_step_of_training_is_the_plain_gradient():
+    """op4: a step moves the weights as sums taken word by word do."""
+    rng = np.random.default_rng(5)
+    n, levels = 300, 3
+    rows = rng.integers(0, lm.ROWS, (len(lm.OFFSETS), n)).astype(np.int32)
+    rows[:, ::3] = rows[0, 0]
+    code = rng.integers(0, lm.FAN, (n, levels)).astype(np.int16)
+    code[:, 0] = rng.integers(0, lm.FAN, n)
+    code[code[:, 0] < lm.FREQUENT, 1:] = -1
+    shares = [rng.normal(size=(k, lm.FAN)).astype(np.float32) for k in (1, lm.GROUPS, lm.GROUPS * lm.FAN)]
+    start = lm.Network(lm.Network.new().flat + rng.normal(size=lm.Network.new().flat.shape).astype(np.float32) * np.float32(0.1))
+    got = lm.Network(start.flat.copy())
+    lm._learn(got.views(), rows, code, shares)
+    want = lm.Network(start.flat.astype(np.float64))
+    tables, bias, steps, outs = want.views()
+    first = [v.copy() for v in want.views()]
+    back, out, step, times = np.zeros((n, lm.HIDDEN)), np.zeros_like(outs), np.zeros_like(steps), np.zeros(steps.shape[:2])
+    for i in range(n):
+        before, parent = first[1] + sum(first[0][j, rows[j, i]] for j in range(len(lm.OFFSETS))), 0
+        for level in range(levels if code[i, 1] >= 0 else 1):
+            last = code[i, level - 1]
+            hidden = np.maximum(before + (first[2][level, last] if level else 0), 0)
+            p = np.exp(np.minimum(hidden @ first[3][level] + shares[level][parent], 60))
+            p /= p.sum()
+            p[code[i, level]] -= 1
+            inner = first[3][level] @ p * (hidden > 0)
+            back[i] += inner
+            out[level] += np.outer(hidden, p)
+            if level:
+                step[level, last] += inner
+                times[level, last] += 1
+            parent = parent * lm.FAN + code[i, level] if level else max(int(code[i, level]) - lm.FREQUENT, 0)
+    outs -= lm.RATE / n * out
+    bias -= lm.RATE / n * back.sum(axis=0)
+    steps -= lm.RATE_ROWS * step / np.sqrt(np.maximum(times, 1))[:, :, None]
+    for j in range(len(lm.OFFSETS)):
+        for r in np.unique(rows[j]):
+            some = rows[j] == r
+            tables[j, r] -= lm.RATE_ROWS * back[some].sum(axis=0) / np.sqrt(some.sum())
+    np.testing.assert_allclose(got.flat, want.flat, atol=2e-4)
+
+
 def test_pseudo_likelihood_is_the_sum_over_words(spark):
     """One document's sum, word by word from the weights, and the edge cases."""
     docs = [(i, t) for i, t in enumerate(chain_texts(5, 200, 120))]
