@@ -75,8 +75,8 @@ def dots(left: tuple[pa.Array, pa.Array], right: tuple[pa.Array, pa.Array]) -> n
     return np.bincount(row[both], weight[both] * weight[both + 1], minlength=len(left[0]))
 
 
-def edits(a: str, b: str) -> int:
-    """The Levenshtein distance, a row of the table at a time as the bits of two integers (Myers 1999, Hyyro 2003)."""
+def edits(a: str, b: str, state: tuple[int, int, int] | None = None) -> int:
+    """The Levenshtein distance, a row of the table at a time as the bits of two integers (Myers 1999, Hyyro 2003); b may be the rest behind a state."""
     if not a or not b:
         return len(a) + len(b)
     places: dict[str, int] = {}
@@ -84,6 +84,8 @@ def edits(a: str, b: str) -> int:
         places[c] = places.get(c, 0) | 1 << i
     full, last, found = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
     more, less = full, 0  # where the column grows and falls by one
+    if state:
+        more, less, found = state[0] & full, state[1] & full, state[2]
     for c in b:
         same = places.get(c, 0)
         down = same | less
@@ -95,6 +97,79 @@ def edits(a: str, b: str) -> int:
     return found
 
 
+#: Bytes of tables of places that are held at once, how alike in blocks of 64 characters pairs that go side by side are, and the least number of them for a block.
+TABLES, ALIKE, LEAST = 32 << 20, 0.7, 10
+
+
+def all_edits(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """The Levenshtein distance of each pair: pairs of like lengths side by side, where there are enough for it, others one by one."""
+    out = np.zeros(len(pairs), np.int64)
+    longer, shorter = zip(*((a, b) if len(a) >= len(b) else (b, a) for a, b in pairs), strict=True) if pairs else ((), ())
+    blocks, steps = np.array([-(-len(a) // 64) for a in longer], np.int64), np.array([len(b) for b in shorter], np.int64)
+    by = np.lexsort((-steps, -blocks))
+    at = 0
+    while at < len(by):
+        most = int(blocks[by[at]])
+        end = at + int(np.count_nonzero(blocks[by[at:]] >= max(1, ALIKE * most)))
+        some = by[at : max(end, at + 1)]
+        at += len(some)
+        if len(some) < LEAST * most or not most:
+            out[some] = [edits(longer[i], shorter[i]) for i in some.tolist()]
+            continue
+        some = some[np.argsort(-steps[some], kind="stable")]
+        _, codes = np.unique(np.frombuffer("".join([*(longer[i] for i in some), *(shorter[i] for i in some)]).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        sizes = np.array([len(longer[i]) for i in some], np.int64)
+        rows, columns = np.split(codes, [int(sizes.sum())])
+        row, column = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(steps[some]))
+        letters = int(codes.max()) + 1
+        many = max(1, TABLES // (8 * letters * most))
+        for a in range(0, len(some), many):
+            b = min(a + many, len(some))
+            least = min(LEAST * most, b - a)  # the few of the most steps are ended one by one
+            stop = int(steps[some[a + least - 1]])
+            found, more, less = _side_by_side(rows[row[a] : row[b]], sizes[a:b], columns[column[a] : column[b]], steps[some[a:b]], letters, stop)
+            out[some[a:b]] = found
+            for i, k in enumerate(some[a : a + least].tolist()):
+                if steps[k] > stop:
+                    whole = lambda v, i=i: int.from_bytes(v[:, i].tobytes(), "little")
+                    out[k] = edits(longer[k], shorter[k][stop:], (whole(more), whole(less), int(found[i])))
+    return out
+
+
+def _side_by_side(rows: np.ndarray, sizes: np.ndarray, columns: np.ndarray, steps: np.ndarray, letters: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """edits of pairs of strings of numbers under `letters`, end to end, after `stop` steps, and where columns grow and fall, in blocks of 64 bits; steps descend."""
+    n, blocks, one, top = len(sizes), -(-int(sizes.max()) // 64), np.uint64(1), np.uint64(63)
+    owner = np.repeat(np.arange(n), sizes)
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    places = np.zeros(blocks * n * letters, np.uint64)
+    np.bitwise_or.at(places, (place // 64 * n + owner) * letters + rows, one << (place % 64).astype(np.uint64))
+    places = places.reshape(blocks, n * letters)
+    text = np.zeros((int(steps[0]), n), np.int64)
+    owner = np.repeat(np.arange(n), steps)
+    text[np.arange(len(columns)) - np.repeat(np.cumsum(steps) - steps, steps), owner] = columns + owner * letters
+    active = n - np.searchsorted(steps[::-1], np.arange(len(text)), "right")
+    more, less = np.full((blocks, n), ~np.uint64(0)), np.zeros((blocks, n), np.uint64)
+    ups, falls = np.zeros((blocks, n), np.uint64), np.zeros((blocks, n), np.uint64)
+    last, bit, every, found = (sizes - 1) // 64, ((sizes - 1) % 64).astype(np.uint64), np.arange(n), sizes.copy()
+    for step, m in enumerate(active[:stop].tolist()):
+        at = text[step, :m]
+        carried_up, carried_down = np.ones(m, np.uint64), np.zeros(m, np.uint64)
+        for k in range(blocks):
+            p, q, same = more[k, :m], less[k, :m], places[k].take(at)
+            down = same | q
+            same |= carried_down
+            across = ((same & p) + p ^ p) | same
+            up, fall = q | ~(across | p), p & across
+            ups[k, :m], falls[k, :m] = up, fall
+            next_up, next_down = up >> top, fall >> top
+            up = up << one | carried_up
+            more[k, :m] = (fall << one | carried_down) | ~(down | up)
+            less[k, :m] = up & down
+            carried_up, carried_down = next_up, next_down
+        found[:m] += (ups[last[:m], every[:m]] >> bit[:m] & one).astype(np.int64) - (falls[last[:m], every[:m]] >> bit[:m] & one).astype(np.int64)
+    return found, more, less
+
+
 def compared(pairs: DataFrame, texts: DataFrame, vectors: DataFrame) -> DataFrame:
     """The pairs (a, b, and other columns) with char and word, the cosines of their texts' vectors (0 without a common term), edit, the
     edit similarity of the keys of texts (id, key), and said, whether both have a key that is not empty."""
@@ -109,7 +184,7 @@ def compared(pairs: DataFrame, texts: DataFrame, vectors: DataFrame) -> DataFram
             of = lambda name, kind, batch=batch: (batch.column(f"{name}_{kind}_h"), batch.column(f"{name}_{kind}_w"))
             scores = [pa.array(dots(of("a", kind), of("b", kind))) for kind in ("char", "word")]
             keys = [(x or "", y or "") for x, y in zip(batch.column("a_key").to_pylist(), batch.column("b_key").to_pylist(), strict=True)]
-            edit = pa.array([1 - edits(x, y) / max(len(x), len(y), 1) for x, y in keys], pa.float64())
+            edit = pa.array([1 - n / max(len(x), len(y), 1) for n, (x, y) in zip(all_edits(keys).tolist(), keys, strict=True)], pa.float64())
             said = pa.array([bool(x and y) for x, y in keys], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *scores, edit, said], names=[*kept, "char", "word", "edit", "said"])
 
