@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,34 @@ def test_near_copies_are_not_cut_into_a_row_a_byte(spark, monkeypatch):
         assert got[d] == (sum(b - a for a, b in ranges), len(ranges))
 
 
+@pytest.mark.parametrize("most", [40_000, 2000])
+def test_a_segment_of_a_large_bucket_has_united_ranges(spark, monkeypatch, most):
+    """op1: a passage between flanks of its own in every document; each piece of a segment once gave rows of ranges of its own."""
+    rng = random.Random(29)
+    letters = lambda n: "".join(rng.choices("abcd", k=n))
+    passage = letters(900)
+    docs = [(i, letters(rng.randint(150, 250)) + passage + letters(rng.randint(150, 250))) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(suffix, "MOST_BYTES", most)
+    ranges = suffix.repeated_ranges(frame.select(F.encode("text", "utf-8").alias("tid"), "text")).toPandas()
+    segments = Counter(docs[i][1] for owner, *_ in suffix._segments(pa.array([t for _, t in docs]), 400) for i in owner.tolist())
+    assert all(n <= segments[t] for t, n in Counter(bytes(x).decode() for x in ranges["tid"]).items())
+    seen = Counter(t[i : i + 400] for _, t in docs for i in range(len(t) - 399))
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.remove_repeats(frame).collect()}
+    for d, t in docs:
+        want = suffix.spans(np.array([i for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1]), 400)
+        assert got[d] == (sum(b - a for a, b in want), len(want))
+
+
+def test_ranges_are_united_within_their_segment():
+    """op1: ranges that touch or overlap become one; empty lists and the first ranges of the next segment are left apart."""
+    lists = [[(5, 9), (0, 3), (3, 4), (6, 7)], [], [(0, 9), (2, 20), (21, 22)], [(0, 1)]]
+    rows = pa.array([[{"first": a, "last": b} for a, b in x] for x in lists], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(4)), "digest": pa.array([b"x"] * 4), "ranges": rows})
+    (got,) = suffix._united([batch])
+    assert [[(r["first"], r["last"]) for r in x] for x in got.column("ranges").to_pylist()] == [[(0, 4), (5, 9)], [], [(0, 20), (21, 22)], [(0, 1)]]
+
+
 def test_run_index_marks_what_brute_force_marks():
     rng = random.Random(3)
     for _ in range(60):
