@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attestra.operators import footprints as fp
 from attestra.operators.shapes import corners, inside
@@ -140,3 +141,34 @@ def test_footprints_of_keys(spark, monkeypatch):
     over = {r.cluster: r.concave for r in fp.footprints(df, "cluster").collect()}
     assert over == {1: False, 2: True, 3: len(L) <= 50, 4: True}
     assert fp.footprints(df.where("false"), "cluster").count() == 0
+
+
+def test_a_large_group_gets_the_same_hull_by_tiles(spark, monkeypatch):
+    """The hull does not hang on the number of positions: by tiles it is, corner by corner, that of the whole; circles through many points included."""
+    rng = np.random.default_rng(6)
+    spread = rng.normal([80, 20], 0.05, (2500, 2))
+    town = np.concatenate([rng.normal([75, 15], 0.002, (1500, 2)), rng.uniform([74, 14], [76, 16], (300, 2))])
+    arm = np.array([(70 + x / 4000, 10 + y / 4000) for x in range(60) for y in range(60) if x < 12 or y < 12])
+    line = np.array([(85 + i / 1000, 25.0) for i in range(400)])
+    road = np.concatenate([line + [1, 0], [[86.2, 25.4], [86.1, 24.9]]])
+    sets = {k: np.unique(np.round(ps * fp.STEPS), axis=0) / fp.STEPS for k, ps in enumerate((spread, town, arm, line, road, _shape(U)))}
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, ps in sets.items() for x, y in ps], "cluster bigint, lng double, lat double").repartition(7)
+    monkeypatch.setattr(fp, "WHOLE", 100)
+    got = {r.cluster: (r.concave, np.array([(q.lng, q.lat) for q in r.ring])) for r in fp.footprints(df, "cluster").collect()}
+    for ratio in (0.8, 0.1):
+        positions = df.select("cluster", *((F.rint(F.col(c) * fp.STEPS)).cast("bigint").alias(n) for c, n in (("lng", "x"), ("lat", "y"))))
+        corners_of = {}
+        for r in fp.concave_by_tiles(positions, "cluster", ratio).orderBy("cluster", "place").collect():
+            corners_of.setdefault(r.cluster, []).append((r.x, r.y))
+        for k, ps in sets.items():
+            assert corners_of[k] == [tuple(q) for q in np.round(ps[fp.concave(ps, ratio)] * fp.STEPS).astype(int).tolist()], (ratio, k)
+    for k, ps in sets.items():
+        assert got[k][0] and np.allclose(got[k][1], fp.footprint(ps), rtol=0, atol=1e-9), k
+
+
+def test_over_four_thousand_positions_are_no_convex_hull(spark):
+    arm = np.array([(70 + x / 1000, 10 + y / 1000) for x in range(150) for y in range(150) if x < 16 or y < 16])
+    assert len(arm) > 4096
+    (r,) = fp.footprints(spark.createDataFrame([(1, float(x), float(y)) for x, y in arm], "cluster bigint, lng double, lat double"), "cluster").collect()
+    ring = np.array([(q.lng, q.lat) for q in r.ring])
+    assert r.concave and np.allclose(ring, fp.footprint(np.round(arm * fp.STEPS) / fp.STEPS), rtol=0, atol=1e-9)
