@@ -155,8 +155,8 @@ def squares_meet(left: DataFrame, right: DataFrame, a: float, b: float) -> DataF
     Corners are rounded, so that squares that just touch may seem apart: rings a little larger meet, and the middles decide.
     """
     square = lambda h: F.array(*(F.struct((F.col("lng") + x * h).alias("lng"), (F.col("lat") + y * h).alias("lat")) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1))))
-    near = intersecting(left.select("id", square(F.lit(a + _ROUNDING)).alias("ring")), right.select("other", square(F.lit(b)).alias("ring")))
-    both = near.join(left, "id").join(right.select("other", F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng")), "other")
+    there = right.select("other", F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), square(F.lit(b)).alias("ring"))
+    both = intersecting(left.select("id", "lat", "lng", square(F.lit(a + _ROUNDING)).alias("ring")), there)
     return both.where((F.abs(F.col("lat") - F.col("o_lat")) <= a + b) & (F.abs(F.col("lng") - F.col("o_lng")) <= a + b)).select("id", "other")
 
 
