@@ -10,7 +10,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.text import text_key
 from ..sources.tables import saved
@@ -32,47 +31,61 @@ def word_terms(key: str) -> np.ndarray:
     return np.array([int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for w in key.split(" ") if w], np.int64)
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, kind, h, tf: the terms of text keys (id, key) and how often each stands in its key."""
-    for batch in batches:
-        parts = []
-        for row, key in enumerate(batch.column("key").to_pylist()):
-            for kind, terms in enumerate((char_grams, word_terms)):
-                h, tf = np.unique(terms(key or ""), return_counts=True)
-                parts.append((np.full(len(h), row), np.full(len(h), kind), h, tf))
-        row, kind, h, tf = (np.concatenate(v).astype(np.int64) for v in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(row)), "kind": pa.array(kind, pa.int32()), "h": pa.array(h), "tf": pa.array(tf)})
-
+def terms(keys: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, kind, h, tf: the different terms of text keys in ascending order, character n-grams (kind 0) and words (1), and how often each stands in its key."""
+    parts = []
+    for row, key in enumerate(keys):
+        for kind, of in enumerate((char_grams, word_terms)):
+            h, tf = np.unique(of(key or ""), return_counts=True)
+            parts.append((np.full(len(h), row), np.full(len(h), kind), h, tf))
+    row, kind, h, tf = (np.concatenate(v).astype(np.int64) for v in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+    return row, kind, h, tf
 
-def vectors(texts: DataFrame) -> DataFrame:
-    """id and, for the character n-grams and the words of text keys (id, key), the terms in order and their weights.
 
-    A weight is (1 + ln tf) x (ln((1 + N) / (1 + df)) + 1), every vector of length 1. Terms are counted within a text's row; a text's
-    own rows are shuffled once to meet the terms' numbers of texts and once to be a vector again.
-    """
-    rows = saved(texts.select("id", "key").mapInArrow(counted, StructType([texts.schema["id"], *(StructField(c, t()) for c, t in (("kind", IntegerType), ("h", LongType), ("tf", LongType)))])), "terms")
-    df = rows.groupBy("kind", "h").agg(F.count(F.lit(1)).alias("df"))
-    n = texts.count()
-    weighed = rows.join(df, ["kind", "h"]).select("id", "kind", "h", ((1 + F.ln("tf")) * (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
-    whole = weighed.groupBy("id").agg(*(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("h", "w")))).alias(name) for k, name in enumerate(("char", "word"))), *(F.sqrt(F.sum(F.when(F.col("kind") == k, F.col("w") * F.col("w")))).alias(f"{name}_norm") for k, name in enumerate(("char", "word"))))
-    scaled = lambda name, norm: F.transform(name, lambda x: x["w"] / norm)
-    return whole.select("id", *(c for name in ("char", "word") for c in (F.transform(name, lambda x: x["h"]).alias(f"{name}_h"), scaled(name, F.col(f"{name}_norm")).alias(f"{name}_w"))))
-
-
-def dots(left: tuple[pa.Array, pa.Array], right: tuple[pa.Array, pa.Array]) -> np.ndarray:
-    """For each row the sum of products over the terms that both sides have; sides are lists of hashes and of weights, null for none."""
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind, h, n: the terms of text keys (key) and in how many keys of a batch each stands."""
+    for batch in batches:
+        _, kind, h, _ = terms(batch.column("key").to_pylist())
+        for k in (0, 1):
+            each, n = np.unique(h[kind == k], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(each), k), pa.int32()), "h": pa.array(each), "n": pa.array(n.astype(np.int64))})
 
-    def flat(side: tuple[pa.Array, pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, w = side
-        n = pc.fill_null(pc.list_value_length(h), 0).to_numpy(zero_copy_only=False)
-        return np.repeat(np.arange(len(n)), n), h.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False)
 
-    (i, h, w), (j, g, v) = flat(left), flat(right)
-    row, term, weight = np.concatenate([i, j]), np.concatenate([h, g]), np.concatenate([w, v])
-    order = np.lexsort((term, row))
-    row, term, weight = row[order], term[order], weight[order]
-    both = np.flatnonzero((row[1:] == row[:-1]) & (term[1:] == term[:-1]))
-    return np.bincount(row[both], weight[both] * weight[both + 1], minlength=len(left[0]))
+def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, kind, h: the different terms of the text keys of each part (part, key); one that two batches have comes twice."""
+    for batch in batches:
+        row, kind, h, _ = terms(batch.column("key").to_pylist())
+        part = batch.column("part").to_numpy()[row]
+        by = np.lexsort((h, kind, part))
+        part, kind, h = part[by], kind[by], h[by]
+        new = np.ones(len(h), bool)
+        new[1:] = (part[1:] != part[:-1]) | (kind[1:] != kind[:-1]) | (h[1:] != h[:-1])
+        yield pa.RecordBatch.from_pydict({"part": pa.array(part[new], pa.int64()), "kind": pa.array(kind[new], pa.int32()), "h": pa.array(h[new])})
+
+
+class Vectors:
+    """The weights of the terms of texts, every vector of length 1: (1 + ln tf) x (ln((1 + N) / (1 + df)) + 1), with the numbers of texts df that a table of terms (h ascending) has."""
+
+    def __init__(self, texts: int, row: np.ndarray, h: np.ndarray, tf: np.ndarray, table: np.ndarray, df: np.ndarray, n: int):
+        self.term, self.width = np.searchsorted(table, h), max(1, len(table))
+        w = (1 + np.log(tf)) * (np.log((1 + n) / (1 + df[self.term])) + 1)
+        self.w = w / np.sqrt(np.bincount(row, w * w, minlength=texts))[row]
+        self.first = np.searchsorted(row, np.arange(texts + 1))
+
+    def _rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the texts' terms, (row of at, term), in ascending order, and their weights."""
+        n = self.first[at + 1] - self.first[at]
+        flat = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return np.repeat(np.arange(len(at)), n) * self.width + self.term[flat], self.w[flat]
+
+    def dots(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair of texts the sum of products over the terms that both have."""
+        (x, v), (y, w) = self._rows(a), self._rows(b)
+        place, weight = np.concatenate([x, y]), np.concatenate([v, w])
+        order = np.argsort(place, kind="stable")
+        place, weight = place[order], weight[order]
+        both = np.flatnonzero(place[1:] == place[:-1])
+        return np.bincount(place[both] // self.width, weight[both] * weight[both + 1], minlength=len(a)).astype(float)  # of nothing it makes integers
 
 
 def edits(a: str, b: str, state: tuple[int, int, int] | None = None) -> int:
@@ -170,26 +183,58 @@ def _side_by_side(rows: np.ndarray, sizes: np.ndarray, columns: np.ndarray, step
     return found, more, less
 
 
-def compared(pairs: DataFrame, texts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The pairs (a, b, and other columns) with char and word, the cosines of their texts' vectors (0 without a common term), edit, the
-    edit similarity of the keys of texts (id, key), and said, whether both have a key that is not empty."""
-    whole = texts.join(vectors, "id", "left")
-    side = lambda name: whole.select(*(F.col(c).alias(name if c == "id" else f"{name}_{c}") for c in whole.columns))
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: texts are dearer to compare than their bytes tell
-    both = pairs.join(side("a"), "a").join(side("b"), "b").repartition(parts, "a", "b")
-    kept = pairs.columns
+#: Pairs that meet with their texts in one group, and pairs whose terms meet at once.
+TOGETHER, AT_ONCE = 8192, 1024
+#: What a row of a group is: a pair, a text, or a term by its kind.
+PAIR, TEXT, TERM = range(3)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = lambda name, kind, batch=batch: (batch.column(f"{name}_{kind}_h"), batch.column(f"{name}_{kind}_w"))
-            scores = [pa.array(dots(of("a", kind), of("b", kind))) for kind in ("char", "word")]
-            keys = [(x or "", y or "") for x, y in zip(batch.column("a_key").to_pylist(), batch.column("b_key").to_pylist(), strict=True)]
-            edit = pa.array([1 - n / max(len(x), len(y), 1) for n, (x, y) in zip(all_edits(keys).tolist(), keys, strict=True)], pa.float64())
-            said = pa.array([bool(x and y) for x, y in keys], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *scores, edit, said], names=[*kept, "char", "word", "edit", "said"])
 
-    schema = StructType([*(pairs.schema[c] for c in kept), *(StructField(c, DoubleType()) for c in ("char", "word", "edit")), StructField("said", BooleanType())])
-    return both.mapInArrow(run, schema)
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b, km, minutes; saved) with char and word, the cosines of their texts' vectors (0 without a common term), edit, the
+    edit similarity of the keys of texts (id, key; saved), and said, whether both have a key that is not empty. A pair without a text goes.
+
+    Pairs next to each other by their ids are a group. A text goes once to each group that needs it, and a group asks for each of its
+    terms once; vectors are made and compared within the group, so none of them is shuffled.
+    """
+    spark = pairs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(4 * parts, -(-pairs.count() // TOGETHER))
+    grouped = saved(pairs.repartitionByRange(groups, "a", "b").withColumn("part", F.spark_partition_id().cast("bigint")), "grouped")
+    needs = grouped.select("part", F.explode(F.array("a", "b")).alias("id")).distinct()
+    placed = saved(texts.join(needs, "id").select("part", "id", "key").repartition(parts, "part").sortWithinPartitions("part"), "placed")
+    n = texts.count()
+    df = texts.select("key").mapInArrow(counted, "kind int, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("df"))
+    known = placed.select("part", "key").mapInArrow(asked, "part bigint, kind int, h bigint").join(df, ["kind", "h"])
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = grouped.select("part", F.lit(PAIR).alias("what"), F.col("a").alias("i"), F.col("b").alias("j"), "km", "minutes", none("string").alias("key"))
+    rows = rows.unionByName(placed.select("part", F.lit(TEXT).alias("what"), F.col("id").alias("i"), none("bigint").alias("j"), none("double").alias("km"), none("double").alias("minutes"), "key"))
+    rows = rows.unionByName(known.select("part", (F.col("kind") + TERM).alias("what"), F.col("h").alias("i"), F.col("df").alias("j"), none("double").alias("km"), none("double").alias("minutes"), none("string").alias("key")))
+
+    def group(rows: pa.Table) -> pa.Table:
+        of = lambda what: rows.filter(pc.equal(rows["what"], what))
+        t, p = of(TEXT), of(PAIR)
+        by = np.argsort(t["i"].to_numpy())
+        ids, keys = t["i"].to_numpy()[by], [k or "" for k in t["key"].take(pa.array(by)).to_pylist()]
+        a, b = (np.searchsorted(ids, p[c].to_numpy()) for c in ("i", "j"))
+        there = np.append(ids, 0)
+        ok = (a < len(ids)) & (b < len(ids)) & (there[a] == p["i"].to_numpy()) & (there[b] == p["j"].to_numpy())
+        p, a, b = p.filter(pa.array(ok)), a[ok], b[ok]
+        row, kind, h, tf = terms(keys)
+        scores = []
+        for k in (0, 1):
+            table = of(TERM + k)
+            order = np.argsort(table["i"].to_numpy())
+            v = Vectors(len(ids), row[kind == k], h[kind == k], tf[kind == k], table["i"].to_numpy()[order], table["j"].to_numpy()[order], n)
+            scores.append(np.concatenate([v.dots(a[i : i + AT_ONCE], b[i : i + AT_ONCE]) for i in range(0, len(a), AT_ONCE)] or [np.zeros(0)]))
+        both = [(keys[x], keys[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        edit = [1 - d / max(len(x), len(y), 1) for d, (x, y) in zip(all_edits(both).tolist(), both, strict=True)]
+        said = [bool(x and y) for x, y in both]
+        return pa.table({"a": p["i"], "b": p["j"], "km": p["km"], "minutes": p["minutes"], "char": scores[0], "word": scores[1], "edit": pa.array(edit, pa.float64()), "said": pa.array(said, pa.bool_())})
+
+    def work(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        return pa.concat_tables([group(rows.slice(x, y - x)) for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)])
+
+    return by_groups(rows, ["part"], work, "a bigint, b bigint, km double, minutes double, char double, word double, edit double, said boolean")
 
 
 def proximity(value: Column, gate: float) -> Column:
@@ -201,12 +246,12 @@ def matched_pairs(pairs: DataFrame, texts: DataFrame, gate_km: float = GATE_KM,
 
     A duplicate reaches both thresholds; an empty text never does.
     """
-    spark = pairs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: texts are dearer to compare than their bytes tell
-    close = saved(pairs.where((F.col("km") <= gate_km) & (F.col("minutes") <= gate_min)).select("a", "b", "km", "minutes").repartition(parts, "a"), "close")
+    close = pairs.where((F.col("km") <= gate_km) & (F.col("minutes") <= gate_min) & F.col("a").isNotNull() & F.col("b").isNotNull())
+    close = saved(close.select(*(F.col(c).cast(t).alias(c) for c, t in (("a", "bigint"), ("b", "bigint"), ("km", "double"), ("minutes", "double")))), "close")
     ids = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    used = saved(texts.join(ids, "id", "left_semi").select("id", text_key(F.col("text")).alias("key")).repartition(parts, "id"), "texts")
-    rows = compared(close, used, vectors(used))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: texts are dearer to count than their bytes tell
+    used = saved(texts.join(ids, "id", "left_semi").select(F.col("id").cast("bigint").alias("id"), text_key(F.col("text")).alias("key")).repartition(parts, "id"), "texts")
+    rows = compared(close, used)
     w = WEIGHTS
     text_part = w["char"] * F.col("char") + w["word"] * F.col("word") + w["edit"] * F.col("edit")
     scored = rows.withColumn("text_score", text_part / (w["char"] + w["word"] + w["edit"])).withColumn("combined", text_part + w["geo"] * proximity(F.col("km"), gate_km) + w["time"] * proximity(F.col("minutes"), gate_min))
